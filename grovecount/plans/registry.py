@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from grovecount.plans import text_queries
+from grovecount.plans import image_queries, text_queries
 
 QUERIES = {}
 QUERIES.update(text_queries.QUERIES)
+QUERIES.update(image_queries.QUERIES)
 
 ORACLE_SQL = {}
 ORACLE_SQL.update(text_queries.ORACLE)
+ORACLE_SQL.update(image_queries.ORACLE)
