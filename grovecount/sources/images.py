@@ -30,9 +30,12 @@ IMAGE_SCHEMA = T.StructType([
 def read_images(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Image files of ``path`` as ``image_name, height, width, n_channels, data``.
 
-    Unreadable files stay in (height -1) so the lookup can report them.
+    Unreadable files stay in (height -1) so the lookup can report them.  A
+    missing folder reads as an empty table (every lookup then says missing).
     """
-    if stream:
+    if not stream and not _exists(spark, path):
+        raw = spark.createDataFrame([], IMAGE_SCHEMA)
+    elif stream:
         raw = (spark.readStream.format("image").schema(IMAGE_SCHEMA)
                .option("dropInvalid", False).load(path))
     else:
@@ -46,6 +49,28 @@ def read_images(spark: SparkSession, path: str, stream: bool = False) -> DataFra
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def ingest_images(spark: SparkSession, src: str, dst: str, buckets: int | None = None) -> None:
+    """Decode a folder of images once into a parquet table keyed by name.
+
+    At scale the job looks images up in this table instead of decoding the
+    whole folder per batch; bucketing by ``image_name`` lets the lookup join
+    read the big side without a shuffle.
+    """
+    images = read_images(spark, src)
+    if buckets:
+        images.write.mode("overwrite").bucketBy(buckets, "image_name").option("path", dst).saveAsTable(
+            "grovecount_images"
+        )
+    else:
+        images.write.mode("overwrite").parquet(dst)
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def gray_values(data: pd.Series, n_channels: pd.Series) -> pd.Series:
     """O-13 on a whole image at once: integer mean of R, G, B per pixel.
