@@ -1,7 +1,8 @@
-"""Registered circle-pipeline queries on scenes derived from ``nation``, and
+"""Registered circle-pipeline queries on scenes derived from ``nation`` (fixed
+25 images) and ``supplier`` (grows with the scale factor), and
 their SQL oracles (DuckDB dialect).
 
-Scene: one 60x45 gray image per nation row (see ``sources/scenes.py``).
+Scene: one 60x45 gray image per table row (see ``sources/scenes.py``).
 """
 
 from __future__ import annotations
@@ -22,75 +23,87 @@ from grovecount.sources.scenes import SCENE_HEIGHT, SCENE_WIDTH, scene_dims, sce
 from grovecount.sources.tables import read_table
 
 
-def _pixels(spark, d):
-    return scene_pixels(read_table(spark, d, "nation"))
+def _rows(spark, d, source):
+    return read_table(spark, d, source)
 
 
-def _dims(spark, d):
-    return scene_dims(read_table(spark, d, "nation"))
+def _pixels(spark, d, source="nation"):
+    return scene_pixels(_rows(spark, d, source))
 
 
-def scene_gray(spark: SparkSession, d: str) -> DataFrame:
-    return _pixels(spark, d)
+def _dims(spark, d, source="nation"):
+    return scene_dims(_rows(spark, d, source))
 
 
-def scene_blur(spark: SparkSession, d: str) -> DataFrame:
-    return blur(_pixels(spark, d))
+def scene_gray(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return _pixels(spark, d, source)
 
 
-def scene_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return gradient(blur(_pixels(spark, d)))
+def scene_blur(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return blur(_pixels(spark, d, source))
 
 
-def scene_thin(spark: SparkSession, d: str) -> DataFrame:
-    return thin(gradient(blur(_pixels(spark, d))), DEFAULT_LOW)
+def scene_gradient(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return gradient(blur(_pixels(spark, d, source)))
 
 
-def scene_edges(spark: SparkSession, d: str) -> DataFrame:
-    return edge_pixels(_pixels(spark, d))
+def scene_thin(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return thin(gradient(blur(_pixels(spark, d, source))), DEFAULT_LOW)
 
 
-def circle_offsets_q(spark: SparkSession, d: str) -> DataFrame:
-    return circle_offsets(radii_in_use(radius_ranges(_dims(spark, d))), DEFAULT_STEPS)
+def scene_thin_snapshot(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return thin(gradient(blur(_pixels(spark, d, source))), DEFAULT_LOW, mode="snapshot")
 
 
-def hough_votes(spark: SparkSession, d: str) -> DataFrame:
-    return vote_counts(scene_edges(spark, d), _dims(spark, d))
+def scene_edges(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return edge_pixels(_pixels(spark, d, source))
 
 
-def hough_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return candidates(hough_votes(spark, d))
+def circle_offsets_q(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return circle_offsets(radii_in_use(radius_ranges(_dims(spark, d, source))), DEFAULT_STEPS)
 
 
-def circles(spark: SparkSession, d: str) -> DataFrame:
-    return accept_circles(hough_candidates(spark, d))
+def hough_votes(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return vote_counts(scene_edges(spark, d, source), _dims(spark, d, source))
 
 
-def circle_counts_q(spark: SparkSession, d: str) -> DataFrame:
-    return circle_counts(circles(spark, d), _dims(spark, d))
+def hough_candidates(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return candidates(hough_votes(spark, d, source))
 
 
-def crop_boxes_q(spark: SparkSession, d: str) -> DataFrame:
-    return crop_boxes(circles(spark, d), _dims(spark, d))
+def circles(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return accept_circles(hough_candidates(spark, d, source))
 
 
-def crop_pixels_q(spark: SparkSession, d: str) -> DataFrame:
-    return crop_pixels(crop_boxes_q(spark, d), _pixels(spark, d))
+def circle_counts_q(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return circle_counts(circles(spark, d, source), _dims(spark, d, source))
 
 
-def scene_type_counts(spark: SparkSession, d: str) -> DataFrame:
+def crop_boxes_q(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return crop_boxes(circles(spark, d, source), _dims(spark, d, source))
+
+
+def crop_pixels_q(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    return crop_pixels(crop_boxes_q(spark, d, source), _pixels(spark, d, source))
+
+
+def scene_type_counts(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
     """IMAGES job on the scenes: circles summed per type (region name)."""
-    names = scene_names(read_table(spark, d, "nation"), read_table(spark, d, "region"))
+    names = scene_names(_rows(spark, d, source), read_table(spark, d, "nation"), read_table(spark, d, "region"))
     typed = names.select("image_id", F.substring_index("image_name", "_", 1).alias("feature"))
-    per_image = left_lookup_count(typed, circle_counts_q(spark, d), "image_id")
+    per_image = left_lookup_count(typed, circle_counts_q(spark, d, source), "image_id")
     return keyed_sum(per_image)
 
 
-def scene_thin_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return thin(gradient(blur(_pixels(spark, d))), DEFAULT_LOW, mode="snapshot")
+def _on(fn, source):
+    def q(spark: SparkSession, d: str) -> DataFrame:
+        return fn(spark, d, source)
 
+    q.__name__ = f"{fn.__name__}_{source}"
+    return q
 
-QUERIES = {
+
+_NATION = {
     "scene_gray": scene_gray,
     "scene_blur": scene_blur,
     "scene_gradient": scene_gradient,
@@ -106,6 +119,18 @@ QUERIES = {
     "crop_pixels": crop_pixels_q,
     "scene_type_counts": scene_type_counts,
 }
+# Scenes that grow with the scale factor: one image per supplier row.
+_SUPPLIER = {
+    "supplier_scene_edges": scene_edges,
+    "supplier_hough_candidates": hough_candidates,
+    "supplier_circles": circles,
+    "supplier_circle_counts": circle_counts_q,
+    "supplier_crop_pixels": crop_pixels_q,
+    "supplier_type_counts": scene_type_counts,
+}
+
+QUERIES = {name: _on(fn, "nation") for name, fn in _NATION.items()}
+QUERIES.update({name: _on(fn, "supplier") for name, fn in _SUPPLIER.items()})
 
 # ---------------------------------------------------------------------------
 # SQL oracle.  Each stage is a CTE; a query selects from its last stage.
@@ -129,14 +154,27 @@ _WR = "(PARTITION BY image_id, y ORDER BY x)"
 _WC = "(PARTITION BY image_id, x ORDER BY y)"
 _ANGLE = "atan2(gy, gx)"
 
+_SOURCES = {
+    "nation": ("n_nationkey", "n_nationkey", "n_regionkey", "n_nationkey"),
+    "supplier": ("s_suppkey", "s_suppkey % 25", "s_nationkey % 5", "s_nationkey"),
+}
+
+
+def _stages(source: str):
+    ident, k, g, _ = _SOURCES[source]
+    head = [
+        ("disc", f"""SELECT {ident} AS image_id, 20 + (({k}) * 20) // 25 AS cx,
+                15 + ({g}) * 3 AS cy, 4 + ({g}) % 3 AS rad FROM {source}"""),
+        ("dims", f"SELECT {ident} AS image_id, {_W} AS width, {_H} AS height FROM {source}"),
+    ]
+    return head + _STAGES
+
+
 _STAGES = [
-    ("disc", """SELECT n_nationkey AS image_id, 20 + (n_nationkey * 20) // 25 AS cx,
-                15 + n_regionkey * 3 AS cy, 4 + n_regionkey % 3 AS rad FROM nation"""),
     ("px", f"""SELECT image_id, CAST(i % {_W} AS INTEGER) AS x, CAST(i // {_W} AS INTEGER) AS y,
                 CASE WHEN (i % {_W} - cx) * (i % {_W} - cx) + (i // {_W} - cy) * (i // {_W} - cy) <= rad * rad
                      THEN 255 ELSE 0 END AS v
                FROM disc CROSS JOIN range(0, {_N}) t(i)"""),
-    ("dims", f"SELECT n_nationkey AS image_id, {_W} AS width, {_H} AS height FROM nation"),
     ("hb", f"SELECT image_id, x, y, {_weighted('v', _WR)} AS h FROM px"),
     ("bl", f"SELECT image_id, x, y, CAST(({_weighted('h', _WC)}) // 256 AS INTEGER) AS v FROM hb"),
     ("gyt", f"SELECT *, lead(v) OVER {_WC} - lag(v) OVER {_WC} AS gy FROM bl"),
@@ -202,30 +240,43 @@ _STAGES = [
 ]
 
 
-def _sql(final: str) -> str:
-    """Every stage up to the one the final SELECT needs (DuckDB skips unused CTEs)."""
-    ctes = ",\n".join(f"{name} AS ({body})" for name, body in _STAGES)
+def _sql(final: str, source: str = "nation") -> str:
+    """All stages as CTEs, then the final SELECT (DuckDB skips unused CTEs)."""
+    ctes = ",\n".join(f"{name} AS ({body})" for name, body in _stages(source))
     return f"WITH RECURSIVE {ctes}\n{final}"
 
 
-ORACLE = {
-    "scene_gray": _sql("SELECT image_id, x, y, v FROM px"),
-    "scene_blur": _sql("SELECT image_id, x, y, v FROM bl"),
-    "scene_gradient": _sql("SELECT image_id, x, y, mag2, dir FROM gr"),
-    "scene_thin": _sql("SELECT image_id, x, y, mag2 FROM th"),
-    "scene_thin_snapshot": _sql("SELECT image_id, x, y, mag2 FROM e WHERE NOT q_kills AND NOT p_gt"),
-    "scene_edges": _sql("SELECT image_id, x, y FROM ed"),
-    "circle_offsets": _sql("SELECT r, dx, dy, weight FROM offs"),
-    "hough_votes": _sql("SELECT image_id, a, b, r, votes FROM vt"),
-    "hough_candidates": _sql("SELECT image_id, a, b, r, votes FROM cand"),
-    "circles": _sql("SELECT image_id, k, a, b, r, votes FROM circ"),
-    "circle_counts": _sql("SELECT image_id, n FROM cnt"),
-    "crop_boxes": _sql("SELECT image_id, k, x0, y0, x1, y1 FROM box"),
-    "crop_pixels": _sql("""SELECT box.image_id, box.k, px.x, px.y, px.v FROM box
+def _type_counts_sql(source: str) -> str:
+    ident, _, _, nk = _SOURCES[source]
+    nation_join = "" if source == "nation" else f"JOIN nation ON {nk} = n_nationkey"
+    return _sql(f"""SELECT lower(r_name) AS feature, CAST(sum(coalesce(cnt.n, 0)) AS BIGINT) AS n
+        FROM {source} {nation_join} JOIN region ON n_regionkey = r_regionkey
+        LEFT JOIN cnt ON cnt.image_id = {ident} GROUP BY 1""", source)
+
+
+_FINAL = {
+    "scene_gray": "SELECT image_id, x, y, v FROM px",
+    "scene_blur": "SELECT image_id, x, y, v FROM bl",
+    "scene_gradient": "SELECT image_id, x, y, mag2, dir FROM gr",
+    "scene_thin": "SELECT image_id, x, y, mag2 FROM th",
+    "scene_thin_snapshot": "SELECT image_id, x, y, mag2 FROM e WHERE NOT q_kills AND NOT p_gt",
+    "scene_edges": "SELECT image_id, x, y FROM ed",
+    "circle_offsets": "SELECT r, dx, dy, weight FROM offs",
+    "hough_votes": "SELECT image_id, a, b, r, votes FROM vt",
+    "hough_candidates": "SELECT image_id, a, b, r, votes FROM cand",
+    "circles": "SELECT image_id, k, a, b, r, votes FROM circ",
+    "circle_counts": "SELECT image_id, n FROM cnt",
+    "crop_boxes": "SELECT image_id, k, x0, y0, x1, y1 FROM box",
+    "crop_pixels": """SELECT box.image_id, box.k, px.x, px.y, px.v FROM box
         JOIN px ON px.image_id = box.image_id AND px.x >= box.x0 AND px.x < box.x1
-         AND px.y >= box.y0 AND px.y < box.y1"""),
-    "scene_type_counts": _sql("""SELECT split_part(lower(r_name), '_', 1) AS feature,
-            CAST(sum(coalesce(cnt.n, 0)) AS BIGINT) AS n
-        FROM nation JOIN region ON n_regionkey = r_regionkey
-        LEFT JOIN cnt ON cnt.image_id = n_nationkey GROUP BY 1"""),
+         AND px.y >= box.y0 AND px.y < box.y1""",
 }
+
+ORACLE = {name: _sql(_FINAL[name], "nation") for name in _NATION if name in _FINAL}
+ORACLE["scene_type_counts"] = _type_counts_sql("nation")
+for _name in _SUPPLIER:
+    _base = _name.removeprefix("supplier_")
+    if _base == "type_counts":
+        ORACLE[_name] = _type_counts_sql("supplier")
+    else:
+        ORACLE[_name] = _sql(_FINAL[_base], "supplier")

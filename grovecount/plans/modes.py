@@ -35,6 +35,7 @@ class JobOptions:
     trigger: str = "10 seconds"
     window: str = "10 seconds"
     text_suffix: str = "orange"
+    glob: str = "*.txt"                     # which files of the watched folder are read
     images_dir: str | None = None           # default: <input>/images
     images_table: str | None = None         # parquet written by ingest_images
     image_parallelism: int | None = 8

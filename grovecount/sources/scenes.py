@@ -16,27 +16,41 @@ SCENE_HEIGHT = 45
 WHITE = 255
 
 
-def nation_discs(nation: DataFrame) -> DataFrame:
-    """``image_id, cx, cy, radius`` for each nation row."""
-    return nation.select(
-        F.col("n_nationkey").alias("image_id"),
-        F.expr("20 + (n_nationkey * 20) div 25").cast("int").alias("cx"),
-        F.expr("15 + n_regionkey * 3").cast("int").alias("cy"),
-        F.expr("4 + n_regionkey % 3").cast("int").alias("radius"),
+def _keys(df: DataFrame) -> tuple[str, str, str]:
+    """(image id, position key 0..24, size key 0..4) columns of a scene table."""
+    if "n_nationkey" in df.columns:
+        return "n_nationkey", "n_nationkey", "n_regionkey"
+    if "s_suppkey" in df.columns:
+        return "s_suppkey", "s_suppkey % 25", "s_nationkey % 5"
+    raise ValueError("scenes are derived from nation or supplier rows")
+
+
+def scene_discs(rows: DataFrame) -> DataFrame:
+    """``image_id, cx, cy, radius`` for each row of ``nation`` or ``supplier``.
+
+    nation: k = n_nationkey, g = n_regionkey; supplier: k = s_suppkey % 25,
+    g = s_nationkey % 5.  Centre (20 + 20k div 25, 15 + 3g), radius 4 + g % 3.
+    """
+    ident, k, g = _keys(rows)
+    return rows.select(
+        F.col(ident).alias("image_id"),
+        F.expr(f"20 + (({k}) * 20) div 25").cast("int").alias("cx"),
+        F.expr(f"15 + ({g}) * 3").cast("int").alias("cy"),
+        F.expr(f"4 + ({g}) % 3").cast("int").alias("radius"),
     )
 
 
-def scene_dims(nation: DataFrame, width: int = SCENE_WIDTH, height: int = SCENE_HEIGHT) -> DataFrame:
-    return nation.select(
-        F.col("n_nationkey").alias("image_id"),
+def scene_dims(rows: DataFrame, width: int = SCENE_WIDTH, height: int = SCENE_HEIGHT) -> DataFrame:
+    return rows.select(
+        F.col(_keys(rows)[0]).alias("image_id"),
         F.lit(width).alias("width"),
         F.lit(height).alias("height"),
     )
 
 
-def scene_pixels(nation: DataFrame, width: int = SCENE_WIDTH, height: int = SCENE_HEIGHT) -> DataFrame:
+def scene_pixels(rows: DataFrame, width: int = SCENE_WIDTH, height: int = SCENE_HEIGHT) -> DataFrame:
     """Pixel table ``image_id, x, y, v`` with ``v = 255`` inside the disc."""
-    discs = nation_discs(nation)
+    discs = scene_discs(rows)
     px = discs.select("*", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("i"))
     x = F.pmod("i", F.lit(width))
     y = F.floor(F.col("i") / F.lit(width))
@@ -50,10 +64,17 @@ def scene_pixels(nation: DataFrame, width: int = SCENE_WIDTH, height: int = SCEN
     )
 
 
-def scene_names(nation: DataFrame, region: DataFrame) -> DataFrame:
-    """Manifest-style names ``<region>_<nationkey>.png`` (type = region name)."""
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        F.col("n_nationkey").alias("image_id"),
-        F.concat(F.lower("r_name"), F.lit("_"), F.col("n_nationkey").cast("string"), F.lit(".png"))
-        .alias("image_name"),
+def scene_names(rows: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+    """Manifest-style names ``<region>_<image id>.png`` (type = region name).
+
+    ``rows`` is the scene table (``nation`` itself or ``supplier``).
+    """
+    ident = _keys(rows)[0]
+    nk = "n_nationkey" if ident == "n_nationkey" else "s_nationkey"
+    with_region = rows.select(F.col(ident).alias("image_id"), F.col(nk).alias("nk")).join(
+        nation.select(F.col("n_nationkey").alias("nk"), "n_regionkey"), "nk"
+    ).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return with_region.select(
+        "image_id",
+        F.concat(F.lower("r_name"), F.lit("_"), F.col("image_id").cast("string"), F.lit(".png")).alias("image_name"),
     )

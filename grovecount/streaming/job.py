@@ -79,7 +79,7 @@ def start_job(
     checkpoint commit interval is the trigger interval).
     """
     pipeline_for(opts.mode)  # fail fast on an unknown mode
-    lines = stream_lines(spark, opts.input, max_files_per_trigger=opts.max_files_per_trigger)
+    lines = stream_lines(spark, opts.input, opts.glob, max_files_per_trigger=opts.max_files_per_trigger)
     stamped = lines.withColumn("batch_time", F.current_timestamp())
     if opts.mode == "TEXT":
         # Stateless filter stays in the streaming plan (runs in the scan stage).
