@@ -24,13 +24,18 @@ def grow_edges(thinned: DataFrame, low: int, high: int, id_col: str = ID) -> Dat
     ``thinned`` carries ``mag2`` for surviving pixels; values are compared as
     squares (``> low^2`` weak, ``> high^2`` strong).
     """
-    spark = thinned.sparkSession
-    rounds = RoundTables(spark, "edges")
+    rounds = RoundTables(thinned.sparkSession, "edges")
     weak = rounds.write(thinned.where(F.col("mag2") > low * low).select(id_col, "x", "y"), "weak")
-    kept = rounds.write(thinned.where(F.col("mag2") > high * high).select(id_col, "x", "y"), "kept")
-    frontier = kept
+    frontier = weak.join(
+        thinned.where(F.col("mag2") > high * high).select(id_col, "x", "y"), [id_col, "x", "y"], "left_semi"
+    )
+    frontier = rounds.write(frontier, "strong")
+    parts = [frontier]
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _NEIGHBOURHOOD])
     while True:
+        kept = parts[0]
+        for p in parts[1:]:
+            kept = kept.unionByName(p)
         around = frontier.select(id_col, "x", "y", F.explode(shifts).alias("s")).select(
             id_col,
             (F.col("x") + F.col("s.a")).alias("x"),
@@ -41,9 +46,11 @@ def grow_edges(thinned: DataFrame, low: int, high: int, id_col: str = ID) -> Dat
             .join(kept, [id_col, "x", "y"], "left_anti")
             .distinct()
         )
-        new = rounds.write(new, "new")
-        if new.isEmpty():
+        frontier = rounds.write(new, "new")
+        if frontier.isEmpty():
             break
-        kept = rounds.write(kept.unionByName(new), "kept")
-        frontier = new
+        parts.append(frontier)
+    kept = parts[0]
+    for p in parts[1:]:
+        kept = kept.unionByName(p)
     return kept

@@ -3,9 +3,10 @@
 Acceptance is greedy and order-dependent inside one image: walk the
 candidates in a fixed order (``votes desc, r, a, b``) and accept one unless its
 centre lies strictly inside an already accepted circle.  No set of joins
-expresses "already accepted", so this one step is a grouped pandas function
-over the (thresholded, hence few) candidates of each image.  Everything
-before and after it stays in Spark SQL.
+expresses "already accepted" (and pairing candidates would emit all pairs of
+an image), so this one step is a pandas function over the (thresholded,
+hence few) candidates of each image, fed sorted by Spark.  Everything before
+and after it stays in Spark SQL.
 """
 
 from __future__ import annotations
@@ -22,37 +23,79 @@ ORDER = ["votes", "r", "a", "b"]
 ASCENDING = [False, True, True, True]
 
 
-def accept_greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Accepted circles of one image, numbered ``k`` in acceptance order.
+def _greedy(a: np.ndarray, b: np.ndarray, r: np.ndarray) -> list[int]:
+    """Indices accepted from candidates already in acceptance order.
 
-    Vectorised: each accepted circle removes every candidate whose centre it
-    covers (``d^2 < r^2`` in integers), then the first remaining candidate in
-    order is the next acceptance.  Cost is candidates x accepted.
+    Each accepted circle removes every later candidate whose centre it covers
+    (``d^2 < r^2`` in integers); the next survivor is the next acceptance.
+    Cost is candidates x accepted, all in numpy.
     """
-    pdf = pdf.sort_values(ORDER, ascending=ASCENDING, kind="mergesort").reset_index(drop=True)
-    a = pdf["a"].to_numpy(np.int64)
-    b = pdf["b"].to_numpy(np.int64)
-    r = pdf["r"].to_numpy(np.int64)
-    alive = np.ones(len(pdf), dtype=bool)
+    alive = np.ones(len(a), dtype=bool)
     picked: list[int] = []
-    start = 0
+    i = 0
     while True:
-        rest = np.flatnonzero(alive[start:])
+        rest = np.flatnonzero(alive[i:])
         if rest.size == 0:
-            break
-        i = start + int(rest[0])
+            return picked
+        i += int(rest[0])
         picked.append(i)
-        covered = (a - a[i]) ** 2 + (b - b[i]) ** 2 < r[i] ** 2
-        alive &= ~covered
-        alive[i] = False
-        start = i + 1
+        da, db = a[i:] - a[i], b[i:] - b[i]
+        alive[i:] &= da * da + db * db >= r[i] * r[i]
+        i += 1
+
+
+def accept_greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Accepted circles of one image's candidates, numbered ``k`` in acceptance order."""
+    pdf = pdf.sort_values(ORDER, ascending=ASCENDING, kind="mergesort").reset_index(drop=True)
+    picked = _greedy(*(pdf[c].to_numpy(np.int64) for c in ("a", "b", "r")))
     out = pdf.iloc[picked].copy()
     out.insert(1, "k", np.arange(len(picked), dtype=np.int32))
     return out
 
 
+def _accept_sorted(pdf: pd.DataFrame, id_col: str) -> pd.DataFrame:
+    """Greedy acceptance for consecutive images of a block sorted by image, then order."""
+    ids = pdf[id_col].to_numpy()
+    a, b, r = (pdf[c].to_numpy(np.int64) for c in ("a", "b", "r"))
+    starts = np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]))
+    rows, ks = [], []
+    for s0, s1 in zip(starts[:-1], starts[1:]):
+        picked = _greedy(a[s0:s1], b[s0:s1], r[s0:s1])
+        rows.extend(s0 + p for p in picked)
+        ks.extend(range(len(picked)))
+    out = pdf.iloc[rows].reset_index(drop=True)
+    out.insert(1, "k", np.asarray(ks, dtype=np.int32))
+    return out
+
+
+def _accept_partition(id_col: str):
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            ids = pdf[id_col].to_numpy()
+            # the last image may continue in the next batch: hold it back
+            cut = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if (ids != ids[-1]).any() else 0
+            carry = pdf.iloc[cut:]
+            if cut:
+                yield _accept_sorted(pdf.iloc[:cut], id_col)
+        if carry is not None and len(carry):
+            yield _accept_sorted(carry, id_col)
+
+    return run
+
+
 def accept_circles(cands: DataFrame, id_col: str = ID) -> DataFrame:
-    """``image_id, k, a, b, r, votes`` of accepted circles (groups = images)."""
+    """``image_id, k, a, b, r, votes`` of accepted circles.
+
+    Candidates are hash-partitioned by image and sorted inside each partition
+    by (image, votes desc, r, a, b) in Spark; one pandas function then walks
+    the sorted Arrow batches, so an image is handled as a contiguous run and
+    no per-group frame is built.  Only thresholded candidates get here.
+    """
     id_type = cands.schema[id_col].dataType
     schema = T.StructType([
         T.StructField(id_col, id_type),
@@ -62,8 +105,12 @@ def accept_circles(cands: DataFrame, id_col: str = ID) -> DataFrame:
         T.StructField("r", T.IntegerType()),
         T.StructField("votes", T.LongType()),
     ])
-    cols = cands.select(id_col, "a", "b", "r", "votes")
-    return cols.groupBy(id_col).applyInPandas(accept_greedy, schema)
+    ordered = (
+        cands.select(id_col, "a", "b", "r", "votes")
+        .repartition(id_col)
+        .sortWithinPartitions(id_col, F.desc("votes"), "r", "a", "b")
+    )
+    return ordered.mapInPandas(_accept_partition(id_col), schema)
 
 
 def circle_counts(circles: DataFrame, dims: DataFrame, id_col: str = ID) -> DataFrame:

@@ -27,18 +27,47 @@ def col_window(id_col: str = ID):
     return Window.partitionBy(id_col, "x").orderBy("y")
 
 
-def clamped_shift(c: str, w, k: int) -> Column:
-    """Value at offset ``k`` along the window, repeating the edge value past
-    either end (``coalesce`` falls back to the nearest existing neighbour)."""
+def _tag(k: int) -> str:
+    return f"m{-k}" if k < 0 else f"p{k}"
+
+
+def _shifted(c: str, k: int) -> str:
+    return f"{c}__{_tag(k)}"
+
+
+def with_shifts(df: DataFrame, cols: list[str], w, reach: int) -> DataFrame:
+    """Add ``<c>__m<k>`` / ``<c>__p<k>`` = value k places before / after along ``w``.
+
+    Each (column, offset) is one window function; everything built from them
+    is a plain projection (Spark does not merge repeated window expressions).
+    """
+    exprs = []
+    for c in cols:
+        for k in range(-reach, reach + 1):
+            if k:
+                fn = F.lag if k < 0 else F.lead
+                exprs.append(fn(c, abs(k)).over(w).alias(_shifted(c, k)))
+    return df.select("*", *exprs)
+
+
+def clamped(c: str, k: int) -> Column:
+    """Value at offset ``k`` with the edge value repeated past either end
+    (the farthest existing neighbour in that direction); needs ``with_shifts``."""
     if k == 0:
         return F.col(c)
-    fn = F.lag if k < 0 else F.lead
-    return F.coalesce(*[fn(c, j).over(w) for j in range(abs(k), 0, -1)], F.col(c))
+    step = 1 if k < 0 else -1
+    return F.coalesce(*[F.col(_shifted(c, j)) for j in range(k, 0, step)], F.col(c))
 
 
-def _weighted(c: str, w) -> Column:
+def exists_at(c: str, k: int) -> Column:
+    """Whether the pixel at offset ``k`` exists (``c`` must be non-null)."""
+    return F.lit(True) if k == 0 else F.col(_shifted(c, k)).isNotNull()
+
+
+def weighted(c: str, centre: int = 0) -> Column:
+    """Binomial 1 4 6 4 1 sum of clamped values around offset ``centre``."""
     half = len(BLUR_WEIGHTS) // 2
-    terms = [F.lit(wk) * clamped_shift(c, w, k - half) for k, wk in enumerate(BLUR_WEIGHTS)]
+    terms = [F.lit(wk) * clamped(c, centre + k - half) for k, wk in enumerate(BLUR_WEIGHTS)]
     total = terms[0]
     for t in terms[1:]:
         total = total + t
@@ -52,9 +81,10 @@ def blur(pixels: DataFrame, id_col: str = ID) -> DataFrame:
     1 4 6 4 1 over 256, so one horizontal and one vertical weighted sum give
     256 times the blurred value.
     """
-    horiz = pixels.withColumn("h", _weighted("v", row_window(id_col)))
-    both = horiz.withColumn("s", _weighted("h", col_window(id_col)))
-    return both.select(id_col, "x", "y", F.floor(F.col("s") / F.lit(BLUR_DIVISOR)).cast("int").alias("v"))
+    half = len(BLUR_WEIGHTS) // 2
+    horiz = with_shifts(pixels, ["v"], row_window(id_col), half).select(id_col, "x", "y", weighted("v").alias("h"))
+    both = with_shifts(horiz, ["h"], col_window(id_col), half)
+    return both.select(id_col, "x", "y", F.floor(weighted("h") / F.lit(BLUR_DIVISOR)).cast("int").alias("v"))
 
 
 def gradient(blurred: DataFrame, id_col: str = ID) -> DataFrame:
@@ -75,24 +105,40 @@ def gradient(blurred: DataFrame, id_col: str = ID) -> DataFrame:
     )
 
 
-def with_neighbour_mags(grad: DataFrame, id_col: str = ID) -> DataFrame:
-    """Add the eight neighbour magnitudes ``m_<dx><dy>`` (``dx, dy`` in l/c/r, u/c/d).
+def with_neighbour_mags(grad: DataFrame, floor2: int = 0, id_col: str = ID) -> DataFrame:
+    """Add the eight neighbour magnitudes ``m_<dx><dy>`` (``dx, dy`` in l/c/r, u/c/d)
+    for pixels whose own ``mag2`` exceeds ``floor2``; neighbour values at or
+    below ``floor2`` read as 0.
 
-    Row neighbours first (same axis as the incoming partitioning), then the
-    column pass reads the row values one line up and down for the diagonals.
+    The row neighbours come from the row window (same axis as the incoming
+    partitioning, no exchange).  Only rows where one of the three values
+    exceeds ``floor2`` then go through the column exchange, and the rows one
+    line up and down are read with exact ``RANGE`` frames, so a row left out
+    simply reads as 0.  Edge thinning compares against pixels stronger than
+    the weak threshold only, so ``floor2 = low^2`` loses nothing while
+    shuffling only the pixels near edges.
     """
-    wr, wc = row_window(id_col), col_window(id_col)
+    wr = row_window(id_col)
+    keep = lambda c: F.when(F.col(c) > floor2, F.col(c)).otherwise(0)
     rows = grad.select(
+        id_col, "x", "y", "mag2", "dir",
+        F.coalesce(F.lag("mag2").over(wr), F.lit(0)).alias("m_lc"),
+        F.coalesce(F.lead("mag2").over(wr), F.lit(0)).alias("m_rc"),
+    ).select(id_col, "x", "y", "dir", keep("mag2").alias("mag2"), keep("m_lc").alias("m_lc"),
+             keep("m_rc").alias("m_rc"))
+    near = rows.where((F.col("mag2") > 0) | (F.col("m_lc") > 0) | (F.col("m_rc") > 0))
+    base = Window.partitionBy(id_col, "x").orderBy("y")
+    up, down = base.rangeBetween(-1, -1), base.rangeBetween(1, 1)
+
+    def at(c: str, w) -> Column:
+        return F.coalesce(F.max(c).over(w), F.lit(0))
+
+    return near.select(
         "*",
-        F.lag("mag2").over(wr).alias("m_lc"),
-        F.lead("mag2").over(wr).alias("m_rc"),
-    )
-    return rows.select(
-        "*",
-        F.lag("mag2").over(wc).alias("m_cu"),
-        F.lead("mag2").over(wc).alias("m_cd"),
-        F.lag("m_lc").over(wc).alias("m_lu"),
-        F.lead("m_lc").over(wc).alias("m_ld"),
-        F.lag("m_rc").over(wc).alias("m_ru"),
-        F.lead("m_rc").over(wc).alias("m_rd"),
-    )
+        at("mag2", up).alias("m_cu"),
+        at("mag2", down).alias("m_cd"),
+        at("m_lc", up).alias("m_lu"),
+        at("m_lc", down).alias("m_ld"),
+        at("m_rc", up).alias("m_ru"),
+        at("m_rc", down).alias("m_rd"),
+    ).where(F.col("mag2") > 0)

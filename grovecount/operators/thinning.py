@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovecount.operators.stencil import ID, with_neighbour_mags
+from grovecount.operators.stencil import ID, blur, gradient, with_neighbour_mags
 from grovecount.plans.lineage import RoundTables
 
 # (bin) -> (p column, p dx, p dy, q column); bin 4 shares bin 0's axis.
@@ -52,7 +52,10 @@ def _pick(d, which: int):
 
 def suppression_inputs(grad: DataFrame, low: int, id_col: str = ID) -> DataFrame:
     """Interior pixels with ``mag2 > low^2``, each with its p/q comparison."""
-    nb = with_neighbour_mags(grad, id_col)
+    return _compare(with_neighbour_mags(grad, low * low, id_col), low, id_col)
+
+
+def _compare(nb: DataFrame, low: int, id_col: str) -> DataFrame:
     d = F.col("dir")
     p_mag, q_mag = _pick(d, 0), _pick(d, 3)
     return nb.where(F.col("mag2") > low * low).select(
@@ -66,36 +69,43 @@ def suppression_inputs(grad: DataFrame, low: int, id_col: str = ID) -> DataFrame
 
 def thin(grad: DataFrame, low: int, mode: str = "inplace", id_col: str = ID) -> DataFrame:
     """Survivors of suppression with ``mag2 > low^2``: ``image_id, x, y, mag2``."""
-    cand = suppression_inputs(grad, low, id_col)
+    return resolve(suppression_inputs(grad, low, id_col), mode, id_col)
+
+
+def thin_pixels(pixels: DataFrame, low: int, mode: str = "inplace", id_col: str = ID) -> DataFrame:
+    """``thin(gradient(blur(pixels)))``: gray pixel table to thinned edges."""
+    return thin(gradient(blur(pixels, id_col), id_col), low, mode, id_col)
+
+
+def resolve(cand: DataFrame, mode: str = "inplace", id_col: str = ID) -> DataFrame:
+    """Apply the suppression rule to candidate rows from ``suppression_inputs``."""
     if mode == "snapshot":
         return cand.where(~F.col("q_kills") & ~F.col("p_gt")).select(id_col, "x", "y", "mag2")
     if mode != "inplace":
         raise ValueError(f"unknown thinning mode {mode!r}")
 
-    spark = grad.sparkSession
-    rounds = RoundTables(spark, "thin")
+    rounds = RoundTables(cand.sparkSession, "thin")
     cand = rounds.write(cand, "cand")
-    known = rounds.write(
-        cand.where(F.col("q_kills") | ~F.col("p_gt"))
-        .select(id_col, "x", "y", F.col("q_kills").alias("killed")),
-        "known",
+    # Round 0: pixels decided by their own neighbours.
+    frontier = cand.where(F.col("q_kills") | ~F.col("p_gt")).select(
+        id_col, "x", "y", "mag2", F.col("q_kills").alias("killed")
     )
-    pending = cand.where(~F.col("q_kills") & F.col("p_gt")).select(id_col, "x", "y", "px", "py")
-    frontier = known
-    while not pending.isEmpty():
-        # Pixels whose p was resolved in the previous round take its negation.
+    waiting = cand.where(~F.col("q_kills") & F.col("p_gt")).select(id_col, "x", "y", "mag2", "px", "py")
+    decided = [frontier]
+    # Round k: every pixel whose p was decided in round k-1.  Each pixel has
+    # exactly one p, so it is matched in exactly one round: no anti-join needed.
+    while True:
         ref = frontier.select(
             F.col(id_col), F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("p_killed")
         )
-        step = pending.join(ref, [id_col, "px", "py"], "inner")
-        solved = rounds.write(step.select(id_col, "x", "y", (~F.col("p_killed")).alias("killed")), "solved")
-        if solved.isEmpty():
-            raise RuntimeError("edge thinning: dependency on a pixel outside the candidate set")
-        pending = rounds.write(pending.join(solved.select(id_col, "x", "y"), [id_col, "x", "y"], "left_anti"),
-                               "pending")
-        known = known.unionByName(solved)
-        frontier = solved
-    alive = known.where(~F.col("killed")).select(id_col, "x", "y")
-    result = rounds.write(cand.join(alive, [id_col, "x", "y"], "left_semi").select(id_col, "x", "y", "mag2"),
-                          "thin")
-    return result
+        step = waiting.join(ref, [id_col, "px", "py"], "inner").select(
+            id_col, "x", "y", "mag2", (~F.col("p_killed")).alias("killed")
+        )
+        frontier = rounds.write(step, "decided")
+        if frontier.isEmpty():
+            break
+        decided.append(frontier)
+    alive = decided[0]
+    for part in decided[1:]:
+        alive = alive.unionByName(part)
+    return rounds.write(alive.where(~F.col("killed")).select(id_col, "x", "y", "mag2"), "thin")

@@ -19,8 +19,7 @@ from grovecount.functions.image import (
 from grovecount.operators.hough import candidates, vote_counts
 from grovecount.operators.hysteresis import grow_edges
 from grovecount.operators.overlap import accept_circles, circle_counts
-from grovecount.operators.stencil import blur, gradient
-from grovecount.operators.thinning import thin
+from grovecount.operators.thinning import thin_pixels
 
 
 @dataclass(frozen=True)
@@ -43,8 +42,7 @@ class Detection:
 
 def edge_pixels(pixels: DataFrame, params: DetectParams = DetectParams()) -> DataFrame:
     """Gray pixel table -> distinct edge pixels ``image_id, x, y`` (runs the loops)."""
-    grad = gradient(blur(pixels))
-    thinned = thin(grad, params.low, params.thinning)
+    thinned = thin_pixels(pixels, params.low, params.thinning)
     return grow_edges(thinned, params.low, params.high)
 
 

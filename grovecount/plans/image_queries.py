@@ -17,7 +17,7 @@ from grovecount.operators.hough import candidates, circle_offsets, radii_in_use,
 from grovecount.operators.lookup import left_lookup_count
 from grovecount.operators.overlap import accept_circles, circle_counts
 from grovecount.operators.stencil import blur, gradient
-from grovecount.operators.thinning import thin
+from grovecount.operators.thinning import thin, thin_pixels
 from grovecount.plans.detect import DetectParams, edge_pixels
 from grovecount.sources.scenes import SCENE_HEIGHT, SCENE_WIDTH, scene_dims, scene_names, scene_pixels
 from grovecount.sources.tables import read_table
@@ -48,7 +48,7 @@ def scene_gradient(spark: SparkSession, d: str, source: str = "nation") -> DataF
 
 
 def scene_thin(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
-    return thin(gradient(blur(_pixels(spark, d, source))), DEFAULT_LOW)
+    return thin_pixels(_pixels(spark, d, source), DEFAULT_LOW)
 
 
 def scene_thin_snapshot(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
