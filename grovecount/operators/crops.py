@@ -22,15 +22,12 @@ def crop_boxes(circles: DataFrame, dims: DataFrame, id_col: str = ID) -> DataFra
     )
 
 
-def crop_names(boxes: DataFrame, names: DataFrame, id_col: str = ID) -> DataFrame:
+def crop_name(image_name: str = "image_name", k: str = "k"):
     """O-20: ``<type>_<image stem>_<k>.png`` — deterministic and collision-free
     (the original numbers crops with a per-task counter, which collides)."""
-    j = boxes.join(names, id_col)
-    stem = F.regexp_replace("image_name", r"\.[^.]*$", "")
-    return j.select(
-        "*",
-        F.concat(F.concat_ws("_", F.substring_index("image_name", "_", 1), stem, F.col("k").cast("string")),
-                 F.lit(".png")).alias("crop_name"),
+    stem = F.regexp_replace(image_name, r"\.[^.]*$", "")
+    return F.concat(
+        F.concat_ws("_", F.substring_index(image_name, "_", 1), stem, F.col(k).cast("string")), F.lit(".png")
     )
 
 

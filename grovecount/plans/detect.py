@@ -20,6 +20,7 @@ from grovecount.operators.hough import candidates, vote_counts
 from grovecount.operators.hysteresis import grow_edges
 from grovecount.operators.overlap import accept_circles, circle_counts
 from grovecount.operators.thinning import thin_pixels
+from grovecount.plans.lineage import RoundTables
 
 
 @dataclass(frozen=True)
@@ -50,5 +51,6 @@ def detect_circles(pixels: DataFrame, dims: DataFrame, params: DetectParams = De
     edges = edge_pixels(pixels, params)
     votes = vote_counts(edges, dims, params.steps)
     cands = candidates(votes, params.steps, params.threshold)
-    circles = accept_circles(cands)
+    # Accepted circles are few and feed counts, crops and sinks: write them once.
+    circles = RoundTables(pixels.sparkSession, "circles").write(accept_circles(cands), "circles")
     return Detection(edges, votes, cands, circles, circle_counts(circles, dims))

@@ -4,15 +4,20 @@ circle detection -> ``(type, count)`` per manifest line (O-07, O-11, O-22, O-12)
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovecount.functions.text import IMAGE_SUFFIXES, ends_with_any, prefix_before
+from grovecount.operators.crops import crop_boxes, crop_name
 from grovecount.plans.detect import DetectParams, Detection, detect_circles
 from grovecount.sources.images import image_dims, image_pixels
 
+# Fixed value: folder of the crop output (the original's processed-images folder).
+CROPS_FOLDER = "processed-images"
+
 
 @dataclass
 class ImageJobResult:
@@ -71,3 +76,26 @@ def image_counts(
         )
     )
     return ImageJobResult(per_line, rejects, detection)
+
+
+def write_crops(result: ImageJobResult, images: DataFrame, output: str, batch_id: int | None) -> str:
+    """K-3: one row per accepted circle with its clamped box and crop name.
+
+    ``crops(image_name, type, k, a, b, r, x0, y0, x1, y1, crop_name)`` as
+    parquet, one folder per micro-batch (overwritten on replay).  Empty
+    boxes are kept (the circle still counts); pixel content is available
+    through ``crop_pixels`` on demand instead of encoded files.
+    """
+    det = result.detection
+    dims = image_dims(images).withColumnRenamed("image_id", "image_name")
+    circles = det.circles.withColumnRenamed("image_id", "image_name")
+    boxes = crop_boxes(circles, dims, "image_name")
+    rows = boxes.join(circles.select("image_name", "k", "a", "b", "r"), ["image_name", "k"]).select(
+        "image_name",
+        F.substring_index("image_name", "_", 1).alias("type"),
+        "k", "a", "b", "r", "x0", "y0", "x1", "y1",
+        crop_name().alias("crop_name"),
+    )
+    path = os.path.join(output, CROPS_FOLDER, f"batch_id={batch_id if batch_id is not None else 'batch'}")
+    rows.write.mode("overwrite").parquet(path)
+    return path

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from grovecount.plans.detect import DetectParams
-from grovecount.plans.image_job import image_counts
+from grovecount.plans.image_job import image_counts, write_crops
 from grovecount.plans.text_job import text_sightings
 from grovecount.sources.images import read_images
 from grovecount.sources.text import manifest_names
@@ -39,6 +39,7 @@ class JobOptions:
     images_dir: str | None = None           # default: <input>/images
     images_table: str | None = None         # parquet written by ingest_images
     image_parallelism: int | None = 8
+    write_crops: bool = True                # K-3: crop table under <output>/processed-images
     max_files_per_trigger: int | None = None
     detect: DetectParams = field(default_factory=DetectParams)
 
@@ -49,20 +50,22 @@ class JobOptions:
 MODE_LABELS = {"TEXT": "text files", "IMAGES": "images"}
 
 
-def text_mode(spark: SparkSession, lines: DataFrame, opts: JobOptions) -> DataFrame:
+def text_mode(spark: SparkSession, lines: DataFrame, opts: JobOptions, batch_id: int | None = None) -> DataFrame:
     return text_sightings(lines, opts.text_suffix)
 
 
-def images_mode(spark: SparkSession, lines: DataFrame, opts: JobOptions) -> DataFrame:
+def images_mode(spark: SparkSession, lines: DataFrame, opts: JobOptions, batch_id: int | None = None) -> DataFrame:
     if opts.images_table:
         images = spark.read.parquet(opts.images_table)
     else:
         images = read_images(spark, opts.images_path())
     result = image_counts(manifest_names(lines), images, opts.detect, opts.image_parallelism)
+    if opts.write_crops and result.detection is not None:
+        write_crops(result, images, opts.output, batch_id)
     return result.per_line.select("feature", "n")
 
 
-PIPELINES: dict[str, Callable[[SparkSession, DataFrame, JobOptions], DataFrame]] = {
+PIPELINES: dict[str, Callable[..., DataFrame]] = {
     "TEXT": text_mode,
     "IMAGES": images_mode,
 }

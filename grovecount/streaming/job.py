@@ -51,7 +51,7 @@ def process_batch(
 ) -> DataFrame:
     """One micro-batch: pipeline, window sums, sinks.  Returns the window counts."""
     stamp = batch.select("batch_time").limit(1)
-    sightings = pipeline_for(opts.mode)(spark, batch.select("value"), opts)
+    sightings = pipeline_for(opts.mode)(spark, batch.select("value"), opts, batch_id)
     stamped = sightings.crossJoin(F.broadcast(stamp))  # one row: the batch's trigger time
     counts = window_counts(stamped, opts.window)
     # The counts are written twice (text, ledger) and maybe handed to more

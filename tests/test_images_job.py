@@ -71,3 +71,17 @@ def test_missing_image_folder_counts_zero(spark, workdir):
     names = spark.createDataFrame([("billiard_0.png",)], "image_name string")
     res = image_counts(names, read_images(spark, os.path.join(workdir, "nope")))
     assert [(r.feature, r.n, r.status) for r in res.per_line.collect()] == [("billiard", 0, "missing")]
+
+
+def test_crop_table_written_per_batch(spark, workdir):
+    from grovecount.plans.image_job import CROPS_FOLDER, write_crops
+
+    folder = _image_folder(workdir)
+    names = spark.createDataFrame([("tennis_1_2.jpg",), ("billiard_0.png",)], "image_name string")
+    images = read_images(spark, folder)
+    res = image_counts(names, images)
+    path = write_crops(res, images, os.path.join(workdir, "out"), 3)
+    assert path.endswith(os.path.join(CROPS_FOLDER, "batch_id=3"))
+    crops = sorted((r.crop_name, r.x0, r.y0, r.x1, r.y1) for r in spark.read.parquet(path).collect())
+    assert crops[0] == ("billiard_billiard_0_0.png", 50, 35, 70, 55)
+    assert len(crops) == 4 and crops[1][0] == "tennis_tennis_1_2_0.png"
