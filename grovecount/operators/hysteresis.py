@@ -25,17 +25,12 @@ def grow_edges(thinned: DataFrame, low: int, high: int, id_col: str = ID) -> Dat
     squares (``> low^2`` weak, ``> high^2`` strong).
     """
     rounds = RoundTables(thinned.sparkSession, "edges")
-    weak = rounds.write(thinned.where(F.col("mag2") > low * low).select(id_col, "x", "y"), "weak")
-    frontier = weak.join(
-        thinned.where(F.col("mag2") > high * high).select(id_col, "x", "y"), [id_col, "x", "y"], "left_semi"
-    )
-    frontier = rounds.write(frontier, "strong")
-    parts = [frontier]
+    weak = rounds.write(thinned.where(F.col("mag2") > low * low).select(id_col, "x", "y", "mag2"), "weak")
+    kept = rounds.write(weak.where(F.col("mag2") > high * high).select(id_col, "x", "y"), "kept")
+    weak = weak.select(id_col, "x", "y")
+    frontier = kept
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _NEIGHBOURHOOD])
     while True:
-        kept = parts[0]
-        for p in parts[1:]:
-            kept = kept.unionByName(p)
         around = frontier.select(id_col, "x", "y", F.explode(shifts).alias("s")).select(
             id_col,
             (F.col("x") + F.col("s.a")).alias("x"),
@@ -48,9 +43,7 @@ def grow_edges(thinned: DataFrame, low: int, high: int, id_col: str = ID) -> Dat
         )
         frontier = rounds.write(new, "new")
         if frontier.isEmpty():
-            break
-        parts.append(frontier)
-    kept = parts[0]
-    for p in parts[1:]:
-        kept = kept.unionByName(p)
-    return kept
+            return kept
+        # one materialised kept set per round (an anti-join against a union of
+        # checkpointed frames trips the optimizer on Spark 4.1)
+        kept = rounds.write(kept.unionByName(frontier), "kept")

@@ -1,44 +1,28 @@
 """Cutting lineage in iterative operators.
 
-Loops (edge thinning, hysteresis) materialise each round as a parquet table
-under the session's checkpoint folder (``spark.checkpoint.dir`` on a cluster,
-which must be shared storage).  A written table survives lost executors, costs
-one job, and carries real statistics for the next round's join planning.
+Loops (edge thinning, hysteresis) materialise each round with a reliable
+``checkpoint()``: the rows land in the session's checkpoint folder
+(``spark.checkpoint.dir``, which must be shared storage on a cluster), so a
+round survives lost executors and the next round's plan starts from it
+instead of replaying every earlier round.  ``localCheckpoint`` is never used:
+it keeps the rows on executors and loses them with the executor.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from grovecount.session import scratch_dir
+from grovecount.session import ensure_checkpoint_dir
 
 
 class RoundTables:
-    """Writes round tables and removes the superseded ones through Hadoop FS."""
+    """Materialises loop rounds through reliable checkpoints."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = scratch_dir(spark, f"grovecount-{label}-{uuid.uuid4().hex[:12]}")
-        self._n = 0
-        self._written: list[str] = []
+        self.label = label
+        self.root = ensure_checkpoint_dir(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n:04d}-{name}"
-        df.write.mode("overwrite").parquet(path)
-        self._written.append(path)
-        return self.spark.read.parquet(path)
-
-    def drop(self, keep: list[str] | None = None) -> None:
-        """Delete every round table not listed in ``keep`` (by path suffix)."""
-        keep = keep or []
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in list(self._written):
-            if any(path.endswith(k) for k in keep):
-                continue
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-            self._written.remove(path)
+        """Compute ``df`` once, store it in the checkpoint folder, return the stored rows."""
+        return df.checkpoint(eager=True)

@@ -6,7 +6,6 @@ call :func:`build_session` (or bring their own) and pass the session in.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -62,9 +61,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="grovecount-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
-
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A folder under the checkpoint root for written intermediate tables."""
-    root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, name)
