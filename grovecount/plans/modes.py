@@ -34,6 +34,7 @@ class JobOptions:
     checkpoint: str = field(default_factory=lambda: os.path.join(os.getcwd(), "orchard-data", "checkpoints"))
     trigger: str = "10 seconds"
     window: str = "10 seconds"
+    windows: str = "tick"                   # "tick" (foreachBatch stamp) or "clock" (timers, TEXT only)
     text_suffix: str = "orange"
     glob: str = "*.txt"                     # which files of the watched folder are read
     images_dir: str | None = None           # default: <input>/images

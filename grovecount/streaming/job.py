@@ -22,6 +22,7 @@ from grovecount.functions.text import ends_with
 from grovecount.plans.modes import JobOptions, pipeline_for
 from grovecount.sources.text import stream_lines
 from grovecount.streaming.sinks import read_ledger, write_ledger, write_text_rows
+from grovecount.streaming.timers import clock_window_counts
 
 
 def _seconds(duration: str) -> int:
@@ -80,6 +81,10 @@ def start_job(
     """
     pipeline_for(opts.mode)  # fail fast on an unknown mode
     lines = stream_lines(spark, opts.input, opts.glob, max_files_per_trigger=opts.max_files_per_trigger)
+    if opts.windows == "clock":
+        return _start_clock_job(spark, lines, opts, extra_sinks)
+    if opts.windows != "tick":
+        raise ValueError(f"unknown window form {opts.windows!r}")
     stamped = lines.withColumn("batch_time", F.current_timestamp())
     if opts.mode == "TEXT":
         # Stateless filter stays in the streaming plan (runs in the scan stage).
@@ -95,3 +100,29 @@ def start_job(
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=opts.trigger)
     return writer.start()
+
+
+def _start_clock_job(spark, lines, opts: JobOptions, extra_sinks) -> StreamingQuery:
+    """TEXT job with exact processing-time windows (T-1c): a window's rows are
+    emitted once its end has passed, also while no input arrives.  Needs the
+    RocksDB state store provider on the session."""
+    if opts.mode != "TEXT":
+        raise ValueError("clock windows need a stateless pipeline before the state (TEXT mode)")
+    sightings = pipeline_for(opts.mode)(spark, lines, opts)
+    counts = clock_window_counts(sightings, _seconds(opts.window))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_ledger(batch, opts.output, batch_id)
+        committed = read_ledger(spark, opts.output).where(F.col("batch_id") == batch_id).drop("batch_id")
+        write_text_rows(committed, opts.output, batch_id)
+        for sink in extra_sinks:
+            sink(committed, batch_id)
+
+    return (
+        counts.writeStream.queryName("grovecount-text-clock")
+        .option("checkpointLocation", opts.checkpoint)
+        .outputMode("append")
+        .foreachBatch(each)
+        .trigger(processingTime=opts.trigger)
+        .start()
+    )

@@ -19,17 +19,18 @@ from grovecount.operators.counts import totals_from_ledger
 # Fixed value: name of the rolling text output (the original's part prefix).
 TEXT_FOLDER = "monitoring-data"
 LEDGER_FOLDER = "ledger"
+LEDGER_SCHEMA = "window_start timestamp, feature string, n bigint, batch_id bigint"
 
 
 def write_text_rows(counts: DataFrame, output: str, batch_id: int) -> None:
     """K-1: ``(feature,count)`` lines, one folder per micro-batch.
 
-    Small per-batch outputs are coalesced to one file; the rows are already
-    aggregated (one per window and feature), so this never funnels raw input.
+    Written with the counts' own partitioning (AQE has already coalesced
+    small shuffle partitions): the number of distinct features in a batch is
+    not bounded, so the rows are never funnelled into one task.
     """
     path = os.path.join(output, TEXT_FOLDER, f"batch_id={batch_id}")
-    (counts.select(render_pair("feature", "n").alias("value"))
-     .coalesce(1).write.mode("overwrite").text(path))
+    counts.select(render_pair("feature", "n").alias("value")).write.mode("overwrite").text(path)
 
 
 def write_ledger(counts: DataFrame, output: str, batch_id: int) -> None:
@@ -47,7 +48,8 @@ def write_ledger(counts: DataFrame, output: str, batch_id: int) -> None:
 
 
 def read_ledger(spark: SparkSession, output: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(output, LEDGER_FOLDER))
+    """Committed ledger rows (explicit schema: a ledger of empty batches is still readable)."""
+    return spark.read.schema(LEDGER_SCHEMA).parquet(os.path.join(output, LEDGER_FOLDER))
 
 
 def read_totals(spark: SparkSession, output: str) -> DataFrame:

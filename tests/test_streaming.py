@@ -110,3 +110,48 @@ def test_clock_windows_fire_while_idle(spark, workdir):
         assert prog.agg(F.sum("num_input_rows")).first()[0] == 4
     finally:
         q.stop()
+
+
+def test_clock_window_job_writes_ledger_while_idle(spark, workdir):
+    opts = _opts(workdir, windows="clock", window="1 seconds", trigger="500 milliseconds")
+    _put(opts, "tree_0.txt", "ripe orange\nleaf\nripe orange\nimmature orange\n")
+    q = start_job(spark, opts)
+    try:
+        deadline = time.time() + 60
+        totals = {}
+        while time.time() < deadline:
+            time.sleep(1)
+            if os.path.exists(os.path.join(opts.output, "ledger")):
+                totals = {r.feature: r.n for r in read_totals(spark, opts.output).collect()}
+                if totals:
+                    break
+        assert totals == {"ripe orange": 2, "immature orange": 1}
+    finally:
+        q.stop()
+
+
+def test_native_window_closes_on_later_input(spark, workdir):
+    from grovecount.streaming.timers import native_window_counts
+
+    inp = os.path.join(workdir, "in")
+    os.makedirs(inp)
+    with open(os.path.join(inp, "t0.txt"), "w") as f:
+        f.write("ripe orange\nripe orange\n")
+    out = native_window_counts(text_sightings(stream_lines(spark, inp)), "1 second")
+    q = (out.writeStream.format("memory").queryName("native_test").outputMode("append")
+         .option("checkpointLocation", os.path.join(workdir, "ck"))
+         .trigger(processingTime="500 milliseconds").start())
+    try:
+        time.sleep(3)
+        with open(os.path.join(inp, "t1.txt"), "w") as f:
+            f.write("rotten orange\n")
+        deadline = time.time() + 60
+        rows = []
+        while time.time() < deadline:
+            rows = spark.sql("select feature, n from native_test").collect()
+            if rows:
+                break
+            time.sleep(0.5)
+        assert ("ripe orange", 2) in [(r.feature, r.n) for r in rows]
+    finally:
+        q.stop()
