@@ -211,7 +211,7 @@ _STAGES = [
                 SELECT rr.r,
                   CAST(trunc(rr.r * cos(2 * pi() * s / {DEFAULT_STEPS})) AS INTEGER) AS dx,
                   CAST(trunc(rr.r * sin(2 * pi() * s / {DEFAULT_STEPS})) AS INTEGER) AS dy
-                FROM (SELECT DISTINCT unnest(range(r_min, r_max + 1)) AS r FROM rng) rr
+                FROM (SELECT DISTINCT CAST(unnest(range(r_min, r_max + 1)) AS INTEGER) AS r FROM rng) rr
                 CROSS JOIN range(0, {DEFAULT_STEPS}) t(s)) GROUP BY r, dx, dy"""),
     ("vt", """SELECT ed.image_id, ed.x - o.dx AS a, ed.y - o.dy AS b, o.r, CAST(sum(o.weight) AS BIGINT) AS votes
                FROM ed JOIN rng USING (image_id) JOIN offs o ON o.r BETWEEN rng.r_min AND rng.r_max
