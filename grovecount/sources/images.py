@@ -71,6 +71,21 @@ def ingest_images(spark: SparkSession, src: str, dst: str, buckets: int | None =
         images.write.mode("overwrite").parquet(dst)
 
 
+def stream_ingest_images(spark: SparkSession, src: str, dst: str, checkpoint: str,
+                         trigger: str = "10 seconds", available_now: bool = False):
+    """Decode images once, as they arrive in ``src``, appending them to parquet at ``dst``.
+
+    Runs next to the monitoring job (``JobOptions.images_table = dst``): each
+    image is decoded by the file source exactly once (its seen-file log lives
+    in ``checkpoint``), and every manifest batch looks names up in the table
+    instead of decoding the whole folder again.
+    """
+    writer = (read_images(spark, src, stream=True).writeStream.format("parquet")
+              .option("path", dst).option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
+    return writer.start()
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def gray_values(data: pd.Series, n_channels: pd.Series) -> pd.Series:
     """O-13 on a whole image at once: integer mean of R, G, B per pixel.

@@ -85,3 +85,15 @@ def test_crop_table_written_per_batch(spark, workdir):
     crops = sorted((r.crop_name, r.x0, r.y0, r.x1, r.y1) for r in spark.read.parquet(path).collect())
     assert crops[0] == ("billiard_billiard_0_0.png", 50, 35, 70, 55)
     assert len(crops) == 4 and crops[1][0] == "tennis_tennis_1_2_0.png"
+
+
+def test_streamed_image_table_serves_the_lookup(spark, workdir):
+    from grovecount.sources.images import stream_ingest_images
+
+    folder = _image_folder(workdir)
+    table = os.path.join(workdir, "images_stream_table")
+    stream_ingest_images(spark, folder, table, os.path.join(workdir, "ck_img"), available_now=True).awaitTermination()
+    names = spark.createDataFrame([("billiard_0.png",), ("bad_0.png",)], "image_name string")
+    res = image_counts(names, spark.read.parquet(table))
+    got = sorted((r.feature, r.n, r.status) for r in res.per_line.collect())
+    assert got == [("bad", 0, "unreadable"), ("billiard", 1, "ok")]
