@@ -86,21 +86,49 @@ def stream_ingest_images(spark: SparkSession, src: str, dst: str, checkpoint: st
     return writer.start()
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def gray_values(data: pd.Series, n_channels: pd.Series) -> pd.Series:
-    """O-13 on a whole image at once: integer mean of R, G, B per pixel.
+# Pixel rows per emitted pandas frame: bounds Python memory however large an image is.
+PIXEL_CHUNK = 1 << 20
 
-    Arrow-batched; each image's bytes are viewed as an (pixels, channels)
-    array.  One channel is already gray; a fourth (alpha) channel is ignored.
+
+def _gray(buf: bytes, channels: int) -> np.ndarray:
+    """O-13 on a whole image at once: integer mean of R, G, B (alpha ignored)."""
+    px = np.frombuffer(buf, dtype=np.uint8).reshape(-1, int(channels))
+    if channels >= 3:
+        return (px[:, 0].astype(np.int32) + px[:, 1] + px[:, 2]) // 3
+    return px[:, 0].astype(np.int32)
+
+
+def _pixel_rows(batches):
+    """Decoded images -> ``image_id, x, y, v`` frames of at most ``PIXEL_CHUNK`` rows.
+
+    Small images are packed together, large ones are cut into slices, so
+    neither a huge image nor many tiny ones make an oversized or tiny frame.
     """
-    out = []
-    for buf, c in zip(data, n_channels):
-        px = np.frombuffer(buf, dtype=np.uint8).reshape(-1, int(c)).astype(np.int32)
-        if c >= 3:
-            out.append(((px[:, 0] + px[:, 1] + px[:, 2]) // 3).tolist())
-        else:
-            out.append(px[:, 0].tolist())
-    return pd.Series(out)
+    parts, size = [], 0
+
+    def flush():
+        out = pd.concat(parts, ignore_index=True)
+        parts.clear()
+        return out
+
+    for pdf in batches:
+        for ident, width, channels, buf in zip(pdf["image_id"], pdf["width"], pdf["n_channels"], pdf["data"]):
+            gray = _gray(buf, channels)
+            w = int(width)
+            for start in range(0, len(gray), PIXEL_CHUNK):
+                idx = np.arange(start, min(len(gray), start + PIXEL_CHUNK), dtype=np.int64)
+                parts.append(pd.DataFrame({
+                    "image_id": ident,
+                    "x": (idx % w).astype(np.int32),
+                    "y": (idx // w).astype(np.int32),
+                    "v": gray[idx[0]:idx[-1] + 1],
+                }))
+                size += len(idx)
+                if size >= PIXEL_CHUNK:
+                    yield flush()
+                    size = 0
+    if parts:
+        yield flush()
 
 
 def readable(images: DataFrame) -> DataFrame:
@@ -114,15 +142,15 @@ def image_dims(images: DataFrame, id_col: str = "image_name") -> DataFrame:
 def image_pixels(images: DataFrame, id_col: str = "image_name") -> DataFrame:
     """Pixel table ``image_id, x, y, v`` (v = gray level 0..255), one row per pixel.
 
-    Bytes are dropped right here so no later stage carries them.
+    Decoding runs in ``mapInPandas`` over Arrow batches of images (bounded in
+    bytes by ``spark.sql.execution.arrow.maxBytesPerBatch``) and emits bounded
+    frames; the image bytes stop here, no later stage carries them.
     """
-    g = readable(images).select(
-        F.col(id_col).alias("image_id"), "width",
-        F.posexplode(gray_values("data", "n_channels")).alias("i", "v"),
-    )
-    return g.select(
-        "image_id",
-        F.pmod("i", "width").cast("int").alias("x"),
-        F.floor(F.col("i") / F.col("width")).cast("int").alias("y"),
-        "v",
-    )
+    src = readable(images).select(F.col(id_col).alias("image_id"), "width", "n_channels", "data")
+    schema = T.StructType([
+        T.StructField("image_id", src.schema["image_id"].dataType),
+        T.StructField("x", T.IntegerType()),
+        T.StructField("y", T.IntegerType()),
+        T.StructField("v", T.IntegerType()),
+    ])
+    return src.mapInPandas(_pixel_rows, schema)

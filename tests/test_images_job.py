@@ -97,3 +97,21 @@ def test_streamed_image_table_serves_the_lookup(spark, workdir):
     res = image_counts(names, spark.read.parquet(table))
     got = sorted((r.feature, r.n, r.status) for r in res.per_line.collect())
     assert got == [("bad", 0, "unreadable"), ("billiard", 1, "ok")]
+
+
+def test_pixel_rows_are_chunked_and_complete(monkeypatch):
+    import pandas as pd
+
+    import grovecount.sources.images as images_mod
+
+    monkeypatch.setattr(images_mod, "PIXEL_CHUNK", 7)
+    rgb = np.arange(5 * 4 * 3, dtype=np.uint8).reshape(5 * 4, 3)
+    batch = pd.DataFrame({"image_id": ["a", "b"], "width": [4, 2], "n_channels": [3, 1],
+                          "data": [rgb.tobytes(), bytes([9, 8, 7, 6])]})
+    frames = list(images_mod._pixel_rows(iter([batch])))
+    assert all(len(f) <= 7 + 4 for f in frames)
+    out = pd.concat(frames, ignore_index=True)
+    a = out[out.image_id == "a"].set_index(["x", "y"]).v
+    assert len(a) == 20 and a[(3, 4)] == int(rgb[19].astype(int).sum() // 3)
+    b = out[out.image_id == "b"]
+    assert sorted(zip(b.x, b.y, b.v)) == [(0, 0, 9), (0, 1, 7), (1, 0, 8), (1, 1, 6)]
