@@ -4,7 +4,13 @@ Start from pixels with gradient above ``high``; repeatedly add 8-neighbours
 (and the pixel itself) whose gradient is above ``low`` and that are not kept
 yet; stop when a round adds nothing.  Every round is a frontier expansion:
 explode 9 offsets, semi-join the weak set, anti-join the kept set, distinct.
-Rounds are written to the checkpoint folder so lineage stays one round deep.
+Rounds are checkpointed so lineage stays one round deep.
+
+The result is exactly the weak pixels whose 8-connected weak component holds
+a strong pixel.  Breadth-first rounds are cheap while the frontier is short
+(the usual 2-3 hops); a long weak contour would need one round per pixel, so
+after ``bfs_rounds`` rounds the rest is settled in O(log n) rounds by
+connected components of the weak-pixel graph.
 """
 
 from __future__ import annotations
@@ -12,13 +18,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovecount.operators.components import connected_components
 from grovecount.operators.stencil import ID
 from grovecount.plans.lineage import RoundTables
 
 _NEIGHBOURHOOD = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+# one direction of each 8-neighbour pair
+_FORWARD = [(1, 0), (-1, 1), (0, 1), (1, 1)]
+DEFAULT_BFS_ROUNDS = 8
 
 
-def grow_edges(thinned: DataFrame, low: int, high: int, id_col: str = ID) -> DataFrame:
+def grow_edges(
+    thinned: DataFrame, low: int, high: int, id_col: str = ID, bfs_rounds: int = DEFAULT_BFS_ROUNDS
+) -> DataFrame:
     """Edge pixels ``image_id, x, y`` (distinct) after hysteresis.
 
     ``thinned`` carries ``mag2`` for surviving pixels; values are compared as
@@ -30,7 +42,7 @@ def grow_edges(thinned: DataFrame, low: int, high: int, id_col: str = ID) -> Dat
     weak = weak.select(id_col, "x", "y")
     frontier = kept
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _NEIGHBOURHOOD])
-    while True:
+    for _ in range(bfs_rounds):
         around = frontier.select(id_col, "x", "y", F.explode(shifts).alias("s")).select(
             id_col,
             (F.col("x") + F.col("s.a")).alias("x"),
@@ -47,3 +59,21 @@ def grow_edges(thinned: DataFrame, low: int, high: int, id_col: str = ID) -> Dat
         # one materialised kept set per round (an anti-join against a union of
         # checkpointed frames trips the optimizer on Spark 4.1)
         kept = rounds.write(kept.unionByName(frontier), "kept")
+    return _by_components(weak, kept, rounds, id_col)
+
+
+def _by_components(weak: DataFrame, kept: DataFrame, rounds: RoundTables, id_col: str) -> DataFrame:
+    """Weak pixels in a component that contains any kept pixel."""
+    nodes = rounds.write(weak.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _FORWARD])
+    nbr = nodes.select(id_col, "x", "y", F.col("node").alias("src"), F.explode(steps).alias("s")).select(
+        id_col, (F.col("x") + F.col("s.a")).alias("x"), (F.col("y") + F.col("s.b")).alias("y"), "src"
+    )
+    edges = nbr.join(nodes.withColumnRenamed("node", "dst"), [id_col, "x", "y"]).select("src", "dst")
+    labels = connected_components(edges)
+    labelled = nodes.join(labels, "node", "left").select(
+        id_col, "x", "y", F.coalesce("label", "node").alias("label")
+    )
+    labelled = rounds.write(labelled, "labelled")
+    seeded = labelled.join(kept, [id_col, "x", "y"], "left_semi").select("label").distinct()
+    return rounds.write(labelled.join(seeded, "label", "left_semi").select(id_col, "x", "y"), "kept")

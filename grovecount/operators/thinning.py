@@ -77,8 +77,19 @@ def thin_pixels(pixels: DataFrame, low: int, mode: str = "inplace", id_col: str
     return thin(gradient(blur(pixels, id_col), id_col), low, mode, id_col)
 
 
-def resolve(cand: DataFrame, mode: str = "inplace", id_col: str = ID) -> DataFrame:
-    """Apply the suppression rule to candidate rows from ``suppression_inputs``."""
+DEFAULT_DIRECT_ROUNDS = 6
+
+
+def resolve(
+    cand: DataFrame, mode: str = "inplace", id_col: str = ID, direct_rounds: int = DEFAULT_DIRECT_ROUNDS
+) -> DataFrame:
+    """Apply the suppression rule to candidate rows from ``suppression_inputs``.
+
+    In-place: chains are followed one link per round for ``direct_rounds``
+    rounds (short chains are the usual case and each round only touches the
+    pixels decided in the previous one); whatever is still open after that is
+    settled by pointer jumping in O(log chain length) rounds.
+    """
     if mode == "snapshot":
         return cand.where(~F.col("q_kills") & ~F.col("p_gt")).select(id_col, "x", "y", "mag2")
     if mode != "inplace":
@@ -94,7 +105,7 @@ def resolve(cand: DataFrame, mode: str = "inplace", id_col: str = ID) -> DataFra
     decided = [frontier]
     # Round k: every pixel whose p was decided in round k-1.  Each pixel has
     # exactly one p, so it is matched in exactly one round: no anti-join needed.
-    while True:
+    for _ in range(direct_rounds):
         ref = frontier.select(
             F.col(id_col), F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("p_killed")
         )
@@ -103,9 +114,55 @@ def resolve(cand: DataFrame, mode: str = "inplace", id_col: str = ID) -> DataFra
         )
         frontier = rounds.write(step, "decided")
         if frontier.isEmpty():
-            break
+            return _survivors(decided, rounds, id_col)
         decided.append(frontier)
-    alive = decided[0]
-    for part in decided[1:]:
-        alive = alive.unionByName(part)
-    return rounds.write(alive.where(~F.col("killed")).select(id_col, "x", "y", "mag2"), "thin")
+    known = _union(decided)
+    known = rounds.write(known, "known")
+    open_ = waiting.join(known, [id_col, "x", "y"], "left_anti")
+    return _survivors([known, _jump(open_, known, rounds, id_col)], rounds, id_col)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _survivors(parts: list[DataFrame], rounds: RoundTables, id_col: str) -> DataFrame:
+    alive = _union(parts).where(~F.col("killed")).select(id_col, "x", "y", "mag2")
+    return rounds.write(alive, "thin")
+
+
+def _jump(open_: DataFrame, known: DataFrame, rounds: RoundTables, id_col: str) -> DataFrame:
+    """Pointer jumping: ``killed(c) = killed(ptr) XOR flip``; an open pointer is
+    replaced by its own pointer (flips added) until it lands on a known pixel."""
+    state = rounds.write(open_.select(id_col, "x", "y", "mag2", "px", "py", F.lit(True).alias("flip")), "open")
+    known = known.select(id_col, F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("k"))
+    solved_parts = []
+    while not state.isEmpty():
+        hit = state.join(known, [id_col, "px", "py"], "inner")
+        solved = rounds.write(
+            hit.select(id_col, "x", "y", "mag2", (F.col("k") != F.col("flip")).alias("killed")), "jumped"
+        )
+        solved_parts.append(solved)
+        rest = state.join(known, [id_col, "px", "py"], "left_anti")
+        nxt = state.select(
+            id_col, F.col("x").alias("px"), F.col("y").alias("py"),
+            F.col("px").alias("nx"), F.col("py").alias("ny"), F.col("flip").alias("nflip"),
+        )
+        state = rounds.write(
+            rest.join(nxt, [id_col, "px", "py"], "inner").select(
+                id_col, "x", "y", "mag2", F.col("nx").alias("px"), F.col("ny").alias("py"),
+                (F.col("flip") != F.col("nflip")).alias("flip"),
+            ),
+            "open",
+        )
+        # pixels solved this round become landing points for the others
+        known = known.unionByName(
+            solved.select(id_col, F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("k"))
+        )
+        known = rounds.write(known, "known")
+    return _union(solved_parts) if solved_parts else open_.select(
+        id_col, "x", "y", "mag2", F.lit(False).alias("killed")
+    ).limit(0)

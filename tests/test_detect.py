@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from grovecount.operators.crops import crop_boxes, crop_pixels
 from grovecount.operators.hough import candidates, circle_offsets, vote_counts
@@ -156,3 +157,64 @@ def test_vote_fallback_without_broadcast_matches(spark, scenes, monkeypatch):
     b = sorted(tuple(r) for r in vote_counts(edges, d1).collect())
     assert a == b and len(a) == 8036
     assert candidates(vote_counts(edges, d1)).count() == 22
+
+
+def test_connected_components_small_graphs(spark):
+    from grovecount.operators.components import connected_components
+
+    edges = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (20, 20), (5, 4)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {r.node: r.label for r in connected_components(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 10: 10, 11: 10, 12: 10}
+
+
+def test_components_path_graph_long(spark):
+    from grovecount.operators.components import connected_components
+
+    n = 300  # a path needs many label-propagation rounds but few star rounds
+    df = spark.range(0, n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = connected_components(df)
+    assert got.count() == n and got.where("label != 0").count() == 0
+
+
+def test_hysteresis_long_weak_chain_falls_back_to_components(spark):
+    # a strong pixel at the start of a 60-pixel weak diagonal chain, plus a detached weak blob
+    rows = [("c", 1, 1, 900)] + [("c", 1 + i, 1 + i, 450) for i in range(1, 60)] + [("c", 90, 5, 450)]
+    thinned = spark.createDataFrame(rows, "image_id string, x int, y int, mag2 int")
+    bfs = sorted((r.x, r.y) for r in grow_edges(thinned, 20, 25, bfs_rounds=100).collect())
+    cc = sorted((r.x, r.y) for r in grow_edges(thinned, 20, 25, bfs_rounds=2).collect())
+    assert bfs == cc and len(cc) == 60 and (90, 5) not in cc
+
+
+def test_hysteresis_components_match_bfs_on_scenes(spark, scenes):
+    from grovecount.operators.thinning import thin_pixels
+
+    px, _ = scenes
+    thinned = thin_pixels(px, 20)
+    a = sorted(tuple(r) for r in grow_edges(thinned, 20, 25).collect())
+    b = sorted(tuple(r) for r in grow_edges(thinned, 20, 25, bfs_rounds=0).collect())
+    assert a == b and len(a) == sum(v[0] for v in EXPECTED.values())
+
+
+def test_thinning_pointer_jumping_matches_direct(spark, scenes):
+    from grovecount.operators.thinning import resolve, suppression_inputs
+
+    px, _ = scenes
+    cand = suppression_inputs(gradient(blur(px)), 20)
+    a = sorted(tuple(r) for r in resolve(cand).collect())
+    b = sorted(tuple(r) for r in resolve(cand, direct_rounds=0).collect())
+    c = sorted(tuple(r) for r in resolve(cand, direct_rounds=1).collect())
+    assert a == b == c and len(a) > 0
+
+
+def test_thinning_long_chain(spark):
+    from grovecount.operators.thinning import resolve
+
+    # a 40-pixel chain: pixel i depends on pixel i-1 (stronger); pixel 0 is decided alive
+    rows = [("c", 0, 0, 10000, False, False, -1, 0)]
+    rows += [("c", i, 0, 10000 - i, False, True, i - 1, 0) for i in range(1, 40)]
+    cand = spark.createDataFrame(rows, "image_id string, x int, y int, mag2 int, q_kills boolean, "
+                                       "p_gt boolean, px int, py int")
+    direct = sorted(r.x for r in resolve(cand, direct_rounds=100).collect())
+    jumped = sorted(r.x for r in resolve(cand, direct_rounds=2).collect())
+    assert direct == jumped == list(range(0, 40, 2))
