@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from grovecount.functions.text import IMAGE_SUFFIXES, ends_with_any, prefix_before
 from grovecount.operators.crops import crop_boxes, crop_name
 from grovecount.plans.detect import DetectParams, Detection, detect_circles
+from grovecount.plans.lineage import RoundTables
 from grovecount.sources.images import image_dims, image_pixels
 
 # Fixed value: folder of the crop output (the original's processed-images folder).
@@ -59,6 +60,8 @@ def image_counts(
     wanted = images.join(kept.select("image_name").distinct(), "image_name", "left_semi")
     if parallelism:
         wanted = wanted.repartition(parallelism, "image_name")
+    # Decode once: pixels and statuses both read the images named in this input.
+    wanted = RoundTables(names.sparkSession, "images").write(wanted, "wanted")
     status = wanted.select(
         "image_name",
         F.when(F.col("height") > 0, F.lit("ok")).otherwise(F.lit("unreadable")).alias("status"),
