@@ -31,6 +31,17 @@ def line_suffix_count(spark: SparkSession, d: str) -> DataFrame:
     return text_counts(lines, DOC_LINE_SUFFIX)
 
 
+def document_lines(spark: SparkSession, d: str) -> DataFrame:
+    """O-02 on a text column: every line of every document, empty ones included."""
+    return text_column_lines(read_table(spark, d, "documents"), keep=("doc_id",))
+
+
+def workload_lines_q(spark: SparkSession, d: str) -> DataFrame:
+    """O-05: one sighting line per lineitem row."""
+    li = read_table(spark, d, "lineitem")
+    return workload_lines(li, "l_orderkey", keep=("l_orderkey", "l_linenumber"))
+
+
 def suffix_filter(spark: SparkSession, d: str) -> DataFrame:
     part = read_table(spark, d, "part")
     return part.where(ends_with("p_name", PART_NAME_SUFFIX)).select("p_partkey", "p_name")
@@ -90,6 +101,8 @@ def workload_orange_count(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "line_suffix_count": line_suffix_count,
+    "document_lines": document_lines,
+    "workload_lines": workload_lines_q,
     "suffix_filter": suffix_filter,
     "multi_suffix_filter": multi_suffix_filter,
     "prefix_key": prefix_key,
@@ -104,6 +117,13 @@ QUERIES = {
 _BUCKET = "time_bucket(INTERVAL '10 seconds', ts)"
 
 ORACLE = {
+    "document_lines": r"""
+        SELECT doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS value FROM documents""",
+    "workload_lines": """
+        SELECT l_orderkey, l_linenumber,
+               (['ripe orange', 'immature orange', 'leaf', 'branch', 'rotten orange'])
+               [CAST((l_orderkey * 7919) % 5 AS INTEGER) + 1] AS value
+        FROM lineitem""",
     "line_suffix_count": r"""
         WITH l AS (SELECT unnest(string_split_regex(text, '\r\n|\r|\n')) AS value FROM documents)
         SELECT value AS feature, CAST(count(*) AS BIGINT) AS n

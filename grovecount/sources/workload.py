@@ -18,7 +18,9 @@ WORKLOAD_PHRASES = ("ripe orange", "immature orange", "leaf", "branch", "rotten
 HASH_MULTIPLIER = 7919
 
 
-def workload_lines(df: DataFrame, id_col: str, phrases: tuple[str, ...] = WORKLOAD_PHRASES) -> DataFrame:
+def workload_lines(
+    df: DataFrame, id_col: str, phrases: tuple[str, ...] = WORKLOAD_PHRASES, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """One ``value`` line per input row: ``phrases[(id * 7919) mod len]``."""
     pick = F.pmod(F.col(id_col) * F.lit(HASH_MULTIPLIER), F.lit(len(phrases))).cast("int") + 1
-    return df.select(F.element_at(F.array(*[F.lit(p) for p in phrases]), pick).alias("value"))
+    return df.select(*keep, F.element_at(F.array(*[F.lit(p) for p in phrases]), pick).alias("value"))
