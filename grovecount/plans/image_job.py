@@ -24,7 +24,8 @@ CROPS_FOLDER = "processed-images"
 class ImageJobResult:
     per_line: DataFrame      # image_name, feature (type), n, status
     rejects: DataFrame       # image_name, reason
-    detection: Detection | None
+    detection: Detection | None   # keyed by image_key
+    images: DataFrame | None      # analysed images: image_key, image_name, height, width, ...
 
 
 def split_manifest(names: DataFrame, suffixes=IMAGE_SUFFIXES) -> tuple[DataFrame, DataFrame]:
@@ -54,23 +55,27 @@ def image_counts(
     ``images`` is the image table (``image_name, height, width, n_channels,
     data``), e.g. ``read_images`` of the folder or an ingested parquet copy.
     Each distinct image is analysed once however often it is listed; every
-    listed line still gets its row.
+    listed line still gets its row.  Inside the detector an image is named by
+    a compact long ``image_key`` (assigned once, on the materialised image
+    set), so the name string is not carried on every pixel row.
     """
     kept, rejects = split_manifest(names)
     wanted = images.join(kept.select("image_name").distinct(), "image_name", "left_semi")
     if parallelism:
         wanted = wanted.repartition(parallelism, "image_name")
     # Decode once: pixels and statuses both read the images named in this input.
-    wanted = RoundTables(names.sparkSession, "images").write(wanted, "wanted")
+    wanted = RoundTables(names.sparkSession, "images").write(
+        wanted.withColumn("image_key", F.monotonically_increasing_id()), "wanted"
+    )
     status = wanted.select(
-        "image_name",
+        "image_name", "image_key",
         F.when(F.col("height") > 0, F.lit("ok")).otherwise(F.lit("unreadable")).alias("status"),
     )
-    detection = detect_circles(image_pixels(wanted), image_dims(wanted), params)
-    counts = detection.counts.withColumnRenamed("image_id", "image_name")
+    detection = detect_circles(image_pixels(wanted, "image_key"), image_dims(wanted, "image_key"), params)
+    counts = detection.counts.withColumnRenamed("image_id", "image_key")
+    per_image = status.join(counts, "image_key", "left").select("image_name", "status", "n")
     per_line = (
-        kept.join(status, "image_name", "left")
-        .join(counts, "image_name", "left")
+        kept.join(per_image, "image_name", "left")
         .select(
             "image_name",
             "feature",
@@ -78,10 +83,10 @@ def image_counts(
             F.coalesce("status", F.lit("missing")).alias("status"),
         )
     )
-    return ImageJobResult(per_line, rejects, detection)
+    return ImageJobResult(per_line, rejects, detection, wanted)
 
 
-def write_crops(result: ImageJobResult, images: DataFrame, output: str, batch_id: int | None) -> str:
+def write_crops(result: ImageJobResult, output: str, batch_id: int | None) -> str:
     """K-3: one row per accepted circle with its clamped box and crop name.
 
     ``crops(image_name, type, k, a, b, r, x0, y0, x1, y1, crop_name)`` as
@@ -90,10 +95,10 @@ def write_crops(result: ImageJobResult, images: DataFrame, output: str, batch_id
     through ``crop_pixels`` on demand instead of encoded files.
     """
     det = result.detection
-    dims = image_dims(images).withColumnRenamed("image_id", "image_name")
-    circles = det.circles.withColumnRenamed("image_id", "image_name")
-    boxes = crop_boxes(circles, dims, "image_name")
-    rows = boxes.join(circles.select("image_name", "k", "a", "b", "r"), ["image_name", "k"]).select(
+    names = result.images.select(F.col("image_key").alias("image_id"), "image_name")
+    circles = det.circles.join(names, "image_id")
+    boxes = crop_boxes(circles, image_dims(result.images, "image_key"))
+    rows = boxes.join(circles.select("image_id", "image_name", "k", "a", "b", "r"), ["image_id", "k"]).select(
         "image_name",
         F.substring_index("image_name", "_", 1).alias("type"),
         "k", "a", "b", "r", "x0", "y0", "x1", "y1",

@@ -62,7 +62,7 @@ def images_mode(spark: SparkSession, lines: DataFrame, opts: JobOptions, batch_i
         images = read_images(spark, opts.images_path())
     result = image_counts(manifest_names(lines), images, opts.detect, opts.image_parallelism)
     if opts.write_crops and result.detection is not None:
-        write_crops(result, images, opts.output, batch_id)
+        write_crops(result, opts.output, batch_id)
     return result.per_line.select("feature", "n")
 
 

@@ -80,7 +80,7 @@ def test_crop_table_written_per_batch(spark, workdir):
     names = spark.createDataFrame([("tennis_1_2.jpg",), ("billiard_0.png",)], "image_name string")
     images = read_images(spark, folder)
     res = image_counts(names, images)
-    path = write_crops(res, images, os.path.join(workdir, "out"), 3)
+    path = write_crops(res, os.path.join(workdir, "out"), 3)
     assert path.endswith(os.path.join(CROPS_FOLDER, "batch_id=3"))
     crops = sorted((r.crop_name, r.x0, r.y0, r.x1, r.y1) for r in spark.read.parquet(path).collect())
     assert crops[0] == ("billiard_billiard_0_0.png", 50, 35, 70, 55)
