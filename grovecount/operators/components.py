@@ -51,9 +51,9 @@ def _small_star(e: DataFrame) -> DataFrame:
 def _is_star(e: DataFrame) -> bool:
     """Every edge points at a root and every non-root has one parent."""
     parents = e.select(F.col("src").alias("dst")).distinct()
-    if not e.join(parents, "dst", "left_semi").isEmpty():
-        return False
-    return e.groupBy("src").count().where(F.col("count") > 1).isEmpty()
+    chained = e.join(parents, "dst", "left_semi").select(F.lit(1).alias("bad"))
+    shared = e.groupBy("src").count().where(F.col("count") > 1).select(F.lit(1).alias("bad"))
+    return chained.unionByName(shared).isEmpty()  # one job for both conditions
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:

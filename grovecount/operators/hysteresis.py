@@ -53,8 +53,8 @@ def grow_edges(
             .join(kept, [id_col, "x", "y"], "left_anti")
             .distinct()
         )
-        frontier = rounds.write(new, "new")
-        if frontier.isEmpty():
+        frontier, n = rounds.write_counted(new, "new")
+        if n == 0:
             return kept
         # one materialised kept set per round (an anti-join against a union of
         # checkpointed frames trips the optimizer on Spark 4.1)

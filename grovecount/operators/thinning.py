@@ -112,8 +112,8 @@ def resolve(
         step = waiting.join(ref, [id_col, "px", "py"], "inner").select(
             id_col, "x", "y", "mag2", (~F.col("p_killed")).alias("killed")
         )
-        frontier = rounds.write(step, "decided")
-        if frontier.isEmpty():
+        frontier, n = rounds.write_counted(step, "decided")
+        if n == 0:
             return _survivors(decided, rounds, id_col)
         decided.append(frontier)
     known = _union(decided)
@@ -137,10 +137,12 @@ def _survivors(parts: list[DataFrame], rounds: RoundTables, id_col: str) -> Data
 def _jump(open_: DataFrame, known: DataFrame, rounds: RoundTables, id_col: str) -> DataFrame:
     """Pointer jumping: ``killed(c) = killed(ptr) XOR flip``; an open pointer is
     replaced by its own pointer (flips added) until it lands on a known pixel."""
-    state = rounds.write(open_.select(id_col, "x", "y", "mag2", "px", "py", F.lit(True).alias("flip")), "open")
+    state, n_open = rounds.write_counted(
+        open_.select(id_col, "x", "y", "mag2", "px", "py", F.lit(True).alias("flip")), "open"
+    )
     known = known.select(id_col, F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("k"))
     solved_parts = []
-    while not state.isEmpty():
+    while n_open:
         hit = state.join(known, [id_col, "px", "py"], "inner")
         solved = rounds.write(
             hit.select(id_col, "x", "y", "mag2", (F.col("k") != F.col("flip")).alias("killed")), "jumped"
@@ -151,7 +153,7 @@ def _jump(open_: DataFrame, known: DataFrame, rounds: RoundTables, id_col: str)
             id_col, F.col("x").alias("px"), F.col("y").alias("py"),
             F.col("px").alias("nx"), F.col("py").alias("ny"), F.col("flip").alias("nflip"),
         )
-        state = rounds.write(
+        state, n_open = rounds.write_counted(
             rest.join(nxt, [id_col, "px", "py"], "inner").select(
                 id_col, "x", "y", "mag2", F.col("nx").alias("px"), F.col("ny").alias("py"),
                 (F.col("flip") != F.col("nflip")).alias("flip"),

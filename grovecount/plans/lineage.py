@@ -10,7 +10,8 @@ it keeps the rows on executors and loses them with the executor.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from grovecount.session import ensure_checkpoint_dir
 
@@ -26,3 +27,10 @@ class RoundTables:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Compute ``df`` once, store it in the checkpoint folder, return the stored rows."""
         return df.checkpoint(eager=True)
+
+    def write_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """``write`` plus the row count, observed inside the same job (loops use
+        it as their stop test instead of running a separate ``isEmpty`` job)."""
+        obs = Observation()
+        stored = df.observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+        return stored, int(obs.get["rows"])
