@@ -38,7 +38,7 @@ def grow_edges(
     """
     rounds = RoundTables(thinned.sparkSession, "edges")
     weak = rounds.write(thinned.where(F.col("mag2") > low * low).select(id_col, "x", "y", "mag2"), "weak")
-    kept = rounds.write(weak.where(F.col("mag2") > high * high).select(id_col, "x", "y"), "kept")
+    kept = weak.where(F.col("mag2") > high * high).select(id_col, "x", "y")  # a filter of a stored table
     weak = weak.select(id_col, "x", "y")
     frontier = kept
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _NEIGHBOURHOOD])
