@@ -31,14 +31,14 @@ def _seconds(duration: str) -> int:
     return int(n) * scale
 
 
-def window_counts(sightings: DataFrame, window: str) -> DataFrame:
-    """``window_start, window_end, feature, n`` from stamped sightings."""
+def window_counts(sightings: DataFrame, batch_time, window: str) -> DataFrame:
+    """``window_start, window_end, feature, n`` for sightings of one batch stamped ``batch_time``."""
     size = _seconds(window)
-    start = F.timestamp_seconds(F.floor(F.unix_seconds("batch_time") / size) * size)
+    start = F.timestamp_seconds(F.floor(F.unix_seconds(F.lit(batch_time)) / size) * size)
     return (
-        sightings.groupBy(start.alias("window_start"), "feature")
+        sightings.groupBy("feature")
         .agg(F.sum("n").cast("bigint").alias("n"))
-        .select("window_start", (F.col("window_start") + F.expr(f"INTERVAL {size} SECONDS")).alias("window_end"),
+        .select(start.alias("window_start"), (start + F.expr(f"INTERVAL {size} SECONDS")).alias("window_end"),
                 "feature", "n")
     )
 
@@ -49,12 +49,17 @@ def process_batch(
     batch_id: int,
     opts: JobOptions,
     extra_sinks: tuple[Callable[[DataFrame, int], None], ...] = (),
-) -> DataFrame:
-    """One micro-batch: pipeline, window sums, sinks.  Returns the window counts."""
-    stamp = batch.select("batch_time").limit(1)
+) -> DataFrame | None:
+    """One micro-batch: pipeline, window sums, sinks.  Returns the window counts.
+
+    Every row of a batch carries the same stamp (taken from the offset log),
+    so one row gives the batch's window; an empty batch writes nothing.
+    """
+    first = batch.select("batch_time").first()
+    if first is None:
+        return None
     sightings = pipeline_for(opts.mode)(spark, batch.select("value"), opts, batch_id)
-    stamped = sightings.crossJoin(F.broadcast(stamp))  # one row: the batch's trigger time
-    counts = window_counts(stamped, opts.window)
+    counts = window_counts(sightings, first["batch_time"], opts.window)
     # The counts are written twice (text, ledger) and maybe handed to more
     # sinks; write them once as the ledger and read that back for the rest.
     write_ledger(counts, opts.output, batch_id)
