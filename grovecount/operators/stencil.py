@@ -6,7 +6,9 @@ Every neighbour is read with ``lag``/``lead`` over one image row
 (``partitionBy(image_id, x).orderBy(y)``).  Window groups are therefore
 bounded by an image's width or height, never by an image or a table: a huge
 image spreads over all tasks.  Consecutive steps on the same axis share one
-exchange and one sort; each change of axis is one shuffle.
+exchange and one sort; each change of axis is one shuffle.  Blur -> gradient ->
+neighbour magnitudes takes four such passes, the last one over near-edge
+pixels only (see ``with_neighbour_mags``).
 """
 
 from __future__ import annotations
@@ -119,7 +121,10 @@ def with_neighbour_mags(grad: DataFrame, floor2: int = 0, id_col: str = ID) -> D
     shuffling only the pixels near edges.
     """
     wr = row_window(id_col)
-    keep = lambda c: F.when(F.col(c) > floor2, F.col(c)).otherwise(0)
+
+    def keep(c: str) -> Column:
+        return F.when(F.col(c) > floor2, F.col(c)).otherwise(0)
+
     rows = grad.select(
         id_col, "x", "y", "mag2", "dir",
         F.coalesce(F.lag("mag2").over(wr), F.lit(0)).alias("m_lc"),
