@@ -23,13 +23,13 @@ from conftest import write_png
 LOW, HIGH, STEPS, THRESHOLD = 20, 25, 100, 0.4
 
 
-def _noisy_scene(seed: int, width: int = 90, height: int = 60) -> np.ndarray:
+def _noisy_scene(seed: int, amp: int = 25, width: int = 90, height: int = 60) -> np.ndarray:
     rng = np.random.default_rng(seed)
     ys, xs = np.mgrid[0:height, 0:width]
     base = (40 + 0.8 * xs + 0.5 * ys).astype(np.int32)          # shading ramp
     for cx, cy, r, v in [(25, 22, 8, 200), (60, 35, 6, 150), (75, 12, 5, 230)]:
         base[(xs - cx) ** 2 + (ys - cy) ** 2 <= r * r] = v
-    rgb = np.stack([base + rng.integers(-25, 26, base.shape) for _ in range(3)], axis=2)
+    rgb = np.stack([base + rng.integers(-amp, amp + 1, base.shape) for _ in range(3)], axis=2)
     return np.clip(rgb, 0, 255).astype(np.uint8)
 
 
@@ -51,15 +51,14 @@ def _sequential(rgb: np.ndarray):
             gy = int(blur[x][y + 1] - blur[x][y - 1])
             mag[x][y] = math.sqrt(gx * gx + gy * gy)
             ang[x][y] = math.atan2(gy, gx)
-    for x in range(1, w - 1):                                          # in place
+    # the two neighbours compared along each direction bin (4 is the same axis as 0)
+    axis = {0: ((-1, 0), (1, 0)), 1: ((-1, -1), (1, 1)), 2: ((0, -1), (0, 1)), 3: ((1, -1), (-1, 1))}
+    axis[4] = axis[0]
+    for x in range(1, w - 1):                              # scan order matters: in place
         for y in range(1, h - 1):
-            a = ang[x][y] if ang[x][y] >= 0 else ang[x][y] + math.pi
-            d = math.floor(a / (math.pi / 4) + 0.5)
-            m = mag[x][y]
-            if ((d in (0, 4) and (mag[x - 1][y] > m or mag[x + 1][y] > m))
-                    or (d == 1 and (mag[x - 1][y - 1] > m or mag[x + 1][y + 1] > m))
-                    or (d == 2 and (mag[x][y - 1] > m or mag[x][y + 1] > m))
-                    or (d == 3 and (mag[x + 1][y - 1] > m or mag[x - 1][y + 1] > m))):
+            folded = ang[x][y] + (math.pi if ang[x][y] < 0 else 0.0)
+            d = math.floor(folded / (math.pi / 4) + 0.5)
+            if any(mag[x + i][y + j] > mag[x][y] for i, j in axis[d]):
                 mag[x][y] = 0
     keep = {(x, y) for x in range(w) for y in range(h) if mag[x][y] > HIGH}
     last = set(keep)
@@ -88,9 +87,9 @@ def _sequential(rgb: np.ndarray):
     return keep, votes, accepted
 
 
-@pytest.mark.parametrize("seed", [3, 11])
-def test_pipeline_matches_sequential_rules(spark, workdir, seed):
-    rgb = _noisy_scene(seed)
+@pytest.mark.parametrize("seed,amp", [(3, 25), (11, 25), (5, 160)])
+def test_pipeline_matches_sequential_rules(spark, workdir, seed, amp):
+    rgb = _noisy_scene(seed, amp)
     folder = os.path.join(workdir, "imgs")
     os.makedirs(folder)
     write_png(os.path.join(folder, f"noisy_{seed}.png"), rgb)
