@@ -22,7 +22,7 @@ from grovecount.functions.text import ends_with
 from grovecount.plans.modes import JobOptions, pipeline_for
 from grovecount.sources.text import stream_lines
 from grovecount.streaming.sinks import read_ledger, write_ledger, write_text_rows
-from grovecount.streaming.timers import clock_window_counts
+from grovecount.streaming.timers import clock_window_counts, merge_partials
 
 
 def _seconds(duration: str) -> int:
@@ -117,7 +117,7 @@ def _start_clock_job(spark, lines, opts: JobOptions, extra_sinks) -> StreamingQu
     counts = clock_window_counts(sightings, _seconds(opts.window))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_ledger(batch, opts.output, batch_id)
+        write_ledger(merge_partials(batch), opts.output, batch_id)
         committed = read_ledger(spark, opts.output).where(F.col("batch_id") == batch_id).drop("batch_id")
         write_text_rows(committed, opts.output, batch_id)
         for sink in extra_sinks:

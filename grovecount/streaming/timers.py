@@ -1,11 +1,17 @@
 """Processing-time tumbling windows with exact clock semantics (T-1c, T-1b).
 
-T-1c: per feature, a map state ``window_end -> n`` plus one processing-time
+T-1c: per state key, a map state ``window_end -> n`` plus one processing-time
 timer per open window.  A window's row is emitted when the clock passes its
 end, even if no input arrives afterwards (the native window of T-1b only
-closes when later input moves the watermark).  State is keyed by feature, so
-it is sharded across the state store like any grouped aggregate; input rows
-are pre-aggregated per micro-batch before they reach the state.
+closes when later input moves the watermark).
+
+A stateful operator has no map-side combine, so a hot feature keyed alone
+would send all its rows to one task.  State is therefore keyed by
+``(feature, salt)`` with ``salt`` = input partition mod ``salts``: a hot
+feature is spread over up to ``salts`` tasks, and each emits a partial count.
+All salts' timers for one window fire in the same micro-batch, so
+``merge_partials`` (a per-batch group-by) restores exactly one row per window
+and feature; the sinks' sums are additive anyway.
 
 Requires the RocksDB state store provider
 (``spark.sql.streaming.stateStore.providerClass``), see ``ROCKSDB_PROVIDER``.
@@ -27,7 +33,8 @@ from pyspark.sql.streaming.stateful_processor import (
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-OUTPUT_SCHEMA = "window_start timestamp, window_end timestamp, feature string, n long"
+OUTPUT_SCHEMA = "window_start timestamp, window_end timestamp, feature string, salt int, n long"
+DEFAULT_SALTS = 16
 
 
 class ClockWindowCounter(StatefulProcessor):
@@ -64,6 +71,7 @@ class ClockWindowCounter(StatefulProcessor):
             "window_start": [pd.Timestamp(start, unit="ms")],
             "window_end": [pd.Timestamp(end, unit="ms")],
             "feature": [key[0]],
+            "salt": [int(key[1])],
             "n": [int(value[0])],
         })
 
@@ -71,10 +79,12 @@ class ClockWindowCounter(StatefulProcessor):
         pass
 
 
-def clock_window_counts(sightings: DataFrame, window_seconds: int = 10) -> DataFrame:
-    """Streaming ``window_start, window_end, feature, n``, emitted when each window's
-    end passes on the processing-time clock (Append output mode)."""
-    return sightings.groupBy("feature").transformWithStateInPandas(
+def clock_window_counts(sightings: DataFrame, window_seconds: int = 10, salts: int = DEFAULT_SALTS) -> DataFrame:
+    """Streaming ``window_start, window_end, feature, salt, n`` partial counts,
+    emitted when each window's end passes on the processing-time clock
+    (Append output mode).  Sum per (window, feature) with ``merge_partials``."""
+    salted = sightings.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    return salted.groupBy("feature", "salt").transformWithStateInPandas(
         statefulProcessor=ClockWindowCounter(window_seconds * 1000),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
@@ -82,6 +92,11 @@ def clock_window_counts(sightings: DataFrame, window_seconds: int = 10) -> DataF
     )
 
 
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """One row per (window, feature) from the salted partial counts of a batch."""
+    return partials.groupBy("window_start", "window_end", "feature").agg(F.sum("n").cast("bigint").alias("n"))
+
+
 def native_window_counts(sightings: DataFrame, window: str = "10 seconds") -> DataFrame:
     """T-1b: Spark's own window on a processing-time column with a zero watermark.
 
