@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 PROGRESS_SCHEMA = (
     "batch_id long, timestamp string, num_input_rows long, input_rows_per_second double, "
@@ -17,18 +17,48 @@ PROGRESS_SCHEMA = (
 )
 
 
+def _row(p) -> tuple:
+    d = p if isinstance(p, dict) else json.loads(p.json)
+    dur = d.get("durationMs", {}) or {}
+    return (
+        int(d.get("batchId", -1)),
+        d.get("timestamp"),
+        int(d.get("numInputRows", 0) or 0),
+        float(d.get("inputRowsPerSecond", 0.0) or 0.0),
+        float(d.get("processedRowsPerSecond", 0.0) or 0.0),
+        int(dur.get("triggerExecution", 0) or 0),
+        int(dur.get("addBatch", 0) or 0),
+    )
+
+
 def progress_frame(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    rows = []
-    for p in query.recentProgress:
-        d = p if isinstance(p, dict) else json.loads(p.json)
-        dur = d.get("durationMs", {}) or {}
-        rows.append((
-            int(d.get("batchId", -1)),
-            d.get("timestamp"),
-            int(d.get("numInputRows", 0) or 0),
-            float(d.get("inputRowsPerSecond", 0.0) or 0.0),
-            float(d.get("processedRowsPerSecond", 0.0) or 0.0),
-            int(dur.get("triggerExecution", 0) or 0),
-            int(dur.get("addBatch", 0) or 0),
-        ))
-    return spark.createDataFrame(rows, PROGRESS_SCHEMA)
+    """The query's recent progress reports (the engine keeps the last 100)."""
+    return spark.createDataFrame([_row(p) for p in query.recentProgress], PROGRESS_SCHEMA)
+
+
+class ProgressRecorder(StreamingQueryListener):
+    """Keeps every progress report of the session's queries (one small row per
+    micro-batch, on the driver), for runs longer than the engine's recent window.
+
+    ``spark.streams.addListener(rec)``; later ``rec.frame(spark, query_name)``.
+    """
+
+    def __init__(self):
+        self.rows: list[tuple[str, tuple]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows.append((p.name or "", _row(p)))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def frame(self, spark: SparkSession, name: str | None = None) -> DataFrame:
+        rows = [r for n, r in self.rows if name is None or n == name]
+        return spark.createDataFrame(rows, PROGRESS_SCHEMA)

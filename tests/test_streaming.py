@@ -155,3 +155,26 @@ def test_native_window_closes_on_later_input(spark, workdir):
         assert ("ripe orange", 2) in [(r.feature, r.n) for r in rows]
     finally:
         q.stop()
+
+
+def test_progress_recorder_keeps_every_batch(spark, workdir):
+    from grovecount.streaming.progress import ProgressRecorder
+
+    rec = ProgressRecorder()
+    spark.streams.addListener(rec)
+    try:
+        opts = _opts(workdir, max_files_per_trigger=1)
+        for i in range(3):
+            _put(opts, f"tree_{i}.txt", "ripe orange\n" * (i + 1))
+        start_job(spark, opts, available_now=True).awaitTermination()
+        deadline = time.time() + 30
+        while time.time() < deadline and len(rec.rows) < 3:
+            time.sleep(0.2)
+        frame = rec.frame(spark, "grovecount-text")
+        # one file per trigger: three batches, every one recorded
+        assert sorted(r.batch_id for r in frame.collect())[:3] == [0, 1, 2]
+        # the source metric also counts the one-row stamp read of each batch
+        assert frame.agg(F.sum("num_input_rows")).first()[0] >= 6
+        assert {r.feature: r.n for r in read_totals(spark, opts.output).collect()} == {"ripe orange": 6}
+    finally:
+        spark.streams.removeListener(rec)
