@@ -130,8 +130,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _survivors(parts: list[DataFrame], rounds: RoundTables, id_col: str) -> DataFrame:
-    alive = _union(parts).where(~F.col("killed")).select(id_col, "x", "y", "mag2")
-    return rounds.write(alive, "thin")
+    """Union of the stored rounds (each a checkpoint): cheap to re-read, so not
+    stored again; a consumer that loops over it stores its own filtered copy."""
+    return _union(parts).where(~F.col("killed")).select(id_col, "x", "y", "mag2")
 
 
 def _jump(open_: DataFrame, known: DataFrame, rounds: RoundTables, id_col: str) -> DataFrame:
