@@ -102,3 +102,24 @@ def test_pipeline_matches_sequential_rules(spark, workdir, seed, amp):
     assert got_votes == dict(votes)
     got = [(r.a, r.b, r.r, r.votes) for r in det.circles.orderBy("k").collect()]
     assert got == accepted and len(accepted) > 0
+
+
+def test_larger_image_wider_radius_range(spark, workdir):
+    # 300 x 200 gives radii 13..30 (18 radii x 100 steps of offsets)
+    rng = np.random.default_rng(21)
+    ys, xs = np.mgrid[0:200, 0:300]
+    base = np.full((200, 300), 30, dtype=np.int32)
+    for cx, cy, r in [(80, 90, 18), (210, 110, 25)]:
+        base[(xs - cx) ** 2 + (ys - cy) ** 2 <= r * r] = 220
+    rgb = np.clip(np.stack([base + rng.integers(-20, 21, base.shape) for _ in range(3)], axis=2), 0, 255)
+    rgb = rgb.astype(np.uint8)
+    folder = os.path.join(workdir, "big")
+    os.makedirs(folder)
+    write_png(os.path.join(folder, "big_0.png"), rgb)
+    images = read_images(spark, folder)
+    det = detect_circles(image_pixels(images), image_dims(images))
+    keep, votes, accepted = _sequential(rgb)
+    assert det.edges.count() == len(keep)
+    got = [(r.a, r.b, r.r, r.votes) for r in det.circles.orderBy("k").collect()]
+    assert got == accepted
+    assert {(a, b) for a, b, _, _ in accepted} >= {(80, 90), (210, 110)}
