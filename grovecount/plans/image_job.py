@@ -63,6 +63,9 @@ def image_counts(
     wanted = images.join(kept.select("image_name").distinct(), "image_name", "left_semi")
     if parallelism:
         wanted = wanted.repartition(parallelism, "image_name")
+    # one analysis per name even if the table holds a name twice (a re-ingested
+    # file); rides on the image_name partitioning above
+    wanted = wanted.dropDuplicates(["image_name"])
     # Decode once: pixels and statuses both read the images named in this input.
     wanted = RoundTables(names.sparkSession, "images").write(
         wanted.withColumn("image_key", F.monotonically_increasing_id()), "wanted"

@@ -115,3 +115,12 @@ def test_pixel_rows_are_chunked_and_complete(monkeypatch):
     assert len(a) == 20 and a[(3, 4)] == int(rgb[19].astype(int).sum() // 3)
     b = out[out.image_id == "b"]
     assert sorted(zip(b.x, b.y, b.v)) == [(0, 0, 9), (0, 1, 7), (1, 0, 8), (1, 1, 6)]
+
+
+def test_duplicate_image_rows_count_once(spark, workdir):
+    folder = _image_folder(workdir)
+    images = read_images(spark, folder)
+    doubled = images.unionByName(images)
+    names = spark.createDataFrame([("billiard_0.png",), ("billiard_0.png",)], "image_name string")
+    res = image_counts(names, doubled)
+    assert sorted((r.feature, r.n) for r in res.per_line.collect()) == [("billiard", 1), ("billiard", 1)]
