@@ -90,15 +90,36 @@ def stream_ingest_images(spark: SparkSession, src: str, dst: str, checkpoint: st
 PIXEL_CHUNK = 1 << 20
 
 
-def _gray(buf: bytes, channels: int) -> np.ndarray:
+def java_gray_levels(spark: SparkSession) -> np.ndarray:
+    """Gray sample -> the R (= G = B) value Java's ``getRGB`` reports for it.
+
+    For gray images the ``image`` source keeps raw raster samples, while the
+    original detector read every pixel through ``getRGB``, which converts a
+    gray image's linear samples to sRGB.  The 256 values are taken from the
+    JVM itself (a 256 x 1 gray image), so they match that conversion exactly.
+    Colour images go through ``getRGB`` in both, so they need no mapping.
+    """
+    jvm = spark.sparkContext._jvm
+    jvm.java.lang.System.setProperty("java.awt.headless", "true")
+    kind = jvm.java.awt.image.BufferedImage
+    probe = kind(256, 1, kind.TYPE_BYTE_GRAY)
+    raster = probe.getRaster()
+    for v in range(256):
+        raster.setSample(v, 0, 0, v)
+    return np.array([probe.getRGB(v, 0) & 0xFF for v in range(256)], dtype=np.int32)
+
+
+def _gray(buf: bytes, channels: int, gray_levels: np.ndarray | None = None) -> np.ndarray:
     """O-13 on a whole image at once: integer mean of R, G, B (alpha ignored)."""
     px = np.frombuffer(buf, dtype=np.uint8).reshape(-1, int(channels))
     if channels >= 3:
         return (px[:, 0].astype(np.int32) + px[:, 1] + px[:, 2]) // 3
+    if gray_levels is not None:
+        return gray_levels[px[:, 0]]
     return px[:, 0].astype(np.int32)
 
 
-def _pixel_rows(batches):
+def _pixel_rows(batches, gray_levels: np.ndarray | None = None):
     """Decoded images -> ``image_id, x, y, v`` frames of at most ``PIXEL_CHUNK`` rows.
 
     Small images are packed together, large ones are cut into slices, so
@@ -113,7 +134,7 @@ def _pixel_rows(batches):
 
     for pdf in batches:
         for ident, width, channels, buf in zip(pdf["image_id"], pdf["width"], pdf["n_channels"], pdf["data"]):
-            gray = _gray(buf, channels)
+            gray = _gray(buf, channels, gray_levels)
             w = int(width)
             for start in range(0, len(gray), PIXEL_CHUNK):
                 idx = np.arange(start, min(len(gray), start + PIXEL_CHUNK), dtype=np.int64)
@@ -153,4 +174,9 @@ def image_pixels(images: DataFrame, id_col: str = "image_name") -> DataFrame:
         T.StructField("y", T.IntegerType()),
         T.StructField("v", T.IntegerType()),
     ])
-    return src.mapInPandas(_pixel_rows, schema)
+    levels = java_gray_levels(images.sparkSession)
+
+    def decode(batches):
+        return _pixel_rows(batches, levels)
+
+    return src.mapInPandas(decode, schema)

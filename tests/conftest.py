@@ -68,8 +68,9 @@ def dims_frame(spark, images: dict):
 
 
 def write_png(path: str, rgb: np.ndarray) -> None:
-    """8-bit RGB PNG, filter 0 on every row (zlib + struct only)."""
-    h, w, _ = rgb.shape
+    """8-bit RGB (h x w x 3) or gray (h x w) PNG, filter 0 on every row (zlib + struct only)."""
+    h, w = rgb.shape[:2]
+    colour_type = 2 if rgb.ndim == 3 else 0
     raw = b"".join(b"\x00" + rgb[y].astype(np.uint8).tobytes() for y in range(h))
 
     def chunk(kind: bytes, data: bytes) -> bytes:
@@ -77,7 +78,7 @@ def write_png(path: str, rgb: np.ndarray) -> None:
 
     with open(path, "wb") as f:
         f.write(b"\x89PNG\r\n\x1a\n")
-        f.write(chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)))
+        f.write(chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour_type, 0, 0, 0)))
         f.write(chunk(b"IDAT", zlib.compress(raw)))
         f.write(chunk(b"IEND", b""))
 

@@ -124,3 +124,19 @@ def test_duplicate_image_rows_count_once(spark, workdir):
     names = spark.createDataFrame([("billiard_0.png",), ("billiard_0.png",)], "image_name string")
     res = image_counts(names, doubled)
     assert sorted((r.feature, r.n) for r in res.per_line.collect()) == [("billiard", 1), ("billiard", 1)]
+
+
+def test_gray_png_levels_follow_java_rgb_conversion(spark, workdir):
+    from grovecount.sources.images import java_gray_levels
+
+    folder = os.path.join(workdir, "gray")
+    os.makedirs(folder)
+    img = np.zeros((4, 5), dtype=np.uint8)
+    img[1, 2], img[3, 4] = 128, 255
+    write_png(os.path.join(folder, "g_0.png"), img)
+    images = read_images(spark, folder)
+    assert images.first().n_channels == 1
+    px = {(r.x, r.y): r.v for r in image_pixels(images).collect()}
+    levels = java_gray_levels(spark)
+    assert px[(2, 1)] == levels[128] and px[(4, 3)] == 255 and px[(0, 0)] == 0
+    assert levels[128] > 128  # linear gray reads brighter through the sRGB conversion
