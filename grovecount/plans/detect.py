@@ -19,8 +19,10 @@ from grovecount.functions.image import (
 from grovecount.operators.hough import candidates, vote_counts
 from grovecount.operators.hysteresis import grow_edges
 from grovecount.operators.overlap import accept_circles, circle_counts
-from grovecount.operators.thinning import thin_pixels
+from grovecount.operators.image_bands import suppression_inputs_from_images
+from grovecount.operators.thinning import resolve, thin_pixels
 from grovecount.plans.lineage import RoundTables
+from grovecount.sources.images import image_dims, image_pixels
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,9 @@ class DetectParams:
     low: int = DEFAULT_LOW
     high: int = DEFAULT_HIGH
     thinning: str = "inplace"
+    # image files: "bands" computes blur..neighbour comparison in the decoding
+    # task and ships only edge candidates; "dataframe" builds the pixel table
+    stencil: str = "bands"
 
 
 @dataclass
@@ -48,9 +53,26 @@ def edge_pixels(pixels: DataFrame, params: DetectParams = DetectParams()) -> Dat
 
 
 def detect_circles(pixels: DataFrame, dims: DataFrame, params: DetectParams = DetectParams()) -> Detection:
-    edges = edge_pixels(pixels, params)
+    """Detection from a gray pixel table (``image_id, x, y, v``)."""
+    return _from_edges(edge_pixels(pixels, params), dims, params)
+
+
+def detect_circles_in_images(
+    images: DataFrame, id_col: str = "image_name", params: DetectParams = DetectParams()
+) -> Detection:
+    """Detection from decoded image rows (``height, width, n_channels, data``)."""
+    dims = image_dims(images, id_col)
+    if params.stencil == "dataframe":
+        return detect_circles(image_pixels(images, id_col), dims, params)
+    if params.stencil != "bands":
+        raise ValueError(f"unknown stencil {params.stencil!r}")
+    thinned = resolve(suppression_inputs_from_images(images, params.low, id_col), params.thinning)
+    return _from_edges(grow_edges(thinned, params.low, params.high), dims, params)
+
+
+def _from_edges(edges: DataFrame, dims: DataFrame, params: DetectParams) -> Detection:
     votes = vote_counts(edges, dims, params.steps)
     cands = candidates(votes, params.steps, params.threshold)
     # Accepted circles are few and feed counts, crops and sinks: write them once.
-    circles = RoundTables(pixels.sparkSession, "circles").write(accept_circles(cands), "circles")
+    circles = RoundTables(edges.sparkSession, "circles").write(accept_circles(cands), "circles")
     return Detection(edges, votes, cands, circles, circle_counts(circles, dims))

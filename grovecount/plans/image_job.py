@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from grovecount.functions.text import IMAGE_SUFFIXES, ends_with_any, prefix_before
 from grovecount.operators.crops import crop_boxes, crop_name
-from grovecount.plans.detect import DetectParams, Detection, detect_circles
+from grovecount.plans.detect import DetectParams, Detection, detect_circles_in_images
 from grovecount.plans.lineage import RoundTables
-from grovecount.sources.images import image_dims, image_pixels
+from grovecount.sources.images import image_dims
 
 # Fixed value: folder of the crop output (the original's processed-images folder).
 CROPS_FOLDER = "processed-images"
@@ -74,7 +74,7 @@ def image_counts(
         "image_name", "image_key",
         F.when(F.col("height") > 0, F.lit("ok")).otherwise(F.lit("unreadable")).alias("status"),
     )
-    detection = detect_circles(image_pixels(wanted, "image_key"), image_dims(wanted, "image_key"), params)
+    detection = detect_circles_in_images(wanted, "image_key", params)
     counts = detection.counts.withColumnRenamed("image_id", "image_key")
     per_image = status.join(counts, "image_key", "left").select("image_name", "status", "n")
     per_line = (

@@ -15,8 +15,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from grovecount.plans.detect import detect_circles
-from grovecount.sources.images import image_dims, image_pixels, read_images
+from grovecount.plans.detect import DetectParams, detect_circles_in_images
+from grovecount.sources.images import read_images
 
 from conftest import write_png
 
@@ -87,14 +87,15 @@ def _sequential(rgb: np.ndarray):
     return keep, votes, accepted
 
 
+@pytest.mark.parametrize("stencil", ["bands", "dataframe"])
 @pytest.mark.parametrize("seed,amp", [(3, 25), (11, 25), (5, 160)])
-def test_pipeline_matches_sequential_rules(spark, workdir, seed, amp):
+def test_pipeline_matches_sequential_rules(spark, workdir, seed, amp, stencil):
     rgb = _noisy_scene(seed, amp)
     folder = os.path.join(workdir, "imgs")
     os.makedirs(folder)
     write_png(os.path.join(folder, f"noisy_{seed}.png"), rgb)
     images = read_images(spark, folder)
-    det = detect_circles(image_pixels(images), image_dims(images))
+    det = detect_circles_in_images(images, params=DetectParams(stencil=stencil))
 
     keep, votes, accepted = _sequential(rgb)
     assert sorted((r.x, r.y) for r in det.edges.collect()) == sorted(keep)
@@ -104,7 +105,8 @@ def test_pipeline_matches_sequential_rules(spark, workdir, seed, amp):
     assert got == accepted and len(accepted) > 0
 
 
-def test_larger_image_wider_radius_range(spark, workdir):
+@pytest.mark.parametrize("stencil", ["bands", "dataframe"])
+def test_larger_image_wider_radius_range(spark, workdir, stencil):
     # 300 x 200 gives radii 13..30 (18 radii x 100 steps of offsets)
     rng = np.random.default_rng(21)
     ys, xs = np.mgrid[0:200, 0:300]
@@ -117,7 +119,7 @@ def test_larger_image_wider_radius_range(spark, workdir):
     os.makedirs(folder)
     write_png(os.path.join(folder, "big_0.png"), rgb)
     images = read_images(spark, folder)
-    det = detect_circles(image_pixels(images), image_dims(images))
+    det = detect_circles_in_images(images, params=DetectParams(stencil=stencil))
     keep, votes, accepted = _sequential(rgb)
     assert det.edges.count() == len(keep)
     got = [(r.a, r.b, r.r, r.votes) for r in det.circles.orderBy("k").collect()]

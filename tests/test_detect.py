@@ -218,3 +218,20 @@ def test_thinning_long_chain(spark):
     direct = sorted(r.x for r in resolve(cand, direct_rounds=100).collect())
     jumped = sorted(r.x for r in resolve(cand, direct_rounds=2).collect())
     assert direct == jumped == list(range(0, 40, 2))
+
+
+@pytest.mark.parametrize("band", [1, 3, 7, 256])
+def test_band_candidates_equal_dataframe_stencil(spark, band):
+    from grovecount.operators.image_bands import band_candidates
+    from grovecount.operators.thinning import suppression_inputs
+
+    rng = np.random.default_rng(band)
+    img = rng.integers(0, 256, size=(30, 40)).astype(np.int32)
+    img[5:20, 10:25] = 250
+    cols = ["x", "y", "mag2", "q_kills", "p_gt", "px", "py"]
+    ref = suppression_inputs(gradient(blur(pixels_frame(spark, {"a": img}))), 20)
+    ref = sorted(tuple(r) for r in ref.select(*cols).collect())
+    parts = [pd.DataFrame(band_candidates(img, 20, y0, min(30, y0 + band))) for y0 in range(0, 30, band)]
+    got = pd.concat(parts, ignore_index=True)[cols]
+    got = sorted(tuple(v.item() for v in row) for row in got.itertuples(index=False))
+    assert got == ref and len(ref) > 100
