@@ -233,5 +233,5 @@ def test_band_candidates_equal_dataframe_stencil(spark, band):
     ref = sorted(tuple(r) for r in ref.select(*cols).collect())
     parts = [pd.DataFrame(band_candidates(img, 20, y0, min(30, y0 + band))) for y0 in range(0, 30, band)]
     got = pd.concat(parts, ignore_index=True)[cols]
-    got = sorted(tuple(v.item() for v in row) for row in got.itertuples(index=False))
+    got = sorted(tuple(v.item() if hasattr(v, "item") else v for v in row) for row in got.itertuples(index=False))
     assert got == ref and len(ref) > 100
