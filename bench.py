@@ -33,6 +33,7 @@ HEADLINE = [
     "render_rows",
     "scene_type_counts",
     "supplier_type_counts",
+    "supplier_type_counts_bands",
     "supplier_crop_pixels",
 ]
 
@@ -83,6 +84,7 @@ def main():
             "stream_text_lines_per_sec": round(n_lines / dt, 1),
             "stream_text_kept": kept,
             "supplier_images_per_sec": round(n_suppliers / times["supplier_type_counts"], 2),
+            "supplier_images_per_sec_bands": round(n_suppliers / times["supplier_type_counts_bands"], 2),
         },
     }
     print(json.dumps(out))

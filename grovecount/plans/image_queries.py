@@ -18,8 +18,15 @@ from grovecount.operators.lookup import left_lookup_count
 from grovecount.operators.overlap import accept_circles, circle_counts
 from grovecount.operators.stencil import blur, gradient
 from grovecount.operators.thinning import thin, thin_pixels
-from grovecount.plans.detect import DetectParams, edge_pixels
-from grovecount.sources.scenes import SCENE_HEIGHT, SCENE_WIDTH, scene_dims, scene_names, scene_pixels
+from grovecount.plans.detect import DetectParams, detect_circles_in_images, edge_pixels
+from grovecount.sources.scenes import (
+    SCENE_HEIGHT,
+    SCENE_WIDTH,
+    scene_dims,
+    scene_images,
+    scene_names,
+    scene_pixels,
+)
 from grovecount.sources.tables import read_table
 
 
@@ -95,6 +102,16 @@ def scene_type_counts(spark: SparkSession, d: str, source: str = "nation") -> Da
     return keyed_sum(per_image)
 
 
+def scene_type_counts_bands(spark: SparkSession, d: str, source: str = "supplier") -> DataFrame:
+    """IMAGES job through the image-file path: scenes rendered to image rows,
+    banded stencil in the decoding task, then the Spark stages."""
+    rows = _rows(spark, d, source)
+    names = scene_names(rows, read_table(spark, d, "nation"), read_table(spark, d, "region"))
+    typed = names.select("image_id", F.substring_index("image_name", "_", 1).alias("feature"))
+    det = detect_circles_in_images(scene_images(rows), "image_id", DetectParams(stencil="bands"))
+    return keyed_sum(left_lookup_count(typed, det.counts, "image_id"))
+
+
 def _on(fn, source):
     def q(spark: SparkSession, d: str) -> DataFrame:
         return fn(spark, d, source)
@@ -127,6 +144,7 @@ _SUPPLIER = {
     "supplier_circle_counts": circle_counts_q,
     "supplier_crop_pixels": crop_pixels_q,
     "supplier_type_counts": scene_type_counts,
+    "supplier_type_counts_bands": scene_type_counts_bands,
 }
 
 QUERIES = {name: _on(fn, "nation") for name, fn in _NATION.items()}
@@ -276,7 +294,7 @@ ORACLE = {name: _sql(_FINAL[name], "nation") for name in _NATION if name in _FIN
 ORACLE["scene_type_counts"] = _type_counts_sql("nation")
 for _name in _SUPPLIER:
     _base = _name.removeprefix("supplier_")
-    if _base == "type_counts":
+    if _base in ("type_counts", "type_counts_bands"):
         ORACLE[_name] = _type_counts_sql("supplier")
     else:
         ORACLE[_name] = _sql(_FINAL[_base], "supplier")

@@ -7,8 +7,11 @@ images (and pixels) grows with the table that drives it.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed scene parameters (shared with the SQL oracle).
 SCENE_WIDTH = 60
@@ -78,3 +81,34 @@ def scene_names(rows: DataFrame, nation: DataFrame, region: DataFrame) -> DataFr
         "image_id",
         F.concat(F.lower("r_name"), F.lit("_"), F.col("image_id").cast("string"), F.lit(".png")).alias("image_name"),
     )
+
+
+def _render(batches, width: int, height: int):
+    ys, xs = np.mgrid[0:height, 0:width]
+    for pdf in batches:
+        data = []
+        for cx, cy, r in zip(pdf["cx"], pdf["cy"], pdf["radius"]):
+            disc = ((xs - cx) ** 2 + (ys - cy) ** 2 <= r * r).astype(np.uint8) * WHITE
+            data.append(np.repeat(disc[:, :, None], 3, axis=2).tobytes())   # 3 equal channels
+        yield pd.DataFrame({
+            "image_id": pdf["image_id"], "height": height, "width": width, "n_channels": 3, "data": data,
+        })
+
+
+def scene_images(rows: DataFrame, width: int = SCENE_WIDTH, height: int = SCENE_HEIGHT) -> DataFrame:
+    """The same scenes as decoded image rows (``image_id, height, width,
+    n_channels, data``), the shape the ``image`` source produces, so the
+    image-file path of the detector can run on table-derived input."""
+    discs = scene_discs(rows)
+    schema = T.StructType([
+        T.StructField("image_id", discs.schema["image_id"].dataType),
+        T.StructField("height", T.IntegerType()),
+        T.StructField("width", T.IntegerType()),
+        T.StructField("n_channels", T.IntegerType()),
+        T.StructField("data", T.BinaryType()),
+    ])
+
+    def render(batches):
+        return _render(batches, width, height)
+
+    return discs.mapInPandas(render, schema)
