@@ -54,18 +54,23 @@ def _weighted_cols(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_candidates(gray: np.ndarray, low: int, y0: int, y1: int) -> dict[str, np.ndarray]:
-    """Candidate rows for image rows ``y0 .. y1-1`` of ``gray`` (height x width).
-
-    Reads gray rows ``y0-4 .. y1+3`` only; borders repeat the true image edge.
+def band_candidates(
+    gray: np.ndarray, low: int, y0: int, y1: int, first: int = 0, height: int | None = None
+) -> dict[str, np.ndarray]:
+    """Candidate rows for image rows ``y0 .. y1-1``.
+
+    ``gray`` holds image rows ``first ..`` (the whole image by default) of an
+    image ``height`` rows tall; only rows ``y0-4 .. y1+3`` are read, and the
+    borders repeat the true image edge.
     """
-    h, w = gray.shape
+    h = gray.shape[0] + first if height is None else height
+    w = gray.shape[1]
     empty = {k: np.zeros(0, dtype=np.int32) for k in ("x", "y", "mag2", "px", "py")}
     empty.update(q_kills=np.zeros(0, dtype=bool), p_gt=np.zeros(0, dtype=bool))
     if h < 3 or w < 3:
         return empty
     g_lo, g_hi = max(0, y0 - HALO), min(h, y1 + HALO)
-    horiz = _weighted_cols(gray[g_lo:g_hi].astype(np.int64))
+    horiz = _weighted_cols(gray[g_lo - first:g_hi - first].astype(np.int64))
     b_lo, b_hi = max(0, y0 - 2), min(h, y1 + 2)              # blurred rows needed
     blur = _weighted_rows(horiz, np.arange(b_lo, b_hi), g_lo, h) // BLUR_DIVISOR
     m_lo, m_hi = max(0, y0 - 1), min(h, y1 + 1)              # gradient rows needed
@@ -106,11 +111,17 @@ def band_candidates(gray: np.ndarray, low: int, y0: int, y1: int) -> dict[str, n
 def _candidate_rows(batches, low: int, band: int, levels: np.ndarray):
     for pdf in batches:
         out = []
-        for ident, width, channels, buf in zip(pdf["image_id"], pdf["width"], pdf["n_channels"], pdf["data"]):
-            w = int(width)
-            gray = _gray(buf, channels, levels).reshape(-1, w)
-            for y0 in range(0, gray.shape[0], band):
-                cols = band_candidates(gray, low, y0, min(gray.shape[0], y0 + band))
+        for ident, height, width, channels, buf in zip(
+            pdf["image_id"], pdf["height"], pdf["width"], pdf["n_channels"], pdf["data"]
+        ):
+            h, w, c = int(height), int(width), int(channels)
+            for y0 in range(0, h, band):
+                y1 = min(h, y0 + band)
+                g_lo, g_hi = max(0, y0 - HALO), min(h, y1 + HALO)
+                # gray of this band and its halo only, from a view of the decoded bytes
+                rows = np.frombuffer(buf, dtype=np.uint8, count=(g_hi - g_lo) * w * c, offset=g_lo * w * c)
+                gray = _gray(rows, c, levels).reshape(-1, w)
+                cols = band_candidates(gray, low, y0, y1, first=g_lo, height=h)
                 if len(cols["x"]):
                     out.append(pd.DataFrame({"image_id": ident, **cols}))
         if out:
@@ -122,7 +133,7 @@ def suppression_inputs_from_images(
 ) -> DataFrame:
     """``suppression_inputs`` rows (``image_id, x, y, mag2, q_kills, p_gt, px, py``)
     computed from image bytes without a dense pixel table."""
-    src = readable(images).select(images[id_col].alias("image_id"), "width", "n_channels", "data")
+    src = readable(images).select(images[id_col].alias("image_id"), "height", "width", "n_channels", "data")
     schema = T.StructType([
         T.StructField("image_id", src.schema["image_id"].dataType),
         T.StructField("x", T.IntegerType()),

@@ -111,7 +111,7 @@ def java_gray_levels(spark: SparkSession) -> np.ndarray:
 
 def _gray(buf: bytes, channels: int, gray_levels: np.ndarray | None = None) -> np.ndarray:
     """O-13 on a whole image at once: integer mean of R, G, B (alpha ignored)."""
-    px = np.frombuffer(buf, dtype=np.uint8).reshape(-1, int(channels))
+    px = np.frombuffer(buf, dtype=np.uint8).reshape(-1, int(channels))  # bytes or a uint8 view
     if channels >= 3:
         return (px[:, 0].astype(np.int32) + px[:, 1] + px[:, 2]) // 3
     if gray_levels is not None:

@@ -125,3 +125,18 @@ def test_larger_image_wider_radius_range(spark, workdir, stencil):
     got = [(r.a, r.b, r.r, r.votes) for r in det.circles.orderBy("k").collect()]
     assert got == accepted
     assert {(a, b) for a, b, _, _ in accepted} >= {(80, 90), (210, 110)}
+
+
+def test_band_height_does_not_change_candidates(spark, workdir):
+    from grovecount.operators.image_bands import suppression_inputs_from_images
+
+    rgb = _noisy_scene(9, 60)
+    folder = os.path.join(workdir, "bands")
+    os.makedirs(folder)
+    write_png(os.path.join(folder, "b_0.png"), rgb)
+    images = read_images(spark, folder)
+    results = []
+    for band in (5, 17, 1000):
+        rows = suppression_inputs_from_images(images, LOW, band=band).collect()
+        results.append(sorted(tuple(r)[1:] for r in rows))
+    assert results[0] == results[1] == results[2] and len(results[0]) > 50
