@@ -58,10 +58,17 @@ def detect_circles(pixels: DataFrame, dims: DataFrame, params: DetectParams = De
 
 
 def detect_circles_in_images(
-    images: DataFrame, id_col: str = "image_name", params: DetectParams = DetectParams()
+    images: DataFrame,
+    id_col: str = "image_name",
+    params: DetectParams = DetectParams(),
+    dims: DataFrame | None = None,
 ) -> Detection:
-    """Detection from decoded image rows (``height, width, n_channels, data``)."""
-    dims = image_dims(images, id_col)
+    """Detection from decoded image rows (``height, width, n_channels, data``).
+
+    ``dims`` (``image_id, width, height``) may come from a small metadata
+    table so the sizes are not read from the image rows again.
+    """
+    dims = image_dims(images, id_col) if dims is None else dims
     if params.stencil == "dataframe":
         return detect_circles(image_pixels(images, id_col), dims, params)
     if params.stencil != "bands":

@@ -24,8 +24,8 @@ CROPS_FOLDER = "processed-images"
 class ImageJobResult:
     per_line: DataFrame      # image_name, feature (type), n, status
     rejects: DataFrame       # image_name, reason
-    detection: Detection | None   # keyed by image_key
-    images: DataFrame | None      # analysed images: image_key, image_name, height, width, ...
+    detection: Detection | None   # image_id = detector_id of ``images``
+    images: DataFrame | None      # analysed images: detector_id, image_name, height, width
 
 
 def split_manifest(names: DataFrame, suffixes=IMAGE_SUFFIXES) -> tuple[DataFrame, DataFrame]:
@@ -55,28 +55,37 @@ def image_counts(
     ``images`` is the image table (``image_name, height, width, n_channels,
     data``), e.g. ``read_images`` of the folder or an ingested parquet copy.
     Each distinct image is analysed once however often it is listed; every
-    listed line still gets its row.  Inside the detector an image is named by
-    a compact long ``image_key`` (assigned once, on the materialised image
-    set), so the name string is not carried on every pixel row.
+    listed line still gets its row.
+
+    Image bytes are read once, by the stencil inside the decoding task; only
+    a small metadata table (``image_key, image_name, height, width``) is
+    materialised for statuses and sizes.  An image is keyed by
+    ``xxhash64(image_name)`` inside the detector (8 bytes per row instead of
+    the name); the key is recomputable from the name, so no materialisation
+    is needed to keep it stable, and a collision check falls back to names.
     """
+    spark = names.sparkSession
     kept, rejects = split_manifest(names)
     wanted = images.join(kept.select("image_name").distinct(), "image_name", "left_semi")
     if parallelism:
         wanted = wanted.repartition(parallelism, "image_name")
     # one analysis per name even if the table holds a name twice (a re-ingested
     # file); rides on the image_name partitioning above
-    wanted = wanted.dropDuplicates(["image_name"])
-    # Decode once: pixels and statuses both read the images named in this input.
-    wanted = RoundTables(names.sparkSession, "images").write(
-        wanted.withColumn("image_key", F.monotonically_increasing_id()), "wanted"
+    wanted = wanted.dropDuplicates(["image_name"]).withColumn("image_key", F.xxhash64("image_name"))
+    meta = RoundTables(spark, "images").write(
+        wanted.select("image_key", "image_name", "height", "width"), "meta"
     )
-    status = wanted.select(
-        "image_name", "image_key",
+    key = "image_key"
+    if not meta.groupBy("image_key").count().where(F.col("count") > 1).isEmpty():
+        key = "image_name"  # two names share a hash: keep exact identities
+    status = meta.select(
+        "image_name",
+        F.col(key).alias("detector_id"),
         F.when(F.col("height") > 0, F.lit("ok")).otherwise(F.lit("unreadable")).alias("status"),
     )
-    detection = detect_circles_in_images(wanted, "image_key", params)
-    counts = detection.counts.withColumnRenamed("image_id", "image_key")
-    per_image = status.join(counts, "image_key", "left").select("image_name", "status", "n")
+    detection = detect_circles_in_images(wanted, key, params, dims=image_dims(meta, key))
+    counts = detection.counts.withColumnRenamed("image_id", "detector_id")
+    per_image = status.join(counts, "detector_id", "left").select("image_name", "status", "n")
     per_line = (
         kept.join(per_image, "image_name", "left")
         .select(
@@ -86,7 +95,7 @@ def image_counts(
             F.coalesce("status", F.lit("missing")).alias("status"),
         )
     )
-    return ImageJobResult(per_line, rejects, detection, wanted)
+    return ImageJobResult(per_line, rejects, detection, meta.withColumn("detector_id", F.col(key)))
 
 
 def write_crops(result: ImageJobResult, output: str, batch_id: int | None) -> str:
@@ -98,9 +107,9 @@ def write_crops(result: ImageJobResult, output: str, batch_id: int | None) -> st
     through ``crop_pixels`` on demand instead of encoded files.
     """
     det = result.detection
-    names = result.images.select(F.col("image_key").alias("image_id"), "image_name")
+    names = result.images.select(F.col("detector_id").alias("image_id"), "image_name")
     circles = det.circles.join(names, "image_id")
-    boxes = crop_boxes(circles, image_dims(result.images, "image_key"))
+    boxes = crop_boxes(circles, image_dims(result.images, "detector_id"))
     rows = boxes.join(circles.select("image_id", "image_name", "k", "a", "b", "r"), ["image_id", "k"]).select(
         "image_name",
         F.substring_index("image_name", "_", 1).alias("type"),
