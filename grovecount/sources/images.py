@@ -90,6 +90,9 @@ def stream_ingest_images(spark: SparkSession, src: str, dst: str, checkpoint: st
 PIXEL_CHUNK = 1 << 20
 
 
+_GRAY_LEVELS: dict[str, np.ndarray] = {}
+
+
 def java_gray_levels(spark: SparkSession) -> np.ndarray:
     """Gray sample -> the R (= G = B) value Java's ``getRGB`` reports for it.
 
@@ -99,14 +102,20 @@ def java_gray_levels(spark: SparkSession) -> np.ndarray:
     JVM itself (a 256 x 1 gray image), so they match that conversion exactly.
     Colour images go through ``getRGB`` in both, so they need no mapping.
     """
-    jvm = spark.sparkContext._jvm
+    sc = spark.sparkContext
+    cached = _GRAY_LEVELS.get(sc.applicationId)
+    if cached is not None:
+        return cached
+    jvm = sc._jvm
     jvm.java.lang.System.setProperty("java.awt.headless", "true")
     kind = jvm.java.awt.image.BufferedImage
     probe = kind(256, 1, kind.TYPE_BYTE_GRAY)
     raster = probe.getRaster()
     for v in range(256):
         raster.setSample(v, 0, 0, v)
-    return np.array([probe.getRGB(v, 0) & 0xFF for v in range(256)], dtype=np.int32)
+    levels = np.array([probe.getRGB(v, 0) & 0xFF for v in range(256)], dtype=np.int32)
+    _GRAY_LEVELS[sc.applicationId] = levels
+    return levels
 
 
 def _gray(buf: bytes, channels: int, gray_levels: np.ndarray | None = None) -> np.ndarray:
