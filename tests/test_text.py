@@ -85,3 +85,22 @@ def test_tumbling_sum_and_totals(spark):
     assert got == [(0, "a", 2), (10, "a", 1), (10, "b", 1), (20, "a", 1)]
     ledger = tumbling_sum(df, "ts", "k").select("feature", "n")
     assert {r.feature: r.n for r in totals_from_ledger(ledger).collect()} == {"a": 4, "b": 1}
+
+
+def test_text_counts_property(spark):
+    from collections import Counter
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    words = st.sampled_from(["ripe", "rotten", "immature", "orange", "Orange", "oranges", "leaf", " ", ""])
+    lines = st.lists(st.lists(words, max_size=3).map(" ".join), max_size=40)
+
+    @settings(max_examples=15, deadline=None)
+    @given(lines)
+    def check(sample):
+        df = spark.createDataFrame([(v,) for v in sample], "value string")
+        got = {r.feature: r.n for r in text_counts(df).collect()}
+        assert got == dict(Counter(v for v in sample if v.endswith("orange")))
+
+    check()
