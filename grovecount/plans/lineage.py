@@ -1,20 +1,58 @@
 """Cutting lineage in iterative operators.
 
-Loops (edge thinning, hysteresis) materialise each round with a reliable
-``checkpoint()``: the rows land in the session's checkpoint folder
+Loops (edge thinning, hysteresis, components) materialise each round with a
+reliable ``checkpoint()``: the rows land in the session's checkpoint folder
 (``spark.checkpoint.dir``, which must be shared storage on a cluster), so a
 round survives lost executors and the next round's plan starts from it
 instead of replaying every earlier round.  ``localCheckpoint`` is never used:
 it keeps the rows on executors and loses them with the executor.
+
+A long-running job wraps each unit of work (a micro-batch) in
+``round_scope``; the rounds written inside it are deleted when it ends, so
+the checkpoint folder does not grow with the life of the stream.
 """
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from grovecount.session import ensure_checkpoint_dir
 
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("grovecount_rounds", default=None)
+
+
+def _remember(stored: DataFrame) -> None:
+    files = _SCOPE.get()
+    if files is None:
+        return
+    path = stored._jdf.logicalPlan().rdd().getCheckpointFile()
+    if path.isDefined():
+        files.append(path.get())
+
+
+@contextlib.contextmanager
+def round_scope(spark: SparkSession):
+    """Delete the round checkpoints written inside the block when it exits.
+
+    Use it only around work whose results are fully written out inside the
+    block (e.g. one micro-batch and its sinks).
+    """
+    files: list[str] = []
+    token = _SCOPE.set(files)
+    try:
+        yield files
+    finally:
+        _SCOPE.reset(token)
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for f in files:
+            p = jvm.org.apache.hadoop.fs.Path(f)
+            p.getFileSystem(conf).delete(p, True)
+
 
 class RoundTables:
     """Materialises loop rounds through reliable checkpoints."""
@@ -26,11 +64,14 @@ class RoundTables:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Compute ``df`` once, store it in the checkpoint folder, return the stored rows."""
-        return df.checkpoint(eager=True)
+        stored = df.checkpoint(eager=True)
+        _remember(stored)
+        return stored
 
     def write_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
         """``write`` plus the row count, observed inside the same job (loops use
         it as their stop test instead of running a separate ``isEmpty`` job)."""
         obs = Observation()
         stored = df.observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+        _remember(stored)
         return stored, int(obs.get["rows"])

@@ -22,6 +22,8 @@ BASE_CONF = {
     # Arrow batches into Python (image bytes, candidates) are bounded in bytes
     # as well as rows, so a batch of large images cannot exhaust a worker.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    # checkpoint files of unreachable round tables are removed by the cleaner
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

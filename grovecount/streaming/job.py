@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from grovecount.functions.text import ends_with
+from grovecount.plans.lineage import round_scope
 from grovecount.plans.modes import JobOptions, pipeline_for
 from grovecount.sources.text import stream_lines
 from grovecount.streaming.sinks import read_ledger, write_ledger, write_text_rows
@@ -96,7 +97,10 @@ def start_job(
         stamped = stamped.where(ends_with("value", opts.text_suffix))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        process_batch(spark, batch, batch_id, opts, extra_sinks)
+        # everything a batch checkpoints is written out by its sinks before the
+        # scope ends, so its round tables can go with it
+        with round_scope(spark):
+            process_batch(spark, batch, batch_id, opts, extra_sinks)
 
     writer = (
         stamped.writeStream.queryName(f"grovecount-{opts.mode.lower()}")

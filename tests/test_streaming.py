@@ -178,3 +178,15 @@ def test_progress_recorder_keeps_every_batch(spark, workdir):
         assert {r.feature: r.n for r in read_totals(spark, opts.output).collect()} == {"ripe orange": 6}
     finally:
         spark.streams.removeListener(rec)
+
+
+def test_round_scope_removes_batch_checkpoints(spark, workdir):
+    from grovecount.plans.lineage import RoundTables, round_scope
+
+    with round_scope(spark) as files:
+        RoundTables(spark, "t").write(spark.range(10), "a")
+        kept = RoundTables(spark, "t").write(spark.range(5), "b")
+        assert kept.count() == 5 and len(files) == 2
+        paths = [f.removeprefix("file:") for f in files]
+        assert all(os.path.exists(p) for p in paths)
+    assert not any(os.path.exists(p) for p in paths)
