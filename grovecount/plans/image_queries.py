@@ -1,8 +1,10 @@
-"""Registered circle-pipeline queries on scenes derived from ``nation`` (fixed
-25 images) and ``supplier`` (grows with the scale factor), and
-their SQL oracles (DuckDB dialect).
+"""Registered circle-pipeline queries on synthetic scenes, and their SQL
+oracles (DuckDB dialect).
 
-Scene: one 60x45 gray image per table row (see ``sources/scenes.py``).
+Scene: one 60x45 gray image per supplier row (the count grows with the
+scale factor), its disc shaped either by the supplier's nation row (the
+``scene_*`` / ``circle*`` / ``hough_*`` / ``crop_*`` queries) or by the
+supplier keys alone (``supplier_*``); see ``sources/scenes.py``.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from grovecount.plans.detect import DetectParams, detect_circles_in_images, edge
 from grovecount.sources.scenes import (
     SCENE_HEIGHT,
     SCENE_WIDTH,
+    nation_scenes,
     scene_dims,
     scene_images,
     scene_names,
@@ -31,6 +34,9 @@ from grovecount.sources.tables import read_table
 
 
 def _rows(spark, d, source):
+    if source == "nation":
+        # nation-shaped scenes, one per supplier: the work grows with the data
+        return nation_scenes(read_table(spark, d, "supplier"), read_table(spark, d, "nation"))
     return read_table(spark, d, source)
 
 
@@ -172,18 +178,20 @@ _WR = "(PARTITION BY image_id, y ORDER BY x)"
 _WC = "(PARTITION BY image_id, x ORDER BY y)"
 _ANGLE = "atan2(gy, gx)"
 
+# source -> (image id, position key, size key, FROM clause)
 _SOURCES = {
-    "nation": ("n_nationkey", "n_nationkey", "n_regionkey", "n_nationkey"),
-    "supplier": ("s_suppkey", "s_suppkey % 25", "s_nationkey % 5", "s_nationkey"),
+    "nation": ("s_suppkey", "n_nationkey", "n_regionkey",
+               "supplier JOIN nation ON s_nationkey = n_nationkey"),
+    "supplier": ("s_suppkey", "s_suppkey % 25", "s_nationkey % 5", "supplier"),
 }
 
 
 def _stages(source: str):
-    ident, k, g, _ = _SOURCES[source]
+    ident, k, g, src = _SOURCES[source]
     head = [
         ("disc", f"""SELECT {ident} AS image_id, 20 + (({k}) * 20) // 25 AS cx,
-                15 + ({g}) * 3 AS cy, 4 + ({g}) % 3 AS rad FROM {source}"""),
-        ("dims", f"SELECT {ident} AS image_id, {_W} AS width, {_H} AS height FROM {source}"),
+                15 + ({g}) * 3 AS cy, 4 + ({g}) % 3 AS rad FROM {src}"""),
+        ("dims", f"SELECT {ident} AS image_id, {_W} AS width, {_H} AS height FROM {src}"),
     ]
     return head + _STAGES
 
@@ -265,11 +273,10 @@ def _sql(final: str, source: str = "nation") -> str:
 
 
 def _type_counts_sql(source: str) -> str:
-    ident, _, _, nk = _SOURCES[source]
-    nation_join = "" if source == "nation" else f"JOIN nation ON {nk} = n_nationkey"
-    return _sql(f"""SELECT lower(r_name) AS feature, CAST(sum(coalesce(cnt.n, 0)) AS BIGINT) AS n
-        FROM {source} {nation_join} JOIN region ON n_regionkey = r_regionkey
-        LEFT JOIN cnt ON cnt.image_id = {ident} GROUP BY 1""", source)
+    # type = region of the supplier's nation, for both scene geometries
+    return _sql("""SELECT lower(r_name) AS feature, CAST(sum(coalesce(cnt.n, 0)) AS BIGINT) AS n
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        LEFT JOIN cnt ON cnt.image_id = s_suppkey GROUP BY 1""", source)
 
 
 _FINAL = {

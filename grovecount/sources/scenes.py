@@ -1,8 +1,14 @@
 """Synthetic scenes derived from a table: one small gray image per row.
 
-Each row of ``nation`` becomes a 60x45 image with one white disc on black;
-the disc's centre and radius follow from the row's keys, so the number of
-images (and pixels) grows with the table that drives it.
+Each supplier row becomes a 60x45 image with one white disc on black; the
+disc's centre and radius follow from the row's keys, so the number of
+images (and pixels) grows with the scale factor.  Two geometries:
+
+* ``nation_scenes``: the disc comes from the supplier's nation row
+  (k = n_nationkey, g = n_regionkey);
+* ``supplier`` rows alone: k = s_suppkey % 25, g = s_nationkey % 5.
+
+A bare ``nation`` table (25 rows at every scale) also works, for fixtures.
 """
 
 from __future__ import annotations
@@ -21,13 +27,23 @@ WHITE = 255
 
 def _keys(df: DataFrame) -> tuple[str, str, str]:
     """(image id, position key 0..24, size key 0..4) columns of a scene table."""
-    if "n_nationkey" in df.columns:
+    cols = set(df.columns)
+    if {"s_suppkey", "n_nationkey", "n_regionkey"} <= cols:
+        return "s_suppkey", "n_nationkey", "n_regionkey"
+    if "n_nationkey" in cols:
         return "n_nationkey", "n_nationkey", "n_regionkey"
-    if "s_suppkey" in df.columns:
+    if "s_suppkey" in cols:
         return "s_suppkey", "s_suppkey % 25", "s_nationkey % 5"
     raise ValueError("scenes are derived from nation or supplier rows")
 
 
+def nation_scenes(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    """One scene per supplier, shaped by its nation row (grows with the data)."""
+    return supplier.select("s_suppkey", "s_nationkey").join(
+        nation.select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey")
+    )
+
+
 def scene_discs(rows: DataFrame) -> DataFrame:
     """``image_id, cx, cy, radius`` for each row of ``nation`` or ``supplier``.
 

@@ -235,3 +235,24 @@ def test_band_candidates_equal_dataframe_stencil(spark, band):
     got = pd.concat(parts, ignore_index=True)[cols]
     got = sorted(tuple(v.item() if hasattr(v, "item") else v for v in row) for row in got.itertuples(index=False))
     assert got == ref and len(ref) > 100
+
+
+def test_survey_nation_scenes_numbers(spark):
+    """SURVEY §7.3: one 60x45 scene per nation row (25 images)."""
+    from pyspark.sql import functions as F
+
+    from conftest import SF_SMALL
+    from grovecount.sources.scenes import scene_dims, scene_pixels
+    from grovecount.sources.tables import read_table
+
+    nation = read_table(spark, SF_SMALL, "nation")
+    px = scene_pixels(nation)
+    assert px.agg(F.sum("v")).first()[0] == 475575
+    g = gradient(blur(px)).where("mag2 > 0").agg(F.count("*"), F.sum("mag2")).first()
+    assert tuple(g) == (4800, 46588120)
+    det = detect_circles(px, scene_dims(nation))
+    assert det.edges.count() == 1310
+    assert tuple(det.votes.agg(F.count("*"), F.sum("votes")).first()) == (34250, 524000)
+    assert det.candidates.count() == 1300
+    per = sorted(tuple(r) for r in det.counts.groupBy("n").count().collect())
+    assert per == [(1, 10), (6, 15)]
