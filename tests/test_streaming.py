@@ -190,3 +190,21 @@ def test_round_scope_removes_batch_checkpoints(spark, workdir):
         paths = [f.removeprefix("file:") for f in files]
         assert all(os.path.exists(p) for p in paths)
     assert not any(os.path.exists(p) for p in paths)
+
+
+def test_images_job_with_ingested_table_and_crops(spark, workdir):
+    from grovecount.plans.image_job import CROPS_FOLDER
+    from grovecount.sources.images import stream_ingest_images
+
+    src = os.path.join(workdir, "incoming-images")
+    os.makedirs(src)
+    write_png(os.path.join(src, "billiard_0.png"), gray_to_rgb(disc_scene(120, 90, [(60, 45, 9)])))
+    table = os.path.join(workdir, "image-table")
+    stream_ingest_images(spark, src, table, os.path.join(workdir, "ck-ingest"), available_now=True).awaitTermination()
+
+    opts = _opts(workdir, mode="IMAGES", images_table=table)
+    _put(opts, "m0.txt", "billiard_0.png\nbilliard_0.png\n")
+    start_job(spark, opts, available_now=True).awaitTermination()
+    assert {r.feature: r.n for r in read_totals(spark, opts.output).collect()} == {"billiard": 2}
+    crops = spark.read.parquet(os.path.join(opts.output, CROPS_FOLDER))
+    assert [(r.crop_name, r.a, r.b, r.r) for r in crops.collect()] == [("billiard_billiard_0_0.png", 60, 45, 10)]
