@@ -41,6 +41,7 @@ def grow_edges(
     kept = weak.where(F.col("mag2") > high * high).select(id_col, "x", "y")  # a filter of a stored table
     weak = weak.select(id_col, "x", "y")
     frontier = kept
+    parts = [kept]
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _NEIGHBOURHOOD])
     for _ in range(bfs_rounds):
         around = frontier.select(id_col, "x", "y", F.explode(shifts).alias("s")).select(
@@ -56,9 +57,11 @@ def grow_edges(
         frontier, n = rounds.write_counted(new, "new")
         if n == 0:
             return kept
-        # one materialised kept set per round (an anti-join against a union of
-        # checkpointed frames trips the optimizer on Spark 4.1)
-        kept = rounds.write(kept.unionByName(frontier), "kept")
+        # the kept set is the union of the stored rounds: nothing is rewritten
+        parts.append(frontier)
+        kept = parts[0]
+        for p in parts[1:]:
+            kept = kept.unionByName(p)
     return _by_components(weak, kept, rounds, id_col)
 
 
