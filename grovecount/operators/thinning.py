@@ -162,10 +162,10 @@ def _jump(open_: DataFrame, known: DataFrame, rounds: RoundTables, id_col: str)
             "open",
         )
         # pixels solved this round become landing points for the others
+        # (a union of stored rounds; nothing is rewritten)
         known = known.unionByName(
             solved.select(id_col, F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("k"))
         )
-        known = rounds.write(known, "known")
     return _union(solved_parts) if solved_parts else open_.select(
         id_col, "x", "y", "mag2", F.lit(False).alias("killed")
     ).limit(0)
