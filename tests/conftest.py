@@ -21,14 +21,12 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    ckpt = tempfile.mkdtemp(prefix="grovecount-test-ckpt-")
+    # spark.checkpoint.dir: the configured one if any, else a local folder
+    # chosen by build_session (local mode only)
     s = build_session(
         master="local[*]",
         shuffle_partitions=8,
-        extra={
-            "spark.checkpoint.dir": ckpt,
-            "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
-        },
+        extra={"spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER},
     )
     yield s
     s.stop()
