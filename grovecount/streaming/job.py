@@ -1,8 +1,11 @@
-"""The monitoring job as a Structured Streaming query (T-1a, T-3, T-4, T-5, T-6).
+"""The monitoring job as a Structured Streaming query (T-1a/T-1c, T-3..T-6).
 
 watched folder -> (stamp processing time) -> foreachBatch:
     mode pipeline -> sum per (10-second window, feature) -> text rows + ledger
 
+``JobOptions.windows="clock"`` (TEXT mode) uses timer windows instead (see
+``streaming/timers.py``): rows are emitted when a window's end has passed.
+
 Windows are processing-time "ticks": each micro-batch is stamped with the
 trigger time inside the streaming plan, so the stamp is recorded in the offset
 log and a replayed batch keeps its original window.  Two batches that fall in
