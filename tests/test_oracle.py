@@ -51,10 +51,18 @@ def test_every_query_has_an_oracle_or_is_listed():
     assert missing == set()
 
 
+# Spark type -> DuckDB type name of the same values
+_TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "StringType()": "VARCHAR",
+          "TimestampNTZType()": "TIMESTAMP", "DoubleType()": "DOUBLE", "BooleanType()": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF_SMALL)
-    res = con.execute(entry.oracle_sql()[name])
+    sql = entry.oracle_sql()[name]
+    res = con.execute(sql)
     ocols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(ocols)
+    otypes = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    assert {f.name: _TYPES.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields} == otypes
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(ocols, res.fetchall())
