@@ -62,7 +62,8 @@ def test_query_matches_oracle(spark, con, name):
     sql = entry.oracle_sql()[name]
     res = con.execute(sql)
     ocols = [d[0] for d in res.description]
+    orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
     otypes = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
     assert {f.name: _TYPES.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields} == otypes
-    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(ocols, res.fetchall())
+    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(ocols, orows)
