@@ -256,3 +256,10 @@ def test_survey_nation_scenes_numbers(spark):
     assert det.candidates.count() == 1300
     per = sorted(tuple(r) for r in det.counts.groupBy("n").count().collect())
     assert per == [(1, 10), (6, 15)]
+
+
+def test_gray_of_integer_mean(spark):
+    from grovecount.functions.image import gray_of
+
+    df = spark.createDataFrame([(30, 60, 91), (255, 255, 255), (0, 0, 2)], "r int, g int, b int")
+    assert [r.v for r in df.select(gray_of("r", "g", "b").alias("v")).collect()] == [60, 255, 0]
