@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,11 +53,19 @@ def accept_greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _accept_sorted(pdf: pd.DataFrame, id_col: str) -> pd.DataFrame:
-    """Greedy acceptance for consecutive images of a block sorted by image, then order."""
-    ids = pdf[id_col].to_numpy()
+def _boundaries(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Row positions where the group (``keys``) changes in a sorted block."""
+    change = np.zeros(max(len(pdf) - 1, 0), dtype=bool)
+    for c in keys:
+        v = pdf[c].to_numpy()
+        change |= v[1:] != v[:-1]
+    return np.flatnonzero(change) + 1
+
+
+def _accept_sorted(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Greedy acceptance for consecutive groups of a block sorted by group, then order."""
     a, b, r = (pdf[c].to_numpy(np.int64) for c in ("a", "b", "r"))
-    starts = np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]))
+    starts = np.concatenate(([0], _boundaries(pdf, keys), [len(pdf)]))
     rows, ks = [], []
     for s0, s1 in zip(starts[:-1], starts[1:]):
         picked = _greedy(a[s0:s1], b[s0:s1], r[s0:s1])
@@ -68,7 +76,7 @@ def _accept_sorted(pdf: pd.DataFrame, id_col: str) -> pd.DataFrame:
     return out
 
 
-def _accept_partition(id_col: str):
+def _accept_partition(keys: list[str]):
     def run(batches):
         carry = None
         for pdf in batches:
@@ -76,41 +84,91 @@ def _accept_partition(id_col: str):
                 pdf = pd.concat([carry, pdf], ignore_index=True)
             if pdf.empty:
                 continue
-            ids = pdf[id_col].to_numpy()
-            # the last image may continue in the next batch: hold it back
-            cut = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if (ids != ids[-1]).any() else 0
+            # the last group may continue in the next batch: hold it back
+            bounds = _boundaries(pdf, keys)
+            cut = int(bounds[-1]) if len(bounds) else 0
             carry = pdf.iloc[cut:]
             if cut:
-                yield _accept_sorted(pdf.iloc[:cut], id_col)
+                yield _accept_sorted(pdf.iloc[:cut], keys)
         if carry is not None and len(carry):
-            yield _accept_sorted(carry, id_col)
+            yield _accept_sorted(carry, keys)
 
     return run
 
 
-def accept_circles(cands: DataFrame, id_col: str = ID) -> DataFrame:
-    """``image_id, k, a, b, r, votes`` of accepted circles.
+# Above this many candidates in one image, acceptance is split into spatial
+# clusters (exact, see ``_spatial_clusters``) instead of one run per image.
+MAX_GROUP_CANDIDATES = 200_000
+_FORWARD = [(1, 0), (-1, 1), (0, 1), (1, 1)]
 
-    Candidates are hash-partitioned by image and sorted inside each partition
-    by (image, votes desc, r, a, b) in Spark; one pandas function then walks
-    the sorted Arrow batches, so an image is handled as a contiguous run and
-    no per-group frame is built.  Only thresholded candidates get here.
-    """
+
+def _greedy_runs(cands: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     id_type = cands.schema[id_col].dataType
-    schema = T.StructType([
-        T.StructField(id_col, id_type),
-        T.StructField("k", T.IntegerType()),
-        T.StructField("a", T.IntegerType()),
-        T.StructField("b", T.IntegerType()),
-        T.StructField("r", T.IntegerType()),
-        T.StructField("votes", T.LongType()),
-    ])
+    fields = [T.StructField(id_col, id_type), T.StructField("k", T.IntegerType())]
+    fields += [T.StructField(c, T.IntegerType()) for c in ("a", "b", "r")]
+    fields += [T.StructField("votes", T.LongType())]
+    fields += [T.StructField(c, cands.schema[c].dataType) for c in keys if c != id_col]
     ordered = (
-        cands.select(id_col, "a", "b", "r", "votes")
-        .repartition(id_col)
-        .sortWithinPartitions(id_col, F.desc("votes"), "r", "a", "b")
+        cands.select(id_col, "a", "b", "r", "votes", *[c for c in keys if c != id_col])
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, F.desc("votes"), "r", "a", "b")
+    )
+    return ordered.mapInPandas(_accept_partition(keys), T.StructType(fields))
+
+
+def _spatial_clusters(cands: DataFrame, id_col: str) -> DataFrame:
+    """Candidates with a ``cluster`` id such that acceptance never crosses clusters.
+
+    A candidate can only be blocked by an accepted one whose radius covers
+    its centre, so within distance R = the image's largest candidate radius.
+    With centres bucketed into R x R cells, interacting candidates share a
+    cell or touch diagonally; clusters are the connected components of the
+    occupied cells under 8-adjacency (computed by ``connected_components``).
+    """
+    from grovecount.operators.components import connected_components
+    from grovecount.plans.lineage import RoundTables
+
+    rounds = RoundTables(cands.sparkSession, "clusters")
+    reach = cands.groupBy(id_col).agg(F.max("r").alias("reach"))
+    cells_of = cands.join(reach, id_col).select(
+        "*",
+        F.floor(F.col("a") / F.col("reach")).alias("cx"),
+        F.floor(F.col("b") / F.col("reach")).alias("cy"),
+    )
+    cells = rounds.write(
+        cells_of.select(id_col, "cx", "cy").distinct().withColumn("node", F.monotonically_increasing_id()), "cells"
+    )
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _FORWARD])
+    nbr = cells.select(id_col, "cx", "cy", F.col("node").alias("src"), F.explode(steps).alias("s")).select(
+        id_col, (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "src"
+    )
+    edges = nbr.join(cells.withColumnRenamed("node", "dst"), [id_col, "cx", "cy"]).select("src", "dst")
+    labels = connected_components(edges)
+    cluster = cells.join(labels, "node", "left").select(
+        id_col, "cx", "cy", F.coalesce("label", "node").alias("cluster")
+    )
+    return cells_of.join(cluster, [id_col, "cx", "cy"]).select(id_col, "a", "b", "r", "votes", "cluster")
+
+
+def accept_circles(cands: DataFrame, id_col: str = ID, max_group: int = MAX_GROUP_CANDIDATES) -> DataFrame:
+    """``image_id, k, a, b, r, votes`` of accepted circles.
+
+    Candidates are hash-partitioned by group and sorted inside each partition
+    by (group, votes desc, r, a, b) in Spark; one pandas function then walks
+    the sorted Arrow batches, so a group is handled as a contiguous run and
+    no per-group frame is built.  A group is an image, or, when some image
+    has more than ``max_group`` candidates, a spatial cluster of one; then
+    ``k`` (the acceptance index within the image) is numbered afterwards in
+    the same order.  Only thresholded candidates get here.
+    """
+    biggest = cands.groupBy(id_col).count().agg(F.max("count").alias("m")).first()["m"] or 0
+    if biggest <= max_group:
+        return _greedy_runs(cands, id_col, [id_col])
+    runs = _greedy_runs(_spatial_clusters(cands, id_col), id_col, [id_col, "cluster"])
+    order = Window.partitionBy(id_col).orderBy(F.desc("votes"), "r", "a", "b")
+    return runs.select(
+        id_col, (F.row_number().over(order) - 1).cast("int").alias("k"), "a", "b", "r", "votes"
     )
-    return ordered.mapInPandas(_accept_partition(id_col), schema)
 
 
 def circle_counts(circles: DataFrame, dims: DataFrame, id_col: str = ID) -> DataFrame:

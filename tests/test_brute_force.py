@@ -140,3 +140,17 @@ def test_band_height_does_not_change_candidates(spark, workdir):
         rows = suppression_inputs_from_images(images, LOW, band=band).collect()
         results.append(sorted(tuple(r)[1:] for r in rows))
     assert results[0] == results[1] == results[2] and len(results[0]) > 50
+
+
+def test_acceptance_by_spatial_clusters_on_dense_candidates(spark, workdir):
+    from grovecount.operators.overlap import accept_circles
+
+    rgb = _noisy_scene(5, 160)
+    folder = os.path.join(workdir, "dense")
+    os.makedirs(folder)
+    write_png(os.path.join(folder, "dense_0.png"), rgb)
+    det = detect_circles_in_images(read_images(spark, folder))
+    _, _, accepted = _sequential(rgb)
+    split = accept_circles(det.candidates, max_group=0).orderBy("k").collect()
+    assert [(r.a, r.b, r.r, r.votes) for r in split] == accepted
+    assert [r.k for r in split] == list(range(len(accepted)))

@@ -263,3 +263,13 @@ def test_gray_of_integer_mean(spark):
 
     df = spark.createDataFrame([(30, 60, 91), (255, 255, 255), (0, 0, 2)], "r int, g int, b int")
     assert [r.v for r in df.select(gray_of("r", "g", "b").alias("v")).collect()] == [60, 255, 0]
+
+
+def test_acceptance_split_into_spatial_clusters_matches(spark, scenes):
+    from grovecount.operators.overlap import accept_circles
+
+    px, dims = scenes
+    cands = detect_circles(px, dims).candidates
+    whole = sorted(tuple(r) for r in accept_circles(cands).collect())
+    split = sorted(tuple(r) for r in accept_circles(cands, max_group=0).collect())
+    assert whole == split and len(whole) == 5
