@@ -14,6 +14,14 @@ from pyspark.sql import SparkSession
 # left to the caller: 8 on local[8], a few thousand on a large cluster (AQE then
 # coalesces small ones).
 BASE_CONF = {
+    # Broadcast only what was measured: plan-time size estimates of generated
+    # tables (pixel rows exploded from a few rows) and of checkpointed rounds
+    # are far too small (a 2.7 M-row pixel table is estimated at 11 KB), so
+    # estimate-based broadcast is off; adaptive execution still turns a join
+    # into a broadcast when a side's measured shuffle output is under 10 MB.
+    # Explicit broadcasts of size-checked tables (Hough offsets) are unaffected.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -38,6 +46,9 @@ def build_session(
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master.startswith("local"):
+        # local mode: every task runs in the driver JVM (only applies to a new JVM)
+        conf["spark.driver.memory"] = "8g"
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
