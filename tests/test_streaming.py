@@ -208,3 +208,28 @@ def test_images_job_with_ingested_table_and_crops(spark, workdir):
     assert {r.feature: r.n for r in read_totals(spark, opts.output).collect()} == {"billiard": 2}
     crops = spark.read.parquet(os.path.join(opts.output, CROPS_FOLDER))
     assert [(r.crop_name, r.a, r.b, r.r) for r in crops.collect()] == [("billiard_billiard_0_0.png", 60, 45, 10)]
+
+
+def test_command_line_entry(workdir):
+    import subprocess
+    import sys
+
+    inp = os.path.join(workdir, "cli-in")
+    os.makedirs(inp)
+    with open(os.path.join(inp, "tree_0.txt"), "w") as f:
+        f.write("ripe orange\nleaf\nripe orange\n")
+    out, ck = os.path.join(workdir, "cli-out"), os.path.join(workdir, "cli-ck")
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    proc = subprocess.run(
+        [sys.executable, "-m", "grovecount", "--mode", "TEXT", "--input", inp, "--output", out,
+         "--checkpoint", ck, "--available-now", "--master", "local[2]"],
+        cwd=repo, capture_output=True, text=True, timeout=300,
+    )
+    assert proc.returncode == 0, proc.stderr[-2000:]
+    lines = []
+    folder = os.path.join(out, "monitoring-data", "batch_id=0")
+    for name in sorted(os.listdir(folder)):
+        if name.startswith("part-"):
+            with open(os.path.join(folder, name)) as f:
+                lines += f.read().split()
+    assert " ".join(lines) == "(ripe orange,2)"
