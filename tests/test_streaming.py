@@ -233,3 +233,12 @@ def test_command_line_entry(workdir):
             with open(os.path.join(folder, name)) as f:
                 lines += f.read().split()
     assert " ".join(lines) == "(ripe orange,2)"
+
+
+def test_relational_sink_errors_fail_the_batch(spark):
+    from grovecount.streaming.sinks import jdbc_merge_sink
+
+    counts = spark.createDataFrame([("ripe orange", 2)], "feature string, n long")
+    sink = jdbc_merge_sink("jdbc:grovecount-unknown:totals", "staging", "SELECT ?", {"user": "u"})
+    with pytest.raises(Exception):
+        sink(counts, 7)  # no driver for the URL: raised, never swallowed
