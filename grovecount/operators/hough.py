@@ -18,12 +18,14 @@ MAX_BROADCAST_OFFSETS = 2_000_000
 
 
 def radius_ranges(dims: DataFrame, id_col: str = ID) -> DataFrame:
-    """``image_id, r_min, r_max`` from ``width, height`` (O-17)."""
+    """``image_id, r_min, r_max`` from ``width, height`` (O-17), for images whose
+    range holds at least one radius (an image under 10 px has none; note that
+    ``sequence(1, 0)`` would count down, so empty ranges are dropped here)."""
     return dims.select(
         id_col,
         radius_min("height", "width").alias("r_min"),
         radius_max("height", "width").alias("r_max"),
-    )
+    ).where(F.col("r_max") >= F.col("r_min"))
 
 
 def _offset_exprs(r, s, steps: int):

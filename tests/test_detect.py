@@ -273,3 +273,13 @@ def test_acceptance_split_into_spatial_clusters_matches(spark, scenes):
     whole = sorted(tuple(r) for r in accept_circles(cands).collect())
     split = sorted(tuple(r) for r in accept_circles(cands, max_group=0).collect())
     assert whole == split and len(whole) == 5
+
+
+def test_image_too_small_for_any_radius_has_no_circles(spark):
+    from grovecount.operators.hough import radius_ranges
+
+    imgs = {"tiny": np.pad(np.full((4, 4), 255, dtype=np.int32), 2), "ok": disc_scene(120, 90, [(60, 45, 9)])}
+    dims = dims_frame(spark, imgs)
+    assert {r.image_id for r in radius_ranges(dims).collect()} == {"ok"}
+    det = detect_circles(pixels_frame(spark, imgs), dims)
+    assert sorted(tuple(r) for r in det.counts.collect()) == [("ok", 1), ("tiny", 0)]
