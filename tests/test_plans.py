@@ -47,3 +47,21 @@ def test_votes_broadcast_only_the_offsets(spark):
     plan = _plan(vote_counts(edges, scene_dims(supplier)))
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
     assert "partial_sum" in plan and "hashpartitioning(image_id" in plan
+
+
+def test_pixel_table_never_broadcast_by_estimate(spark):
+    from grovecount.operators.crops import crop_pixels
+    from grovecount.sources.scenes import scene_pixels
+    from grovecount.sources.tables import read_table
+
+    supplier = read_table(spark, SF_SMALL, "supplier")
+    boxes = spark.createDataFrame([(0, 0, 18, 13, 26, 21)], "image_id long, k int, x0 int, y0 int, x1 int, y1 int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))  # estimate-based session
+        df = crop_pixels(boxes, scene_pixels(supplier))
+        plan = _plan(df)
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert df.count() == 64
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
