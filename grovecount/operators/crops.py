@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grovecount.functions.image import clamp
 from grovecount.operators.stencil import ID
+from grovecount.plans.lineage import guard_estimate_broadcast
 
 
 def crop_boxes(circles: DataFrame, dims: DataFrame, id_col: str = ID) -> DataFrame:
@@ -42,14 +43,5 @@ def crop_pixels(boxes: DataFrame, pixels: DataFrame, id_col: str = ID) -> DataFr
         id_col, "k",
         F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "y0", "y1",
     ).select(id_col, "k", "x", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"))
-    return cells.join(_never_estimated_broadcast(pixels), [id_col, "x", "y"]).select(id_col, "k", "x", "y", "v")
-
-
-def _never_estimated_broadcast(pixels: DataFrame) -> DataFrame:
-    """The pixel table's plan-time size estimate is tiny (it is exploded from a
-    few rows), so a session that broadcasts by estimate would try to broadcast
-    the whole table.  There, ask for a sort-merge join; under the measured-only
-    policy of ``build_session`` adaptive execution decides from real sizes."""
-    threshold = pixels.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "-1")
-    estimated = not threshold.strip().startswith("-") and threshold.strip() not in ("0", "0b")
-    return pixels.hint("merge") if estimated else pixels
+    # the pixel table's estimate is tiny (exploded from a few rows): never broadcast it by estimate
+    return cells.join(guard_estimate_broadcast(pixels), [id_col, "x", "y"]).select(id_col, "k", "x", "y", "v")

@@ -54,6 +54,20 @@ def round_scope(spark: SparkSession):
             p.getFileSystem(conf).delete(p, True)
 
 
+def guard_estimate_broadcast(df: DataFrame) -> DataFrame:
+    """Keep a session that broadcasts by plan-time estimate from broadcasting ``df``.
+
+    Generated tables and checkpointed rounds carry size estimates far below
+    their real size.  In a session with estimate-based broadcast on
+    (``spark.sql.autoBroadcastJoinThreshold`` > 0) their joins are asked to
+    sort-merge; under ``build_session``'s measured-only policy nothing is
+    hinted and adaptive execution decides from real sizes.
+    """
+    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "-1").strip()
+    estimated = not threshold.startswith("-") and threshold not in ("0", "0b")
+    return df.hint("merge") if estimated else df
+
+
 class RoundTables:
     """Materialises loop rounds through reliable checkpoints."""
 
@@ -66,7 +80,7 @@ class RoundTables:
         """Compute ``df`` once, store it in the checkpoint folder, return the stored rows."""
         stored = df.checkpoint(eager=True)
         _remember(stored)
-        return stored
+        return guard_estimate_broadcast(stored)
 
     def write_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
         """``write`` plus the row count, observed inside the same job (loops use
@@ -74,4 +88,4 @@ class RoundTables:
         obs = Observation()
         stored = df.observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
         _remember(stored)
-        return stored, int(obs.get["rows"])
+        return guard_estimate_broadcast(stored), int(obs.get["rows"])
