@@ -10,6 +10,10 @@ it keeps the rows on executors and loses them with the executor.
 A long-running job wraps each unit of work (a micro-batch) in
 ``round_scope``; the rounds written inside it are deleted when it ends, so
 the checkpoint folder does not grow with the life of the stream.
+
+A stored round keeps the (often far too small) size estimate of the plan it
+came from; ``guard_estimate_broadcast`` keeps sessions that broadcast by
+estimate from broadcasting it.
 """
 
 from __future__ import annotations
