@@ -16,6 +16,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from grovecount.plans.modes import JobOptions  # noqa: E402
 from grovecount.plans.registry import QUERIES  # noqa: E402
 from grovecount.session import build_session  # noqa: E402
@@ -58,6 +60,24 @@ def stream_text(spark, sf_dir, scratch):
     return dt, n_lines, total
 
 
+def workload_l(spark, sf_dir, scratch, copies: int = 9, files: int = 55):
+    """Opt-in (BENCH_WORKLOAD_L=1): the streaming TEXT job at the scale of the
+    reference's workload L: lineitem rows x ``copies`` as lines in ``files`` files,
+    read with 11 files per trigger (the batch shape of workload B)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    rows = li.select(F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("c"), "l_orderkey").select(
+        (F.col("l_orderkey") * copies + F.col("c")).alias("rid")
+    )
+    inp = os.path.join(scratch, "workload-l")
+    workload_lines(rows, "rid").repartition(files).write.mode("overwrite").text(inp)
+    n_lines = spark.read.text(inp).count()
+    opts = JobOptions(mode="TEXT", input=inp, output=os.path.join(scratch, "out-l"),
+                      checkpoint=os.path.join(scratch, "ck-l"), glob="part-*", max_files_per_trigger=11)
+    t0 = time.perf_counter()
+    start_job(spark, opts, available_now=True).awaitTermination()
+    return n_lines, time.perf_counter() - t0
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -93,6 +113,11 @@ def main():
             "supplier_images_per_sec_bands": round(n_suppliers / times["supplier_type_counts_bands"], 2),
         },
     }
+    if os.environ.get("BENCH_WORKLOAD_L") == "1":
+        n_l, dt_l = workload_l(spark, sf_dir, scratch)
+        out["queries"]["stream_workload_l"] = round(dt_l, 3)
+        out["rates"]["workload_l_lines"] = n_l
+        out["rates"]["workload_l_lines_per_sec"] = round(n_l / dt_l, 1)
     print(json.dumps(out))
     spark.stop()
 
