@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from grovecount.llm import exact, simhash
+from grovecount.llm import chat, exact, licenses, lines, packing, quality, simhash
 
 QUERIES = {
+    "op1_chat": chat.op1,
     "op2_simhash": simhash.op2,
+    "op5_lines": lines.op5,
     "op6_exact": exact.op6,
+    "op7_packing": packing.op7,
+    "op8_quality": quality.op8,
+    "op10_licenses": licenses.op10,
 }
 
 ORACLE_SQL = {

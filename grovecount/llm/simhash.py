@@ -236,7 +236,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     differing bits; enough of them to connect every bucket's components."""
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits must lie in 0..3")
-    distinct = fps.select("fp").distinct()
+    # dealt out explicitly: small now, these rows multiply in the next step
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fps.select("fp").distinct().repartition(parts, "fp")
     emitted = distinct.mapInArrow(_variants(max_bits), "variant long, fp long")
     runs = emitted.repartition("variant").sortWithinPartitions("variant")
     return runs.mapInArrow(_bucket_links(max_bits), "src long, dst long").distinct()
