@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from grovecount.llm import chat, exact, licenses, lines, packing, quality, simhash
+from grovecount.llm import chat, exact, licenses, lines, packing, quality, simhash, suffix
 
 QUERIES = {
     "op1_chat": chat.op1,
     "op2_simhash": simhash.op2,
+    "op3_suffix": suffix.op3,
     "op5_lines": lines.op5,
     "op6_exact": exact.op6,
     "op7_packing": packing.op7,
