@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +23,11 @@ def bare_words(text: Column) -> Column:
     return F.filter(F.split(text, BLANK + "+", -1), lambda w: w != "")
 
 
-def by_row(rows: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` for a function from (batch of columns as Python lists) to
-    a dict of output lists; batches stay as Spark cut them."""
+def same_row(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame) -> Column:
+    """Join condition between rows of ``docs`` and decisions keyed by ``id`` and
+    ``text_hash``: rows that repeat an id are told apart by their text."""
+    return docs[id_col].cast("long").eqNullSafe(decided["id"]) & (text_hash(docs[text_col]) == decided["text_hash"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = fn()
-        for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
 
-    return rows.mapInArrow(run, schema)
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))

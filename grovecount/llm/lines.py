@@ -92,29 +92,49 @@ def recurring_lines(docs: DataFrame, min_docs: int, leading: int, min_tokens: in
     return template.join(recurring.hint("merge"), ["leaf", "t"]).select("leaf", "key", F.col("first").alias("first_id"))
 
 
+def line_drops(docs: DataFrame, min_docs: int, leading: int, min_tokens: int) -> DataFrame:
+    """``id, drop``: keys of the lines to drop, for documents that have any."""
+    recurring = recurring_lines(docs, min_docs, leading, min_tokens)
+    found = _parsed(_lines(docs.where("id is not null")), leading, min_tokens).select("id", "leaf", "key").distinct()
+    return (
+        found.join(recurring.hint("merge"), ["leaf", "key"]).where(F.col("id") != F.col("first_id"))
+        .groupBy("id").agg(F.collect_set("key").alias("drop"))
+    )
+
+
 def drop_recurring_lines(
     docs: DataFrame, min_docs: int = 10, leading: int = 2, min_tokens: int = 3,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """``id, text, kept_text, n_lines, n_dropped`` per row."""
-    rows = keyed_text(docs, id_col, text_col)
-    recurring = recurring_lines(rows, min_docs, leading, min_tokens)
-    found = _parsed(_lines(rows.where("id is not null")), leading, min_tokens).select("id", "leaf", "key").distinct()
-    drops = (
-        found.join(recurring.hint("merge"), ["leaf", "key"]).where(F.col("id") != F.col("first_id"))
-        .groupBy("id").agg(F.collect_set("key").alias("drop"))
+    """``doc`` (a struct of the row's other columns), ``id, text, kept_text,
+    n_lines, n_dropped`` per row."""
+    drops = line_drops(keyed_text(docs, id_col, text_col), min_docs, leading, min_tokens)
+    rows = docs.select(
+        docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
+        F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("doc") if len(docs.columns) > 1
+        else F.struct(F.lit(None).alias("none")).alias("doc"),
     )
-    split = F.split("text", "\n", -1)
-    # a short line could share no key with a judged one but by collision of 64 bits
-    kept = F.filter(split, lambda x: ~F.array_contains("drop", line_key(x)))
+    lines = F.split("text", "\n", -1)
+    kept = F.filter(lines, lambda x: ~F.array_contains("drop", line_key(x)))
     out = rows.join(drops.hint("shuffle_hash"), "id", "left")
     return out.select(
-        "id", "text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        F.size(split).cast("long").alias("n_lines"),
-        F.when(F.col("drop").isNull(), 0).otherwise(F.size(split) - F.size(kept)).cast("long").alias("n_dropped"),
+        "doc", "id", "text",
+        F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.when(F.col("drop").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"),
     )
 
 
+def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **tree) -> DataFrame:
+    """``docs`` with its columns, less the lines of recurring templates and less
+    the documents of which nothing else was left."""
+    out = drop_recurring_lines(docs, id_col=id_col, text_col=text_col, **tree)
+    out = out.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[
+        F.col("kept_text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns
+    ])
+
+
 def op5(spark, sf_dir):
     from grovecount.sources.tables import read_table
 

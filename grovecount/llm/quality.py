@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovecount.llm.common import bare_words, keyed_text
+from grovecount.llm.common import bare_words, keyed_text, same_row, text_hash
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -79,14 +79,14 @@ def repeat_words(words: Column) -> Column:
 
 
 def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and the counts of ``COUNTS`` for every row."""
+    """``id, text_hash`` and the counts of ``COUNTS`` for every row."""
     words, lines = F.col("words"), F.col("lines")
     split = keyed_text(docs, id_col, text_col).select(
         "id", "text", bare_words(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     return split.select(
-        "id",
+        "id", text_hash(F.col("text")).alias("text_hash"),
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -182,6 +182,12 @@ def learn_rules(
             out = out & (F.col("b_" + name) <= b if op == "<=" else F.col("b_" + name) > b)
         return out
 
+    def middle(name: str, cut: float) -> float:
+        """Halfway between the values on the two sides of a threshold."""
+        value = feature_columns()[name]
+        low, high = labelled.agg(F.max(F.when(value <= cut, value)), F.min(F.when(value > cut, value))).first()
+        return float(cut if low is None or high is None else (low + high) / 2)
+
     # documents that fall into the same bins everywhere are one weighted row
     rest = (
         labelled.select("bad", "grow", *[bin_of(n).alias("b_" + n) for n in names])
@@ -228,7 +234,7 @@ def learn_rules(
         if precision < min_precision or got[f"s{-at}_1"] < min_cover:
             break
         rule = prefixes[-at]
-        rules.append([(n, op, float(cuts[n][b])) for n, op, b in rule])
+        rules.append([(n, op, middle(n, cuts[n][b])) for n, op, b in rule])
         rest = rest.where(~holds(rule))
     return rules
 
@@ -237,7 +243,8 @@ def judge(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality",
     **learning,
 ) -> DataFrame:
-    """``id``, ``COUNTS``, ``base_failed``, ``kept`` for every row of ``docs``."""
+    """``id, text_hash``, ``COUNTS``, ``base_failed``, ``kept`` for every row of
+    ``docs``."""
     counts = document_counts(docs, id_col, text_col).checkpoint()
     marks = labels.select(labels[id_col].cast("long").alias("id"), labels[quality_col].alias("q")).where("q in (0, 1)")
     labelled = (
@@ -249,6 +256,16 @@ def judge(
     return counts.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def passing(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality",
+    **learning,
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    judged = judge(docs, labels, id_col, text_col, quality_col, **learning)
+    keep = judged.where("kept").select("id", "text_hash").distinct()
+    return docs.join(keep.hint("shuffle_hash"), same_row(docs, id_col, text_col, keep), "left_semi")
+
+
 def op8(spark, sf_dir):
     from grovecount.sources.tables import read_table
 

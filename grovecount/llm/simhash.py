@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovecount.llm.common import keyed_text
+from grovecount.llm.common import keyed_text, same_row, text_hash
 from grovecount.operators.components import connected_components
 
 SEED = 42
@@ -69,14 +69,17 @@ def fingerprint(text: str, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` for every row."""
+    """``id, fp, text_hash`` for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t, shingle) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.array(fps, pa.int64()), b.column("text_hash")], ["id", "fp", "text_hash"]
+            )
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
+    rows = keyed_text(docs, id_col, text_col).withColumn("text_hash", text_hash(F.col("text")))
+    return rows.mapInArrow(run, "id long, fp long, text_hash long")
 
 
 def _masks(block: int, radius: int) -> np.ndarray:
@@ -247,16 +250,34 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``id, fp, component`` per row; ``component`` is the smallest id reachable
-    over links of at most ``max_bits`` differing bits."""
+    """``id, fp, text_hash, group, component`` per row; ``component`` is the
+    smallest id reachable over links of at most ``max_bits`` differing bits, and
+    ``group`` a fingerprint of the component that stands for it."""
     fps = fingerprints(docs, shingle, id_col, text_col).checkpoint()
     least = fps.groupBy("fp").agg(F.min("id").alias("least"))
     labels = connected_components(fingerprint_links(fps, max_bits)).withColumnRenamed("node", "fp")
     # one row per distinct fingerprint: label defaults to itself
     named = least.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     roots = named.groupBy("label").agg(F.min("least").alias("component"))
-    classes = named.join(roots, "label").select("fp", "component")
-    return attach(fps, classes, "fp").select("id", "fp", "component")
+    classes = named.join(roots, "label").select("fp", F.col("label").alias("group"), "component")
+    return attach(fps, classes, "fp").select("id", "fp", "text_hash", "group", "component")
+
+
+def without_near_duplicates(
+    docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group: the one with the smallest id (rows
+    without an id come last, then the smallest text hash)."""
+    found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"))).alias("f")
+    keep = found.groupBy("group").agg(first).select("f.id", "f.text_hash")
+    out = docs.join(keep.hint("shuffle_hash"), same_row(docs, id_col, text_col, keep), "left_semi")
+    # rows that repeat both id and text are all of them the first
+    again = found.groupBy("id", "text_hash").count().where("count > 1").select("id", "text_hash")
+    again = again.hint("shuffle_hash")
+    single = out.join(again, same_row(out, id_col, text_col, again), "left_anti")
+    repeated = out.join(again, same_row(out, id_col, text_col, again), "left_semi").dropDuplicates([id_col, text_col])
+    return single.unionByName(repeated)
 
 
 def attach(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:

@@ -396,7 +396,7 @@ def _window_batch(span: int, parts: int):
     return run
 
 
-RESULT_SCHEMA = "id long, kept binary, n_bytes long, n_removed long, n_spans long, was string"
+RESULT_SCHEMA = "id long, kept binary, n_bytes long, n_removed long, n_spans long, was string, text string"
 
 
 def _finish_batch(span: int):
@@ -423,12 +423,13 @@ def _finish_batch(span: int):
                 else:
                     spans, kept = 0, data.tobytes()
                 was = hashlib.sha256(data).hexdigest() if spans else None
-                rows.append((int(batch.ids[i]), kept, e - s, e - s - len(kept), spans, was))
-        cols = list(zip(*rows)) or [()] * 6
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                text = kept.decode("utf-8", "ignore") if spans else None
+                rows.append((int(batch.ids[i]), kept, e - s, e - s - len(kept), spans, was, text))
+        cols = list(zip(*rows)) or [()] * 7
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table({
             n: pa.array(c, k)
-            for n, c, k in zip(("id", "kept", "n_bytes", "n_removed", "n_spans", "was"), cols, kinds)
+            for n, c, k in zip(("id", "kept", "n_bytes", "n_removed", "n_spans", "was", "text"), cols, kinds)
         })
 
     return run
@@ -466,9 +467,10 @@ def batch_bounds(docs: DataFrame, batch_bytes: int) -> list[int]:
 def remove_repeats(
     docs: DataFrame, span: int = 50, batch_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """``id, kept, n_bytes, n_removed, n_spans, was`` per row of ``docs``:
-    ``kept`` are the remaining bytes concatenated; ``was`` is the SHA-256 of the
-    text as it was, where something was removed."""
+    """``id, kept, n_bytes, n_removed, n_spans, was, text`` per row of ``docs``:
+    ``kept`` are the remaining bytes concatenated.  Where something was removed,
+    ``was`` is the SHA-256 of the text as it was and ``text`` is ``kept`` less the
+    halves of characters that were cut through."""
     if span < GRAM + 8:
         raise ValueError(f"span must be at least {GRAM + 8} bytes")
     every = keyed_text(docs, id_col, text_col)
@@ -494,11 +496,23 @@ def remove_repeats(
     loose = every.where("id is null").select(
         "id", F.encode("text", "UTF-8").alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.lit(None).cast("string").alias("was"),
+        F.lit(None).cast("string").alias("was"), F.lit(None).cast("string").alias("text"),
     )
     return out.unionByName(loose)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """``docs`` with its columns, less repeated passages and less the documents
+    of which nothing else was left."""
+    found = remove_repeats(docs, id_col=id_col, text_col=text_col, **limits).where("n_removed > 0")
+    # rows that repeat id and text had the same taken out
+    changed = found.groupBy(F.col("id").alias("__id"), F.col("was").alias("__was")).agg(F.first("text").alias("__text"))
+    same = (docs[id_col].cast("long") == changed["__id"]) & (F.sha2(docs[text_col].cast("string"), 256) == changed["__was"])
+    out = docs.join(changed.hint("shuffle_hash"), same, "left")
+    out = out.where(F.col("__was").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.coalesce("__text", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+
+
 def op3(spark, sf_dir):
     from grovecount.sources.tables import read_table
 
