@@ -16,7 +16,7 @@ then on.
 
 Edge cases: null text counts as empty; lines of fewer than ``min_tokens``
 tokens (blank lines among them) always stay; rows with a null id neither
-count nor change; rows that repeat an id count as one document and get the
+count nor change; rows that repeat an id count as documents each and get the
 same decisions; an empty table gives an empty result.
 """
 
@@ -25,56 +25,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovecount.llm.common import bare_words, keyed_text
+from grovecount.llm.common import bare_words, let
 
 FIELD = "<*>"
 
 
-def masked(line: Column) -> Column:
+def masked(text: Column) -> Column:
     """Tokens that hold a digit become fields (anchored at token starts)."""
-    return F.when(
-        line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)
-    ).otherwise(line)
+    field = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, field, FIELD)).otherwise(text)
 
 
-def line_key(line: Column) -> Column:
-    return F.xxhash64(masked(line))
+def _masked_lines(text: Column) -> Column:
+    """Distinct masked lines of a text."""
+    return F.array_distinct(F.split(masked(text), "\n", -1))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("id", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.col("line") != "")
+def _leaf(tokens: Column, leading: int) -> Column:
+    """Path from the root: token count, then the leading tokens."""
+    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, leading))
 
 
-def _parsed(lines: DataFrame, leading: int, min_tokens: int) -> DataFrame:
-    """``id, tokens, n, leaf, key`` of the lines long enough to judge."""
-    return (
-        lines.select("id", bare_words(masked(F.col("line"))).alias("tokens"), line_key(F.col("line")).alias("key"))
-        .withColumn("n", F.size("tokens"))
-        .where(F.col("n") >= min_tokens)
-        .withColumn("leaf", F.xxhash64("n", F.slice("tokens", 1, leading)))
-    )
+def parse(docs: DataFrame, leading: int, min_tokens: int) -> DataFrame:
+    """``id, key, leaf``: each masked line of a document once, as hashes."""
+
+    def path(line: Column) -> Column:
+        return let(
+            bare_words(line),
+            lambda w: F.struct(
+                F.xxhash64(line).alias("key"),
+                F.when(F.size(w) >= min_tokens, _leaf(w, leading)).alias("leaf"),
+            ),
+        )
+
+    # one array expression, so that each line is split once
+    found = docs.where("id is not null").select("id", F.explode(F.transform(_masked_lines(F.col("text")), path)).alias("x"))
+    return found.select("id", "x.key", "x.leaf").where("leaf is not null")
 
 
-def recurring_lines(docs: DataFrame, min_docs: int, leading: int, min_tokens: int) -> DataFrame:
+def recurring_lines(docs: DataFrame, parsed: DataFrame, min_docs: int, leading: int) -> DataFrame:
     """``key, first_id``: lines (by key) of a recurring template, and the first
-    document that has the template.  ``docs`` has ``id, text``."""
-    found = _parsed(_lines(docs.where("id is not null")), leading, min_tokens)
-    in_docs = found.groupBy("leaf", "key", "id").agg(F.first("n").alias("n"))
-    lines = in_docs.groupBy("leaf", "key").agg(F.count("*").alias("d"), F.min("id").alias("first_id")).checkpoint()
+    document that has the template."""
+    lines = parsed.groupBy("key").agg(
+        F.count("*").alias("d"), F.min("id").alias("first_id"), F.first("leaf").alias("leaf")
+    )
     # a line whose leaf has too few supporters is out
     leaves = lines.groupBy("leaf").agg(F.sum("d").alias("leaf_d")).where(F.col("leaf_d") >= min_docs).select("leaf")
-    alive = lines.join(leaves.hint("merge"), "leaf")
-    # fetch the tokens of one copy of each line left, from the first document that has it
+    alive = lines.join(leaves.hint("merge"), "leaf").checkpoint()
+    # fetch one copy of each line left, from the first document that has it
     wanted = alive.groupBy(F.col("first_id").alias("id")).agg(F.collect_list("key").alias("want"))
     texts = docs.join(wanted.hint("shuffle_hash"), "id").select(
-        "id", F.explode(F.array_distinct(F.filter(F.split("text", "\n", -1), lambda x: x != ""))).alias("line"), "want"
-    ).where(F.array_contains("want", line_key(F.col("line")))).select("id", "line")
-    tokens = (
-        _parsed(texts, leading, min_tokens).groupBy("leaf", "key").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n"))
+        F.explode(
+            F.filter(_masked_lines(F.col("text")), lambda x: F.array_contains("want", F.xxhash64(x)))
+        ).alias("line")
     )
-    known = alive.join(tokens.hint("merge"), ["leaf", "key"]).checkpoint()
+    tokens = texts.groupBy(F.xxhash64("line").alias("key")).agg(F.first("line").alias("line"))
+    known = alive.join(tokens.hint("merge"), "key").withColumn("tokens", bare_words(F.col("line")))
     # support of each token at its position in the leaf
-    at = known.select("leaf", "key", "d", "first_id", "n", F.posexplode("tokens").alias("i", "token"))
+    at = known.select("leaf", "key", "d", "first_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
     support = at.groupBy("leaf", "i", "token").agg(F.sum("d").alias("support"))
     constant = support.where(F.col("support") >= min_docs).select("leaf", "i", "token", F.lit(True).alias("constant"))
     general = at.join(constant.hint("merge"), ["leaf", "i", "token"], "left").withColumn(
@@ -89,17 +97,14 @@ def recurring_lines(docs: DataFrame, min_docs: int, leading: int, min_tokens: in
     recurring = template.groupBy("leaf", "t").agg(
         F.sum("d").alias("docs"), F.min("first_id").alias("first")
     ).where(F.col("docs") >= min_docs)
-    return template.join(recurring.hint("merge"), ["leaf", "t"]).select("leaf", "key", F.col("first").alias("first_id"))
+    return template.join(recurring.hint("merge"), ["leaf", "t"]).select("key", F.col("first").alias("first_id"))
 
 
-def line_drops(docs: DataFrame, min_docs: int, leading: int, min_tokens: int) -> DataFrame:
+def line_drops(docs: DataFrame, parsed: DataFrame, min_docs: int, leading: int) -> DataFrame:
     """``id, drop``: keys of the lines to drop, for documents that have any."""
-    recurring = recurring_lines(docs, min_docs, leading, min_tokens)
-    found = _parsed(_lines(docs.where("id is not null")), leading, min_tokens).select("id", "leaf", "key").distinct()
-    return (
-        found.join(recurring.hint("merge"), ["leaf", "key"]).where(F.col("id") != F.col("first_id"))
-        .groupBy("id").agg(F.collect_set("key").alias("drop"))
-    )
+    recurring = recurring_lines(docs, parsed, min_docs, leading)
+    found = parsed.select("id", "key").join(recurring.hint("merge"), "key").where(F.col("id") != F.col("first_id"))
+    return found.groupBy("id").agg(F.collect_set("key").alias("drop"))
 
 
 def drop_recurring_lines(
@@ -108,20 +113,26 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """``doc`` (a struct of the row's other columns), ``id, text, kept_text,
     n_lines, n_dropped`` per row."""
-    drops = line_drops(keyed_text(docs, id_col, text_col), min_docs, leading, min_tokens)
     rows = docs.select(
         docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
-        F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("doc") if len(docs.columns) > 1
-        else F.struct(F.lit(None).alias("none")).alias("doc"),
+        F.struct(F.lit(True).alias("__row"), *[docs[c] for c in docs.columns if c != text_col]).alias("doc"),
+    )
+    # both joins below share this exchange of the texts
+    dealt = rows.where("id is not null").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    parsed = parse(rows, leading, min_tokens).checkpoint()
+    drops = line_drops(dealt, parsed, min_docs, leading)
+    out = dealt.join(drops.hint("shuffle_hash"), "id", "left")
+    out = out.unionByName(rows.where("id is null"), allowMissingColumns=True).select(
+        "doc", "id", "text", F.col("drop").isNotNull().alias("hit"), F.split("text", "\n", -1).alias("lines"), "drop"
+    ).withColumn(
+        "kept",
+        F.when(F.col("hit"), F.filter("lines", lambda x: ~F.array_contains("drop", F.xxhash64(masked(x))))),
     )
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains("drop", line_key(x)))
-    out = rows.join(drops.hint("shuffle_hash"), "id", "left")
     return out.select(
         "doc", "id", "text",
-        F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.when(F.col("drop").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"),
+        F.when(F.col("hit"), F.array_join("kept", "\n")).otherwise(F.col("text")).alias("kept_text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.when(F.col("hit"), F.size("lines") - F.size("kept")).otherwise(0).cast("long").alias("n_dropped"),
     )
 
 

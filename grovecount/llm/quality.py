@@ -23,23 +23,16 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovecount.llm.common import bare_words, keyed_text, same_row, text_hash
+from grovecount.llm.common import bare_words, keyed_text, let, same_row, text_hash
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_digits"]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body`` any number of times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def repeat_words(words: Column) -> Column:
     """Words inside windows of ``WINDOW`` words that occur twice or more."""
 
