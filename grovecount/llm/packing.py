@@ -143,13 +143,16 @@ def _left(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
+MATCH_SLOT, MATCH_PIECE, UNPLACED = 0, 1, 2
+
+
 def _rank_segments(counts) -> tuple[list[tuple], int]:
     """Match what the partitions left over, by rank.
 
     ``counts``: {pid: (pieces left, slots left)}.  Pieces of a partition take
-    the latest free slots of the partitions above it.  Gives rows (kind, pid,
-    from, to, base): ranks from..to-1 of that kind and partition are match
-    numbers base.., or, for kind 3, unplaced pieces numbered from base.
+    the latest free slots of the partitions above it.  Gives rows (role, pid,
+    from, to, base): ranks from..to-1 of that role and partition are match
+    numbers from base on or, for unplaced pieces, their numbers from base on.
     """
     segments, stack, matches, unplaced = [], [], 0, 0
     for pid in sorted(counts):
@@ -158,26 +161,53 @@ def _rank_segments(counts) -> tuple[list[tuple], int]:
         while done < n_pieces and stack:
             top = stack[-1]
             n = min(n_pieces - done, top[2] - top[1])
-            segments.append((1, pid, done, done + n, matches))
-            segments.append((0, top[0], top[1], top[1] + n, matches))
+            segments.append((MATCH_PIECE, pid, done, done + n, matches))
+            segments.append((MATCH_SLOT, top[0], top[1], top[1] + n, matches))
             top[1] += n
             done += n
             matches += n
             if top[1] == top[2]:
                 stack.pop()
         if done < n_pieces:
-            segments.append((3, pid, done, n_pieces, unplaced))
+            segments.append((UNPLACED, pid, done, n_pieces, unplaced))
             unplaced += n_pieces - done
         if n_slots:
             stack.append([pid, 0, n_slots])
     return segments, unplaced
 
 
-def _sweep(spark, waiting: DataFrame, bins: DataFrame, lo: int, hi: int):
+def _numbered(left: DataFrame, segments: list[tuple]) -> DataFrame:
+    """``role, number, item, size`` of what the sweep left over; ``segments``
+    are a few rows per partition."""
+    # by (piece or slot, partition, rank): where each segment begins
+    table = sorted((int(role != MATCH_SLOT), pid, lo, hi, role, base) for role, pid, lo, hi, base in segments)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = np.array(table, dtype=np.int64).reshape(-1, 6)
+        begin = (cols[:, 0] << 62) + (cols[:, 1] << 40) + cols[:, 2]
+        for b in batches:
+            kind, pid, rank = (b.column(c).to_numpy().astype(np.int64) for c in ("kind", "pid", "rank"))
+            at = np.searchsorted(begin, (kind << 62) + (pid << 40) + rank, side="right") - 1
+            if not len(cols):
+                continue
+            seg = cols[np.maximum(at, 0)]
+            hit = (at >= 0) & (seg[:, 0] == kind) & (seg[:, 1] == pid) & (rank < seg[:, 3])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(seg[hit, 4].astype(np.int32)), pa.array((seg[:, 5] + rank - seg[:, 2])[hit]),
+                    b.column("item").filter(pa.array(hit)), b.column("size").filter(pa.array(hit)),
+                ],
+                ["role", "number", "item", "size"],
+            )
+
+    return left.mapInArrow(run, "role int, number long, item long, size long")
+
+
+def _sweep(waiting: DataFrame, bins: DataFrame, lo: int, hi: int) -> tuple[DataFrame, DataFrame, int]:
     """One sweep of the pieces ``waiting`` (item, size) over ``bins`` (seq, gap).
 
     Returns the placements (item, size, seq), the unplaced pieces (item, size,
-    number: 0 for the largest), and their count and total size.
+    number: 0 for the largest) and their count.
     """
     n_slots = F.greatest(F.lit(1), F.floor(F.col("gap") / hi))
     slots = (
@@ -201,66 +231,50 @@ def _sweep(spark, waiting: DataFrame, bins: DataFrame, lo: int, hi: int):
     counts: dict[int, list[int]] = {}
     for r in swept.where("kind < 2").groupBy("pid", "kind").count().collect():  # two counts a partition
         counts.setdefault(r.pid, [0, 0])[1 - r.kind] = r["count"]
-    segments, unplaced = _rank_segments(counts)
-    # as many rows as partitions, a few times over
-    table = F.broadcast(spark.createDataFrame(segments, "s int, p int, lo long, hi long, base long"))
-
-    def ranked(kind: int, segment: int) -> DataFrame:
-        left = swept.where(F.col("kind") == kind)
-        at = (F.col("pid") == F.col("p")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-        return left.join(table.where(F.col("s") == segment), at).withColumn(
-            "number", F.col("base") + F.col("rank") - F.col("lo")
-        )
-
-    matched = ranked(1, 1).select("number", "item", "size").join(
-        ranked(0, 0).select("number", F.col("item").alias("seq")).hint("merge"), "number"
-    )
-    placed = swept.where("kind = 2").select("item", "size", "seq").unionByName(matched.select("item", "size", "seq"))
-    return placed, ranked(1, 3).select("item", "size", "number"), unplaced
+    segments, n = _rank_segments(counts)
+    numbered = _numbered(swept.where("kind < 2"), segments)
+    pieces_left = numbered.where(F.col("role") == MATCH_PIECE).select("number", "item", "size")
+    slots_left = numbered.where(F.col("role") == MATCH_SLOT).select("number", F.col("item").alias("seq"))
+    matched = pieces_left.join(slots_left.hint("merge"), "number").select("item", "size", "seq")
+    placed = swept.where("kind = 2").select("item", "size", "seq").unionByName(matched)
+    return placed, numbered.where(F.col("role") == UNPLACED).select("item", "size", "number"), n
 
 
 def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     """Place ``item`` (unique long) of ``size`` (1..capacity) tokens: returns
     ``item, size, seq, offset``."""
-    spark = sizes.sparkSession
     band_list = bands(capacity)
-    alone = sizes.where(F.col("size") * 2 > capacity).select("item", "size", F.col("item").alias("seq"))
-    placements = [alone]
-    bins = alone.select("seq", (capacity - F.col("size")).alias("gap")).where("gap > 0")
+    # what is over half the capacity shares a sequence with smaller pieces only
+    every = sizes.where(F.col("size") * 2 > capacity).select("item", "size", F.col("item").alias("seq"))
     band = F.lit(None).cast("int")
     for i, (lo, hi, _) in enumerate(band_list):
         band = F.when((F.col("size") > lo) & (F.col("size") <= hi), i).otherwise(band)
-    present = {r.b: (r.n, r.t) for r in sizes.groupBy(band.alias("b")).agg(
-        F.count("*").alias("n"), F.sum("size").alias("t")).where("b is not null").collect()}
+    present = {r.b for r in sizes.select(band.alias("b")).where("b is not null").distinct().collect()}
     for i, (lo, hi, k) in enumerate(band_list):
         if i not in present:
             continue
         waiting = sizes.where((F.col("size") > lo) & (F.col("size") <= hi)).select("item", "size")
-        while True:
-            placed, unplaced, n = _sweep(spark, waiting, bins, lo, hi)
+        n = 1
+        while n:
+            gaps = every.groupBy("seq").agg((capacity - F.sum("size")).alias("gap")).where("gap > 0")
+            placed, unplaced, n = _sweep(waiting, gaps, lo, hi)
             if n:
+                # the largest pieces left open sequences: as many as all of them need at least
                 if k:
                     opening = math.ceil(n / k)
                 else:
                     opening = math.ceil(unplaced.agg(F.sum("size")).first()[0] / capacity)
-                opened = unplaced.where(F.col("number") < opening).select("item", "size", F.col("item").alias("seq"))
-                placed = placed.unionByName(opened)
-            placed = placed.checkpoint()
-            placements.append(placed)
-            used = placed.groupBy("seq").agg(F.sum("size").alias("used"))
-            if n:
-                bins = bins.unionByName(opened.select("seq", F.lit(capacity).cast("long").alias("gap")))
-            bins = (
-                bins.join(used.hint("merge"), "seq", "left")
-                .select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
-                .where("gap > 0").checkpoint()
-            )
-            if n <= (opening if n else 0):
-                break
-            waiting = unplaced.where(F.col("number") >= opening).select("item", "size")
-    every = placements[0]
-    for p in placements[1:]:
-        every = every.unionByName(p)
+                opened = unplaced.where(F.col("number") < opening)
+                placed = placed.unionByName(opened.select("item", "size", F.col("item").alias("seq")))
+                waiting = unplaced.where(F.col("number") >= opening)
+                if k:  # any k of the band fit one sequence, so the rest follow by rank
+                    turn = waiting.withColumn("turn", F.col("number") % opening)
+                    seqs = opened.select(F.col("number").alias("turn"), F.col("item").alias("seq"))
+                    placed = placed.unionByName(turn.join(seqs.hint("merge"), "turn").select("item", "size", "seq"))
+                    n = 0
+                else:
+                    waiting, n = waiting.select("item", "size"), max(0, n - opening)
+            every = every.unionByName(placed.checkpoint())
     # a sequence holds at most `capacity` pieces, so its window is bounded
     before = W.partitionBy("seq").orderBy(F.desc("size"), "item").rowsBetween(W.unboundedPreceding, -1)
     return every.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))

@@ -73,14 +73,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _grams(buf: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as one integer (zeros beyond the end)."""
-    padded = np.zeros(len(buf) + 16, dtype=np.uint8)
-    padded[: len(buf)] = buf
-    out = np.empty(len(buf) + 8, dtype=np.uint64)
-    for s in range(8):
-        part = padded[s : s + (len(padded) - s) // 8 * 8].view("<u8")
-        out[s::8] = part[: len(out[s::8])]
-    return out[: len(buf)]
+    """The 8 bytes from each position as one integer (a view, unaligned)."""
+    return np.ndarray((max(0, len(buf) - 7),), dtype="<u8", buffer=buf, strides=(1,))
 
 
 def _fold(grams: list[np.ndarray]) -> np.ndarray:
@@ -111,7 +105,6 @@ class Batch:
 
     def __init__(self, ids: np.ndarray, texts: pa.Array, span: int):
         order = np.argsort(ids, kind="stable")
-        self.order = order
         self.ids = ids[order]
         if (np.diff(order) != 1).any():
             texts = texts.take(pa.array(order))
@@ -127,76 +120,113 @@ class Batch:
         self.span = span
         self.width = span - GRAM + 1  # positions of an anchor in a window
 
-    def blocks(self) -> Iterator[tuple]:
-        """(base, grams, x, least, valid, anchors) per block, anchors local."""
-        n, span, width = len(self.buf), self.span, self.width
-        # too short documents hold no window
-        for lo in range(0, n, BLOCK):
-            hi = min(n, lo + BLOCK)
-            base, top = max(0, lo - MARGIN - span), min(n, hi + MARGIN + 2 * span)
-            buf = self.buf[base:top]
-            if len(buf) < span:
-                continue
-            g = _grams(buf)
-            x = g[: len(g) - GRAM + 1] * _M[0]
-            x ^= x >> _u(31)
-            x += g[8 : 8 + len(x)] * _M[1]
-            x ^= x >> _u(29)
-            x *= _M[2]
-            x += g[16 : 16 + len(x)] * _M[4]
-            x = _mix(x)
-            least = _sliding(x, width, np.minimum)  # of the window from each position
-            # windows must end inside their document
-            d0 = np.searchsorted(self.ends, base, side="right")
-            d1 = np.searchsorted(self.starts, top, side="left")
-            s, e = self.starts[d0:d1], self.ends[d0:d1]
-            edge = np.zeros(len(least) + 1, dtype=np.int32)
-            first = np.clip(np.maximum(s, e - span + 1) - base, 0, len(least))
-            np.add.at(edge, first, 1)
-            np.add.at(edge, np.clip(e - base, 0, len(least)), -1)
-            valid = np.cumsum(edge[:-1]) == 0
-            seen = np.where(valid, least, _u(0))
-            pad = np.zeros(width - 1, dtype=np.uint64)
-            best = _sliding(np.concatenate([pad, seen, pad]), width, np.maximum)[: len(x)]
-            at = np.flatnonzero(best == x[: len(best)])
-            at = at[(at + base >= lo) & (at + base < hi)]
-            if len(at):
-                yield base, g, x, least, valid, at
-
-    def entries(self, base, g, x, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(prefix key, context hash, document rank) of anchors."""
-        before, after = self.width - 1, self.span
-        doc = np.searchsorted(self.ends, at + base, side="right")
-        left = np.minimum(before, at + base - self.starts[doc])
-        right = np.minimum(after, self.ends[doc] - at - base)
+    def _block_anchors(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors in [lo, hi) and their order values."""
+        span, width = self.span, self.width
+        base, top = max(0, lo - MARGIN - span), min(len(self.buf), hi + MARGIN + 2 * span)
+        g = _grams(self.buf[base:top])
+        if top - base < span:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        m = top - base - GRAM + 1
+        x = g[:m] * _M[0]
+        x ^= x >> _u(31)
+        x += g[8 : 8 + m] * _M[1]
+        x ^= x >> _u(29)
+        x *= _M[2]
+        x += g[16 : 16 + m] * _M[4]
+        x = _mix(x)
+        least = _sliding(x, width, np.minimum)  # of the window from each position
+        # windows must end inside their document
+        d0 = np.searchsorted(self.ends, base, side="right")
+        d1 = np.searchsorted(self.starts, top, side="left")
+        s, e = self.starts[d0:d1], self.ends[d0:d1]
+        edge = np.zeros(len(least) + 1, dtype=np.int32)
+        np.add.at(edge, np.clip(np.maximum(s, e - span + 1) - base, 0, len(least)), 1)
+        np.add.at(edge, np.clip(e - base, 0, len(least)), -1)
+        least[np.cumsum(edge[:-1]) > 0] = 0
+        pad = np.zeros(width - 1, dtype=np.uint64)
+        best = _sliding(np.concatenate([pad, least, pad]), width, np.maximum)[:m]
+        at = np.flatnonzero(best == x[: len(best)])
+        at = at[(at + base >= lo) & (at + base < hi)]
+        return at + base, x[at]
+
+    def anchors(self) -> None:
+        """Find all anchors: positions ``at``, order values ``x``, documents
+        (``rank``), bytes of the document to the left and right, prefix keys and
+        context hashes."""
+        found = [self._block_anchors(lo, min(len(self.buf), lo + BLOCK)) for lo in range(0, len(self.buf), BLOCK)]
+        self.at = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
+        self.x = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.uint64)
+        at, before, after = self.at, self.width - 1, self.span
+        doc = np.searchsorted(self.ends, at, side="right")
+        self.left = np.minimum(before, at - self.starts[doc]).astype(np.int32)
+        self.right = np.minimum(after, self.ends[doc] - at).astype(np.int32)
+        self.doc = self.rank[doc]
+        g = _grams(self.buf)
         offsets = _offsets(-before, after)
-        whole = (left == before) & (right == after)
+        whole = (self.left == before) & (self.right == after)
         ctx = np.empty(len(at), dtype=np.uint64)
         a = at[whole]
-        ctx[whole] = _fold([g[a + o] for o in offsets])
+        ctx[whole] = _fold([g[a + o] for o in offsets]) if len(a) else a
         if not whole.all():
-            a, l, r = at[~whole], left[~whole], right[~whole]
+            a, l, r = at[~whole], self.left[~whole].astype(np.int64), self.right[~whole].astype(np.int64)
             cols = np.arange(-before, after)
             inside = (cols[None, :] >= -l[:, None]) & (cols[None, :] < r[:, None])
-            where = np.clip(a[:, None] + base + cols[None, :], 0, len(self.buf) - 1)
+            where = np.clip(a[:, None] + cols[None, :], 0, len(self.buf) - 1)
             rows = np.ascontiguousarray(np.where(inside, self.buf[where], 0).astype(np.uint8))
             pieces = [np.ascontiguousarray(rows[:, o + before : o + before + 8]).view("<u8")[:, 0] for o in offsets]
             pieces.append((l * 4096 + r).astype(np.uint64))
             ctx[~whole] = _fold(pieces)
-        key = _mix(x[at] * _M[6])
-        return key >> _u(16), ctx >> _u(24), self.rank[doc]
-
-    def windows(self, base, x, least, valid, at) -> tuple[np.ndarray, np.ndarray]:
-        """(start, index into at) of the windows whose anchor is one of ``at``."""
-        p = at[:, None] - np.arange(self.width)[None, :]
-        inside = (p >= 0) & (p < len(least))
-        q = np.where(inside, p, 0)
-        own = inside & (np.take(least, q, mode="clip") == x[at][:, None]) & np.take(valid, q, mode="clip")
-        which, col = np.nonzero(own)
-        return at[which] - col, which
-
-    def window_hash(self, g, p) -> np.ndarray:
-        return _fold([g[p + o] for o in _offsets(0, self.span)])
+        self.key = _mix(self.x * _M[6]) >> _u(16)
+        self.ctx = ctx >> _u(24)
+        # distinct entries: sorted codes, the anchors of each and its first document
+        code = _pair(self.key, self.ctx)
+        order = np.argsort(code)
+        code = code[order]
+        head = np.r_[True, code[1:] != code[:-1]] if len(code) else np.empty(0, bool)
+        self.entry = np.empty(len(code), np.int64)  # of each anchor
+        self.entry[order] = np.cumsum(head) - 1
+        self.code = code[head]
+        self.first_doc = np.minimum.reduceat(self.doc[order], np.flatnonzero(head)) if len(code) else self.doc
+        self.head = order[head]
+
+    def reach(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last start of the windows around anchors (by index)."""
+        at = self.at[some]
+        return at - self.left[some], at + np.minimum(0, self.right[some] - self.span)
+
+    def own_windows(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, index into ``some``) of the windows that have an anchor of
+        ``some`` as their smallest."""
+        at, x = self.at[some], self.x[some]
+        first, last = (np.array(v, dtype=np.int64) for v in self.reach(some))
+        for way in (-1, 1):
+            todo = np.arange(len(some))
+            other = some + way
+            while len(todo):
+                near = (other >= 0) & (other < len(self.at))
+                todo, other = todo[near], other[near]
+                near = np.abs(self.at[other] - at[todo]) < self.width
+                todo, other = todo[near], other[near]
+                less = self.x[other] < x[todo]
+                t, o = todo[less], other[less]
+                if way < 0:
+                    first[t] = np.maximum(first[t], self.at[o] + 1)
+                else:
+                    last[t] = np.minimum(last[t], self.at[o] - self.width)
+                # a smaller neighbour hides what lies behind it
+                todo, other = todo[~less], other[~less] + way
+        size = np.maximum(0, last - first + 1)
+        shift = np.cumsum(size) - size
+        return np.arange(int(size.sum())) + np.repeat(first - shift, size), np.repeat(np.arange(len(some)), size)
+
+    def window_hash(self, p: np.ndarray) -> np.ndarray:
+        out = np.empty(len(p), np.uint64)
+        g = _grams(self.buf)
+        for lo in range(0, len(p), BLOCK):
+            q = p[lo : lo + BLOCK]
+            out[lo : lo + BLOCK] = _fold([g[q + o] for o in _offsets(0, self.span)])
+        return out
 
 
 def _pair(key: np.ndarray, ctx: np.ndarray) -> np.ndarray:
@@ -220,7 +250,7 @@ def _found(code: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 ENTRY_SCHEMA = "part int, batch int, blob binary"
-ANSWER_SCHEMA = "batch int, kind int, blob binary"
+ANSWER_SCHEMA = "slot int, kind int, blob binary"
 CARRIED, MIXED, WINDOW = 1, 2, 3  # kinds of answers
 
 
@@ -295,7 +325,7 @@ class Family:
         return self.scan(self.levels) if len(self.levels) > 1 else self.levels[0]
 
 
-def _answers(windows: bool):
+def _answers(windows: bool, slots: list[int]):
     """Walk sorted (part, batch, blob) rows; per part one index family."""
 
     def told(kind, key, ctx, batch):
@@ -305,8 +335,11 @@ def _answers(windows: bool):
         which, head = np.unique(batch, return_index=True)
         blobs = [c.astype("<u8").tobytes() for c in np.split(code, head[1:])] if len(head) else []
         return pa.RecordBatch.from_arrays(
-            [pa.array(which.astype(np.int32)), pa.array([kind] * len(which), pa.int32()), pa.array(blobs, pa.binary())],
-            ["batch", "kind", "blob"],
+            [
+                pa.array([slots[b] for b in which.tolist()], pa.int32()), pa.array([kind] * len(which), pa.int32()),
+                pa.array(blobs, pa.binary()),
+            ],
+            ["slot", "kind", "blob"],
         )
 
     def finish(family, waiting):
@@ -349,48 +382,30 @@ def _batch(table: pa.Table, span: int) -> Batch:
 
 def _index_batch(span: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
-        batch, keys, ctxs = _batch(table, span), [], []
-        for base, g, x, _, _, at in batch.blocks():
-            key, ctx, _ = batch.entries(base, g, x, at)
-            keys.append(key)
-            ctxs.append(ctx)
-        key, ctx = (np.concatenate(c) if c else np.empty(0, np.uint64) for c in (keys, ctxs))
-        _, head = np.unique(_pair(key, ctx), return_index=True)
-        return _deal(table.column("batch")[0].as_py(), key[head], ctx[head], parts)
+        batch = _batch(table, span)
+        batch.anchors()
+        head = batch.head
+        return _deal(table.column("batch")[0].as_py(), batch.key[head], batch.ctx[head], parts)
 
     return run
 
 
-def _mixed_windows(batch: Batch, mixed: np.ndarray, carried: np.ndarray | None = None, flags: np.ndarray | None = None):
-    """(position, hash, document) of the windows around anchors of mixed
-    prefixes, in the first document of the batch that has the context.  With
-    ``flags``, also marks the windows that are settled without: contexts held
-    by earlier batches or by smaller documents of this one."""
-    codes, docs, found = [], [], []
-    for base, g, x, least, valid, at in batch.blocks():
-        key, ctx, doc = batch.entries(base, g, x, at)
-        codes.append(_pair(key, ctx))
-        docs.append(doc)
-    if not codes:
-        return (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
-    code, first = _first_docs(np.concatenate(codes), np.concatenate(docs))
-    for (base, g, x, least, valid, at), c, doc in zip(batch.blocks(), codes, docs):
-        own = first[np.searchsorted(code, c)] == doc
-        if flags is not None:
-            settled = ~own | _found(c, carried)
-            p, _ = batch.windows(base, x, least, valid, at[settled])
-            flags[p + base] = True
-        ask = own & _found(c, mixed)
-        p, which = batch.windows(base, x, least, valid, at[ask])
-        found.append((p + base, batch.window_hash(g, p), doc[ask][which]))
-    return tuple(np.concatenate(c) for c in zip(*found))
+def _asked(batch: Batch, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which anchors have their context first in this batch in their own
+    document; and (start, hash, document) of the windows around those whose
+    prefix occurs in different contexts."""
+    batch.anchors()
+    own = batch.first_doc[batch.entry] == batch.doc
+    some = np.flatnonzero(own & _found(batch.code, mixed)[batch.entry])
+    p, which = batch.own_windows(some)
+    return own, p, batch.window_hash(p), batch.doc[some][which]
 
 
 def _window_batch(span: int, parts: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return _deal(0, np.empty(0, np.uint64), None, parts)
-        _, code, _ = _mixed_windows(_batch(table, span), _codes(answers, MIXED))
+        _, _, code, _ = _asked(_batch(table, span), _codes(answers, MIXED))
         return _deal(table.column("batch")[0].as_py(), np.unique(code), None, parts)
 
     return run
@@ -399,31 +414,41 @@ def _window_batch(span: int, parts: int):
 RESULT_SCHEMA = "id long, kept binary, n_bytes long, n_removed long, n_spans long, was string, text string"
 
 
+def _covered(batch: Batch, answers: pa.Table) -> np.ndarray:
+    """Bytes of the batch to remove."""
+    own, p, code, doc = _asked(batch, _codes(answers, MIXED))
+    cover = np.zeros(len(batch.buf) + 1, dtype=np.int32)
+    # contexts held by earlier batches or by smaller documents: all their windows go
+    settled = np.flatnonzero(~own | _found(batch.code, _codes(answers, CARRIED))[batch.entry])
+    first, last = batch.reach(settled)
+    some = last >= first
+    np.add.at(cover, first[some], 1)
+    np.add.at(cover, last[some] + batch.span, -1)
+    if len(p):
+        distinct, least = _first_docs(code, doc)
+        gone = (least[np.searchsorted(distinct, code)] < doc) | _found(code, _codes(answers, WINDOW))
+        np.add.at(cover, p[gone], 1)
+        np.add.at(cover, p[gone] + batch.span, -1)
+    np.cumsum(cover, out=cover)
+    return cover[:-1] > 0
+
+
 def _finish_batch(span: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        batch = _batch(table, span) if len(table) else None
         rows = []
-        if batch is not None:
-            flags = np.zeros(len(batch.buf) + 1, dtype=bool)
-            at, code, doc = _mixed_windows(batch, _codes(answers, MIXED), _codes(answers, CARRIED), flags)
-            if len(at):
-                distinct, first = _first_docs(code, doc)
-                gone = (first[np.searchsorted(distinct, code)] < doc) | _found(code, _codes(answers, WINDOW))
-                flags[at[gone]] = True
+        if len(table):
+            batch = _batch(table, span)
+            cover = _covered(batch, answers)
             for i, (s, e) in enumerate(zip(batch.starts.tolist(), batch.ends.tolist())):
-                data = batch.buf[s:e]
-                hit = np.flatnonzero(flags[s:e])
-                if len(hit):
-                    edge = np.zeros(e - s + 1, dtype=np.int32)
-                    edge[hit] += 1
-                    np.add.at(edge, hit + span, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
+                data, gone = batch.buf[s:e], cover[s:e]
+                was = text = None
+                spans, kept = 0, None
+                if gone.any():
                     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     kept = data[~gone].tobytes()
+                    was, text = hashlib.sha256(data).hexdigest(), kept.decode("utf-8", "ignore")
                 else:
-                    spans, kept = 0, data.tobytes()
-                was = hashlib.sha256(data).hexdigest() if spans else None
-                text = kept.decode("utf-8", "ignore") if spans else None
+                    kept = data.tobytes()
                 rows.append((int(batch.ids[i]), kept, e - s, e - s - len(kept), spans, was, text))
         cols = list(zip(*rows)) or [()] * 7
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -464,6 +489,16 @@ def batch_bounds(docs: DataFrame, batch_bytes: int) -> list[int]:
     return bounds
 
 
+def even_keys(spark, parts: int) -> list[int]:
+    """One integer per partition that Spark's hash deals there, so that batches
+    spread evenly: as many as batches."""
+    n = spark.range(parts * (10 + parts.bit_length() * 2)).select(F.col("id").cast("int").alias("k"))
+    keys = n.groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.min("k").alias("k")).collect()
+    keys = [r.k for r in sorted(keys, key=lambda r: r.p)]
+    spare = (k for k in range(10**9, 10**9 + parts))
+    return keys + [next(spare) for _ in range(parts - len(keys))]
+
+
 def remove_repeats(
     docs: DataFrame, span: int = 50, batch_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -477,22 +512,26 @@ def remove_repeats(
     named = every.where("id is not null")
     bounds = np.array(batch_bounds(named, batch_bytes), dtype=np.int64)
     parts = len(bounds) + 1
+    slots = even_keys(docs.sparkSession, parts)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot_of = np.array(slots, dtype=np.int32)
         for b in batches:
             at = np.searchsorted(bounds, b.column("id").to_numpy(), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("id"), b.column("text")], ["batch", "id", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot_of[at]), pa.array(at), b.column("id"), b.column("text")], ["slot", "batch", "id", "text"]
+            )
 
-    texts = named.mapInArrow(number, "batch int, id long, text string").repartition(parts, "batch")
-    entries = texts.groupBy("batch").applyInArrow(_index_batch(span, parts), ENTRY_SCHEMA)
+    texts = named.mapInArrow(number, "slot int, batch int, id long, text string").repartition(parts, "slot")
+    entries = texts.groupBy("slot").applyInArrow(_index_batch(span, parts), ENTRY_SCHEMA)
     ordered = entries.repartition(parts, "part").sortWithinPartitions("part", "batch")
-    settled = ordered.mapInArrow(_answers(windows=False), ANSWER_SCHEMA)
-    windows = texts.groupBy("batch").cogroup(settled.where(F.col("kind") == MIXED).groupBy("batch")).applyInArrow(
+    settled = ordered.mapInArrow(_answers(False, slots), ANSWER_SCHEMA)
+    windows = texts.groupBy("slot").cogroup(settled.where(F.col("kind") == MIXED).groupBy("slot")).applyInArrow(
         _window_batch(span, parts), ENTRY_SCHEMA
     )
     ordered = windows.repartition(parts, "part").sortWithinPartitions("part", "batch")
-    answers = settled.unionByName(ordered.mapInArrow(_answers(windows=True), ANSWER_SCHEMA))
-    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_finish_batch(span), RESULT_SCHEMA)
+    answers = settled.unionByName(ordered.mapInArrow(_answers(True, slots), ANSWER_SCHEMA))
+    out = texts.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_finish_batch(span), RESULT_SCHEMA)
     loose = every.where("id is null").select(
         "id", F.encode("text", "UTF-8").alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
