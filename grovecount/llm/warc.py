@@ -58,15 +58,21 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
 def to_records(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
 ) -> DataFrame:
-    """``id, file, offset, length, record``."""
+    """``id, file, length, mark, record``: records and the archive file each
+    belongs to; ``mark`` orders records of one id."""
     rows = pages.select(
         pages[id_col].cast("long").alias("id"), record_bytes(pages[id_col], pages[url_col], pages[html_col]).alias("record")
-    ).withColumn("file", F.coalesce(F.floor(F.col("id") / IDS_PER_FILE), F.lit(-1)))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    before = W.partitionBy("file").orderBy("id", "length", F.xxhash64("record")).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(
-        "id", "file", "offset", "length", "record"
     )
+    return rows.select(
+        "id", F.coalesce(F.floor(F.col("id") / IDS_PER_FILE), F.lit(-1)).alias("file"),
+        F.octet_length("record").cast("long").alias("length"), F.xxhash64("record").alias("mark"), "record",
+    )
+
+
+def placed(records: DataFrame) -> DataFrame:
+    """Adds ``offset``, the place of each record in its file."""
+    before = W.partitionBy("file").orderBy("id", "length", "mark").rowsBetween(W.unboundedPreceding, -1)
+    return records.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
 def parse_record(record: Column) -> tuple[Column, Column, Column]:
@@ -83,11 +89,11 @@ def parse_record(record: Column) -> tuple[Column, Column, Column]:
 
 def fixity(records: DataFrame) -> DataFrame:
     """``id, file, offset, length, digest, address, hash`` per record: what the
-    audit keeps of a replica.  Records without bytes are not there."""
-    digest = F.sha2("record", 256)
+    audit keeps of a replica.  Bytes are hashed where they are read and do not
+    travel.  Records without bytes keep their place but are not there."""
+    digests = records.withColumn("digest", F.sha2("record", 256)).drop("record")
     return (
-        records.where("record is not null")
-        .select("id", "file", "offset", F.octet_length("record").cast("long").alias("length"), digest.alias("digest"))
+        placed(digests).where("digest is not null").drop("mark")
         .withColumn("address", F.shiftleft("file", FILE_BITS) + F.col("offset"))
         .withColumn("hash", F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256))
     )
@@ -100,12 +106,14 @@ def _ordered_hash(key: str) -> Column:
 
 
 def merkle_levels(fixed: DataFrame, levels: int) -> list[DataFrame]:
-    """``node, hash`` tables from the leaf ranges (first) to the root (last)."""
+    """``node, hash`` tables from the leaf ranges (first) to the root (last),
+    each stored: together hardly more than the first."""
     node = F.shiftright("address", LEAF_BITS)
-    out = [fixed.groupBy(node.alias("node")).agg(_ordered_hash("address").alias("hash"))]
+    out = [fixed.groupBy(node.alias("node")).agg(_ordered_hash("address").alias("hash")).checkpoint()]
     for _ in range(levels):
         up = F.shiftright("node", FAN_BITS)
-        out.append(out[-1].groupBy(up.alias("up")).agg(_ordered_hash("node").alias("hash")).withColumnRenamed("up", "node"))
+        above = out[-1].groupBy(up.alias("up")).agg(_ordered_hash("node").alias("hash"))
+        out.append(above.withColumnRenamed("up", "node").checkpoint())
     return out
 
 
@@ -126,13 +134,13 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
             up = F.shiftright("node", FAN_BITS)
             x = x.withColumn("up", up).join(parents, "up", "left_semi").drop("up")
             y = y.withColumn("up", up).join(parents, "up", "left_semi").drop("up")
+        # stored level by level: each step starts from the branches found so far
         both = x.withColumnRenamed("hash", "x").join(y.withColumnRenamed("hash", "y"), "node", "full")
-        return both.where(~F.col("x").eqNullSafe(F.col("y"))).select("node")
+        return both.where(~F.col("x").eqNullSafe(F.col("y"))).select("node").checkpoint()
 
     bad = differing(levels, None)
     for level in range(levels - 1, -1, -1):
         bad = differing(level, bad.withColumnRenamed("node", "up"))
-    bad = bad.checkpoint()  # the differing leaf ranges
     node = F.shiftright("address", LEAF_BITS)
     keep = ["address", "file", "offset", "id", "digest", "hash"]
     x = primary.withColumn("node", node).join(bad.hint("merge"), "node", "left_semi").select(*keep)
