@@ -15,8 +15,8 @@ split first, and a set is opened only when it is the best one left.  A path
 drawn to the end leaves one unopened sibling set per step; the best sibling of
 all paths so far holds the next segmentation.
 
-The lattice falls apart at spaces (no piece crosses one), so lattices are built
-once per distinct word of a block of texts, and steps of all words of a block
+The lattice falls apart at spaces (no piece crosses one), so it is built once
+per distinct word, and steps of all words of a block
 are taken together as array operations.  Random numbers are a hash of the
 seed, the row's key, the word, the step and the draw: a row's samples do not
 depend on partitioning, batch or order.
@@ -46,7 +46,8 @@ from pyspark.sql import types as T
 from grovecount.llm.common import keyed_text
 
 SPACE = "▁"
-BLOCK_CHARS = 2_000_000  # text worked on at once
+BLOCK_CHARS = 500_000  # text worked on at once
+LATTICE_EDGES = 2_500_000  # a larger lattice is dropped and started anew: bounds a worker's memory
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -108,8 +109,9 @@ class Vocabulary:
             own[np.unique(slot, return_index=True)[1]] = True
             key = np.zeros(1 << self.BITS, np.uint64)
             piece = np.zeros(1 << self.BITS, np.int32)
-            key[slot[own]], piece[slot[own]] = keys[left[own]], ids[left[own]]
-            self.tables.append((key, piece))
+            more = np.zeros(1 << self.BITS, bool)
+            key[slot[own]], piece[slot[own]], more[slot[~own]] = keys[left[own]], ids[left[own]], True
+            self.tables.append((key, piece, more))
             left = left[~own]
 
     @staticmethod
@@ -118,83 +120,130 @@ class Vocabulary:
         return h ^ (h >> np.uint64(29))
 
     def slots(self, h: np.ndarray, table: int) -> np.ndarray:
-        return (((h ^ (h >> np.uint64(31))) * _C[1 + table % 3]) >> np.uint64(64 - self.BITS - table)).astype(
-            np.int64
-        ) & ((1 << self.BITS) - 1)
+        mixed = (h ^ (h >> np.uint64(31))) * _C[1 + table % 3]
+        return (mixed >> np.uint64(64 - self.BITS - table)).astype(np.int64) & ((1 << self.BITS) - 1)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece of each hash, or -1."""
         out = np.full(len(h), -1, dtype=np.int64)
-        for t, (key, piece) in enumerate(self.tables):
-            slot = self.slots(h, t)
-            hit = key[slot] == h
-            out[hit] = piece[slot[hit]]
+        todo = None  # all
+        for t, (key, piece, more) in enumerate(self.tables):
+            own = h if todo is None else h[todo]
+            slot = self.slots(own, t)
+            hit = np.flatnonzero(key[slot] == own)
+            out[hit if todo is None else todo[hit]] = piece[slot[hit]]
+            next_table = np.flatnonzero(more[slot] & (key[slot] != own))
+            todo = next_table if todo is None else todo[next_table]
+            if not len(todo):
+                break
         return out
 
 
 class Lattice:
-    """All segmentations of a list of words at once.  A node is a character
-    position; the edges of a node are stored together, longest piece first."""
-
-    def __init__(self, vocabulary: Vocabulary, words: list[str]):
-        v = vocabulary
+    """All segmentations of all words seen so far.  A node is a character
+    position; the edges of a node are stored together, longest piece first.
+    Grows by the new words of each block; ``start`` maps word numbers to nodes."""
+
+    EDGE = {"first": np.int32, "to": np.int32, "piece": np.int32, "logp": np.float64, "cum": np.float64, "rest": np.float64}
+    NODE = {"first_edge": np.int32, "last": np.bool_}
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.index: dict[str, int] = {}
+        self.n_edges = self.n_nodes = 0
+        self.start = np.empty(0, np.int64)
+        for name, kind in (self.EDGE | self.NODE).items():
+            setattr(self, name, np.empty(0, kind))
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Number of each word (given without the space in front)."""
+        own = dict.fromkeys(words)
+        fresh = [w for w in own if w not in self.index]
+        if fresh:
+            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
+            self.add([" " + w for w in fresh])
+        # the block's own table is small enough to stay in the processor's cache
+        own = dict(zip(own, map(self.index.__getitem__, own)))
+        return np.fromiter(map(own.__getitem__, words), np.int64, len(words))
+
+    def _append(self, size: int, part: dict[str, np.ndarray]) -> None:
+        for name, values in part.items():
+            held = getattr(self, name)
+            if len(held) < size + len(values):
+                more = np.empty(max(2 * len(held), size + len(values)), held.dtype)
+                more[:size] = held[:size]
+                setattr(self, name, more)
+                held = more
+            held[size : size + len(values)] = values
+
+    def add(self, words: list[str]) -> None:
+        v = self.vocabulary
         cp = np.frombuffer("".join([w + "\0" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         size = np.fromiter(map(len, words), np.int64, len(words))
-        self.start = np.cumsum(size + 1) - size - 1
-        end = np.repeat(self.start + size, size + 1)
-        left = end - np.arange(len(cp))
+        start = np.cumsum(size + 1) - size - 1
+        left = np.repeat(start + size, size + 1) - np.arange(len(cp))
         at = np.flatnonzero(left > 0)
         h = np.zeros(len(at), np.uint64)
         starts, lengths, ids = [], [], []
         for n in range(1, v.longest + 1):
             more = left[at] >= n
-            at, h = at[more], h[more]
+            if not more.all():
+                at, h = at[more], h[more]
             if not len(at):
                 break
             h = v.step(h, cp[at + n - 1])
             piece = v.find(h)
-            hit = piece >= 0
+            hit = np.flatnonzero(piece >= 0)
             if n == 1:  # a character that is no piece: its bytes
-                lone = at[~hit]
+                lone = at[piece < 0]
                 starts.append(lone)
                 lengths.append(np.ones(len(lone), np.int64))
                 ids.append(-1 - cp[lone].astype(np.int64))
             starts.append(at[hit])
-            lengths.append(np.full(int(hit.sum()), n, np.int64))
+            lengths.append(np.full(len(hit), n, np.int64))
             ids.append(piece[hit])
         first, length, piece = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (starts, lengths, ids))
         order = np.argsort((left[first] * (len(cp) + 1) + first) * 64 + 63 - np.minimum(length, 63))
         first, length, piece = first[order], length[order], piece[order]
-        self.to, self.piece = first + length, piece
-        n_bytes = 1 + (-1 - piece > 0x7F) + (-1 - piece > 0x7FF) + (-1 - piece > 0xFFFF)
-        weight = np.where(piece >= 0, v.weight[np.maximum(piece, 0)], v.byte_weight * n_bytes)
+        to = first + length
+        weight = v.weight[np.maximum(piece, 0)]
+        lone = np.flatnonzero(piece < 0)
+        point = -1 - piece[lone]
+        weight[lone] = v.byte_weight * (1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF))
         head = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.empty(0, np.int64)
-        count = np.diff(np.r_[head, len(first)])
-        self.first_edge = np.zeros(len(cp) + 1, np.int64)  # by node
-        self.first_edge[first[head]] = head
-        self.last = left == 0  # nodes at the end of a word
+        bounds = np.r_[head, len(first)]
+        count = np.diff(bounds)
         level = left[first[head]]
         cuts = np.flatnonzero(np.r_[True, level[1:] != level[:-1], True]) if len(head) else np.zeros(1, np.int64)
-        bounds = np.r_[head, len(first)]
         total = np.zeros(len(cp) + 1)  # log of the weight of all ways from a node to its word's end
-        value = np.empty(len(first))
         for a, b in zip(cuts[:-1], cuts[1:]):  # nodes one, two, ... characters from the end
             lo, hi = bounds[a], bounds[b]
-            val = weight[lo:hi] + total[self.to[lo:hi]]
+            val = weight[lo:hi]
+            val += total[to[lo:hi]]
             at_head = head[a:b] - lo
             top = np.maximum.reduceat(val, at_head)
             norm = top + np.log(np.add.reduceat(np.exp(val - np.repeat(top, count[a:b])), at_head))
             total[first[head[a:b]]] = norm
-            value[lo:hi] = val - np.repeat(norm, count[a:b])
-        self.logp = np.minimum(value, 0.0)
-        self.p = np.exp(self.logp)
-        run = np.cumsum(self.p)
-        self.cum = run - np.repeat((run - self.p)[head], count)
-        self.cum[bounds[1:] - 1] = np.inf
-        self.count = count
-        self.edge_node = np.repeat(np.arange(len(head)), count)
-        self.head = head
-        self.at = first
+            val -= np.repeat(norm, count[a:b])
+        logp = np.minimum(weight, 0.0)
+        p = np.exp(logp)
+        run = np.cumsum(p)
+        cum = run - np.repeat((run - p)[head], count)
+        cum[bounds[1:] - 1] = np.inf
+        # log probability of the other edges of an edge's node
+        with np.errstate(divide="ignore"):
+            rest = np.log1p(-np.minimum(p, 1.0))
+        rest[head[count == 1]] = -np.inf
+        first_edge = np.zeros(len(cp), np.int64)
+        first_edge[first[head]] = head + self.n_edges
+        base = self.n_nodes
+        self.start = np.concatenate([self.start, start + base])
+        self._append(self.n_edges, {
+            "first": first + base, "to": to + base, "piece": piece, "logp": logp, "cum": cum, "rest": rest,
+        })
+        self._append(self.n_nodes, {"first_edge": first_edge, "last": left == 0})
+        self.n_edges += len(first)
+        self.n_nodes += len(cp)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         edge = self.first_edge[node]
@@ -204,6 +253,13 @@ class Lattice:
             todo = todo[u[todo] >= self.cum[edge[todo]]]
         return edge
 
+    def options(self, edge: int) -> np.ndarray:
+        """All edges of an edge's node."""
+        lo = hi = int(self.first_edge[self.first[edge]])
+        while self.cum[hi] != np.inf:
+            hi += 1
+        return np.arange(lo, hi + 1)
+
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Concatenation of start[i] .. start[i] + size[i] - 1."""
@@ -215,61 +271,68 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Draws:
     """Paths of all texts of a block, drawn best first."""
 
-    def __init__(self, vocabulary: Vocabulary, texts: list[str], keys: np.ndarray):
-        index: dict[str, int] = {}
-        word, sizes = [], []
+    def __init__(self, lattice: Lattice, texts: list[str], keys: np.ndarray):
+        words, sizes = [], []
         for text in texts:
+            # words without the space before them; further spaces stay in front
             if not text:
                 own = []
             elif "  " in text or text[0] == " ":
-                own = re.findall(" +[^ ]*", " " + text)
+                own = [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
             else:
-                own = [" " + w for w in text.split(" ")]
+                own = text.split(" ")
             sizes.append(len(own))
-            word += [index.setdefault(w, len(index)) for w in own]
+            words += own
         self.n = len(texts)
-        self.lattice = Lattice(vocabulary, list(index))
-        self.word = np.array(word, dtype=np.int64)
+        self.lattice = lattice
+        self.word = lattice.numbers(words)
         self.size = np.array(sizes, dtype=np.int64)
         self.first = np.cumsum(self.size) - self.size  # first word of each text
         doc = np.repeat(np.arange(self.n), self.size)
         self.key = keys
         # of each word: the text's key and the word's place in it
-        self.word_key = keys[doc] + (np.arange(len(word)) - self.first[doc]).astype(np.uint64) * _C[2]
+        self.word_key = keys[doc] + (np.arange(len(words)) - self.first[doc]).astype(np.uint64) * _C[2]
 
     def walk(self, word: np.ndarray, node: np.ndarray, step: np.ndarray, draw: int):
         """Draw from ``node`` to the end of each word: (word place, edge, step),
         ordered by word place, then step."""
         lat = self.lattice
         words, edges, steps = [], [], []
+        taken = np.zeros(len(self.word), np.int64)
         while len(word):
             salt = step.astype(np.uint64) * _C[0] + _salt(draw, 1)
             edge = lat.draw(node, _uniform(self.word_key[word] + salt))
             words.append(word)
             edges.append(edge)
             steps.append(step)
+            taken[word] += 1
             node = lat.to[edge]
             more = ~lat.last[node]
             word, node, step = word[more], node[more], step[more] + 1
         if not words:
             return tuple(np.empty(0, np.int64) for _ in range(3))
-        word, edge, step = (np.concatenate(x) for x in (words, edges, steps))
-        order = np.argsort(word, kind="stable")
-        return word[order], edge[order], step[order]
+        # a word's steps follow each other: scatter them behind its first
+        place = np.cumsum(taken) - taken
+        n = int(taken.sum())
+        out = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+        taken[:] = 0
+        for w, e, s in zip(words, edges, steps):
+            to = place[w] + taken[w]
+            out[0][to], out[1][to], out[2][to] = w, e, s
+            taken[w] += 1
+        return out
 
-    def siblings(self, path: dict, fresh: np.ndarray, bound: np.ndarray, draw: int) -> np.ndarray:
-        """Perturbed value of the best path that leaves ``path`` at each step of
-        ``fresh``, given that all stay below ``bound`` (by step)."""
+    def siblings(self, path: dict, fresh: np.ndarray, draw: int) -> np.ndarray:
+        """Perturbed value, before it is bounded by the path's own, of the best
+        path that leaves ``path`` at each step of ``fresh``."""
         lat = self.lattice
         value = np.full(len(path["edge"]), -np.inf)
         edge = path["edge"][fresh]
-        with np.errstate(divide="ignore"):
-            mu = path["before"][fresh] + np.log1p(-np.minimum(lat.p[edge], 1.0))
-        some = (mu > -np.inf) & (lat.count[lat.edge_node[edge]] > 1)
-        at, mu = fresh[some], mu[some]
+        some = lat.rest[edge] > -np.inf
+        at = fresh[some]
         salt = path["step"][at].astype(np.uint64) * _C[0] + _salt(draw, 2)
         noise = np.log(-np.log(_uniform(self.word_key[path["word"][at]] + salt)))
-        value[at] = -np.logaddexp(-bound[some], noise - mu)
+        value[at] = path["before"][at] + lat.rest[edge[some]] - noise
         return value
 
     def path(self, word, edge, step, size) -> dict:
@@ -292,7 +355,7 @@ class Draws:
         run = np.r_[0, np.cumsum(per_word)]
         path = self.path(word, edge, step, run[self.first + self.size] - run[self.first])
         g = -np.log(-np.log(_uniform(self.key + _C[3])))
-        path["value"] = self.siblings(path, np.arange(len(edge)), np.repeat(g, path["size"]), 0)
+        path["value"], path["bound"] = self.siblings(path, np.arange(len(edge)), 0), g
         paths, taken = [path], {}
         best, where = self.best(path)
         bests, wheres = [best], [where]
@@ -307,10 +370,9 @@ class Draws:
                 a = int(source[d])
                 path, at = paths[a], int(wheres[a][d])
                 used = taken.setdefault((a, at), [int(path["edge"][at])])
-                node = int(lat.edge_node[used[0]])
-                options = np.arange(lat.head[node], lat.head[node] + lat.count[node])
-                p = lat.p[options].copy()
-                p[np.array(used) - lat.head[node]] = 0.0
+                options = lat.options(used[0])
+                p = np.exp(lat.logp[options])
+                p[np.array(used) - options[0]] = 0.0
                 salt = np.array([at - path["start"][d]], np.uint64) * _C[0]
                 salt = self.key[d : d + 1] + salt + _salt(draw, 3)
                 pick = min(int(np.searchsorted(np.cumsum(p), float(_uniform(salt)[0]) * p.sum(), side="right")), len(p) - 1)
@@ -322,13 +384,14 @@ class Draws:
                 if len(used) < len(options) and rest > 0.0:
                     mu = path["before"][at] + np.log(rest)
                     noise = np.log(-np.log(float(_uniform(salt + _C[2])[0])))
-                    path["value"][at] = -np.logaddexp(-top[d], noise - mu)
+                    # bounded by the value just taken, which lies below the path's own bound
+                    value = np.logaddexp(-top[d], noise - mu)
+                    path["value"][at] = -(value + np.log(-np.expm1(-path["bound"][d] - value)))
                 else:
                     path["value"][at] = -np.inf
                 self.best_of(path, d, bests[a], wheres[a])
             path, fresh = self.branch(paths, source, docs, turn, chosen, draw)
-            tail = np.repeat(top, path["size"])[fresh]
-            path["value"] = self.siblings(path, fresh, tail, draw)
+            path["value"], path["bound"] = self.siblings(path, fresh, draw), top
             best, where = self.best(path)
             paths.append(path)
             bests.append(best)
@@ -336,21 +399,26 @@ class Draws:
             yield docs, path, top
         self.limit = np.max(bests, axis=0)
 
+    @staticmethod
+    def bounded(value, bound):
+        """A Gumbel variable given that it stays below ``bound``; monotone in
+        ``value``, so the best of a text's steps can be found before."""
+        return -np.logaddexp(-bound, -value)
+
     def best(self, path: dict) -> tuple[np.ndarray, np.ndarray]:
         best, where = np.full(self.n, -np.inf), np.zeros(self.n, np.int64)
         some = np.flatnonzero(path["size"] > 0)
         if len(some):
-            best[some] = np.maximum.reduceat(path["value"], path["start"][some])
-        for d in some.tolist():
-            s = path["start"][d]
-            where[d] = s + int(np.argmax(path["value"][s : s + path["size"][d]]))
+            top = np.maximum.reduceat(path["value"], path["start"][some])
+            best[some] = self.bounded(top, path["bound"][some])
+            hit = np.flatnonzero(path["value"] == np.repeat(top, path["size"][some]))
+            where[some] = hit[np.searchsorted(hit, path["start"][some])]
         return best, where
 
-    @staticmethod
-    def best_of(path: dict, d: int, best: np.ndarray, where: np.ndarray) -> None:
+    def best_of(self, path: dict, d: int, best: np.ndarray, where: np.ndarray) -> None:
         s = int(path["start"][d])
         at = s + int(np.argmax(path["value"][s : s + path["size"][d]]))
-        best[d], where[d] = path["value"][at], at
+        best[d], where[d] = self.bounded(path["value"][at], path["bound"][d]), at
 
     def branch(self, paths, source, docs, turn, chosen, draw):
         """Paths that follow ``paths[source]`` up to step ``turn``, take the edge
@@ -391,8 +459,9 @@ class Draws:
         out["word"][fresh], out["edge"][fresh], out["step"][fresh] = word, edge, step
         return self.path(out["word"], out["edge"], out["step"], size), fresh
 
-    def ids(self, vocabulary: Vocabulary, path: dict) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, path: dict) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of a path's texts, and where each text's ids begin."""
+        vocabulary = self.lattice.vocabulary
         piece = self.lattice.piece[path["edge"]]
         point = -1 - piece
         lone = (piece < 0) & (point < 0x80)
@@ -425,13 +494,13 @@ def _blocks(ids, texts, size: int):
         yield ids[at:], texts[at:]
 
 
-def sample_block(vocabulary: Vocabulary, ids: list, texts: list[str], k: int, seed: int) -> list[tuple]:
+def sample_block(lattice: Lattice, ids: list, texts: list[str], k: int, seed: int) -> list[tuple]:
     """(id, sample, ids, log probability, perturbed value, log inclusion) rows."""
     keys = np.array([NO_KEY if i is None else np.uint64(i & (2**64 - 1)) for i in ids], dtype=np.uint64)
-    draws = Draws(vocabulary, texts, _hash(_hash(keys + np.uint64(seed % 2**64)) + _C[0]))
+    draws = Draws(lattice, texts, _hash(_hash(keys + np.uint64(seed % 2**64)) + _C[0]))
     found = []
     for j, (docs, path, value) in enumerate(draws.search(k)):
-        pieces, bounds = draws.ids(vocabulary, path)
+        pieces, bounds = draws.ids(path)
         blob = pieces.astype("<u4")
         for d in docs.tolist():
             found.append((d, j, blob[bounds[d] : bounds[d + 1]].tobytes(), float(path["logp"][d]), float(value[d])))
@@ -455,11 +524,14 @@ def sample_segmentations(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(path, alpha)
+        lattice = Lattice(vocabulary)
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
         names = ["id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"]
         for b in batches:
             for ids, texts in _blocks(b.column("id").to_pylist(), b.column("text").to_pylist(), BLOCK_CHARS):
-                rows = sample_block(vocabulary, ids, texts, k, seed)
+                if lattice.n_edges > LATTICE_EDGES:
+                    lattice = Lattice(vocabulary)
+                rows = sample_block(lattice, ids, texts, k, seed)
                 cols = list(zip(*rows)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
@@ -487,12 +559,16 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     schema = T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = np.array(Vocabulary(path, 1.0).surface, dtype=object)
+        surface = Vocabulary(path, 1.0).surface
+        size = np.array([len(x) for x in surface], dtype=np.int64)
+        start = np.cumsum(size) - size
+        table = np.frombuffer(b"".join(surface), np.uint8)
         for b in batches:
-            texts = [
-                b"".join(surface[np.frombuffer(x, "<u4")].tolist())[1:].decode("utf-8", "replace")
-                for x in b.column("ids").to_pylist()
-            ]
+            texts = []
+            for blob in b.column("ids").to_pylist():
+                ids = np.frombuffer(blob, "<u4")
+                # the first byte is the space before the first word
+                texts.append(table[_ranges(start[ids], size[ids])].tobytes()[1:].decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
 
     return rows.mapInArrow(run, schema)
