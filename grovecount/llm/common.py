@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovecount.session import ensure_checkpoint_dir
+
 # ASCII white space that separates words, and its complement
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,3 +41,19 @@ def text_hash(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it in ``body`` any number of times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+class Stored:
+    """Tables of one run of a loop, as Parquet in the shared checkpoint folder:
+    survive lost executors, and a loop that appends to a table and reads it
+    again keeps its plan as small as in its first round."""
+
+    def __init__(self, spark, label: str):
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """Append ``df`` to table ``name``; the whole table."""
+        path = f"{self.root}/{name}"
+        df.write.mode("append").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from grovecount.llm.common import keyed_text
+from grovecount.llm.common import Stored, keyed_text
 
 END_OF_DOCUMENT = 0
 LONG_TEXT = 500_000  # characters; such texts take the tokenizer with flat memory
@@ -203,7 +203,7 @@ def _numbered(left: DataFrame, segments: list[tuple]) -> DataFrame:
     return left.mapInArrow(run, "role int, number long, item long, size long")
 
 
-def _sweep(waiting: DataFrame, bins: DataFrame, lo: int, hi: int) -> tuple[DataFrame, DataFrame, int]:
+def _sweep(tables: Stored, number: int, waiting: DataFrame, bins: DataFrame, lo: int, hi: int) -> tuple[DataFrame, DataFrame, int]:
     """One sweep of the pieces ``waiting`` (item, size) over ``bins`` (seq, gap).
 
     Returns the placements (item, size, seq), the unplaced pieces (item, size,
@@ -222,11 +222,11 @@ def _sweep(waiting: DataFrame, bins: DataFrame, lo: int, hi: int) -> tuple[DataF
     )
     ordered = [F.desc("size"), F.asc("kind"), F.asc("item")]
     items = slots.unionByName(waiting.select(F.lit(1).alias("kind"), "item", "size"))
-    swept = (
+    swept = tables.add(
         items.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
         .withColumn("pid", F.spark_partition_id())
-        .mapInArrow(_sweep_partition, LEFT_SCHEMA)
-        .checkpoint()
+        .mapInArrow(_sweep_partition, LEFT_SCHEMA),
+        f"sweep-{number}",
     )
     counts: dict[int, list[int]] = {}
     for r in swept.where("kind < 2").groupBy("pid", "kind").count().collect():  # two counts a partition
@@ -244,37 +244,45 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     """Place ``item`` (unique long) of ``size`` (1..capacity) tokens: returns
     ``item, size, seq, offset``."""
     band_list = bands(capacity)
+    tables, number = Stored(sizes.sparkSession, "packing"), 0
     # what is over half the capacity shares a sequence with smaller pieces only
-    every = sizes.where(F.col("size") * 2 > capacity).select("item", "size", F.col("item").alias("seq"))
+    alone = sizes.where(F.col("size") * 2 > capacity).select("item", "size", F.col("item").alias("seq"))
+    every = tables.add(alone, "placed")
     band = F.lit(None).cast("int")
     for i, (lo, hi, _) in enumerate(band_list):
         band = F.when((F.col("size") > lo) & (F.col("size") <= hi), i).otherwise(band)
-    present = {r.b for r in sizes.select(band.alias("b")).where("b is not null").distinct().collect()}
+    present = {
+        r.b: (r.n, r.top) for r in sizes.groupBy(band.alias("b"))
+        .agg(F.count("*").alias("n"), F.max("size").alias("top")).where("b is not null").collect()
+    }
     for i, (lo, hi, k) in enumerate(band_list):
-        if i not in present:
-            continue
+        n, top = present.get(i, (0, 0))
         waiting = sizes.where((F.col("size") > lo) & (F.col("size") <= hi)).select("item", "size")
-        n = 1
         while n:
             gaps = every.groupBy("seq").agg((capacity - F.sum("size")).alias("gap")).where("gap > 0")
-            placed, unplaced, n = _sweep(waiting, gaps, lo, hi)
-            if n:
-                # the largest pieces left open sequences: as many as all of them need at least
-                if k:
-                    opening = math.ceil(n / k)
-                else:
-                    opening = math.ceil(unplaced.agg(F.sum("size")).first()[0] / capacity)
+            number += 1
+            placed, unplaced, left = _sweep(tables, number, waiting, gaps, lo, top)
+            found, n, opening = n - left, left, 0
+            if n and k:
+                # any k of the band fit one sequence: open as many as that takes, the rest follow by rank
+                opening = math.ceil(n / k)
                 opened = unplaced.where(F.col("number") < opening)
+                seqs = opened.select(F.col("number").alias("turn"), F.col("item").alias("seq"))
+                turn = unplaced.where(F.col("number") >= opening).withColumn("turn", F.col("number") % opening)
+                placed = placed.unionByName(turn.join(seqs.hint("merge"), "turn").select("item", "size", "seq"))
+                n = 0
+            elif n:
+                waiting = unplaced.select("item", "size")
+                top, total = unplaced.agg(F.max("size"), F.sum("size")).first()
+                if found < n:
+                    # gaps take little more: the largest pieces open as many sequences as all need at least
+                    opening = math.ceil(total / capacity)
+                    opened = unplaced.where(F.col("number") < opening)
+                    waiting = unplaced.where(F.col("number") >= opening).select("item", "size")
+                    n -= min(n, opening)
+            if opening:
                 placed = placed.unionByName(opened.select("item", "size", F.col("item").alias("seq")))
-                waiting = unplaced.where(F.col("number") >= opening)
-                if k:  # any k of the band fit one sequence, so the rest follow by rank
-                    turn = waiting.withColumn("turn", F.col("number") % opening)
-                    seqs = opened.select(F.col("number").alias("turn"), F.col("item").alias("seq"))
-                    placed = placed.unionByName(turn.join(seqs.hint("merge"), "turn").select("item", "size", "seq"))
-                    n = 0
-                else:
-                    waiting, n = waiting.select("item", "size"), max(0, n - opening)
-            every = every.unionByName(placed.checkpoint())
+            every = tables.add(placed, "placed")
     # a sequence holds at most `capacity` pieces, so its window is bounded
     before = W.partitionBy("seq").orderBy(F.desc("size"), "item").rowsBetween(W.unboundedPreceding, -1)
     return every.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))

@@ -1,0 +1,94 @@
+"""Log-template line deduplication against a brute-force version."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from grovecount.llm import lines
+
+from .conftest import EDGE_ROWS
+
+BLANKS = "[\x20\x09-\x0d]+"
+
+
+def mask(line):
+    return re.sub("(?<![^\x20\x09-\x0d])[^\x20\x09-\x0d0-9]*[0-9][^\x20\x09-\x0d]*", "<*>", line)
+
+
+def brute(rows, min_docs, leading, min_tokens):
+    leaves = defaultdict(lambda: defaultdict(list))  # leaf -> masked line -> ids
+    for i, t in rows:
+        if i is None:
+            continue
+        for m in set(mask(x) for x in (t or "").split("\n")):
+            w = [x for x in re.split(BLANKS, m) if x]
+            if len(w) >= min_tokens:
+                leaves[(len(w), *w[:leading])][m].append(i)
+    first = {}
+    for group in leaves.values():
+        support = Counter()
+        words = {m: [x for x in re.split(BLANKS, m) if x] for m in group}
+        for m, ids in group.items():
+            for p, x in enumerate(words[m]):
+                support[p, x] += len(ids)
+        templates = defaultdict(list)
+        for m, w in words.items():
+            gone = [support[p, x] < min_docs and x != "<*>" for p, x in enumerate(w)]
+            if sum(gone) <= len(w) // 8:
+                templates[tuple("<*>" if g else x for g, x in zip(gone, w))].append(m)
+        for ms in templates.values():
+            if sum(len(group[m]) for m in ms) >= min_docs:
+                for m in ms:
+                    first[m] = min(i for x in ms for i in group[x])
+    out = []
+    for i, t in rows:
+        own = (t or "").split("\n")
+        kept = [x for x in own if i is None or first.get(mask(x), i) == i]
+        out.append((i, "\n".join(kept), len(own), len(own) - len(kept)))
+    return sorted(out, key=str)
+
+
+def boilerplate(seed):
+    r = random.Random(seed)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    fixed = [" ".join(r.choices(words, k=r.randint(2, 12))) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        own = []
+        for _ in range(r.randint(0, 8)):
+            kind = r.random()
+            if kind < 0.3:
+                own.append(r.choice(fixed))
+            elif kind < 0.5:
+                own.append(f"Posted on 20{r.randint(10, 99)}-01 by user{r.randint(0, 9)} in the daily news section")
+            elif kind < 0.7:
+                own.append(f"Written by {r.choice(words)} for the weekly paper of the town hall today")
+            else:
+                own.append(" ".join(r.choices(words, k=r.randint(0, 9))))
+        rows.append((i, "\n".join(own)))
+    return rows + [(3, rows[3][1]), (None, fixed[0])]
+
+
+@pytest.mark.parametrize("rows", [EDGE_ROWS, boilerplate(1), boilerplate(2), []])
+def test_equals_brute_force(docs_of, rows):
+    out = lines.drop_recurring_lines(docs_of(rows), min_docs=5, leading=2, min_tokens=3).collect()
+    got = sorted(((r.id, r.kept_text, r.n_lines, r.n_dropped) for r in out), key=str)
+    assert got == brute(rows, 5, 2, 3)
+
+
+def test_variable_fields_become_one_template(docs_of):
+    rows = [(i, f"Written by name{chr(97 + i)} for the weekly paper of this town\nown line {chr(97 + i)} says more") for i in range(8)]
+    out = {r.id: r for r in lines.drop_recurring_lines(docs_of(rows), min_docs=5).collect()}
+    assert out[0].n_dropped == 0
+    assert all(out[i].n_dropped == 1 and out[i].kept_text.startswith("own line") for i in range(1, 8))
+
+
+def test_stage_drops_emptied_documents_and_keeps_columns(docs_of):
+    rows = [(i, "the same boilerplate line") for i in range(6)] + [(9, "something else entirely here"), (10, "")]
+    out = lines.without_recurring_lines(docs_of(rows), min_docs=5)
+    assert out.columns == docs_of(rows).columns
+    assert sorted(r.doc_id for r in out.collect()) == [0, 9, 10]
