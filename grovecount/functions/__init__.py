@@ -9,7 +9,6 @@ from grovecount.functions.text import (  # noqa: F401
     ends_with,
     ends_with_any,
     file_name,
-    has_separator,
     prefix_before,
     render_pair,
     split_lines,

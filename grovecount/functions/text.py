@@ -42,19 +42,19 @@ def prefix_before(c: Column | str, sep: str = TYPE_SEPARATOR) -> Column:
     """O-11: text before the first ``sep``; null when ``sep`` is absent.
 
     The original throws on a name without the separator; callers route the
-    null keys to a rejects output instead (see ``has_separator``).
+    null keys to a rejects output instead.
     """
     col = _col(c)
     return F.when(F.instr(col, sep) > 0, F.substring_index(col, sep, 1))
 
 
-def has_separator(c: Column | str, sep: str = TYPE_SEPARATOR) -> Column:
-    return F.instr(_col(c), sep) > 0
-
-
 def split_lines(c: Column | str) -> Column:
-    """Array of the lines of a text value (CRLF, CR and LF all end a line)."""
-    return F.split(_col(c), LINE_BREAK_PATTERN, -1)
+    """Array of the lines of a text value (CRLF, CR and LF all end a line; a line
+    break at the very end ends the last line and starts none)."""
+    parts = F.split(_col(c), LINE_BREAK_PATTERN, -1)
+    return F.when(
+        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+    ).otherwise(parts)
 
 
 def render_pair(feature: Column | str, n: Column | str) -> Column:

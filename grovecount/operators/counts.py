@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def as_sightings(lines: DataFrame, value_col: str = "value") -> DataFrame:
-    """O-10: the whole line is the feature, each line counts once."""
-    return lines.select(F.col(value_col).alias("feature"), F.lit(1).alias("n"))
+    """O-10: the whole line is the feature, each line counts once; other columns
+    (a batch's time stamp) stay."""
+    rest = [c for c in lines.columns if c != value_col]
+    return lines.select(F.col(value_col).alias("feature"), F.lit(1).alias("n"), *rest)
 
 
 def keyed_sum(

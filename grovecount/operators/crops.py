@@ -24,12 +24,11 @@ def crop_boxes(circles: DataFrame, dims: DataFrame, id_col: str = ID) -> DataFra
 
 
 def crop_name(image_name: str = "image_name", k: str = "k"):
-    """O-20: ``<type>_<image stem>_<k>.png`` — deterministic and collision-free
-    (the original numbers crops with a per-task counter, which collides)."""
-    stem = F.regexp_replace(image_name, r"\.[^.]*$", "")
-    return F.concat(
-        F.concat_ws("_", F.substring_index(image_name, "_", 1), stem, F.col(k).cast("string")), F.lit(".png")
-    )
+    """O-20: ``<type>_<image name>_<k>.png``.  The image's extension stays in, so
+    ``a_1.png`` and ``a_1.jpg`` give different names (the original numbers crops
+    with a per-task counter, which collides)."""
+    parts = F.concat_ws("_", F.substring_index(image_name, "_", 1), F.col(image_name), F.col(k).cast("string"))
+    return F.concat(parts, F.lit(".png"))
 
 
 def crop_pixels(boxes: DataFrame, pixels: DataFrame, id_col: str = ID) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from grovecount.functions.image import DEFAULT_STEPS, DEFAULT_THRESHOLD, radius_max, radius_min
 from grovecount.operators.stencil import ID
 
-# Broadcast the offsets table only up to this many rows (~16 bytes a row).
-# Its size is at most (largest radius) x steps: set by image dimensions and
-# the step count, never by the number of images or edges.
-MAX_BROADCAST_OFFSETS = 2_000_000
+# Broadcast the offsets table only up to this many bytes (a row of four fields
+# is 40 bytes).  Its size is at most (largest radius) x steps rows: set by image
+# dimensions and the step count, never by the number of images or edges.
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+OFFSET_ROW_BYTES = 40
 
 
 def radius_ranges(dims: DataFrame, id_col: str = ID) -> DataFrame:
@@ -60,7 +61,8 @@ def vote_counts(
 ) -> DataFrame:
     """O-26 + O-28: ``image_id, a, b, r, votes`` with ``a = x - dx``, ``b = y - dy``.
 
-    Each edge pixel is paired with the offsets of every radius of its image.
+    Each edge pixel is paired with the offsets of every radius of its image;
+    edges that carry their image's ``r_min, r_max`` need no join for it.
     The weighted offsets table is broadcast when its proven bound
     (largest radius x steps rows) fits; beyond that the offsets are generated
     inline per edge, which needs no join at all.  Either way the partial hash
@@ -68,11 +70,13 @@ def vote_counts(
     cell key, so one large image spreads over all reducers.
     """
     ranges = radius_ranges(dims, id_col)
-    per_edge = edges.join(ranges, id_col).select(
+    if not {"r_min", "r_max"} <= set(edges.columns):
+        edges = edges.join(ranges, id_col)
+    per_edge = edges.where(F.col("r_max") >= F.col("r_min")).select(
         id_col, "x", "y", F.explode(F.sequence("r_min", "r_max")).alias("r")
     )
     top = ranges.agg(F.max("r_max").alias("m")).first()["m"] or 0
-    if top * steps <= MAX_BROADCAST_OFFSETS:
+    if top * steps * OFFSET_ROW_BYTES <= MAX_BROADCAST_BYTES:
         offsets = circle_offsets(radii_in_use(ranges), steps)
         paired = per_edge.join(F.broadcast(offsets), "r")
         votes = paired.select(

@@ -29,43 +29,62 @@ DEFAULT_BFS_ROUNDS = 8
 
 
 def grow_edges(
-    thinned: DataFrame, low: int, high: int, id_col: str = ID, bfs_rounds: int = DEFAULT_BFS_ROUNDS
+    thinned: DataFrame,
+    low: int,
+    high: int,
+    id_col: str = ID,
+    bfs_rounds: int = DEFAULT_BFS_ROUNDS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Edge pixels ``image_id, x, y`` (distinct) after hysteresis.
 
     ``thinned`` carries ``mag2`` for surviving pixels; values are compared as
-    squares (``> low^2`` weak, ``> high^2`` strong).
+    squares (``> low^2`` weak, ``> high^2`` strong).  ``carry`` names columns
+    that are constant per image (e.g. its radius range) and stay on the rows.
     """
     rounds = RoundTables(thinned.sparkSession, "edges")
-    weak = rounds.write(thinned.where(F.col("mag2") > low * low).select(id_col, "x", "y", "mag2"), "weak")
-    kept = weak.where(F.col("mag2") > high * high).select(id_col, "x", "y")  # a filter of a stored table
+    cols = [id_col, "x", "y", *carry]
+    weak = rounds.write(thinned.where(F.col("mag2") > low * low).select(*cols, "mag2"), "weak")
+    frontier = weak.where(F.col("mag2") > high * high).select(*cols)  # a filter of a stored table
     weak = weak.select(id_col, "x", "y")
-    frontier = kept
-    parts = [kept]
+    parts = [frontier]
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _NEIGHBOURHOOD])
     for _ in range(bfs_rounds):
-        around = frontier.select(id_col, "x", "y", F.explode(shifts).alias("s")).select(
+        around = frontier.select(id_col, "x", "y", *carry, F.explode(shifts).alias("s")).select(
             id_col,
             (F.col("x") + F.col("s.a")).alias("x"),
             (F.col("y") + F.col("s.b")).alias("y"),
-        )
-        new = (
-            around.join(weak, [id_col, "x", "y"], "left_semi")
-            .join(kept, [id_col, "x", "y"], "left_anti")
-            .distinct()
-        )
-        frontier, n = rounds.write_counted(new, "new")
+            *carry,
+        ).distinct()
+        # neighbours of round k lie in rounds k-1, k and k+1 only: earlier rounds
+        # need not be looked at again
+        recent = _union(parts[-2:]).select(id_col, "x", "y")
+        new = around.join(weak, [id_col, "x", "y"], "left_semi").join(recent, [id_col, "x", "y"], "left_anti")
+        frontier, n = rounds.write_counted(new.select(*cols), "new")
         if n == 0:
-            return kept
+            return _union(parts)
         # the kept set is the union of the stored rounds: nothing is rewritten
         parts.append(frontier)
-        kept = parts[0]
-        for p in parts[1:]:
-            kept = kept.unionByName(p)
-    return _by_components(weak, kept, rounds, id_col)
+    kept = _union(parts)
+    # only images whose contours still grow need the components
+    unfinished = rounds.write(frontier.select(id_col).distinct(), "unfinished")
+    done = kept.join(unfinished, id_col, "left_anti")
+    rest = _by_components(
+        weak.join(unfinished, id_col, "left_semi"), kept.join(unfinished, id_col, "left_semi"), rounds, id_col, carry
+    )
+    return done.unionByName(rest)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def _by_components(weak: DataFrame, kept: DataFrame, rounds: RoundTables, id_col: str) -> DataFrame:
+def _by_components(
+    weak: DataFrame, kept: DataFrame, rounds: RoundTables, id_col: str, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Weak pixels in a component that contains any kept pixel."""
     nodes = rounds.write(weak.withColumn("node", F.monotonically_increasing_id()), "nodes")
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _FORWARD])
@@ -78,5 +97,10 @@ def _by_components(weak: DataFrame, kept: DataFrame, rounds: RoundTables, id_col
         id_col, "x", "y", F.coalesce("label", "node").alias("label")
     )
     labelled = rounds.write(labelled, "labelled")
-    seeded = labelled.join(kept, [id_col, "x", "y"], "left_semi").select("label").distinct()
-    return rounds.write(labelled.join(seeded, "label", "left_semi").select(id_col, "x", "y"), "kept")
+    # a label belongs to one image, so the carried columns come with it
+    seeded = (
+        labelled.join(kept, [id_col, "x", "y"]).groupBy("label").agg(*[F.first(c).alias(c) for c in carry])
+        if carry
+        else labelled.join(kept, [id_col, "x", "y"], "left_semi").select("label").distinct()
+    )
+    return rounds.write(labelled.join(seeded, "label").select(id_col, "x", "y", *carry), "kept")

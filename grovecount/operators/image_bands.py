@@ -20,11 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from grovecount.functions.image import BLUR_DIVISOR, BLUR_WEIGHTS
+from grovecount.functions.image import BLUR_DIVISOR, BLUR_WEIGHTS, RADIUS_MAX_DIVISOR, RADIUS_MIN_DIVISOR
 from grovecount.sources.images import _gray, java_gray_levels, readable
 
 HALO = 4
 DEFAULT_BAND = 256
+EMIT_ROWS = 200_000  # candidate rows per emitted frame
 
 # neighbour scanned before (p) and after (q) the pixel, per direction bin 0..4
 # (bin 4 is bin 0's axis); see operators/thinning.py
@@ -109,12 +110,18 @@ def band_candidates(
 
 
 def _candidate_rows(batches, low: int, band: int, levels: np.ndarray):
+    """One frame per ``EMIT_ROWS`` candidates or so: memory follows a band and
+    that budget, not the images of an Arrow batch."""
+    out, size = [], 0
     for pdf in batches:
-        out = []
         for ident, height, width, channels, buf in zip(
             pdf["image_id"], pdf["height"], pdf["width"], pdf["n_channels"], pdf["data"]
         ):
             h, w, c = int(height), int(width), int(channels)
+            radii = {
+                "r_min": np.int32(max(1, min(h, w) // RADIUS_MIN_DIVISOR)),
+                "r_max": np.int32(max(h, w) // RADIUS_MAX_DIVISOR),
+            }
             for y0 in range(0, h, band):
                 y1 = min(h, y0 + band)
                 g_lo, g_hi = max(0, y0 - HALO), min(h, y1 + HALO)
@@ -123,16 +130,22 @@ def _candidate_rows(batches, low: int, band: int, levels: np.ndarray):
                 gray = _gray(rows, c, levels).reshape(-1, w)
                 cols = band_candidates(gray, low, y0, y1, first=g_lo, height=h)
                 if len(cols["x"]):
-                    out.append(pd.DataFrame({"image_id": ident, **cols}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+                    out.append(pd.DataFrame({"image_id": ident, **cols, **radii}))
+                    size += len(cols["x"])
+                if size >= EMIT_ROWS:
+                    yield pd.concat(out, ignore_index=True)
+                    out, size = [], 0
+    if out:
+        yield pd.concat(out, ignore_index=True)
 
 
 def suppression_inputs_from_images(
     images: DataFrame, low: int, id_col: str = "image_name", band: int = DEFAULT_BAND
 ) -> DataFrame:
     """``suppression_inputs`` rows (``image_id, x, y, mag2, q_kills, p_gt, px, py``)
-    computed from image bytes without a dense pixel table."""
+    computed from image bytes without a dense pixel table, each with its image's
+    radius range (``r_min, r_max``; the decoder knows the size, so voting needs
+    no join for it)."""
     src = readable(images).select(images[id_col].alias("image_id"), "height", "width", "n_channels", "data")
     schema = T.StructType([
         T.StructField("image_id", src.schema["image_id"].dataType),
@@ -143,6 +156,8 @@ def suppression_inputs_from_images(
         T.StructField("p_gt", T.BooleanType()),
         T.StructField("px", T.IntegerType()),
         T.StructField("py", T.IntegerType()),
+        T.StructField("r_min", T.IntegerType()),
+        T.StructField("r_max", T.IntegerType()),
     ])
     levels = java_gray_levels(images.sparkSession)
 

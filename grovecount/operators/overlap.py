@@ -2,173 +2,79 @@
 
 Acceptance is greedy and order-dependent inside one image: walk the
 candidates in a fixed order (``votes desc, r, a, b``) and accept one unless its
-centre lies strictly inside an already accepted circle.  No set of joins
-expresses "already accepted" (and pairing candidates would emit all pairs of
-an image), so this one step is a pandas function over the (thresholded,
-hence few) candidates of each image, fed sorted by Spark.  Everything before
-and after it stays in Spark SQL.
+centre lies strictly inside an already accepted circle.
+
+The same result comes out of rounds over a grid.  A candidate can only be
+blocked by a circle whose radius covers its centre, so from within R = the
+image's largest candidate radius: from its own R x R cell or one of the eight
+around it.  A candidate that is first in order within those nine cells is
+therefore accepted whatever happens elsewhere.  Each round accepts all such
+candidates of all images, drops the candidates they cover, and repeats until
+none is left.  "First in the nine cells" is a min-aggregate, and at most one
+candidate per nine cells is accepted in a round, so matching the rest against
+them is an equi-join on cells that grows linearly: no pairs, and no group (an
+image, a cluster of one) in a single task.  A dense image needs more rounds,
+not a larger task.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from grovecount.operators.stencil import ID
+from grovecount.plans.lineage import RoundTables
 
-ORDER = ["votes", "r", "a", "b"]
-ASCENDING = [False, True, True, True]
+_AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
-def _greedy(a: np.ndarray, b: np.ndarray, r: np.ndarray) -> list[int]:
-    """Indices accepted from candidates already in acceptance order.
+def _nine_cells(df: DataFrame, id_col: str, *cols) -> DataFrame:
+    """One row per cell that a row's cell touches (itself included)."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND])
+    return df.select(id_col, "cx", "cy", *cols, F.explode(steps).alias("s")).withColumns(
+        {"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")}
+    ).drop("s")
 
-    Each accepted circle removes every later candidate whose centre it covers
-    (``d^2 < r^2`` in integers); the next survivor is the next acceptance.
-    Cost is candidates x accepted, all in numpy.
-    """
-    alive = np.ones(len(a), dtype=bool)
-    picked: list[int] = []
-    i = 0
-    while True:
-        rest = np.flatnonzero(alive[i:])
-        if rest.size == 0:
-            return picked
-        i += int(rest[0])
-        picked.append(i)
-        da, db = a[i:] - a[i], b[i:] - b[i]
-        alive[i:] &= da * da + db * db >= r[i] * r[i]
-        i += 1
 
-
-def accept_greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Accepted circles of one image's candidates, numbered ``k`` in acceptance order."""
-    pdf = pdf.sort_values(ORDER, ascending=ASCENDING, kind="mergesort").reset_index(drop=True)
-    picked = _greedy(*(pdf[c].to_numpy(np.int64) for c in ("a", "b", "r")))
-    out = pdf.iloc[picked].copy()
-    out.insert(1, "k", np.arange(len(picked), dtype=np.int32))
-    return out
-
-
-def _boundaries(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    """Row positions where the group (``keys``) changes in a sorted block."""
-    change = np.zeros(max(len(pdf) - 1, 0), dtype=bool)
-    for c in keys:
-        v = pdf[c].to_numpy()
-        change |= v[1:] != v[:-1]
-    return np.flatnonzero(change) + 1
-
-
-def _accept_sorted(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Greedy acceptance for consecutive groups of a block sorted by group, then order."""
-    a, b, r = (pdf[c].to_numpy(np.int64) for c in ("a", "b", "r"))
-    starts = np.concatenate(([0], _boundaries(pdf, keys), [len(pdf)]))
-    rows, ks = [], []
-    for s0, s1 in zip(starts[:-1], starts[1:]):
-        picked = _greedy(a[s0:s1], b[s0:s1], r[s0:s1])
-        rows.extend(s0 + p for p in picked)
-        ks.extend(range(len(picked)))
-    out = pdf.iloc[rows].reset_index(drop=True)
-    out.insert(1, "k", np.asarray(ks, dtype=np.int32))
-    return out
-
-
-def _accept_partition(keys: list[str]):
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            # the last group may continue in the next batch: hold it back
-            bounds = _boundaries(pdf, keys)
-            cut = int(bounds[-1]) if len(bounds) else 0
-            carry = pdf.iloc[cut:]
-            if cut:
-                yield _accept_sorted(pdf.iloc[:cut], keys)
-        if carry is not None and len(carry):
-            yield _accept_sorted(carry, keys)
-
-    return run
-
-
-# Above this many candidates in one image, acceptance is split into spatial
-# clusters (exact, see ``_spatial_clusters``) instead of one run per image.
-MAX_GROUP_CANDIDATES = 200_000
-_FORWARD = [(1, 0), (-1, 1), (0, 1), (1, 1)]
-
-
-def _greedy_runs(cands: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
-    id_type = cands.schema[id_col].dataType
-    fields = [T.StructField(id_col, id_type), T.StructField("k", T.IntegerType())]
-    fields += [T.StructField(c, T.IntegerType()) for c in ("a", "b", "r")]
-    fields += [T.StructField("votes", T.LongType())]
-    fields += [T.StructField(c, cands.schema[c].dataType) for c in keys if c != id_col]
-    ordered = (
-        cands.select(id_col, "a", "b", "r", "votes", *[c for c in keys if c != id_col])
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, F.desc("votes"), "r", "a", "b")
-    )
-    return ordered.mapInPandas(_accept_partition(keys), T.StructType(fields))
-
-
-def _spatial_clusters(cands: DataFrame, id_col: str) -> DataFrame:
-    """Candidates with a ``cluster`` id such that acceptance never crosses clusters.
-
-    A candidate can only be blocked by an accepted one whose radius covers
-    its centre, so within distance R = the image's largest candidate radius.
-    With centres bucketed into R x R cells, interacting candidates share a
-    cell or touch diagonally; clusters are the connected components of the
-    occupied cells under 8-adjacency (computed by ``connected_components``).
-    """
-    from grovecount.operators.components import connected_components
-    from grovecount.plans.lineage import RoundTables
-
-    rounds = RoundTables(cands.sparkSession, "clusters")
+def accept_circles(cands: DataFrame, id_col: str = ID) -> DataFrame:
+    """``image_id, k, a, b, r, votes`` of accepted circles; ``k`` numbers them in
+    acceptance order within the image."""
+    rounds = RoundTables(cands.sparkSession, "accept")
     reach = cands.groupBy(id_col).agg(F.max("r").alias("reach"))
-    cells_of = cands.join(reach, id_col).select(
-        "*",
-        F.floor(F.col("a") / F.col("reach")).alias("cx"),
-        F.floor(F.col("b") / F.col("reach")).alias("cy"),
-    )
-    cells = rounds.write(
-        cells_of.select(id_col, "cx", "cy").distinct().withColumn("node", F.monotonically_increasing_id()), "cells"
+    alive, left = rounds.write_counted(
+        cands.join(reach, id_col).select(
+            id_col, "a", "b", "r", "votes",
+            F.floor(F.col("a") / F.col("reach")).alias("cx"),
+            F.floor(F.col("b") / F.col("reach")).alias("cy"),
+        ),
+        "alive",
     )
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _FORWARD])
-    nbr = cells.select(id_col, "cx", "cy", F.col("node").alias("src"), F.explode(steps).alias("s")).select(
-        id_col, (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "src"
-    )
-    edges = nbr.join(cells.withColumnRenamed("node", "dst"), [id_col, "cx", "cy"]).select("src", "dst")
-    labels = connected_components(edges)
-    cluster = cells.join(labels, "node", "left").select(
-        id_col, "cx", "cy", F.coalesce("label", "node").alias("cluster")
-    )
-    return cells_of.join(cluster, [id_col, "cx", "cy"]).select(id_col, "a", "b", "r", "votes", "cluster")
-
-
-def accept_circles(cands: DataFrame, id_col: str = ID, max_group: int = MAX_GROUP_CANDIDATES) -> DataFrame:
-    """``image_id, k, a, b, r, votes`` of accepted circles.
-
-    Candidates are hash-partitioned by group and sorted inside each partition
-    by (group, votes desc, r, a, b) in Spark; one pandas function then walks
-    the sorted Arrow batches, so a group is handled as a contiguous run and
-    no per-group frame is built.  A group is an image, or, when some image
-    has more than ``max_group`` candidates, a spatial cluster of one; then
-    ``k`` (the acceptance index within the image) is numbered afterwards in
-    the same order.  Only thresholded candidates get here.
-    """
-    biggest = cands.groupBy(id_col).count().agg(F.max("count").alias("m")).first()["m"] or 0
-    if biggest <= max_group:
-        return _greedy_runs(cands, id_col, [id_col])
-    runs = _greedy_runs(_spatial_clusters(cands, id_col), id_col, [id_col, "cluster"])
+    cell = [id_col, "cx", "cy"]
+    place = F.struct((-F.col("votes")).alias("v"), F.col("r"), F.col("a"), F.col("b"))
+    accepted = [alive.where(F.lit(False)).select(id_col, "a", "b", "r", "votes")]
+    while left:
+        in_cell = alive.groupBy(*cell).agg(F.min(place).alias("m"))
+        first = _nine_cells(in_cell, id_col, "m").groupBy(*cell).agg(F.min("m").alias("first"))
+        marked = alive.join(first, cell).withColumn("accepted", place == F.col("first")).drop("first")
+        zones = _nine_cells(
+            marked.where("accepted"), id_col, F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("r").alias("cr")
+        )
+        da, db = F.col("a") - F.col("ca"), F.col("b") - F.col("cb")
+        covered = alive.join(zones, cell).where(da * da + db * db < F.col("cr") * F.col("cr")).select(
+            id_col, "a", "b", "r"
+        )
+        # an accepted circle covers its own centre, so it is kept by its mark
+        settled = marked.join(
+            covered.distinct().withColumn("covered", F.lit(True)), [id_col, "a", "b", "r"], "left"
+        ).where("accepted OR covered IS NULL").drop("covered")
+        state, left = rounds.write_counted(settled, "round", ~F.col("accepted"))
+        accepted.append(state.where("accepted").select(id_col, "a", "b", "r", "votes"))
+        alive = state.where("NOT accepted").drop("accepted")
+    out = accepted[0]
+    for part in accepted[1:]:
+        out = out.unionByName(part)
     order = Window.partitionBy(id_col).orderBy(F.desc("votes"), "r", "a", "b")
-    return runs.select(
-        id_col, (F.row_number().over(order) - 1).cast("int").alias("k"), "a", "b", "r", "votes"
-    )
+    return out.select(id_col, (F.row_number().over(order) - 1).cast("int").alias("k"), "a", "b", "r", "votes")
 
 
 def circle_counts(circles: DataFrame, dims: DataFrame, id_col: str = ID) -> DataFrame:

@@ -81,27 +81,31 @@ DEFAULT_DIRECT_ROUNDS = 6
 
 
 def resolve(
-    cand: DataFrame, mode: str = "inplace", id_col: str = ID, direct_rounds: int = DEFAULT_DIRECT_ROUNDS
+    cand: DataFrame,
+    mode: str = "inplace",
+    id_col: str = ID,
+    direct_rounds: int = DEFAULT_DIRECT_ROUNDS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Apply the suppression rule to candidate rows from ``suppression_inputs``.
 
     In-place: chains are followed one link per round for ``direct_rounds``
     rounds (short chains are the usual case and each round only touches the
     pixels decided in the previous one); whatever is still open after that is
-    settled by pointer jumping in O(log chain length) rounds.
+    settled by pointer jumping in O(log chain length) rounds.  ``carry`` names
+    further columns that stay on the rows.
     """
+    cols = [id_col, "x", "y", "mag2", *carry]
     if mode == "snapshot":
-        return cand.where(~F.col("q_kills") & ~F.col("p_gt")).select(id_col, "x", "y", "mag2")
+        return cand.where(~F.col("q_kills") & ~F.col("p_gt")).select(*cols)
     if mode != "inplace":
         raise ValueError(f"unknown thinning mode {mode!r}")
 
     rounds = RoundTables(cand.sparkSession, "thin")
     cand = rounds.write(cand, "cand")
     # Round 0: pixels decided by their own neighbours.
-    frontier = cand.where(F.col("q_kills") | ~F.col("p_gt")).select(
-        id_col, "x", "y", "mag2", F.col("q_kills").alias("killed")
-    )
-    waiting = cand.where(~F.col("q_kills") & F.col("p_gt")).select(id_col, "x", "y", "mag2", "px", "py")
+    frontier = cand.where(F.col("q_kills") | ~F.col("p_gt")).select(*cols, F.col("q_kills").alias("killed"))
+    waiting = cand.where(~F.col("q_kills") & F.col("p_gt")).select(*cols, "px", "py")
     decided = [frontier]
     # Round k: every pixel whose p was decided in round k-1.  Each pixel has
     # exactly one p, so it is matched in exactly one round: no anti-join needed.
@@ -109,17 +113,15 @@ def resolve(
         ref = frontier.select(
             F.col(id_col), F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("p_killed")
         )
-        step = waiting.join(ref, [id_col, "px", "py"], "inner").select(
-            id_col, "x", "y", "mag2", (~F.col("p_killed")).alias("killed")
-        )
+        step = waiting.join(ref, [id_col, "px", "py"], "inner").select(*cols, (~F.col("p_killed")).alias("killed"))
         frontier, n = rounds.write_counted(step, "decided")
         if n == 0:
-            return _survivors(decided, rounds, id_col)
+            return _survivors(decided, cols)
         decided.append(frontier)
     known = _union(decided)
     known = rounds.write(known, "known")
     open_ = waiting.join(known, [id_col, "x", "y"], "left_anti")
-    return _survivors([known, _jump(open_, known, rounds, id_col)], rounds, id_col)
+    return _survivors([known, _jump(open_, known, rounds, id_col, cols)], cols)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -129,24 +131,24 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _survivors(parts: list[DataFrame], rounds: RoundTables, id_col: str) -> DataFrame:
+def _survivors(parts: list[DataFrame], cols: list[str]) -> DataFrame:
     """Union of the stored rounds (each a checkpoint): cheap to re-read, so not
     stored again; a consumer that loops over it stores its own filtered copy."""
-    return _union(parts).where(~F.col("killed")).select(id_col, "x", "y", "mag2")
+    return _union(parts).where(~F.col("killed")).select(*cols)
 
 
-def _jump(open_: DataFrame, known: DataFrame, rounds: RoundTables, id_col: str) -> DataFrame:
+def _jump(open_: DataFrame, known: DataFrame, rounds: RoundTables, id_col: str, cols: list[str]) -> DataFrame:
     """Pointer jumping: ``killed(c) = killed(ptr) XOR flip``; an open pointer is
     replaced by its own pointer (flips added) until it lands on a known pixel."""
     state, n_open = rounds.write_counted(
-        open_.select(id_col, "x", "y", "mag2", "px", "py", F.lit(True).alias("flip")), "open"
+        open_.select(*cols, "px", "py", F.lit(True).alias("flip")), "open"
     )
     known = known.select(id_col, F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("k"))
     solved_parts = []
     while n_open:
         hit = state.join(known, [id_col, "px", "py"], "inner")
         solved = rounds.write(
-            hit.select(id_col, "x", "y", "mag2", (F.col("k") != F.col("flip")).alias("killed")), "jumped"
+            hit.select(*cols, (F.col("k") != F.col("flip")).alias("killed")), "jumped"
         )
         solved_parts.append(solved)
         rest = state.join(known, [id_col, "px", "py"], "left_anti")
@@ -156,7 +158,7 @@ def _jump(open_: DataFrame, known: DataFrame, rounds: RoundTables, id_col: str)
         )
         state, n_open = rounds.write_counted(
             rest.join(nxt, [id_col, "px", "py"], "inner").select(
-                id_col, "x", "y", "mag2", F.col("nx").alias("px"), F.col("ny").alias("py"),
+                *cols, F.col("nx").alias("px"), F.col("ny").alias("py"),
                 (F.col("flip") != F.col("nflip")).alias("flip"),
             ),
             "open",
@@ -167,5 +169,5 @@ def _jump(open_: DataFrame, known: DataFrame, rounds: RoundTables, id_col: str)
             solved.select(id_col, F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("k"))
         )
     return _union(solved_parts) if solved_parts else open_.select(
-        id_col, "x", "y", "mag2", F.lit(False).alias("killed")
-    ).limit(0)
+        *cols, F.lit(False).alias("killed")
+    ).where(F.lit(False))

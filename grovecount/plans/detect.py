@@ -62,24 +62,35 @@ def detect_circles_in_images(
     id_col: str = "image_name",
     params: DetectParams = DetectParams(),
     dims: DataFrame | None = None,
+    repeated: bool = False,
 ) -> Detection:
     """Detection from decoded image rows (``height, width, n_channels, data``).
+    ``repeated`` tells that a row may occur more than once; equal candidate
+    pixels are then merged, which costs less than merging image bytes.
 
     ``dims`` (``image_id, width, height``) may come from a small metadata
     table so the sizes are not read from the image rows again.
     """
     dims = image_dims(images, id_col) if dims is None else dims
     if params.stencil == "dataframe":
-        return detect_circles(image_pixels(images, id_col), dims, params)
+        pixels = image_pixels(images, id_col)
+        return detect_circles(pixels.distinct() if repeated else pixels, dims, params)
     if params.stencil != "bands":
         raise ValueError(f"unknown stencil {params.stencil!r}")
-    thinned = resolve(suppression_inputs_from_images(images, params.low, id_col), params.thinning)
-    return _from_edges(grow_edges(thinned, params.low, params.high), dims, params)
+    radii = ("r_min", "r_max")
+    inputs = suppression_inputs_from_images(images, params.low, id_col)
+    if repeated:
+        inputs = inputs.dropDuplicates(["image_id", "x", "y"])
+    thinned = resolve(inputs, params.thinning, carry=radii)
+    return _from_edges(grow_edges(thinned, params.low, params.high, carry=radii), dims, params)
 
 
 def _from_edges(edges: DataFrame, dims: DataFrame, params: DetectParams) -> Detection:
     votes = vote_counts(edges, dims, params.steps)
-    cands = candidates(votes, params.steps, params.threshold)
-    # Accepted circles are few and feed counts, crops and sinks: write them once.
-    circles = RoundTables(edges.sparkSession, "circles").write(accept_circles(cands), "circles")
+    # voting runs once: its few survivors are stored for the acceptance rounds
+    stored = RoundTables(edges.sparkSession, "circles")
+    cands = stored.write(candidates(votes, params.steps, params.threshold), "candidates")
+    circles = accept_circles(cands)
+    # accepted circles feed counts, crops and sinks: write them once
+    circles = stored.write(circles, "circles")
     return Detection(edges, votes, cands, circles, circle_counts(circles, dims))

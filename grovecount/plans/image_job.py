@@ -14,10 +14,11 @@ from grovecount.functions.text import IMAGE_SUFFIXES, ends_with_any, prefix_befo
 from grovecount.operators.crops import crop_boxes, crop_name
 from grovecount.plans.detect import DetectParams, Detection, detect_circles_in_images
 from grovecount.plans.lineage import RoundTables
-from grovecount.sources.images import image_dims
+from grovecount.sources.images import cut_boxes, image_dims
 
 # Fixed value: folder of the crop output (the original's processed-images folder).
 CROPS_FOLDER = "processed-images"
+REJECTS_FOLDER = "rejects"
 
 
 @dataclass
@@ -26,6 +27,7 @@ class ImageJobResult:
     rejects: DataFrame       # image_name, reason
     detection: Detection | None   # image_id = detector_id of ``images``
     images: DataFrame | None      # analysed images: detector_id, image_name, height, width
+    found: DataFrame | None = None  # their rows with the bytes, as read
 
 
 def split_manifest(names: DataFrame, suffixes=IMAGE_SUFFIXES) -> tuple[DataFrame, DataFrame]:
@@ -44,6 +46,27 @@ def split_manifest(names: DataFrame, suffixes=IMAGE_SUFFIXES) -> tuple[DataFrame
     return kept.where(F.col("feature").isNotNull()), rejects
 
 
+# Names (or picks) are sent to every task in blocks of this size; the image table
+# is read once per block, and its bytes are never shuffled.
+NAME_BLOCK_BYTES = 32 * 1024 * 1024
+
+
+def rows_named(images: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``images`` that match a stored table of ``wanted`` keys, by a
+    broadcast of measured size: one block nearly always, several for a manifest
+    of millions of names."""
+    size = wanted.agg(F.count(F.lit(1)), F.sum(F.length(keys[0]))).first()
+    blocks = -(-((size[0] or 0) * 32 + (size[1] or 0)) // NAME_BLOCK_BYTES)
+    if blocks <= 1:
+        return images.join(F.broadcast(wanted), keys, "left_semi")
+    part = F.pmod(F.xxhash64(*keys), F.lit(blocks))
+    found = [images.join(F.broadcast(wanted.where(part == i)), keys, "left_semi") for i in range(blocks)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def image_counts(
     names: DataFrame,
     images: DataFrame,
@@ -57,33 +80,47 @@ def image_counts(
     Each distinct image is analysed once however often it is listed; every
     listed line still gets its row.
 
-    Image bytes are read once, by the stencil inside the decoding task; only
-    a small metadata table (``image_key, image_name, height, width``) is
-    materialised for statuses and sizes.  An image is keyed by
-    ``xxhash64(image_name)`` inside the detector (8 bytes per row instead of
-    the name); the key is recomputable from the name, so no materialisation
-    is needed to keep it stable, and a collision check falls back to names.
+    No exchange carries image bytes: the batch's names go to the images, and
+    the stencil runs in the task that reads them.  Of several versions of a name
+    one is picked, once, by a rule of its own (the latest ``ingested_at`` where
+    the table has it, then the largest content hash), so sizes and pixels always
+    come from the same version.  An image is keyed by ``xxhash64(image_name)``
+    inside the detector; a collision check falls back to names.
     """
     spark = names.sparkSession
+    stored = RoundTables(spark, "images")
     kept, rejects = split_manifest(names)
-    wanted = images.join(kept.select("image_name").distinct(), "image_name", "left_semi")
-    if parallelism:
-        wanted = wanted.repartition(parallelism, "image_name")
-    # one analysis per name even if the table holds a name twice (a re-ingested
-    # file); rides on the image_name partitioning above
-    wanted = wanted.dropDuplicates(["image_name"]).withColumn("image_key", F.xxhash64("image_name"))
-    meta = RoundTables(spark, "images").write(
-        wanted.select("image_key", "image_name", "height", "width"), "meta"
+    listed = stored.write(kept.select("image_name").distinct(), "names")
+    when = F.col("ingested_at") if "ingested_at" in images.columns else F.lit(None).cast("timestamp")
+    versioned = rows_named(images, listed, ["image_name"]).withColumn("version", F.xxhash64("data"))
+    # one row per (name, version), then the pick; sizes only, no bytes
+    versions = versioned.groupBy("image_name", "version").agg(
+        F.max(when).alias("at"), F.count(F.lit(1)).alias("copies"), F.max("height").alias("height"),
+        F.max("width").alias("width"),
+    )
+    meta = stored.write(
+        versions.groupBy("image_name").agg(F.max(F.struct("at", "version", "copies", "height", "width")).alias("m"))
+        .select("image_name", F.xxhash64("image_name").alias("image_key"), "m.version", "m.copies", "m.height", "m.width"),
+        "meta",
     )
-    key = "image_key"
-    if not meta.groupBy("image_key").count().where(F.col("count") > 1).isEmpty():
-        key = "image_name"  # two names share a hash: keep exact identities
+    checks = meta.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("image_key").alias("keys"), F.max("copies").alias("copies")
+    ).first()
+    key = "image_key" if checks.n == checks["keys"] else "image_name"  # two names share a hash: exact identities
+    picks = meta.select("image_name", "version")
+    wanted = rows_named(
+        images.withColumn("version", F.xxhash64("data")), picks, ["image_name", "version"]
+    ).withColumn("image_key", F.xxhash64("image_name"))
+    if parallelism:
+        wanted = wanted.repartition(parallelism)
     status = meta.select(
         "image_name",
         F.col(key).alias("detector_id"),
         F.when(F.col("height") > 0, F.lit("ok")).otherwise(F.lit("unreadable")).alias("status"),
     )
-    detection = detect_circles_in_images(wanted, key, params, dims=image_dims(meta, key))
+    detection = detect_circles_in_images(
+        wanted, key, params, dims=image_dims(meta, key), repeated=(checks.copies or 0) > 1
+    )
     counts = detection.counts.withColumnRenamed("image_id", "detector_id")
     per_image = status.join(counts, "detector_id", "left").select("image_name", "status", "n")
     per_line = (
@@ -95,7 +132,16 @@ def image_counts(
             F.coalesce("status", F.lit("missing")).alias("status"),
         )
     )
-    return ImageJobResult(per_line, rejects, detection, meta.withColumn("detector_id", F.col(key)))
+    return ImageJobResult(per_line, rejects, detection, meta.withColumn("detector_id", F.col(key)), wanted)
+
+
+def write_rejects(result: ImageJobResult, output: str, batch_id: int | None) -> str:
+    """Manifest lines that gave no count and why: ``image_name, reason`` (no type
+    separator, missing, unreadable), one folder per micro-batch."""
+    failed = result.per_line.where(F.col("status") != "ok").select("image_name", F.col("status").alias("reason"))
+    path = os.path.join(output, REJECTS_FOLDER, f"batch_id={batch_id if batch_id is not None else 'batch'}")
+    result.rejects.unionByName(failed).write.mode("overwrite").parquet(path)
+    return path
 
 
 def write_crops(result: ImageJobResult, output: str, batch_id: int | None) -> str:
@@ -103,8 +149,8 @@ def write_crops(result: ImageJobResult, output: str, batch_id: int | None) -> st
 
     ``crops(image_name, type, k, a, b, r, x0, y0, x1, y1, crop_name)`` as
     parquet, one folder per micro-batch (overwritten on replay).  Empty
-    boxes are kept (the circle still counts); pixel content is available
-    through ``crop_pixels`` on demand instead of encoded files.
+    boxes are kept (the circle still counts).  The content of the crops is
+    written by ``write_crop_pixels``, as pixel rows instead of encoded files.
     """
     det = result.detection
     names = result.images.select(F.col("detector_id").alias("image_id"), "image_name")
@@ -119,3 +165,16 @@ def write_crops(result: ImageJobResult, output: str, batch_id: int | None) -> st
     path = os.path.join(output, CROPS_FOLDER, f"batch_id={batch_id if batch_id is not None else 'batch'}")
     rows.write.mode("overwrite").parquet(path)
     return path
+
+
+def write_crop_pixels(result: ImageJobResult, output: str, batch_id: int | None) -> str:
+    """K-3, content: ``image_name, k, x, y, v`` of every pixel of every crop, cut
+    from the image bytes; one folder per micro-batch."""
+    dims = image_dims(result.images, "detector_id")
+    boxes = crop_boxes(result.detection.circles, dims)
+    names = result.images.select(F.col("detector_id").alias("image_id"), "image_name")
+    named = boxes.join(names, "image_id").drop("image_id").withColumnRenamed("image_name", "image_id")
+    pixels = cut_boxes(result.found, named, "image_name").withColumnRenamed("image_id", "image_name").distinct()
+    path = os.path.join(output, CROPS_FOLDER + "-pixels", f"batch_id={batch_id if batch_id is not None else 'batch'}")
+    pixels.write.mode("overwrite").parquet(path)
+    return path

@@ -21,7 +21,7 @@ from __future__ import annotations
 import contextlib
 import contextvars
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from grovecount.session import ensure_checkpoint_dir
@@ -86,10 +86,12 @@ class RoundTables:
         _remember(stored)
         return guard_estimate_broadcast(stored)
 
-    def write_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """``write`` plus the row count, observed inside the same job (loops use
-        it as their stop test instead of running a separate ``isEmpty`` job)."""
+    def write_counted(self, df: DataFrame, name: str, counted: Column | None = None) -> tuple[DataFrame, int]:
+        """``write`` plus the row count (of the rows where ``counted`` holds),
+        observed inside the same job (loops use it as their stop test instead of
+        running a separate ``isEmpty`` job)."""
         obs = Observation()
-        stored = df.observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+        rows = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+        stored = df.observe(obs, rows.alias("rows")).checkpoint(eager=True)
         _remember(stored)
         return guard_estimate_broadcast(stored), int(obs.get["rows"])

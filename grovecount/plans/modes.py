@@ -13,25 +13,26 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from grovecount.plans.detect import DetectParams
-from grovecount.plans.image_job import image_counts, write_crops
+from grovecount.plans.image_job import image_counts, write_crop_pixels, write_crops, write_rejects
+from grovecount.plans.lineage import RoundTables
 from grovecount.plans.text_job import text_sightings
-from grovecount.sources.images import read_images
+from grovecount.sources.images import find_images
 from grovecount.sources.text import manifest_names
 
 
-@dataclass
+@dataclass(kw_only=True)
 class JobOptions:
     """Options of the monitoring job (the original's command-line flags).
 
-    No database credentials have defaults; the relational sink is a callable
-    the caller supplies (see ``streaming.sinks``).
+    The folders are required: on a cluster they must be shared, so there is no
+    useful default.  Database credentials have no defaults either.
     """
 
+    input: str
+    output: str
+    checkpoint: str                         # of the streaming query
     mode: str = "IMAGES"
     job: str = "monitoring orchard"
-    input: str = field(default_factory=lambda: os.path.join(os.getcwd(), "orchard-data", "data"))
-    output: str = field(default_factory=lambda: os.path.join(os.getcwd(), "orchard-data", "output"))
-    checkpoint: str = field(default_factory=lambda: os.path.join(os.getcwd(), "orchard-data", "checkpoints"))
     trigger: str = "10 seconds"
     window: str = "10 seconds"
     windows: str = "tick"                   # "tick" (foreachBatch stamp) or "clock" (timers, TEXT only)
@@ -39,8 +40,9 @@ class JobOptions:
     glob: str = "*.txt"                     # which files of the watched folder are read
     images_dir: str | None = None           # default: <input>/images
     images_table: str | None = None         # parquet written by ingest_images
-    image_parallelism: int | None = 8
+    image_parallelism: int | None = None    # tasks that decode; None: as the images are read
     write_crops: bool = True                # K-3: crop table under <output>/processed-images
+    crop_pixels: bool = False               # K-3: also the crops' pixels, <output>/processed-images-pixels
     max_files_per_trigger: int | None = None
     detect: DetectParams = field(default_factory=DetectParams)
 
@@ -56,13 +58,21 @@ def text_mode(spark: SparkSession, lines: DataFrame, opts: JobOptions, batch_id:
 
 
 def images_mode(spark: SparkSession, lines: DataFrame, opts: JobOptions, batch_id: int | None = None) -> DataFrame:
+    names = manifest_names(lines)
+    listed = RoundTables(spark, "listed").write(names.distinct(), "names")
     if opts.images_table:
         images = spark.read.parquet(opts.images_table)
+        # a manifest can arrive before ingest has its image: the file counts then
+        late = listed.join(images.select("image_name"), "image_name", "left_anti")
+        images = images.unionByName(find_images(spark, opts.images_path(), late), allowMissingColumns=True)
     else:
-        images = read_images(spark, opts.images_path())
-    result = image_counts(manifest_names(lines), images, opts.detect, opts.image_parallelism)
+        images = find_images(spark, opts.images_path(), listed)
+    result = image_counts(names, images, opts.detect, opts.image_parallelism)
+    write_rejects(result, opts.output, batch_id)
     if opts.write_crops and result.detection is not None:
         write_crops(result, opts.output, batch_id)
+    if opts.crop_pixels and result.detection is not None:
+        write_crop_pixels(result, opts.output, batch_id)
     return result.per_line.select("feature", "n")
 
 

@@ -57,6 +57,12 @@ def prefix_key(spark: SparkSession, d: str) -> DataFrame:
     return part.select("p_partkey", prefix_before("p_brand", BRAND_SEPARATOR).alias("type"))
 
 
+def prefix_key_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """O-11 on a column where many values lack the separator (null key)."""
+    pages = read_table(spark, d, "pages")
+    return pages.select("page_id", prefix_before("url", "?").alias("type"))
+
+
 def tumbling_count(spark: SparkSession, d: str) -> DataFrame:
     events = read_table(spark, d, "events")
     return tumbling_sum(events, "ts", "event_type", None, WINDOW)
@@ -106,6 +112,7 @@ QUERIES = {
     "suffix_filter": suffix_filter,
     "multi_suffix_filter": multi_suffix_filter,
     "prefix_key": prefix_key,
+    "prefix_key_gaps": prefix_key_gaps,
     "tumbling_count": tumbling_count,
     "additive_totals": additive_totals,
     "render_rows": render_rows,
@@ -118,14 +125,16 @@ _BUCKET = "time_bucket(INTERVAL '10 seconds', ts)"
 
 ORACLE = {
     "document_lines": r"""
-        SELECT doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS value FROM documents""",
+        WITH l AS (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS ls FROM documents)
+        SELECT doc_id, unnest(CASE WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END) AS value FROM l""",
     "workload_lines": """
         SELECT l_orderkey, l_linenumber,
                (['ripe orange', 'immature orange', 'leaf', 'branch', 'rotten orange'])
                [CAST((l_orderkey * 7919) % 5 AS INTEGER) + 1] AS value
         FROM lineitem""",
     "line_suffix_count": r"""
-        WITH l AS (SELECT unnest(string_split_regex(text, '\r\n|\r|\n')) AS value FROM documents)
+        WITH s AS (SELECT string_split_regex(text, '\r\n|\r|\n') AS ls FROM documents),
+             l AS (SELECT unnest(CASE WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END) AS value FROM s)
         SELECT value AS feature, CAST(count(*) AS BIGINT) AS n
         FROM l WHERE ends_with(value, 'the.') GROUP BY value""",
     "suffix_filter": """
@@ -136,6 +145,9 @@ ORACLE = {
         SELECT p_partkey,
                CASE WHEN strpos(p_brand, '#') > 0 THEN split_part(p_brand, '#', 1) END AS type
         FROM part""",
+    "prefix_key_gaps": """
+        SELECT page_id, CASE WHEN strpos(url, '?') > 0 THEN split_part(url, '?', 1) END AS type
+        FROM pages""",
     "tumbling_count": f"""
         SELECT {_BUCKET} AS window_start, {_BUCKET} + INTERVAL '10 seconds' AS window_end,
                event_type AS feature, CAST(count(*) AS BIGINT) AS n

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
-# Settings every job wants regardless of data size.  Shuffle partition count is
-# left to the caller: 8 on local[8], a few thousand on a large cluster (AQE then
-# coalesces small ones).
+# Settings every job wants regardless of data size.  The shuffle partition count is
+# left to the caller and the cluster's configuration (AQE coalesces small ones).
 BASE_CONF = {
     # Broadcast only what was measured: plan-time size estimates of generated
     # tables (pixel rows exploded from a few rows) and of checkpointed rounds
@@ -38,15 +38,19 @@ BASE_CONF = {
 
 
 def build_session(
-    master: str = "local[8]",
+    master: str | None = None,
     app_name: str = "grovecount",
-    shuffle_partitions: int = 8,
+    shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
+    """Session with the rules above.  What is not given here stays as
+    spark-submit or spark-defaults set it; without any master it is local."""
+    master = master or SparkConf().get("spark.master", None) or "local[*]"
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    if master.startswith("local"):
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if _in_one_process(master):
         # local mode: every task runs in the driver JVM (only applies to a new JVM)
         conf["spark.driver.memory"] = "8g"
     conf.update(extra or {})
@@ -58,6 +62,11 @@ def build_session(
     return spark
 
 
+def _in_one_process(master: str) -> bool:
+    """local, local[4], ...; local-cluster has executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 
@@ -70,7 +79,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not _in_one_process(sc.master):
             raise RuntimeError(
                 "spark.checkpoint.dir must name a shared folder on a cluster"
             )

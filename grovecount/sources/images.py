@@ -40,6 +40,10 @@ def read_images(spark: SparkSession, path: str, stream: bool = False) -> DataFra
                .option("dropInvalid", False).load(path))
     else:
         raw = spark.read.format("image").option("dropInvalid", False).load(path)
+    return _image_columns(raw)
+
+
+def _image_columns(raw: DataFrame) -> DataFrame:
     return raw.select(
         file_name("image.origin").alias("image_name"),
         F.col("image.height").alias("height"),
@@ -49,6 +53,22 @@ def read_images(spark: SparkSession, path: str, stream: bool = False) -> DataFra
     )
 
 
+def find_images(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
+    """Images of ``folder`` listed in ``names`` (column ``image_name``): the folder
+    is listed without reading any content, and only the files asked for are
+    decoded.  The driver sees one path per wanted file, so a batch's manifest
+    lines (``max_files_per_trigger``) bound it.
+    """
+    if not _exists(spark, folder):
+        return read_images(spark, folder)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    listing = listing.select("path", file_name("path").alias("image_name"))
+    paths = [r.path for r in listing.join(names, "image_name", "left_semi").select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], IMAGE_SCHEMA).transform(_image_columns)
+    return _image_columns(spark.read.format("image").option("dropInvalid", False).load(paths))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -80,12 +100,15 @@ def stream_ingest_images(spark: SparkSession, src: str, dst: str, checkpoint: st
     in ``checkpoint``), and every manifest batch looks names up in the table
     instead of decoding the whole folder again.
     """
-    writer = (read_images(spark, src, stream=True).writeStream.format("parquet")
+    arriving = read_images(spark, src, stream=True).withColumn("ingested_at", F.current_timestamp())
+    writer = (arriving.writeStream.format("parquet")
               .option("path", dst).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
     return writer.start()
 
 
+# Boxes are sent to every task up to this size, else shuffled.
+BOX_BROADCAST_BYTES = 32 * 1024 * 1024
 # Pixel rows per emitted pandas frame: bounds Python memory however large an image is.
 PIXEL_CHUNK = 1 << 20
 
@@ -143,15 +166,17 @@ def _pixel_rows(batches, gray_levels: np.ndarray | None = None):
 
     for pdf in batches:
         for ident, width, channels, buf in zip(pdf["image_id"], pdf["width"], pdf["n_channels"], pdf["data"]):
-            gray = _gray(buf, channels, gray_levels)
-            w = int(width)
-            for start in range(0, len(gray), PIXEL_CHUNK):
-                idx = np.arange(start, min(len(gray), start + PIXEL_CHUNK), dtype=np.int64)
+            w, c = int(width), int(channels)
+            size_px = len(buf) // c
+            for start in range(0, size_px, PIXEL_CHUNK):
+                stop = min(size_px, start + PIXEL_CHUNK)
+                idx = np.arange(start, stop, dtype=np.int64)
+                chunk = np.frombuffer(buf, np.uint8, (stop - start) * c, start * c)
                 parts.append(pd.DataFrame({
                     "image_id": ident,
                     "x": (idx % w).astype(np.int32),
                     "y": (idx // w).astype(np.int32),
-                    "v": gray[idx[0]:idx[-1] + 1],
+                    "v": _gray(chunk, c, gray_levels),
                 }))
                 size += len(idx)
                 if size >= PIXEL_CHUNK:
@@ -161,6 +186,44 @@ def _pixel_rows(batches, gray_levels: np.ndarray | None = None):
         yield flush()
 
 
+def cut_boxes(images: DataFrame, boxes: DataFrame, id_col: str = "image_name") -> DataFrame:
+    """O-35 from image bytes: ``image_id, k, x, y, v`` of every pixel inside each
+    box (``image_id, k, x0, y0, x1, y1``), cut in the task that holds the bytes.
+
+    The boxes of an image (its accepted circles) travel to the image, never its
+    pixels; they are broadcast if they measure under ``BOX_BROADCAST_BYTES``.
+    """
+    per_image = boxes.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).groupBy("image_id").agg(
+        F.collect_list(F.struct("k", "x0", "y0", "x1", "y1")).alias("boxes")
+    )
+    n_boxes = boxes.count()
+    per_image = F.broadcast(per_image) if n_boxes * 40 <= BOX_BROADCAST_BYTES else per_image.hint("merge")
+    src = readable(images).select(F.col(id_col).alias("image_id"), "width", "n_channels", "data").join(
+        per_image, "image_id"
+    )
+    schema = T.StructType([
+        T.StructField("image_id", src.schema["image_id"].dataType),
+        *[T.StructField(c, T.IntegerType()) for c in ("k", "x", "y", "v")],
+    ])
+    levels = java_gray_levels(images.sparkSession)
+
+    def cut(batches):
+        for pdf in batches:
+            for ident, width, channels, buf, own in zip(*(pdf[c] for c in pdf.columns)):
+                w, c = int(width), int(channels)
+                for box in own:
+                    x0, y0, x1, y1 = (int(box[n]) for n in ("x0", "y0", "x1", "y1"))
+                    ys, xs = np.mgrid[y0:y1, x0:x1].astype(np.int32)
+                    rows = np.frombuffer(buf, np.uint8, (y1 - y0) * w * c, y0 * w * c)
+                    gray = _gray(rows, c, levels).reshape(-1, w)[:, x0:x1]
+                    yield pd.DataFrame({
+                        "image_id": ident, "k": np.int32(box["k"]), "x": xs.ravel(), "y": ys.ravel(),
+                        "v": gray.ravel().astype(np.int32),
+                    })
+
+    return src.mapInPandas(cut, schema)
+
+
 def readable(images: DataFrame) -> DataFrame:
     return images.where(F.col("height") > 0)
 

@@ -46,7 +46,7 @@ def manifest_names(lines: DataFrame) -> DataFrame:
 def text_column_lines(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Explode a text column into one ``value`` row per line.
 
-    Same line rule as the file source (CRLF, CR, LF).  A trailing line break
-    gives a final empty line, which no non-empty suffix filter keeps.
+    Same line rule as the file source (CRLF, CR, LF; a line break at the end
+    starts no further line).
     """
     return df.select(*keep, F.explode(split_lines(text_col)).alias("value"))

@@ -9,8 +9,9 @@ watched folder -> (stamp processing time) -> foreachBatch:
 Windows are processing-time "ticks": each micro-batch is stamped with the
 trigger time inside the streaming plan, so the stamp is recorded in the offset
 log and a replayed batch keeps its original window.  Two batches that fall in
-the same window give two partial rows; sums are additive, so totals do not
-depend on how lines fall into batches.
+the same window give two partial rows in the ledger; sums are additive, so
+``sinks.read_window_counts`` gives one row per (window, feature) and totals do
+not depend on how lines fall into batches.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from grovecount.functions.text import ends_with
 from grovecount.plans.lineage import round_scope
 from grovecount.plans.modes import JobOptions, pipeline_for
 from grovecount.sources.text import stream_lines
-from grovecount.streaming.sinks import read_ledger, write_ledger, write_text_rows
+from grovecount.streaming.sinks import read_batch, write_ledger, write_text_rows
 from grovecount.streaming.timers import clock_window_counts, merge_partials
 
 
@@ -35,13 +36,15 @@ def _seconds(duration: str) -> int:
     return int(n) * scale
 
 
-def window_counts(sightings: DataFrame, batch_time, window: str) -> DataFrame:
-    """``window_start, window_end, feature, n`` for sightings of one batch stamped ``batch_time``."""
+def window_counts(sightings: DataFrame, window: str) -> DataFrame:
+    """``window_start, window_end, feature, n`` for sightings of one batch; every
+    row carries the batch's stamp ``batch_time``."""
     size = _seconds(window)
-    start = F.timestamp_seconds(F.floor(F.unix_seconds(F.lit(batch_time)) / size) * size)
+    # seconds since the epoch: the stamp never passes through a local date
+    start = F.timestamp_seconds(F.floor(F.unix_seconds("at") / size) * size)
     return (
         sightings.groupBy("feature")
-        .agg(F.sum("n").cast("bigint").alias("n"))
+        .agg(F.sum("n").cast("bigint").alias("n"), F.max("batch_time").alias("at"))
         .select(start.alias("window_start"), (start + F.expr(f"INTERVAL {size} SECONDS")).alias("window_end"),
                 "feature", "n")
     )
@@ -56,18 +59,25 @@ def process_batch(
 ) -> DataFrame | None:
     """One micro-batch: pipeline, window sums, sinks.  Returns the window counts.
 
-    Every row of a batch carries the same stamp (taken from the offset log),
-    so one row gives the batch's window; an empty batch writes nothing.
+    Every row of a batch carries the same stamp (taken from the offset log); the
+    text pipeline keeps it on its rows, so the batch is read once.  An empty
+    batch writes no counts.
     """
-    first = batch.select("batch_time").first()
-    if first is None:
-        return None
-    sightings = pipeline_for(opts.mode)(spark, batch.select("value"), opts, batch_id)
-    counts = window_counts(sightings, first["batch_time"], opts.window)
+    if opts.mode == "TEXT":
+        sightings = pipeline_for(opts.mode)(spark, batch, opts, batch_id)
+    else:
+        # manifests are small; the stamp comes from one of their lines
+        first = batch.select(F.unix_seconds("batch_time").alias("s")).first()
+        if first is None:
+            return None
+        sightings = pipeline_for(opts.mode)(spark, batch.select("value"), opts, batch_id)
+        sightings = sightings.withColumn("batch_time", F.timestamp_seconds(F.lit(first.s)))
     # The counts are written twice (text, ledger) and maybe handed to more
     # sinks; write them once as the ledger and read that back for the rest.
-    write_ledger(counts, opts.output, batch_id)
-    committed = read_ledger(spark, opts.output).where(F.col("batch_id") == batch_id).drop("batch_id")
+    write_ledger(window_counts(sightings, opts.window), opts.output, batch_id)
+    committed = read_batch(spark, opts.output, batch_id)
+    if committed is None:
+        return None
     committed = committed.withColumn("window_end", F.col("window_start") + F.expr(
         f"INTERVAL {_seconds(opts.window)} SECONDS"))
     write_text_rows(committed, opts.output, batch_id)
@@ -125,7 +135,9 @@ def _start_clock_job(spark, lines, opts: JobOptions, extra_sinks) -> StreamingQu
 
     def each(batch: DataFrame, batch_id: int) -> None:
         write_ledger(merge_partials(batch), opts.output, batch_id)
-        committed = read_ledger(spark, opts.output).where(F.col("batch_id") == batch_id).drop("batch_id")
+        committed = read_batch(spark, opts.output, batch_id)
+        if committed is None:
+            return
         write_text_rows(committed, opts.output, batch_id)
         for sink in extra_sinks:
             sink(committed, batch_id)

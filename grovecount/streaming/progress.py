@@ -38,20 +38,26 @@ def progress_frame(spark: SparkSession, query: StreamingQuery) -> DataFrame:
 
 class ProgressRecorder(StreamingQueryListener):
     """Keeps every progress report of the session's queries (one small row per
-    micro-batch, on the driver), for runs longer than the engine's recent window.
+    micro-batch), for runs longer than the engine's recent window.
 
-    ``spark.streams.addListener(rec)``; later ``rec.frame(spark, query_name)``.
+    ``spark.streams.addListener(ProgressRecorder(spark, path))``; later
+    ``rec.frame(name)``.  With a ``path``, reports are appended to a Parquet table
+    there in blocks of ``block`` and leave the driver, so a stream may run for
+    ever; without one they stay in memory (short runs, tests).
     """
 
-    def __init__(self):
-        self.rows: list[tuple[str, tuple]] = []
+    def __init__(self, spark: SparkSession, path: str | None = None, block: int = 100):
+        self.spark, self.path, self.block = spark, path, block
+        self.rows: list[tuple] = []
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.rows.append((p.name or "", _row(p)))
+        self.rows.append((p.name or "", *_row(p)))
+        if self.path and len(self.rows) >= self.block:
+            self.flush()
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -59,6 +65,18 @@ class ProgressRecorder(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         pass
 
-    def frame(self, spark: SparkSession, name: str | None = None) -> DataFrame:
-        rows = [r for n, r in self.rows if name is None or n == name]
-        return spark.createDataFrame(rows, PROGRESS_SCHEMA)
+    def flush(self) -> None:
+        """Append what is held to the table."""
+        rows, self.rows = self.rows, []
+        if rows:
+            self.spark.createDataFrame(rows, "query string, " + PROGRESS_SCHEMA).coalesce(1).write.mode(
+                "append").parquet(self.path)
+
+    def frame(self, name: str | None = None) -> DataFrame:
+        schema = "query string, " + PROGRESS_SCHEMA
+        if self.path:
+            self.flush()
+            out = self.spark.read.schema(schema).parquet(self.path)
+        else:
+            out = self.spark.createDataFrame(self.rows, schema)
+        return (out if name is None else out.where(out["query"] == name)).drop("query")

@@ -33,7 +33,8 @@ from pyspark.sql.streaming.stateful_processor import (
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-OUTPUT_SCHEMA = "window_start timestamp, window_end timestamp, feature string, salt int, n long"
+# epoch milliseconds: no time zone is involved until Spark makes timestamps of them
+OUTPUT_SCHEMA = "start_ms long, end_ms long, feature string, salt int, n long"
 DEFAULT_SALTS = 16
 
 
@@ -68,8 +69,8 @@ class ClockWindowCounter(StatefulProcessor):
         self.open.removeKey((end,))
         start = end - self.window_ms
         yield pd.DataFrame({
-            "window_start": [pd.Timestamp(start, unit="ms")],
-            "window_end": [pd.Timestamp(end, unit="ms")],
+            "start_ms": [int(start)],
+            "end_ms": [int(end)],
             "feature": [key[0]],
             "salt": [int(key[1])],
             "n": [int(value[0])],
@@ -84,12 +85,16 @@ def clock_window_counts(sightings: DataFrame, window_seconds: int = 10, salts: i
     emitted when each window's end passes on the processing-time clock
     (Append output mode).  Sum per (window, feature) with ``merge_partials``."""
     salted = sightings.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    return salted.groupBy("feature", "salt").transformWithStateInPandas(
+    partials = salted.groupBy("feature", "salt").transformWithStateInPandas(
         statefulProcessor=ClockWindowCounter(window_seconds * 1000),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
         timeMode="ProcessingTime",
     )
+    return partials.select(
+        F.timestamp_millis("start_ms").alias("window_start"), F.timestamp_millis("end_ms").alias("window_end"),
+        "feature", "salt", "n",
+    )
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:

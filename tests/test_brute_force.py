@@ -142,7 +142,7 @@ def test_band_height_does_not_change_candidates(spark, workdir):
     assert results[0] == results[1] == results[2] and len(results[0]) > 50
 
 
-def test_acceptance_by_spatial_clusters_on_dense_candidates(spark, workdir):
+def test_acceptance_rounds_on_dense_candidates(spark, workdir):
     from grovecount.operators.overlap import accept_circles
 
     rgb = _noisy_scene(5, 160)
@@ -151,6 +151,6 @@ def test_acceptance_by_spatial_clusters_on_dense_candidates(spark, workdir):
     write_png(os.path.join(folder, "dense_0.png"), rgb)
     det = detect_circles_in_images(read_images(spark, folder))
     _, _, accepted = _sequential(rgb)
-    split = accept_circles(det.candidates, max_group=0).orderBy("k").collect()
+    split = accept_circles(det.candidates).orderBy("k").collect()
     assert [(r.a, r.b, r.r, r.votes) for r in split] == accepted
     assert [r.k for r in split] == list(range(len(accepted)))

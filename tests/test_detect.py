@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grovecount.operators.crops import crop_boxes, crop_pixels
 from grovecount.operators.hough import candidates, circle_offsets, vote_counts
 from grovecount.operators.hysteresis import grow_edges
-from grovecount.operators.overlap import accept_greedy
+from grovecount.operators.overlap import accept_circles
 from grovecount.operators.stencil import blur, gradient
 from grovecount.operators.thinning import thin
 from grovecount.plans.detect import DetectParams, detect_circles, edge_pixels
@@ -124,14 +124,37 @@ def test_offsets_keep_duplicate_weight(spark):
     assert off.where("r = 1").count() < 100  # duplicates merged into weight
 
 
-def test_greedy_acceptance_order_and_overlap():
-    pdf = pd.DataFrame({
-        "image_id": ["i"] * 4,
-        "a": [10, 11, 30, 10], "b": [10, 10, 30, 16], "r": [5, 6, 4, 5], "votes": [50, 60, 40, 50],
-    })
-    out = accept_greedy(pdf)
+CANDS = "image_id string, a int, b int, r int, votes long"
+
+
+def greedy(cands):
+    """Sequential acceptance: the definition the rounds must reproduce."""
+    out = {}
+    for i, a, b, r, v in sorted(cands, key=lambda c: (c[0], -c[4], c[3], c[1], c[2])):
+        own = out.setdefault(i, [])
+        if all((a - p) ** 2 + (b - q) ** 2 >= s * s for p, q, s, _ in own):
+            own.append((a, b, r, v))
+    return sorted((i, k, *c) for i, own in out.items() for k, c in enumerate(own))
+
+
+def test_greedy_acceptance_order_and_overlap(spark):
+    rows = [("i", 10, 10, 5, 50), ("i", 11, 10, 6, 60), ("i", 30, 30, 4, 40), ("i", 10, 16, 5, 50)]
+    out = accept_circles(spark.createDataFrame(rows, CANDS)).orderBy("k").collect()
     # (11,10,6) first by votes; (10,10,5) inside it; (10,16,5): distance^2 = 1+36 = 37 >= 36 -> kept
-    assert list(zip(out.k, out.a, out.b, out.r)) == [(0, 11, 10, 6), (1, 10, 16, 5), (2, 30, 30, 4)]
+    assert [(r.k, r.a, r.b, r.r) for r in out] == [(0, 11, 10, 6), (1, 10, 16, 5), (2, 30, 30, 4)]
+
+
+def test_acceptance_rounds_equal_sequential_on_dense_candidates(spark):
+    rng = np.random.default_rng(8)
+    rows = {
+        (f"i{i}", int(a), int(b), int(r)): int(v)
+        for i, size in enumerate((400, 60, 1))
+        for a, b, r, v in zip(*(rng.integers(lo, hi, size) for lo, hi in ((-5, 90), (-5, 60), (2, 13), (40, 60))))
+    }
+    cands = [(*k, v) for k, v in rows.items()]
+    out = sorted(tuple(r) for r in accept_circles(spark.createDataFrame(cands, CANDS)).collect())
+    assert out == greedy(cands)
+    assert accept_circles(spark.createDataFrame([], CANDS)).count() == 0
 
 
 def test_crop_boxes_clamp_and_pixels(spark):
@@ -153,7 +176,7 @@ def test_vote_fallback_without_broadcast_matches(spark, scenes, monkeypatch):
     edges = edge_pixels(px.where("image_id = 'one'"))
     d1 = dims.where("image_id = 'one'")
     a = sorted(tuple(r) for r in vote_counts(edges, d1).collect())
-    monkeypatch.setattr(hough, "MAX_BROADCAST_OFFSETS", 0)
+    monkeypatch.setattr(hough, "MAX_BROADCAST_BYTES", 0)
     b = sorted(tuple(r) for r in vote_counts(edges, d1).collect())
     assert a == b and len(a) == 8036
     assert candidates(vote_counts(edges, d1)).count() == 22
@@ -265,14 +288,12 @@ def test_gray_of_integer_mean(spark):
     assert [r.v for r in df.select(gray_of("r", "g", "b").alias("v")).collect()] == [60, 255, 0]
 
 
-def test_acceptance_split_into_spatial_clusters_matches(spark, scenes):
-    from grovecount.operators.overlap import accept_circles
-
+def test_acceptance_of_detected_candidates_is_sequential(spark, scenes):
     px, dims = scenes
     cands = detect_circles(px, dims).candidates
-    whole = sorted(tuple(r) for r in accept_circles(cands).collect())
-    split = sorted(tuple(r) for r in accept_circles(cands, max_group=0).collect())
-    assert whole == split and len(whole) == 5
+    found = sorted(tuple(r) for r in accept_circles(cands).collect())
+    assert found == greedy([tuple(r) for r in cands.select("image_id", "a", "b", "r", "votes").collect()])
+    assert len(found) == 5
 
 
 def test_image_too_small_for_any_radius_has_no_circles(spark):

@@ -83,8 +83,8 @@ def test_crop_table_written_per_batch(spark, workdir):
     path = write_crops(res, os.path.join(workdir, "out"), 3)
     assert path.endswith(os.path.join(CROPS_FOLDER, "batch_id=3"))
     crops = sorted((r.crop_name, r.x0, r.y0, r.x1, r.y1) for r in spark.read.parquet(path).collect())
-    assert crops[0] == ("billiard_billiard_0_0.png", 50, 35, 70, 55)
-    assert len(crops) == 4 and crops[1][0] == "tennis_tennis_1_2_0.png"
+    assert crops[0] == ("billiard_billiard_0.png_0.png", 50, 35, 70, 55)
+    assert len(crops) == 4 and crops[1][0] == "tennis_tennis_1_2.jpg_0.png"
 
 
 def test_streamed_image_table_serves_the_lookup(spark, workdir):
@@ -140,3 +140,78 @@ def test_gray_png_levels_follow_java_rgb_conversion(spark, workdir):
     levels = java_gray_levels(spark)
     assert px[(2, 1)] == levels[128] and px[(4, 3)] == 255 and px[(0, 0)] == 0
     assert levels[128] > 128  # linear gray reads brighter through the sRGB conversion
+
+
+def test_one_version_of_an_image_is_picked_whole(spark, workdir):
+    """Two versions of a name that differ in size: sizes and pixels of one of them."""
+    from pyspark.sql import functions as F
+
+    small, large = os.path.join(workdir, "v1"), os.path.join(workdir, "v2")
+    for folder, w, h, discs in ((small, 120, 90, [(60, 45, 9)]), (large, 180, 120, [(40, 40, 12), (120, 70, 13)])):
+        os.makedirs(folder)
+        write_png(os.path.join(folder, "ball_0.png"), gray_to_rgb(disc_scene(w, h, discs)))
+    first = read_images(spark, small).withColumn("ingested_at", F.timestamp_seconds(F.lit(100)))
+    later = read_images(spark, large).withColumn("ingested_at", F.timestamp_seconds(F.lit(200)))
+    names = spark.createDataFrame([("ball_0.png",)], "image_name string")
+    alone = {
+        "v1": image_counts(names, first).per_line.first().n, "v2": image_counts(names, later).per_line.first().n,
+    }
+    assert alone == {"v1": 1, "v2": 2}
+    both = first.unionByName(later)
+    assert image_counts(names, both).per_line.first().n == 2  # the later one
+    swapped = later.withColumn("ingested_at", F.timestamp_seconds(F.lit(50))).unionByName(first)
+    assert image_counts(names, swapped).per_line.first().n == 1
+
+
+def test_no_exchange_carries_image_bytes(spark, workdir):
+    folder = _image_folder(workdir)
+    table = os.path.join(workdir, "plan_table")
+    ingest_images(spark, folder, table)
+    names = spark.createDataFrame([("billiard_0.png",), ("bad_0.png",)], "image_name string")
+    res = image_counts(names, spark.read.parquet(table))
+    plan = res.found._jdf.queryExecution().executedPlan().toString()
+    assert "data" in plan and "BroadcastHashJoin" in plan
+    assert "Exchange hashpartitioning" not in plan and "Exchange Round" not in plan and "SortMergeJoin" not in plan
+
+
+def test_names_in_several_blocks_find_the_same_images(spark, workdir, monkeypatch):
+    import grovecount.plans.image_job as job
+
+    images = read_images(spark, _image_folder(workdir)).select("image_name", "height")
+    wanted = spark.createDataFrame([("billiard_0.png",), ("bad_0.png",), ("plain.png",), ("x.png",)], "image_name string")
+    whole = sorted(tuple(r) for r in job.rows_named(images, wanted, ["image_name"]).collect())
+    monkeypatch.setattr(job, "NAME_BLOCK_BYTES", 40)
+    split = sorted(tuple(r) for r in job.rows_named(images, wanted, ["image_name"]).collect())
+    assert whole == split and len(whole) == 3
+
+
+def test_find_images_reads_only_what_is_listed(spark, workdir):
+    from grovecount.sources.images import find_images
+
+    folder = _image_folder(workdir)
+    names = spark.createDataFrame([("billiard_0.png",), ("nope_1.png",)], "image_name string")
+    assert [r.image_name for r in find_images(spark, folder, names).collect()] == ["billiard_0.png"]
+    assert find_images(spark, folder, names.where("false")).count() == 0
+    assert find_images(spark, os.path.join(workdir, "nowhere"), names).count() == 0
+
+
+def test_crop_names_keep_the_extension_apart(spark):
+    from grovecount.operators.crops import crop_name
+
+    rows = spark.createDataFrame([("orange_1.png", 0), ("orange_1.jpg", 0)], "image_name string, k int")
+    names = [r.n for r in rows.select(crop_name().alias("n")).collect()]
+    assert sorted(names) == ["orange_orange_1.jpg_0.png", "orange_orange_1.png_0.png"]
+
+
+def test_crop_pixels_from_bytes_equal_the_pixel_table(spark, workdir):
+    from grovecount.operators.crops import crop_pixels
+    from grovecount.sources.images import cut_boxes
+
+    folder = _image_folder(workdir)
+    images = read_images(spark, folder)
+    boxes = spark.createDataFrame(
+        [("billiard_0.png", 0, 50, 35, 70, 55), ("tennis_1_2.jpg", 1, 0, 0, 3, 2), ("plain.png", 2, 5, 5, 5, 9)],
+        "image_id string, k int, x0 int, y0 int, x1 int, y1 int",
+    )
+    cut = sorted(tuple(r) for r in cut_boxes(images, boxes).select("image_id", "k", "x", "y", "v").collect())
+    assert cut == sorted(tuple(r) for r in crop_pixels(boxes, image_pixels(images)).collect()) and len(cut) == 406

@@ -160,7 +160,7 @@ def test_native_window_closes_on_later_input(spark, workdir):
 def test_progress_recorder_keeps_every_batch(spark, workdir):
     from grovecount.streaming.progress import ProgressRecorder
 
-    rec = ProgressRecorder()
+    rec = ProgressRecorder(spark, os.path.join(workdir, "progress"), block=2)
     spark.streams.addListener(rec)
     try:
         opts = _opts(workdir, max_files_per_trigger=1)
@@ -168,12 +168,13 @@ def test_progress_recorder_keeps_every_batch(spark, workdir):
             _put(opts, f"tree_{i}.txt", "ripe orange\n" * (i + 1))
         start_job(spark, opts, available_now=True).awaitTermination()
         deadline = time.time() + 30
-        while time.time() < deadline and len(rec.rows) < 3:
+        frame = rec.frame("grovecount-text")
+        while time.time() < deadline and frame.count() < 3:
             time.sleep(0.2)
-        frame = rec.frame(spark, "grovecount-text")
+            frame = rec.frame("grovecount-text")
+        assert len(rec.rows) < 2  # blocks leave the driver
         # one file per trigger: three batches, every one recorded
         assert sorted(r.batch_id for r in frame.collect())[:3] == [0, 1, 2]
-        # the source metric also counts the one-row stamp read of each batch
         assert frame.agg(F.sum("num_input_rows")).first()[0] >= 6
         assert {r.feature: r.n for r in read_totals(spark, opts.output).collect()} == {"ripe orange": 6}
     finally:
@@ -207,7 +208,7 @@ def test_images_job_with_ingested_table_and_crops(spark, workdir):
     start_job(spark, opts, available_now=True).awaitTermination()
     assert {r.feature: r.n for r in read_totals(spark, opts.output).collect()} == {"billiard": 2}
     crops = spark.read.parquet(os.path.join(opts.output, CROPS_FOLDER))
-    assert [(r.crop_name, r.a, r.b, r.r) for r in crops.collect()] == [("billiard_billiard_0_0.png", 60, 45, 10)]
+    assert [(r.crop_name, r.a, r.b, r.r) for r in crops.collect()] == [("billiard_billiard_0.png_0.png", 60, 45, 10)]
 
 
 def test_command_line_entry(workdir):
@@ -236,9 +237,137 @@ def test_command_line_entry(workdir):
 
 
 def test_relational_sink_errors_fail_the_batch(spark):
-    from grovecount.streaming.sinks import jdbc_merge_sink
+    from grovecount.streaming.sinks import jdbc_totals_sink
 
     counts = spark.createDataFrame([("ripe orange", 2)], "feature string, n long")
-    sink = jdbc_merge_sink("jdbc:grovecount-unknown:totals", "staging", "SELECT ?", {"user": "u"})
+    sink = jdbc_totals_sink("jdbc:grovecount-unknown:totals", {"user": "u"})
     with pytest.raises(Exception):
         sink(counts, 7)  # no driver for the URL: raised, never swallowed
+
+
+class _Connection:
+    """Runs the sink's statements on DuckDB through the few JDBC calls they use."""
+
+    def __init__(self, con):
+        self.con = con
+
+    def setAutoCommit(self, on):
+        self.con.execute("BEGIN")
+
+    def prepareStatement(self, sql):
+        outer, values = self, {}
+
+        class Statement:
+            def setLong(self, i, v):
+                values[i] = v
+
+            def executeUpdate(self):
+                outer.con.execute(sql, [values[i] for i in sorted(values)])
+
+            def executeQuery(self):
+                rows = outer.con.execute(sql, [values[i] for i in sorted(values)]).fetchall()
+                return type("Rows", (), {"next": lambda _: bool(rows)})()
+
+        return Statement()
+
+    def commit(self):
+        self.con.execute("COMMIT")
+
+    def rollback(self):
+        self.con.execute("ROLLBACK")
+
+
+def test_merge_adds_a_batch_once():
+    import duckdb
+
+    from grovecount.streaming.sinks import add_staged_batch
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (feature VARCHAR PRIMARY KEY, n BIGINT NOT NULL)")
+    con.execute("CREATE TABLE b (batch_id BIGINT PRIMARY KEY)")
+    con.execute("CREATE TABLE s (feature VARCHAR, n BIGINT)")
+
+    def add(batch_id, rows):
+        con.execute("DELETE FROM s")
+        for r in rows:
+            con.execute("INSERT INTO s VALUES (?, ?)", r)
+        return add_staged_batch(_Connection(con), batch_id, "t", "s", "b")
+
+    assert add(0, [("ripe", 2), ("rotten", 1)])
+    assert add(1, [("ripe", 3), ("green", 4)])
+    assert not add(1, [("ripe", 3), ("green", 4)])  # replayed: nothing changes
+    assert con.execute("SELECT * FROM t ORDER BY 1").fetchall() == [("green", 4), ("ripe", 5), ("rotten", 1)]
+
+
+def test_clock_window_bounds_in_any_zone(spark, workdir):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    opts = _opts(workdir, windows="clock", window="10 seconds", trigger="500 milliseconds")
+    _put(opts, "tree_0.txt", "ripe orange\n")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    before = time.time()
+    q = start_job(spark, opts)
+    try:
+        deadline, rows = time.time() + 60, []
+        while time.time() < deadline and not rows:
+            time.sleep(1)
+            if os.path.exists(os.path.join(opts.output, "ledger")):
+                rows = read_ledger(spark, opts.output).select(F.unix_seconds("window_start").alias("s")).collect()
+        assert len(rows) == 1 and rows[0].s % 10 == 0
+        assert before - 10 <= rows[0].s <= time.time()
+    finally:
+        q.stop()
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_one_row_per_window_and_compaction(spark, workdir):
+    from grovecount.streaming.sinks import compact_ledger, read_window_counts, write_ledger
+
+    out = os.path.join(workdir, "out")
+
+    def batch(i, rows):
+        df = spark.createDataFrame(rows, "s long, feature string, n long")
+        write_ledger(df.select(F.timestamp_seconds("s").alias("window_start"), "feature", "n"), out, i)
+
+    def windows():
+        return sorted((r.feature, r.s, r.n) for r in read_window_counts(spark, out).select(
+            "feature", F.unix_seconds("window_start").alias("s"), "n").collect())
+
+    batch(0, [(0, "ripe", 2), (0, "rotten", 1)])
+    batch(1, [(0, "ripe", 3)])
+    batch(2, [(10, "ripe", 4)])
+    want = [("ripe", 0, 5), ("ripe", 10, 4), ("rotten", 0, 1)]
+    assert windows() == want
+    compact_ledger(spark, out, 1)
+    assert windows() == want
+    assert sorted(os.listdir(os.path.join(out, "ledger")))[-1] == "batch_id=2"
+    assert not os.path.exists(os.path.join(out, "ledger", "batch_id=0"))
+    batch(3, [(10, "ripe", 1)])
+    compact_ledger(spark, out, 2)
+    assert windows() == [("ripe", 0, 5), ("ripe", 10, 5), ("rotten", 0, 1)]
+    assert os.listdir(os.path.join(out, "ledger-compacted")) == ["upto=2"]
+    assert {r.feature: r.n for r in read_totals(spark, out).collect()} == {"ripe": 10, "rotten": 1}
+
+
+def test_rejects_and_late_images(spark, workdir):
+    """Failed lines are written with their reason; an image that ingest has not
+    seen yet is read from the folder."""
+    from grovecount.sources.images import stream_ingest_images
+
+    opts = _opts(workdir, mode="IMAGES", images_table=os.path.join(workdir, "table"), crop_pixels=True)
+    images = opts.images_path()
+    os.makedirs(images)
+    write_png(os.path.join(images, "billiard_0.png"), gray_to_rgb(disc_scene(120, 90, [(60, 45, 9)])))
+    stream_ingest_images(spark, images, opts.images_table, os.path.join(workdir, "ck-i"), available_now=True).awaitTermination()
+    write_png(os.path.join(images, "tennis_1.png"), gray_to_rgb(disc_scene(120, 90, [(25, 25, 10), (95, 25, 8)])))
+    with open(os.path.join(images, "bad_0.png"), "wb") as f:
+        f.write(b"no image")
+    _put(opts, "m.txt", "billiard_0.png\ntennis_1.png\nplain.png\nmissing_3.png\nbad_0.png\n")
+    start_job(spark, opts, available_now=True).awaitTermination()
+    totals = {r.feature: r.n for r in read_totals(spark, opts.output).collect()}
+    assert totals == {"billiard": 1, "tennis": 2, "missing": 0, "bad": 0}
+    rejects = spark.read.parquet(os.path.join(opts.output, "rejects"))
+    assert sorted((r.image_name, r.reason) for r in rejects.collect()) == [
+        ("bad_0.png", "unreadable"), ("missing_3.png", "missing"), ("plain.png", "no type separator"),
+    ]
+    pixels = spark.read.parquet(os.path.join(opts.output, "processed-images-pixels"))
+    assert pixels.where("image_name = 'billiard_0.png'").count() == 400
