@@ -216,7 +216,7 @@ WITH w AS (
            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
 ), p AS (
   SELECT doc_id, unnest(list_filter(range(len(ws)),
-           i -> (ws[i+1] = 'cc' AND ws[i+2] = 'by')
+           lambda i: (ws[i+1] = 'cc' AND ws[i+2] = 'by')
              OR (ws[i+1] = 'general' AND ws[i+2] = 'public' AND ws[i+3] = 'license')
              OR (ws[i+1] = 'all' AND ws[i+2] = 'rights' AND ws[i+3] = 'reserved'))) AS i FROM w
 ), a AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi FROM p GROUP BY 1)

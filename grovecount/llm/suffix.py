@@ -279,10 +279,10 @@ def _deal(batch: int, key: np.ndarray, ctx: np.ndarray | None, parts: int) -> pa
     part = (_mix(key) % _u(parts)).astype(np.int64)
     order = np.lexsort((key, part))
     part = part[order]
-    cuts = np.searchsorted(part, np.arange(parts + 1))
+    cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else [], len(part)].astype(np.int64)
     rows = [
-        (p, batch, _pack(key[order[a:b]], None if ctx is None else ctx[order[a:b]]))
-        for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b
+        (int(part[a]), batch, _pack(key[order[a:b]], None if ctx is None else ctx[order[a:b]]))
+        for a, b in zip(cuts[:-1], cuts[1:])
     ]
     cols = list(zip(*rows)) or [(), (), ()]
     return pa.table({"part": pa.array(cols[0], pa.int32()), "batch": pa.array(cols[1], pa.int32()),
@@ -461,31 +461,22 @@ def _finish_batch(span: int):
 
 
 def batch_bounds(docs: DataFrame, batch_bytes: int) -> list[int]:
-    """Ids at which batches begin after the first: ranges of about ``batch_bytes`` of text."""
+    """Ids at which batches begin after the first: ranges of about ``batch_bytes``
+    of text.  The driver gets four rows per batch, of fine ranges that Spark's
+    range partitioning makes of the ids; only ids and sizes are shuffled."""
     sized = docs.select("id", F.octet_length("text").cast("long").alias("size"))
-    total, n = sized.agg(F.sum("size"), F.count("*")).first()
-    want = (total or 0) // batch_bytes
+    want = (sized.agg(F.sum("size")).first()[0] or 0) // batch_bytes
     if not want:
         return []
-    # fine ranges by count first, then joined up to the size wanted
-    fine = min(n, 16 * (want + 1))
-    cuts = sized.agg(F.percentile_approx("id", [i / fine for i in range(1, fine)] or [0.5], 20 * fine)).first()[0]
-    cuts = np.unique(np.array(cuts, dtype=np.int64))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(cuts, b.column("id").to_numpy(), side="right")), b.column("size")],
-                ["fine", "size"],
-            )
-
-    sizes = dict(sized.mapInArrow(place, "fine long, size long").groupBy("fine").agg(F.sum("size")).collect())
+    fine = sized.repartitionByRange(4 * (want + 1), "id").groupBy(F.spark_partition_id().alias("p")).agg(
+        F.min("id").alias("first"), F.sum("size").alias("size")
+    )
     bounds, held = [], 0
-    for i in range(len(cuts)):
-        held += sizes.get(i, 0)
-        if held + sizes.get(i + 1, 0) > batch_bytes:
-            bounds.append(int(cuts[i]))
+    for first, size in sorted((r["first"], r["size"]) for r in fine.collect()):
+        if held and held + size > batch_bytes:
+            bounds.append(first)
             held = 0
+        held += size
     return bounds
 
 
@@ -500,7 +491,8 @@ def even_keys(spark, parts: int) -> list[int]:
 
 
 def remove_repeats(
-    docs: DataFrame, span: int = 50, batch_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, span: int = 50, batch_bytes: int = 12 << 20, batches_per_part: int = 2,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``id, kept, n_bytes, n_removed, n_spans, was, text`` per row of ``docs``:
     ``kept`` are the remaining bytes concatenated.  Where something was removed,
@@ -511,8 +503,9 @@ def remove_repeats(
     every = keyed_text(docs, id_col, text_col)
     named = every.where("id is not null")
     bounds = np.array(batch_bounds(named, batch_bytes), dtype=np.int64)
-    parts = len(bounds) + 1
-    slots = even_keys(docs.sparkSession, parts)
+    n_batches = len(bounds) + 1
+    parts = -(-n_batches // batches_per_part)  # of the prefixes, each with an index family
+    slots = even_keys(docs.sparkSession, n_batches)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot_of = np.array(slots, dtype=np.int32)
@@ -522,7 +515,7 @@ def remove_repeats(
                 [pa.array(slot_of[at]), pa.array(at), b.column("id"), b.column("text")], ["slot", "batch", "id", "text"]
             )
 
-    texts = named.mapInArrow(number, "slot int, batch int, id long, text string").repartition(parts, "slot")
+    texts = named.mapInArrow(number, "slot int, batch int, id long, text string").repartition(n_batches, "slot")
     entries = texts.groupBy("slot").applyInArrow(_index_batch(span, parts), ENTRY_SCHEMA)
     ordered = entries.repartition(parts, "part").sortWithinPartitions("part", "batch")
     settled = ordered.mapInArrow(_answers(False, slots), ANSWER_SCHEMA)
