@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from grovecount.plans.registry import ORACLE_SQL, QUERIES
 
 from conftest import SF_SMALL
 
@@ -47,7 +48,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.queries())
+    missing = set(QUERIES) - set(ORACLE_SQL)
     assert missing == set()
 
 
@@ -56,10 +58,10 @@ _TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "StringType()": "V
           "TimestampNTZType()": "TIMESTAMP", "DoubleType()": "DOUBLE", "BooleanType()": "BOOLEAN"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = entry.queries()[name](spark, SF_SMALL)
-    sql = entry.oracle_sql()[name]
+    df = QUERIES[name](spark, SF_SMALL)
+    sql = ORACLE_SQL[name]
     res = con.execute(sql)
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
