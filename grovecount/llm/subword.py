@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,23 +47,25 @@ from pyspark.sql import types as T
 from grovecount.llm.common import keyed_text
 
 SPACE = "▁"
-BLOCK_CHARS = 500_000  # text worked on at once
-LATTICE_EDGES = 2_500_000  # a larger lattice is dropped and started anew: bounds a worker's memory
+BLOCK_CHARS = 600_000  # text worked on at once
+LATTICE_EDGES = 1_500_000  # a larger lattice is dropped and started anew: bounds a worker's memory
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
-    x = x * _C[3]
+    x *= _C[3]
     x ^= x >> np.uint64(29)
     x *= _C[1]
-    x ^= x >> np.uint64(32)
     return x
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
-    """In (0, 1)."""
-    return ((_hash(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+    """In (0, 1), from the upper bits of the hash."""
+    out = (_hash(x) >> np.uint64(12)).astype(np.float64)
+    out += 0.5
+    out *= 2.0**-52
+    return out
 
 
 def _salt(draw: int, use: int) -> np.uint64:
@@ -151,20 +154,22 @@ class Lattice:
         self.vocabulary = vocabulary
         self.index: dict[str, int] = {}
         self.n_edges = self.n_nodes = 0
-        self.start = np.empty(0, np.int64)
+        self.start = np.empty(0, np.int32)
         for name, kind in (self.EDGE | self.NODE).items():
             setattr(self, name, np.empty(0, kind))
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Number of each word (given without the space in front)."""
+        # the block's own table is small enough to stay in the processor's cache
         own = dict.fromkeys(words)
-        fresh = [w for w in own if w not in self.index]
+        own = dict(zip(own, map(self.index.get, own)))
+        fresh = [w for w, n in own.items() if n is None]
         if fresh:
-            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
+            new = dict(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
+            own.update(new)
+            self.index.update(new)
             self.add([" " + w for w in fresh])
-        # the block's own table is small enough to stay in the processor's cache
-        own = dict(zip(own, map(self.index.__getitem__, own)))
-        return np.fromiter(map(own.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(own.__getitem__, words), np.int32, len(words))
 
     def _append(self, size: int, part: dict[str, np.ndarray]) -> None:
         for name, values in part.items():
@@ -215,6 +220,7 @@ class Lattice:
         count = np.diff(bounds)
         level = left[first[head]]
         cuts = np.flatnonzero(np.r_[True, level[1:] != level[:-1], True]) if len(head) else np.zeros(1, np.int64)
+        p = np.empty(len(first))
         total = np.zeros(len(cp) + 1)  # log of the weight of all ways from a node to its word's end
         for a, b in zip(cuts[:-1], cuts[1:]):  # nodes one, two, ... characters from the end
             lo, hi = bounds[a], bounds[b]
@@ -222,11 +228,13 @@ class Lattice:
             val += total[to[lo:hi]]
             at_head = head[a:b] - lo
             top = np.maximum.reduceat(val, at_head)
-            norm = top + np.log(np.add.reduceat(np.exp(val - np.repeat(top, count[a:b])), at_head))
+            e = np.exp(val - np.repeat(top, count[a:b]))
+            sums = np.add.reduceat(e, at_head)
+            norm = top + np.log(sums)
             total[first[head[a:b]]] = norm
             val -= np.repeat(norm, count[a:b])
+            p[lo:hi] = e / np.repeat(sums, count[a:b])
         logp = np.minimum(weight, 0.0)
-        p = np.exp(logp)
         run = np.cumsum(p)
         cum = run - np.repeat((run - p)[head], count)
         cum[bounds[1:] - 1] = np.inf
@@ -237,7 +245,7 @@ class Lattice:
         first_edge = np.zeros(len(cp), np.int64)
         first_edge[first[head]] = head + self.n_edges
         base = self.n_nodes
-        self.start = np.concatenate([self.start, start + base])
+        self.start = np.concatenate([self.start, (start + base).astype(np.int32)])
         self._append(self.n_edges, {
             "first": first + base, "to": to + base, "piece": piece, "logp": logp, "cum": cum, "rest": rest,
         })
@@ -285,41 +293,44 @@ class Draws:
             words += own
         self.n = len(texts)
         self.lattice = lattice
-        self.word = lattice.numbers(words)
+        self.node = self._nodes(words) if words else np.empty(0, np.int32)
         self.size = np.array(sizes, dtype=np.int64)
         self.first = np.cumsum(self.size) - self.size  # first word of each text
         doc = np.repeat(np.arange(self.n), self.size)
         self.key = keys
         # of each word: the text's key and the word's place in it
-        self.word_key = keys[doc] + (np.arange(len(words)) - self.first[doc]).astype(np.uint64) * _C[2]
+        self.word_key = keys[doc] + (np.arange(len(self.node)) - self.first[doc]).astype(np.uint64) * _C[2]
+
+    def _nodes(self, words: list[str]) -> np.ndarray:
+        number = self.lattice.numbers(words)  # extends ``start`` first
+        return self.lattice.start[number]
 
-    def walk(self, word: np.ndarray, node: np.ndarray, step: np.ndarray, draw: int):
-        """Draw from ``node`` to the end of each word: (word place, edge, step),
-        ordered by word place, then step."""
+    def walk(self, starts: list[tuple], draw: int):
+        """Draw from a node to the end of each word: (word place, edge), ordered
+        by word place, then step.  ``starts`` are (places, nodes, steps taken:
+        one number for all or one each)."""
         lat = self.lattice
-        words, edges, steps = [], [], []
-        taken = np.zeros(len(self.word), np.int64)
-        while len(word):
-            salt = step.astype(np.uint64) * _C[0] + _salt(draw, 1)
-            edge = lat.draw(node, _uniform(self.word_key[word] + salt))
-            words.append(word)
-            edges.append(edge)
-            steps.append(step)
-            taken[word] += 1
-            node = lat.to[edge]
-            more = ~lat.last[node]
-            word, node, step = word[more], node[more], step[more] + 1
-        if not words:
-            return tuple(np.empty(0, np.int64) for _ in range(3))
+        words, edges = [], []
+        taken = np.zeros(len(self.node), np.int32)
+        for word, node, step in starts:
+            while len(word):
+                salt = (step * _C[0] + _salt(draw, 1)).astype(np.uint64)
+                edge = lat.draw(node, _uniform(self.word_key[word] + salt))
+                words.append(word)
+                edges.append(edge)
+                taken[word] += 1
+                node = lat.to[edge]
+                more = np.flatnonzero(~lat.last[node])
+                word, node = word[more], node[more]
+                step = (step[more] if len(step) > 1 else step) + np.uint64(1)
         # a word's steps follow each other: scatter them behind its first
-        place = np.cumsum(taken) - taken
+        place = np.cumsum(taken, dtype=np.int32) - taken
         n = int(taken.sum())
-        out = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
-        taken[:] = 0
-        for w, e, s in zip(words, edges, steps):
-            to = place[w] + taken[w]
-            out[0][to], out[1][to], out[2][to] = w, e, s
-            taken[w] += 1
+        out = np.empty(n, np.int32), np.empty(n, np.int32)
+        for w, e in zip(words, edges):
+            to = place[w]
+            out[0][to], out[1][to] = w, e
+            place[w] += 1
         return out
 
     def siblings(self, path: dict, fresh: np.ndarray, draw: int) -> np.ndarray:
@@ -331,11 +342,16 @@ class Draws:
         some = lat.rest[edge] > -np.inf
         at = fresh[some]
         salt = path["step"][at].astype(np.uint64) * _C[0] + _salt(draw, 2)
-        noise = np.log(-np.log(_uniform(self.word_key[path["word"][at]] + salt)))
+        noise = _uniform(self.word_key[path["word"][at]] + salt)
+        np.log(noise, out=noise)
+        np.negative(noise, out=noise)
+        np.log(noise, out=noise)
         value[at] = path["before"][at] + lat.rest[edge[some]] - noise
         return value
 
-    def path(self, word, edge, step, size) -> dict:
+    def path(self, word, edge, size) -> dict:
+        head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
+        step = np.arange(len(word)) - np.repeat(head, np.diff(np.r_[head, len(word)]))
         start = np.cumsum(size) - size
         run = np.r_[0.0, np.cumsum(self.lattice.logp[edge])]
         base = run[start]
@@ -348,12 +364,11 @@ class Draws:
         """Yields per draw (texts that have one, path arrays, perturbed value);
         afterwards ``self.limit`` is the (k+1)-th largest value per text."""
         lat, n = self.lattice, self.n
-        word, edge, step = self.walk(
-            np.arange(len(self.word)), lat.start[self.word], np.zeros(len(self.word), np.int64), 0
-        )
-        per_word = np.bincount(word, minlength=len(self.word)) if len(word) else np.zeros(len(self.word), np.int64)
+        every = np.arange(len(self.node), dtype=np.int32)
+        word, edge = self.walk([(every, self.node, np.zeros(1, np.uint64))], 0)
+        per_word = np.bincount(word, minlength=len(self.node)) if len(word) else np.zeros(len(self.node), np.int64)
         run = np.r_[0, np.cumsum(per_word)]
-        path = self.path(word, edge, step, run[self.first + self.size] - run[self.first])
+        path = self.path(word, edge, run[self.first + self.size] - run[self.first])
         g = -np.log(-np.log(_uniform(self.key + _C[3])))
         path["value"], path["bound"] = self.siblings(path, np.arange(len(edge)), 0), g
         paths, taken = [path], {}
@@ -438,26 +453,24 @@ class Draws:
         open_word = docs[~lat.last[lat.to[chosen[docs]]]]
         after = here["word"][docs] + 1
         words = _ranges(after, self.first[docs] + self.size[docs] - after)
-        word = np.concatenate([here["word"][open_word], words])
-        node = np.concatenate([lat.to[chosen[open_word]], lat.start[self.word[words]]])
-        step = np.concatenate([here["step"][open_word] + 1, np.zeros(len(words), np.int64)])
-        word, edge, step = self.walk(word, node, step, draw)
+        part = here["word"][open_word], lat.to[chosen[open_word]], (here["step"][open_word] + 1).astype(np.uint64)
+        word, edge = self.walk([part, (words, self.node[words], np.zeros(1, np.uint64))], draw)
         tail = np.zeros(self.n, np.int64)
-        cuts = np.searchsorted(word, np.r_[self.first, len(self.word)])
+        cuts = np.searchsorted(word, np.r_[self.first, len(self.node)])
         tail[:] = np.diff(cuts)
         size = np.zeros(self.n, np.int64)
         size[docs] = pre[docs] + 1 + tail[docs]
         start = np.cumsum(size) - size
-        out = {c: np.empty(int(size.sum()), np.int64) for c in ("word", "edge", "step")}
+        out = {c: np.empty(int(size.sum()), np.int32) for c in ("word", "edge")}
         for own, path, at in prefix:
             to = _ranges(start[own], pre[own])
             for c in out:
                 out[c][to] = path[c][at]
         mid = start[docs] + pre[docs]
-        out["word"][mid], out["step"][mid], out["edge"][mid] = here["word"][docs], here["step"][docs], chosen[docs]
+        out["word"][mid], out["edge"][mid] = here["word"][docs], chosen[docs]
         fresh = _ranges(mid + 1, tail[docs])
-        out["word"][fresh], out["edge"][fresh], out["step"][fresh] = word, edge, step
-        return self.path(out["word"], out["edge"], out["step"], size), fresh
+        out["word"][fresh], out["edge"][fresh] = word, edge
+        return self.path(out["word"], out["edge"], size), fresh
 
     def ids(self, path: dict) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of a path's texts, and where each text's ids begin."""
@@ -483,15 +496,30 @@ SAMPLE_SCHEMA = "id long, sample int, ids binary, log_prob double, perturbed dou
 NO_KEY = np.uint64(0x5851F42D4C957F2D)
 
 
-def _blocks(ids, texts, size: int):
+def _blocks(ids: pa.Array, texts: pa.Array, size: int):
+    """Slices of about ``size`` bytes of text, as lists."""
     at, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > size:
-            yield ids[at:i], texts[at:i]
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if held and held + n > size:
+            yield ids[at:i].to_pylist(), texts[at:i].to_pylist()
             at, held = i, 0
-        held += len(t)
+        held += n
     if at < len(texts):
-        yield ids[at:], texts[at:]
+        yield ids[at:].to_pylist(), texts[at:].to_pylist()
+
+
+class Surface:
+    """Turns ids back into text."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.size = np.array([len(x) for x in vocabulary.surface], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.table = np.frombuffer(b"".join(vocabulary.surface), np.uint8)
+
+    def text(self, ids: bytes) -> str:
+        pieces = np.frombuffer(ids, "<u4")
+        # the first byte is the space before the first word
+        return self.table[_ranges(self.start[pieces], self.size[pieces])].tobytes()[1:].decode("utf-8", "replace")
 
 
 def sample_block(lattice: Lattice, ids: list, texts: list[str], k: int, seed: int) -> list[tuple]:
@@ -515,27 +543,32 @@ def sample_block(lattice: Lattice, ids: list, texts: list[str], k: int, seed: in
 
 def sample_segmentations(
     docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = 0.2, path: str | None = None,
-    id_col: str = "doc_id", text_col: str = "text",
+    decoded: bool = False, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``id, sample, ids, log_prob, perturbed, log_inclusion``: up to ``k``
     distinct segmentations per row, best perturbed value first; ``ids`` are
-    little-endian unsigned 32-bit."""
+    little-endian unsigned 32-bit.  ``decoded`` adds ``text``, decoded from the
+    ids in the same pass."""
     path = path or _model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(path, alpha)
-        lattice = Lattice(vocabulary)
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
         names = ["id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"]
+        surface, lattice = Surface(vocabulary), Lattice(vocabulary)
         for b in batches:
-            for ids, texts in _blocks(b.column("id").to_pylist(), b.column("text").to_pylist(), BLOCK_CHARS):
+            for ids, texts in _blocks(b.column("id"), b.column("text"), BLOCK_CHARS):
                 if lattice.n_edges > LATTICE_EDGES:
                     lattice = Lattice(vocabulary)
                 rows = sample_block(lattice, ids, texts, k, seed)
                 cols = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+                arrays = [pa.array(c, t) for c, t in zip(cols, kinds)]
+                if decoded:
+                    arrays.append(pa.array([surface.text(x) for x in cols[2]], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names + ["text"] * decoded)
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, SAMPLE_SCHEMA)
+    schema = SAMPLE_SCHEMA + (", text string" if decoded else "")
+    return keyed_text(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -559,16 +592,9 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     schema = T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = Vocabulary(path, 1.0).surface
-        size = np.array([len(x) for x in surface], dtype=np.int64)
-        start = np.cumsum(size) - size
-        table = np.frombuffer(b"".join(surface), np.uint8)
+        surface = Surface(Vocabulary(path, 1.0))
         for b in batches:
-            texts = []
-            for blob in b.column("ids").to_pylist():
-                ids = np.frombuffer(blob, "<u4")
-                # the first byte is the space before the first word
-                texts.append(table[_ranges(start[ids], size[ids])].tobytes()[1:].decode("utf-8", "replace"))
+            texts = [surface.text(x.as_py()) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
 
     return rows.mapInArrow(run, schema)
@@ -583,8 +609,8 @@ def _model_path() -> str:
 def op9(spark, sf_dir):
     from grovecount.sources.tables import read_table
 
-    drawn = sample_segmentations(read_table(spark, sf_dir, "documents"), k=2, seed=42)
-    return decode(drawn).select(
+    drawn = sample_segmentations(read_table(spark, sf_dir, "documents"), k=2, seed=42, decoded=True)
+    return drawn.select(
         F.col("id").alias("doc_id"), "sample", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"), "log_prob", "log_inclusion", F.sha2("text", 256).alias("decoded_sha256"),
     )

@@ -65,11 +65,10 @@ def segmentations(vocabulary, text):
 
 def test_sampling_without_replacement_has_the_right_odds():
     vocabulary = subword.Vocabulary(PATH, 0.2)
-    lattice = subword.Lattice(vocabulary)
     p = segmentations(vocabulary, " on a")
     n = 30_000
     drawn = defaultdict(dict)
-    for i, j, ids, logp, _, inclusion in subword.sample_block(lattice, list(range(n)), ["on a"] * n, 3, 7):
+    for i, j, ids, logp, _, inclusion in subword.sample_block(subword.Lattice(vocabulary), list(range(n)), ["on a"] * n, 3, 7):
         seg = tuple(np.frombuffer(ids, "<u4").tolist())
         assert abs(np.exp(logp) - p[seg]) < 1e-9 and inclusion <= 0.0
         drawn[i][j] = seg
@@ -93,24 +92,27 @@ def test_inclusion_scores_make_sums_unbiased():
 
 
 def test_fewer_segmentations_than_asked_for():
-    lattice = subword.Lattice(subword.Vocabulary(PATH, 0.2))
-    p = segmentations(lattice.vocabulary, " on")
-    rows = subword.sample_block(lattice, [1], ["on"], 50, 1)
+    vocabulary = subword.Vocabulary(PATH, 0.2)
+    p = segmentations(vocabulary, " on")
+    rows = subword.sample_block(subword.Lattice(vocabulary), [1], ["on"], 50, 1)
     assert {tuple(np.frombuffer(r[2], "<u4").tolist()) for r in rows} == set(p)
     assert all(r[5] == 0.0 for r in rows)
 
 
-def test_long_paths_agree_with_stepwise_probability():
+def test_probability_is_the_product_over_words():
     vocabulary = subword.Vocabulary(PATH, 0.2)
     r = random.Random(1)
-    text = " ".join("".join(r.choices("abcdeéß日", k=r.randint(1, 9))) for _ in range(300))
-    whole = subword.sample_block(subword.Lattice(vocabulary), [1], [text], 2, 1)
-    # the weight of a path less that of all paths, word by word
-    for _, _, ids, logp, _, _ in whole:
-        lattice = subword.Lattice(vocabulary)
-        lattice.numbers(text.split(" "))
-        surface = b"".join(vocabulary.surface[i] for i in np.frombuffer(ids, "<u4"))
-        assert surface.decode() == " " + text and logp < 0
+    words = ["".join(r.choices("abcdeéß", k=r.randint(1, 6))) for _ in range(12)]
+    odds = [segmentations(vocabulary, " " + w) for w in words]
+    for _, _, ids, logp, _, _ in subword.sample_block(subword.Lattice(vocabulary), [1], [" ".join(words)], 3, 1):
+        pieces, want = np.frombuffer(ids, "<u4").tolist(), 0.0
+        for w, own in zip(words, odds):
+            held, size = [], 0
+            while size < len((" " + w).encode()):
+                held.append(pieces.pop(0))
+                size += len(vocabulary.surface[held[-1]])
+            want += np.log(own[tuple(held)])
+        assert not pieces and abs(want - logp) < 1e-9
 
 
 def test_encode_is_the_models_own(docs_of):
