@@ -33,7 +33,7 @@ def test_round_trip_and_distinct(docs_of):
         assert len({bytes(r.ids) for r in rs}) * copies == len(rs)
         order = [r.perturbed for r in sorted(rs, key=lambda r: r.sample)]
         assert order == sorted(order, reverse=True)
-        assert len(rs) == copies * (3 if t else 1)
+        assert len(rs) == copies * (3 if t.strip() else 1)  # line breaks have bytes only
 
 
 def test_samples_do_not_depend_on_partitioning(docs_of):
