@@ -34,7 +34,7 @@ def clamp(c: Column | str, lo: Column | int, hi: Column | int) -> Column:
 
 def gray_of(r: Column | str, g: Column | str, b: Column | str) -> Column:
     """O-13: integer mean of the three colour channels."""
-    return ((_col(r) + _col(g) + _col(b)) / 3).cast("int")
+    return F.floor((_col(r) + _col(g) + _col(b)) / 3).cast("int")
 
 
 def radius_min(height: Column | str, width: Column | str) -> Column:

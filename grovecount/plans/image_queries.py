@@ -1,10 +1,11 @@
 """Registered circle-pipeline queries on synthetic scenes, and their SQL
 oracles (DuckDB dialect).
 
-Scene: one 60x45 gray image per supplier row (the count grows with the
-scale factor), its disc shaped either by the supplier's nation row (the
-``scene_*`` / ``circle*`` / ``hough_*`` / ``crop_*`` queries) or by the
-supplier keys alone (``supplier_*``); see ``sources/scenes.py``.
+Scene: one image per supplier row (the count grows with the scale factor):
+either 60x45 with one disc shaped by the supplier's nation row (the
+``scene_*`` / ``circle*`` / ``hough_*`` / ``crop_*`` queries), or a mixed scene of
+its own size (``supplier_*``: faint and cut discs, noise, unequal channels), so
+that every rule of the detector decides something; see ``sources/scenes.py``.
 """
 
 from __future__ import annotations
@@ -14,16 +15,25 @@ from pyspark.sql import functions as F
 
 from grovecount.functions.image import DEFAULT_HIGH, DEFAULT_LOW, DEFAULT_STEPS
 from grovecount.operators.counts import keyed_sum
-from grovecount.operators.crops import crop_boxes, crop_pixels
+from grovecount.operators.crops import crop_boxes, crop_name, crop_pixels
 from grovecount.operators.hough import candidates, circle_offsets, radii_in_use, radius_ranges, vote_counts
 from grovecount.operators.lookup import left_lookup_count
 from grovecount.operators.overlap import accept_circles, circle_counts
 from grovecount.operators.stencil import blur, gradient
 from grovecount.operators.thinning import thin, thin_pixels
 from grovecount.plans.detect import DetectParams, detect_circles_in_images, edge_pixels
+from grovecount.plans.image_job import image_counts
+from grovecount.sources.images import cut_boxes, image_pixels
 from grovecount.sources.scenes import (
+    MIXED_BLUE,
+    MIXED_DISCS,
+    MIXED_GREEN,
+    MIXED_HEIGHT,
+    MIXED_WIDTH,
     SCENE_HEIGHT,
     SCENE_WIDTH,
+    mixed_disc,
+    mixed_level,
     nation_scenes,
     scene_dims,
     scene_images,
@@ -49,7 +59,8 @@ def _dims(spark, d, source="nation"):
 
 
 def scene_gray(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
-    return _pixels(spark, d, source)
+    """O-13 as the job runs it: decoded image rows to gray pixels."""
+    return image_pixels(scene_images(_rows(spark, d, source)), "image_id")
 
 
 def scene_blur(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
@@ -96,6 +107,35 @@ def crop_boxes_q(spark: SparkSession, d: str, source: str = "nation") -> DataFra
     return crop_boxes(circles(spark, d, source), _dims(spark, d, source))
 
 
+def crop_names_q(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
+    """O-20: crop names; every image is listed under two extensions of one stem."""
+    stem = F.concat(F.lit("scene_"), F.col("image_id").cast("string"))
+    both = circles(spark, d, source).select("image_id", "k", F.explode(F.array(
+        F.concat(stem, F.lit(".png")), F.concat(stem, F.lit(".jpg")))).alias("image_name"))
+    return both.select("image_id", "k", "image_name", crop_name().alias("crop_name"))
+
+
+def crop_pixels_bytes(spark: SparkSession, d: str, source: str = "supplier") -> DataFrame:
+    """O-35 from image bytes: boxes go to the images, pixels stay where they are."""
+    images = scene_images(_rows(spark, d, source))
+    return cut_boxes(images, crop_boxes_q(spark, d, source), "image_id")
+
+
+def image_lookup(spark: SparkSession, d: str, source: str = "supplier") -> DataFrame:
+    """O-22: the IMAGES job's lookup.  Every supplier is listed; every seventh has
+    no image, every eleventh an unreadable one."""
+    rows = _rows(spark, d, source)
+    names = rows.select(F.concat(F.lit("scene_"), F.col("s_suppkey").cast("string"), F.lit(".png")).alias("image_name"))
+    found = scene_images(rows).where("image_id % 7 <> 0")
+    bad = F.col("image_id") % 11 == 0
+    images = found.select(
+        F.concat(F.lit("scene_"), F.col("image_id").cast("string"), F.lit(".png")).alias("image_name"),
+        *[F.when(bad, -1).otherwise(F.col(c)).alias(c) for c in ("height", "width", "n_channels")],
+        F.when(~bad, F.col("data")).alias("data"),
+    )
+    return image_counts(names, images).per_line
+
+
 def crop_pixels_q(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
     return crop_pixels(crop_boxes_q(spark, d, source), _pixels(spark, d, source))
 
@@ -149,6 +189,12 @@ _SUPPLIER = {
     "supplier_circles": circles,
     "supplier_circle_counts": circle_counts_q,
     "supplier_crop_pixels": crop_pixels_q,
+    "supplier_crop_pixels_bytes": crop_pixels_bytes,
+    "supplier_crop_boxes": crop_boxes_q,
+    "supplier_crop_names": crop_names_q,
+    "supplier_scene_gray": scene_gray,
+    "supplier_scene_thin": scene_thin,
+    "supplier_image_lookup": image_lookup,
     "supplier_type_counts": scene_type_counts,
     "supplier_type_counts_bands": scene_type_counts_bands,
 }
@@ -178,29 +224,35 @@ _WR = "(PARTITION BY image_id, y ORDER BY x)"
 _WC = "(PARTITION BY image_id, x ORDER BY y)"
 _ANGLE = "atan2(gy, gx)"
 
-# source -> (image id, position key, size key, FROM clause)
-_SOURCES = {
-    "nation": ("s_suppkey", "n_nationkey", "n_regionkey",
-               "supplier JOIN nation ON s_nationkey = n_nationkey"),
-    "supplier": ("s_suppkey", "s_suppkey % 25", "s_nationkey % 5", "supplier"),
-}
-
-
 def _stages(source: str):
-    ident, k, g, src = _SOURCES[source]
-    head = [
-        ("disc", f"""SELECT {ident} AS image_id, 20 + (({k}) * 20) // 25 AS cx,
-                15 + ({g}) * 3 AS cy, 4 + ({g}) % 3 AS rad FROM {src}"""),
-        ("dims", f"SELECT {ident} AS image_id, {_W} AS width, {_H} AS height FROM {src}"),
+    if source == "nation":
+        return [
+            ("disc", """SELECT s_suppkey AS image_id, 20 + (n_nationkey * 20) // 25 AS cx,
+                    15 + n_regionkey * 3 AS cy, 4 + n_regionkey % 3 AS rad
+                   FROM supplier JOIN nation ON s_nationkey = n_nationkey"""),
+            ("dims", f"SELECT image_id, {_W} AS width, {_H} AS height FROM disc"),
+            ("px", f"""SELECT image_id, CAST(i % {_W} AS INTEGER) AS x, CAST(i // {_W} AS INTEGER) AS y,
+                    CASE WHEN (i % {_W} - cx) * (i % {_W} - cx) + (i // {_W} - cy) * (i // {_W} - cy) <= rad * rad
+                         THEN 255 ELSE 0 END AS v
+                   FROM disc CROSS JOIN range(0, {_N}) t(i)"""),
+            *_STAGES,
+        ]
+    discs = ", ".join(f"{e} AS {c}{j}" for j in range(MIXED_DISCS) for c, e in mixed_disc(j).items())
+    return [
+        ("keys", "SELECT s_suppkey AS s, CAST(s_nationkey AS BIGINT) AS n FROM supplier"),
+        ("sized", f"""SELECT s, n, CAST({MIXED_WIDTH} AS INTEGER) AS width, CAST({MIXED_HEIGHT} AS INTEGER) AS height
+                   FROM keys"""),
+        ("dims", "SELECT s AS image_id, width, height FROM sized"),
+        ("disc", f"SELECT *, {discs} FROM sized"),
+        ("cell", "SELECT *, unnest(range(0, width * height)) AS i FROM disc"),
+        ("lv", f"""SELECT s, x, y, {mixed_level()} AS v
+                FROM (SELECT *, CAST(i % width AS INTEGER) AS x, CAST(i // width AS INTEGER) AS y FROM cell)"""),
+        ("px", f"SELECT s AS image_id, x, y, CAST((v + {MIXED_GREEN} + {MIXED_BLUE}) // 3 AS INTEGER) AS v FROM lv"),
+        *_STAGES,
     ]
-    return head + _STAGES
 
 
 _STAGES = [
-    ("px", f"""SELECT image_id, CAST(i % {_W} AS INTEGER) AS x, CAST(i // {_W} AS INTEGER) AS y,
-                CASE WHEN (i % {_W} - cx) * (i % {_W} - cx) + (i // {_W} - cy) * (i // {_W} - cy) <= rad * rad
-                     THEN 255 ELSE 0 END AS v
-               FROM disc CROSS JOIN range(0, {_N}) t(i)"""),
     ("hb", f"SELECT image_id, x, y, {_weighted('v', _WR)} AS h FROM px"),
     ("bl", f"SELECT image_id, x, y, CAST(({_weighted('h', _WC)}) // 256 AS INTEGER) AS v FROM hb"),
     ("gyt", f"SELECT *, lead(v) OVER {_WC} - lag(v) OVER {_WC} AS gy FROM bl"),
@@ -292,6 +344,13 @@ _FINAL = {
     "circles": "SELECT image_id, k, a, b, r, votes FROM circ",
     "circle_counts": "SELECT image_id, n FROM cnt",
     "crop_boxes": "SELECT image_id, k, x0, y0, x1, y1 FROM box",
+    "crop_names": """SELECT image_id, k, 'scene_' || image_id || ext AS image_name,
+        'scene_scene_' || image_id || ext || '_' || k || '.png' AS crop_name
+        FROM circ CROSS JOIN (VALUES ('.png'), ('.jpg')) t(ext)""",
+    "image_lookup": """SELECT 'scene_' || image_id || '.png' AS image_name, 'scene' AS feature,
+        CAST(CASE WHEN image_id % 7 = 0 OR image_id % 11 = 0 THEN 0 ELSE n END AS BIGINT) AS n,
+        CASE WHEN image_id % 7 = 0 THEN 'missing' WHEN image_id % 11 = 0 THEN 'unreadable' ELSE 'ok' END AS status
+        FROM cnt""",
     "crop_pixels": """SELECT box.image_id, box.k, px.x, px.y, px.v FROM box
         JOIN px ON px.image_id = box.image_id AND px.x >= box.x0 AND px.x < box.x1
          AND px.y >= box.y0 AND px.y < box.y1""",
@@ -304,4 +363,4 @@ for _name in _SUPPLIER:
     if _base in ("type_counts", "type_counts_bands"):
         ORACLE[_name] = _type_counts_sql("supplier")
     else:
-        ORACLE[_name] = _sql(_FINAL[_base], "supplier")
+        ORACLE[_name] = _sql(_FINAL[_base.removesuffix("_bytes")], "supplier")

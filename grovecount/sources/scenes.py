@@ -5,8 +5,10 @@ disc's centre and radius follow from the row's keys, so the number of
 images (and pixels) grows with the scale factor.  Two geometries:
 
 * ``nation_scenes``: the disc comes from the supplier's nation row
-  (k = n_nationkey, g = n_regionkey);
-* ``supplier`` rows alone: k = s_suppkey % 25, g = s_nationkey % 5.
+  (k = n_nationkey, g = n_regionkey), 60x45, white on black;
+* ``supplier`` rows alone (``mixed_*`` below): sizes from 12x10 to 40x270, three
+  discs of which some are faint, ramped or cut by the border, over a noisy
+  ground, in three unequal channels.
 
 A bare ``nation`` table (25 rows at every scale) also works, for fixtures.
 """
@@ -19,12 +21,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grovecount.functions.image import gray_of
+
 # Fixed scene parameters (shared with the SQL oracle).
 SCENE_WIDTH = 60
 SCENE_HEIGHT = 45
 WHITE = 255
 
 
+# Mixed scenes: integer expressions over s_suppkey (s) and s_nationkey (n), in the
+# SQL that Spark and the oracle share; x, y are pixel coordinates.
+MIXED_WIDTH = "CASE WHEN s % 23 = 7 THEN 12 WHEN s % 37 = 11 THEN 40 ELSE 44 + (s * 7) % 23 END"
+MIXED_HEIGHT = "CASE WHEN s % 23 = 7 THEN 10 + s % 4 WHEN s % 37 = 11 THEN 270 ELSE 32 + (s * 5) % 19 END"
+MIXED_DISCS = 3
+
+
+def mixed_disc(j: int) -> dict[str, str]:
+    """Centre, radius and brightness of disc ``j`` (centres may lie outside)."""
+    return {
+        "cx": f"(s * 13 + {29 * j} + n * 3) % (width + 6) - 3",
+        "cy": f"(s * 7 + {17 * j} + n * 5) % (height + 6) - 3",
+        "rad": f"3 + (s + {2 * j} + n) % 5",
+        "amp": f"CASE (s + {j}) % 4 WHEN 0 THEN 200 WHEN 1 THEN 90 WHEN 2 THEN 26 ELSE 150 END",
+    }
+
+
+def mixed_level() -> str:
+    """Brightness at x, y: ground, noise, and the discs that cover it (the second ramps along x)."""
+    level = "20 + (s % 3) * 10 + ((x * 7919 + y * 104729 + s * 1299709) % 1009) % 6"
+    for j in range(MIXED_DISCS):
+        ramp = f" + 3 * (x - cx{j})" if j == 1 else ""
+        level += (
+            f" + CASE WHEN (x - cx{j}) * (x - cx{j}) + (y - cy{j}) * (y - cy{j}) <= rad{j} * rad{j}"
+            f" THEN amp{j}{ramp} ELSE 0 END"
+        )
+    return f"greatest(0, least(255, {level}))"
+
+
+MIXED_GREEN = "least(255, v + (x % 3) * 2)"
+MIXED_BLUE = "greatest(0, v - y % 4)"
+
+
+def _is_mixed(rows: DataFrame) -> bool:
+    return "s_suppkey" in rows.columns and "n_nationkey" not in rows.columns
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """``s, width, height`` and the discs' columns per supplier row."""
+    base = rows.select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").cast("bigint").alias("n"))
+    sized = base.withColumns({"width": F.expr(MIXED_WIDTH).cast("int"), "height": F.expr(MIXED_HEIGHT).cast("int")})
+    return sized.withColumns(
+        {f"{c}{j}": F.expr(e).cast("int") for j in range(MIXED_DISCS) for c, e in mixed_disc(j).items()}
+    )
+
+
+def mixed_pixels(rows: DataFrame) -> DataFrame:
+    """Gray pixel table of the mixed scenes, as column expressions."""
+    px = _mixed(rows).select("*", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
+    px = px.withColumns({"x": F.pmod("i", "width").cast("int"), "y": F.floor(F.col("i") / F.col("width")).cast("int")})
+    v = px.select("s", "x", "y", F.expr(mixed_level()).cast("int").alias("v"))
+    return v.select(
+        F.col("s").alias("image_id"), "x", "y", gray_of("v", F.expr(MIXED_GREEN), F.expr(MIXED_BLUE)).alias("v")
+    )
+
+
+def _render_mixed(batches):
+    """The same scenes drawn with numpy, as BGR bytes."""
+    for pdf in batches:
+        data = []
+        for row in pdf.itertuples(index=False):
+            ys, xs = np.mgrid[0:row.height, 0:row.width].astype(np.int64)
+            v = 20 + (row.s % 3) * 10 + ((xs * 7919 + ys * 104729 + row.s * 1299709) % 1009) % 6
+            for j in range(MIXED_DISCS):
+                cx, cy, rad, amp = (getattr(row, f"{c}{j}") for c in ("cx", "cy", "rad", "amp"))
+                inside = (xs - cx) ** 2 + (ys - cy) ** 2 <= rad * rad
+                v += inside * (amp + (3 * (xs - cx) if j == 1 else 0))
+            v = np.clip(v, 0, 255)
+            bgr = np.stack([np.maximum(0, v - ys % 4), np.minimum(255, v + (xs % 3) * 2), v], axis=2)
+            data.append(bgr.astype(np.uint8).tobytes())
+        yield pd.DataFrame({
+            "image_id": pdf["s"], "height": pdf["height"], "width": pdf["width"], "n_channels": np.int32(3), "data": data,
+        })
+
+
 def _keys(df: DataFrame) -> tuple[str, str, str]:
     """(image id, position key 0..24, size key 0..4) columns of a scene table."""
     cols = set(df.columns)
@@ -33,7 +112,7 @@ def _keys(df: DataFrame) -> tuple[str, str, str]:
     if "n_nationkey" in cols:
         return "n_nationkey", "n_nationkey", "n_regionkey"
     if "s_suppkey" in cols:
-        return "s_suppkey", "s_suppkey % 25", "s_nationkey % 5"
+        return "s_suppkey", "", ""  # mixed scenes have their own rules
     raise ValueError("scenes are derived from nation or supplier rows")
 
 
@@ -45,10 +124,9 @@ def nation_scenes(supplier: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def scene_discs(rows: DataFrame) -> DataFrame:
-    """``image_id, cx, cy, radius`` for each row of ``nation`` or ``supplier``.
-
-    nation: k = n_nationkey, g = n_regionkey; supplier: k = s_suppkey % 25,
-    g = s_nationkey % 5.  Centre (20 + 20k div 25, 15 + 3g), radius 4 + g % 3.
+    """``image_id, cx, cy, radius`` for each row shaped by a nation:
+    k = n_nationkey, g = n_regionkey; centre (20 + 20k div 25, 15 + 3g), radius
+    4 + g % 3.
     """
     ident, k, g = _keys(rows)
     return rows.select(
@@ -60,6 +138,8 @@ def scene_discs(rows: DataFrame) -> DataFrame:
 
 
 def scene_dims(rows: DataFrame, width: int = SCENE_WIDTH, height: int = SCENE_HEIGHT) -> DataFrame:
+    if _is_mixed(rows):
+        return _mixed(rows).select(F.col("s").alias("image_id"), "width", "height")
     return rows.select(
         F.col(_keys(rows)[0]).alias("image_id"),
         F.lit(width).alias("width"),
@@ -68,7 +148,10 @@ def scene_dims(rows: DataFrame, width: int = SCENE_WIDTH, height: int = SCENE_HE
 
 
 def scene_pixels(rows: DataFrame, width: int = SCENE_WIDTH, height: int = SCENE_HEIGHT) -> DataFrame:
-    """Pixel table ``image_id, x, y, v`` with ``v = 255`` inside the disc."""
+    """Pixel table ``image_id, x, y, v`` with ``v = 255`` inside the disc (or the
+    mixed scenes' gray levels)."""
+    if _is_mixed(rows):
+        return mixed_pixels(rows)
     discs = scene_discs(rows)
     px = discs.select("*", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("i"))
     x = F.pmod("i", F.lit(width))
@@ -115,9 +198,10 @@ def scene_images(rows: DataFrame, width: int = SCENE_WIDTH, height: int = SCENE_
     """The same scenes as decoded image rows (``image_id, height, width,
     n_channels, data``), the shape the ``image`` source produces, so the
     image-file path of the detector can run on table-derived input."""
-    discs = scene_discs(rows)
+    mixed = _is_mixed(rows)
+    discs = _mixed(rows) if mixed else scene_discs(rows)
     schema = T.StructType([
-        T.StructField("image_id", discs.schema["image_id"].dataType),
+        T.StructField("image_id", discs.schema["s" if mixed else "image_id"].dataType),
         T.StructField("height", T.IntegerType()),
         T.StructField("width", T.IntegerType()),
         T.StructField("n_channels", T.IntegerType()),
@@ -125,6 +209,6 @@ def scene_images(rows: DataFrame, width: int = SCENE_WIDTH, height: int = SCENE_
     ])
 
     def render(batches):
-        return _render(batches, width, height)
+        return _render_mixed(batches) if mixed else _render(batches, width, height)
 
     return discs.mapInPandas(render, schema)
