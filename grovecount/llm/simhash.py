@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in b.column("text").to_pylist()]
+            fps = [fingerprint(t.as_py(), shingle) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(fps, pa.int64()), b.column("text_hash")], ["id", "fp", "text_hash"]
             )
@@ -274,6 +274,8 @@ def without_near_duplicates(
     out = docs.join(keep.hint("shuffle_hash"), same_row(docs, id_col, text_col, keep), "left_semi")
     # rows that repeat both id and text are all of them the first
     again = found.groupBy("id", "text_hash").count().where("count > 1").select("id", "text_hash")
+    if again.isEmpty():
+        return out
     again = again.hint("shuffle_hash")
     single = out.join(again, same_row(out, id_col, text_col, again), "left_anti")
     repeated = out.join(again, same_row(out, id_col, text_col, again), "left_semi").dropDuplicates([id_col, text_col])

@@ -38,15 +38,14 @@ an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from grovecount.llm.common import keyed_text
 
 GRAM = 24  # bytes of an anchor's prefix
 BLOCK = 1 << 18  # bytes worked on at once
@@ -105,6 +104,7 @@ class Batch:
 
     def __init__(self, ids: np.ndarray, texts: pa.Array, span: int):
         order = np.argsort(ids, kind="stable")
+        self.rows = order  # of the table the texts came from
         self.ids = ids[order]
         if (np.diff(order) != 1).any():
             texts = texts.take(pa.array(order))
@@ -411,9 +411,6 @@ def _window_batch(span: int, parts: int):
     return run
 
 
-RESULT_SCHEMA = "id long, kept binary, n_bytes long, n_removed long, n_spans long, was string, text string"
-
-
 def _covered(batch: Batch, answers: pa.Table) -> np.ndarray:
     """Bytes of the batch to remove."""
     own, p, code, doc = _asked(batch, _codes(answers, MIXED))
@@ -441,21 +438,22 @@ def _finish_batch(span: int):
             cover = _covered(batch, answers)
             for i, (s, e) in enumerate(zip(batch.starts.tolist(), batch.ends.tolist())):
                 data, gone = batch.buf[s:e], cover[s:e]
-                was = text = None
-                spans, kept = 0, None
+                spans, text = 0, None
                 if gone.any():
                     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     kept = data[~gone].tobytes()
-                    was, text = hashlib.sha256(data).hexdigest(), kept.decode("utf-8", "ignore")
+                    text = kept.decode("utf-8", "ignore")
                 else:
                     kept = data.tobytes()
-                rows.append((int(batch.ids[i]), kept, e - s, e - s - len(kept), spans, was, text))
-        cols = list(zip(*rows)) or [()] * 7
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table({
-            n: pa.array(c, k)
-            for n, c, k in zip(("id", "kept", "n_bytes", "n_removed", "n_spans", "was", "text"), cols, kinds)
+                rows.append((int(batch.ids[i]), kept, e - s, e - s - len(kept), spans, text))
+        cols = list(zip(*rows)) or [()] * 6
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        out = pa.table({
+            n: pa.array(c, k) for n, c, k in zip(("id", "kept", "n_bytes", "n_removed", "n_spans", "text"), cols, kinds)
         })
+        # the rows' other columns come out as they went in
+        rest = table.column("doc").combine_chunks()
+        return out.append_column("doc", rest.take(pa.array(batch.rows)) if len(table) else rest)
 
     return run
 
@@ -492,15 +490,18 @@ def even_keys(spark, parts: int) -> list[int]:
 
 def remove_repeats(
     docs: DataFrame, span: int = 50, batch_bytes: int = 12 << 20, batches_per_part: int = 2,
-    id_col: str = "doc_id", text_col: str = "text",
+    carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """``id, kept, n_bytes, n_removed, n_spans, was, text`` per row of ``docs``:
-    ``kept`` are the remaining bytes concatenated.  Where something was removed,
-    ``was`` is the SHA-256 of the text as it was and ``text`` is ``kept`` less the
-    halves of characters that were cut through."""
+    """``id, kept, n_bytes, n_removed, n_spans, text, doc`` per row of ``docs``:
+    ``kept`` are the remaining bytes concatenated; where something was removed,
+    ``text`` is ``kept`` less the halves of characters that were cut through.
+    ``doc`` holds the row's columns named in ``carry``, unchanged."""
     if span < GRAM + 8:
         raise ValueError(f"span must be at least {GRAM + 8} bytes")
-    every = keyed_text(docs, id_col, text_col)
+    every = docs.select(
+        docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
+        F.struct(F.lit(True).alias("__row"), *[docs[c] for c in carry]).alias("doc"),
+    )
     named = every.where("id is not null")
     bounds = np.array(batch_bounds(named, batch_bytes), dtype=np.int64)
     n_batches = len(bounds) + 1
@@ -512,10 +513,21 @@ def remove_repeats(
         for b in batches:
             at = np.searchsorted(bounds, b.column("id").to_numpy(), side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot_of[at]), pa.array(at), b.column("id"), b.column("text")], ["slot", "batch", "id", "text"]
+                [pa.array(slot_of[at]), pa.array(at), b.column("id"), b.column("text"), b.column("doc")],
+                ["slot", "batch", "id", "text", "doc"],
             )
 
-    texts = named.mapInArrow(number, "slot int, batch int, id long, text string").repartition(n_batches, "slot")
+    doc_type = every.schema["doc"].dataType
+    long, string = T.LongType(), T.StringType()
+    texts = named.mapInArrow(number, T.StructType([
+        T.StructField("slot", T.IntegerType()), T.StructField("batch", T.IntegerType()), T.StructField("id", long),
+        T.StructField("text", string), T.StructField("doc", doc_type),
+    ])).repartition(n_batches, "slot")
+    result = T.StructType([
+        T.StructField("id", long), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", long),
+        T.StructField("n_removed", long), T.StructField("n_spans", long), T.StructField("text", string),
+        T.StructField("doc", doc_type),
+    ])
     entries = texts.groupBy("slot").applyInArrow(_index_batch(span, parts), ENTRY_SCHEMA)
     ordered = entries.repartition(parts, "part").sortWithinPartitions("part", "batch")
     settled = ordered.mapInArrow(_answers(False, slots), ANSWER_SCHEMA)
@@ -524,25 +536,23 @@ def remove_repeats(
     )
     ordered = windows.repartition(parts, "part").sortWithinPartitions("part", "batch")
     answers = settled.unionByName(ordered.mapInArrow(_answers(True, slots), ANSWER_SCHEMA))
-    out = texts.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_finish_batch(span), RESULT_SCHEMA)
+    out = texts.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_finish_batch(span), result)
     loose = every.where("id is null").select(
         "id", F.encode("text", "UTF-8").alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.lit(None).cast("string").alias("was"), F.lit(None).cast("string").alias("text"),
+        F.lit(None).cast("string").alias("text"), "doc",
     )
     return out.unionByName(loose)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``docs`` with its columns, less repeated passages and less the documents
-    of which nothing else was left."""
-    found = remove_repeats(docs, id_col=id_col, text_col=text_col, **limits).where("n_removed > 0")
-    # rows that repeat id and text had the same taken out
-    changed = found.groupBy(F.col("id").alias("__id"), F.col("was").alias("__was")).agg(F.first("text").alias("__text"))
-    same = (docs[id_col].cast("long") == changed["__id"]) & (F.sha2(docs[text_col].cast("string"), 256) == changed["__was"])
-    out = docs.join(changed.hint("shuffle_hash"), same, "left")
-    out = out.where(F.col("__was").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.coalesce("__text", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    of which nothing else was left; a null text comes out empty."""
+    rest = tuple(c for c in docs.columns if c != text_col)
+    out = remove_repeats(docs, carry=rest, id_col=id_col, text_col=text_col, **limits)
+    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    text = F.coalesce("text", F.decode("kept", "UTF-8"))
+    return out.select(*[text.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op3(spark, sf_dir):
