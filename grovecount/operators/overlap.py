@@ -4,17 +4,18 @@ Acceptance is greedy and order-dependent inside one image: walk the
 candidates in a fixed order (``votes desc, r, a, b``) and accept one unless its
 centre lies strictly inside an already accepted circle.
 
-The same result comes out of rounds over a grid.  A candidate can only be
-blocked by a circle whose radius covers its centre, so from within R = the
-image's largest candidate radius: from its own R x R cell or one of the eight
-around it.  A candidate that is first in order within those nine cells is
-therefore accepted whatever happens elsewhere.  Each round accepts all such
-candidates of all images, drops the candidates they cover, and repeats until
-none is left.  "First in the nine cells" is a min-aggregate, and at most one
-candidate per nine cells is accepted in a round, so matching the rest against
-them is an equi-join on cells that grows linearly: no pairs, and no group (an
-image, a cluster of one) in a single task.  A dense image needs more rounds,
-not a larger task.
+The same result comes out of rounds over grids.  Candidates fall into radius
+classes (1, 2-3, 4-7, ...), each with a grid whose cells are as wide as the
+class's radii can be.  A candidate can only be blocked by a circle of some
+class from within its own cell of that class's grid or the eight around it.
+A candidate with no earlier one in those nine cells of any class is therefore
+accepted whatever happens elsewhere.  Each round accepts all such candidates of
+all images, drops the candidates they cover, and repeats until none is left.
+"Earliest in nine cells" is a min-aggregate, and at most one candidate of a
+class per nine cells is accepted in a round, so matching the rest against them
+is an equi-join on cells that grows linearly: no pairs, and no group (an image,
+a cluster of one) in a single task.  A dense image needs more rounds, not a
+larger task.
 """
 
 from __future__ import annotations
@@ -28,10 +29,17 @@ from grovecount.plans.lineage import RoundTables
 _AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
+_CELL = ["class", "cx", "cy"]
+
+
+def _at(a, b, size) -> list:
+    return [F.floor(a / size).alias("cx"), F.floor(b / size).alias("cy")]
+
+
 def _nine_cells(df: DataFrame, id_col: str, *cols) -> DataFrame:
     """One row per cell that a row's cell touches (itself included)."""
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND])
-    return df.select(id_col, "cx", "cy", *cols, F.explode(steps).alias("s")).withColumns(
+    return df.select(id_col, *_CELL, *cols, F.explode(steps).alias("s")).withColumns(
         {"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")}
     ).drop("s")
 
@@ -40,35 +48,40 @@ def accept_circles(cands: DataFrame, id_col: str = ID) -> DataFrame:
     """``image_id, k, a, b, r, votes`` of accepted circles; ``k`` numbers them in
     acceptance order within the image."""
     rounds = RoundTables(cands.sparkSession, "accept")
-    reach = cands.groupBy(id_col).agg(F.max("r").alias("reach"))
+    # class c holds radii 2^c .. 2^(c+1)-1; its cells are 2^(c+1) wide
+    radius_class = F.floor(F.log2(F.col("r"))).cast("int")
+    classes = cands.groupBy(id_col).agg(F.collect_set(radius_class).alias("classes"))
     alive, left = rounds.write_counted(
-        cands.join(reach, id_col).select(
-            id_col, "a", "b", "r", "votes",
-            F.floor(F.col("a") / F.col("reach")).alias("cx"),
-            F.floor(F.col("b") / F.col("reach")).alias("cy"),
-        ),
-        "alive",
+        cands.join(classes, id_col).select(id_col, "a", "b", "r", "votes", "classes"), "alive"
     )
-    cell = [id_col, "cx", "cy"]
+    cell, circle = [id_col, *_CELL], [id_col, "a", "b", "r"]
     place = F.struct((-F.col("votes")).alias("v"), F.col("r"), F.col("a"), F.col("b"))
-    accepted = [alive.where(F.lit(False)).select(id_col, "a", "b", "r", "votes")]
+    size = F.expr("shiftleft(2, class)")
+    accepted = [alive.where(F.lit(False)).select(*circle, "votes")]
     while left:
-        in_cell = alive.groupBy(*cell).agg(F.min(place).alias("m"))
+        own = alive.withColumn("class", radius_class)
+        in_cell = own.select(id_col, "class", *_at(F.col("a"), F.col("b"), size), place.alias("m"))
+        in_cell = in_cell.groupBy(*cell).agg(F.min("m").alias("m"))
         first = _nine_cells(in_cell, id_col, "m").groupBy(*cell).agg(F.min("m").alias("first"))
-        marked = alive.join(first, cell).withColumn("accepted", place == F.col("first")).drop("first")
-        zones = _nine_cells(
-            marked.where("accepted"), id_col, F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("r").alias("cr")
+        # every candidate in its cell of every class the image has
+        spread = alive.select(*circle, "votes", F.explode("classes").alias("class")).select(
+            *circle, "votes", "class", *_at(F.col("a"), F.col("b"), size)
         )
-        da, db = F.col("a") - F.col("ca"), F.col("b") - F.col("cb")
-        covered = alive.join(zones, cell).where(da * da + db * db < F.col("cr") * F.col("cr")).select(
-            id_col, "a", "b", "r"
+        earliest = spread.join(first, cell).groupBy(*circle).agg(F.min("first").alias("first"))
+        marked = alive.join(earliest, circle).withColumn("accepted", place == F.col("first")).drop("first")
+        taken = marked.where("accepted").withColumn("class", radius_class).select(
+            id_col, "class", *_at(F.col("a"), F.col("b"), size),
+            F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("r").alias("cr"),
         )
+        zones = _nine_cells(taken, id_col, "ca", "cb", "cr")
+        da, db = F.col("a") - F.col("ca"), F.col("b") - F.col("cb")
+        covered = spread.join(zones, cell).where(da * da + db * db < F.col("cr") * F.col("cr")).select(*circle)
         # an accepted circle covers its own centre, so it is kept by its mark
-        settled = marked.join(
-            covered.distinct().withColumn("covered", F.lit(True)), [id_col, "a", "b", "r"], "left"
-        ).where("accepted OR covered IS NULL").drop("covered")
+        settled = marked.join(covered.distinct().withColumn("covered", F.lit(True)), circle, "left").where(
+            "accepted OR covered IS NULL"
+        ).drop("covered")
         state, left = rounds.write_counted(settled, "round", ~F.col("accepted"))
-        accepted.append(state.where("accepted").select(id_col, "a", "b", "r", "votes"))
+        accepted.append(state.where("accepted").select(*circle, "votes"))
         alive = state.where("NOT accepted").drop("accepted")
     out = accepted[0]
     for part in accepted[1:]:
