@@ -49,7 +49,7 @@ def accept_circles(cands: DataFrame, id_col: str = ID) -> DataFrame:
     acceptance order within the image."""
     rounds = RoundTables(cands.sparkSession, "accept")
     # class c holds radii 2^c .. 2^(c+1)-1; its cells are 2^(c+1) wide
-    radius_class = F.floor(F.log2(F.col("r"))).cast("int")
+    radius_class = F.length(F.bin("r")) - 1
     classes = cands.groupBy(id_col).agg(F.collect_set(radius_class).alias("classes"))
     alive, left = rounds.write_counted(
         cands.join(classes, id_col).select(id_col, "a", "b", "r", "votes", "classes"), "alive"
@@ -71,12 +71,13 @@ def accept_circles(cands: DataFrame, id_col: str = ID) -> DataFrame:
         marked = alive.join(earliest, circle).withColumn("accepted", place == F.col("first")).drop("first")
         taken = marked.where("accepted").withColumn("class", radius_class).select(
             id_col, "class", *_at(F.col("a"), F.col("b"), size),
-            F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("r").alias("cr"),
+            F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("r").alias("cr"), place.alias("by"),
         )
-        zones = _nine_cells(taken, id_col, "ca", "cb", "cr")
+        zones = _nine_cells(taken, id_col, "ca", "cb", "cr", "by")
         da, db = F.col("a") - F.col("ca"), F.col("b") - F.col("cb")
-        covered = spread.join(zones, cell).where(da * da + db * db < F.col("cr") * F.col("cr")).select(*circle)
-        # an accepted circle covers its own centre, so it is kept by its mark
+        # a wide circle can be accepted while an earlier, smaller one inside it still waits
+        inside = (da * da + db * db < F.col("cr") * F.col("cr")) & (F.col("by") < place)
+        covered = spread.join(zones, cell).where(inside).select(*circle)
         settled = marked.join(covered.distinct().withColumn("covered", F.lit(True)), circle, "left").where(
             "accepted OR covered IS NULL"
         ).drop("covered")
