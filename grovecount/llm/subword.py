@@ -96,15 +96,16 @@ class Vocabulary:
         self.weight = np.zeros(n)
         self.weight[plain] = -alpha * np.log1p(np.arange(1, len(plain) + 1))
         self.byte_weight = -alpha * np.log1p(len(plain) + 1)
-        keys, ids = [], []
-        for i, s in text.items():
-            h = np.zeros(1, np.uint64)
-            for c in s:
-                h = self.step(h, np.array([ord(c)], np.uint32))
-            keys.append(h[0])
-            ids.append(i)
+        ids = np.array(plain, dtype=np.int64)
+        size = np.array([len(text[i]) for i in plain])
+        points = np.zeros((len(plain), self.longest), np.uint32)
+        for row, i in enumerate(plain):
+            points[row, : size[row]] = [ord(c) for c in text[i]]
+        keys = np.zeros(len(plain), np.uint64)
+        for n in range(self.longest):  # the n-th character of all pieces at once
+            long = size > n
+            keys[long] = self.step(keys[long], points[long, n])
         left = np.arange(len(keys))
-        keys, ids = np.array(keys, np.uint64), np.array(ids, np.int64)
         self.tables = []
         while len(left):  # keys that share a slot move on to the next table
             slot = self.slots(keys[left], len(self.tables))
@@ -142,6 +143,18 @@ class Vocabulary:
         return out
 
 
+class Numbers(dict):
+    """Numbers words in order of first sight; new ones are also listed."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Lattice:
     """All segmentations of all words seen so far.  A node is a character
     position; the edges of a node are stored together, longest piece first.
@@ -152,24 +165,23 @@ class Lattice:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.index: dict[str, int] = {}
+        self.index = Numbers()
         self.n_edges = self.n_nodes = 0
         self.start = np.empty(0, np.int32)
-        for name, kind in (self.EDGE | self.NODE).items():
-            setattr(self, name, np.empty(0, kind))
+        # room for what a lattice usually grows to; untouched pages cost nothing
+        for name, kind in self.EDGE.items():
+            setattr(self, name, np.empty(LATTICE_EDGES + LATTICE_EDGES // 2, kind))
+        for name, kind in self.NODE.items():
+            setattr(self, name, np.empty(LATTICE_EDGES, kind))
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Number of each word (given without the space in front)."""
-        # the block's own table is small enough to stay in the processor's cache
-        own = dict.fromkeys(words)
-        own = dict(zip(own, map(self.index.get, own)))
-        fresh = [w for w, n in own.items() if n is None]
+        fresh = self.index.fresh
+        out = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
         if fresh:
-            new = dict(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
-            own.update(new)
-            self.index.update(new)
             self.add([" " + w for w in fresh])
-        return np.fromiter(map(own.__getitem__, words), np.int32, len(words))
+            fresh.clear()
+        return out
 
     def _append(self, size: int, part: dict[str, np.ndarray]) -> None:
         for name, values in part.items():
@@ -422,12 +434,8 @@ class Draws:
 
     def best(self, path: dict) -> tuple[np.ndarray, np.ndarray]:
         best, where = np.full(self.n, -np.inf), np.zeros(self.n, np.int64)
-        some = np.flatnonzero(path["size"] > 0)
-        if len(some):
-            top = np.maximum.reduceat(path["value"], path["start"][some])
-            best[some] = self.bounded(top, path["bound"][some])
-            hit = np.flatnonzero(path["value"] == np.repeat(top, path["size"][some]))
-            where[some] = hit[np.searchsorted(hit, path["start"][some])]
+        for d in np.flatnonzero(path["size"] > 0).tolist():
+            self.best_of(path, d, best, where)
         return best, where
 
     def best_of(self, path: dict, d: int, best: np.ndarray, where: np.ndarray) -> None:
