@@ -43,6 +43,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+FILE_ROWS = 250_000
+
+
 class Stored:
     """Tables of one run of a loop, as Parquet in the shared checkpoint folder:
     survive lost executors, and a loop that appends to a table and reads it
@@ -52,8 +55,10 @@ class Stored:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def add(self, df: DataFrame, name: str) -> DataFrame:
-        """Append ``df`` to table ``name``; the whole table."""
+    def add(self, df: DataFrame, name: str, rows: int) -> DataFrame:
+        """Append ``df``, of at most ``rows`` rows, to table ``name``; the whole
+        table.  Files hold up to ``FILE_ROWS`` rows, so that a loop of many small
+        rounds does not leave thousands of files to read again."""
         path = f"{self.root}/{name}"
-        df.write.mode("append").parquet(path)
+        df.coalesce(max(8, -(-rows // FILE_ROWS))).write.mode("append").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -203,7 +203,7 @@ def _numbered(left: DataFrame, segments: list[tuple]) -> DataFrame:
     return left.mapInArrow(run, "role int, number long, item long, size long")
 
 
-def _sweep(tables: Stored, number: int, waiting: DataFrame, bins: DataFrame, lo: int, hi: int) -> tuple[DataFrame, DataFrame, int]:
+def _sweep(tables: Stored, number: int, rows: int, waiting: DataFrame, bins: DataFrame, lo: int, hi: int) -> tuple[DataFrame, DataFrame, int]:
     """One sweep of the pieces ``waiting`` (item, size) over ``bins`` (seq, gap).
 
     Returns the placements (item, size, seq), the unplaced pieces (item, size,
@@ -226,7 +226,7 @@ def _sweep(tables: Stored, number: int, waiting: DataFrame, bins: DataFrame, lo:
         items.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
         .withColumn("pid", F.spark_partition_id())
         .mapInArrow(_sweep_partition, LEFT_SCHEMA),
-        f"sweep-{number}",
+        f"sweep-{number}", rows,
     )
     counts: dict[int, list[int]] = {}
     for r in swept.where("kind < 2").groupBy("pid", "kind").count().collect():  # two counts a partition
@@ -247,21 +247,22 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     tables, number = Stored(sizes.sparkSession, "packing"), 0
     # what is over half the capacity shares a sequence with smaller pieces only
     alone = sizes.where(F.col("size") * 2 > capacity).select("item", "size", F.col("item").alias("seq"))
-    every = tables.add(alone, "placed")
     band = F.lit(None).cast("int")
     for i, (lo, hi, _) in enumerate(band_list):
         band = F.when((F.col("size") > lo) & (F.col("size") <= hi), i).otherwise(band)
     present = {
         r.b: (r.n, r.top) for r in sizes.groupBy(band.alias("b"))
-        .agg(F.count("*").alias("n"), F.max("size").alias("top")).where("b is not null").collect()
+        .agg(F.count("*").alias("n"), F.max("size").alias("top")).collect()
     }
+    total = sum(n for n, _ in present.values())
+    every = tables.add(alone, "placed", present.get(None, (0, 0))[0])
     for i, (lo, hi, k) in enumerate(band_list):
         n, top = present.get(i, (0, 0))
         waiting = sizes.where((F.col("size") > lo) & (F.col("size") <= hi)).select("item", "size")
         while n:
             gaps = every.groupBy("seq").agg((capacity - F.sum("size")).alias("gap")).where("gap > 0")
             number += 1
-            placed, unplaced, left = _sweep(tables, number, waiting, gaps, lo, top)
+            placed, unplaced, left = _sweep(tables, number, 2 * total, waiting, gaps, lo, top)
             found, n, opening = n - left, left, 0
             if n and k:
                 # any k of the band fit one sequence: open as many as that takes, the rest follow by rank
@@ -273,16 +274,16 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
                 n = 0
             elif n:
                 waiting = unplaced.select("item", "size")
-                top, total = unplaced.agg(F.max("size"), F.sum("size")).first()
+                top, tokens = unplaced.agg(F.max("size"), F.sum("size")).first()
                 if found < n:
                     # gaps take little more: the largest pieces open as many sequences as all need at least
-                    opening = math.ceil(total / capacity)
+                    opening = math.ceil(tokens / capacity)
                     opened = unplaced.where(F.col("number") < opening)
                     waiting = unplaced.where(F.col("number") >= opening).select("item", "size")
                     n -= min(n, opening)
             if opening:
                 placed = placed.unionByName(opened.select("item", "size", F.col("item").alias("seq")))
-            every = tables.add(placed, "placed")
+            every = tables.add(placed, "placed", found + left)
     # a sequence holds at most `capacity` pieces, so its window is bounded
     before = W.partitionBy("seq").orderBy(F.desc("size"), "item").rowsBetween(W.unboundedPreceding, -1)
     return every.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
