@@ -18,9 +18,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from grovecount.plans.detect import detect_circles_in_images  # noqa: E402
 from grovecount.plans.modes import JobOptions  # noqa: E402
 from grovecount.plans.registry import QUERIES  # noqa: E402
 from grovecount.session import build_session  # noqa: E402
+from grovecount.sources.scenes import nation_scenes, scene_images  # noqa: E402
 from grovecount.sources.tables import read_table  # noqa: E402
 from grovecount.sources.workload import workload_lines  # noqa: E402
 from grovecount.streaming.job import start_job  # noqa: E402
@@ -78,6 +80,22 @@ def workload_l(spark, sf_dir, scratch, copies: int = 9, files: int = 55):
     return n_lines, time.perf_counter() - t0
 
 
+def large_images(spark, sf_dir, width: int = 300, height: int = 200):
+    """Opt-in (BENCH_LARGE=1): detection on 300x200 scenes (18 radii) at two image
+    counts, to tell the fixed cost of a run from the cost per image."""
+    rows = nation_scenes(read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "nation"))
+    out = {}
+    for part, keep in (("quarter", F.col("s_suppkey") % 4 == 0), ("all", F.lit(True))):
+        images = scene_images(rows.where(keep), width, height)
+        n = images.count()
+        t0 = time.perf_counter()
+        detect_circles_in_images(images, "image_id").counts.write.format("noop").mode("overwrite").save()
+        out[part] = (n, time.perf_counter() - t0)
+    (n0, t0), (n1, t1) = out["quarter"], out["all"]
+    return {"images": n1, "seconds": round(t1, 2), "seconds_quarter": round(t0, 2),
+            "marginal_images_per_sec": round((n1 - n0) / max(t1 - t0, 1e-6), 1)}
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -113,6 +131,8 @@ def main():
             "supplier_images_per_sec_bands": round(n_suppliers / times["supplier_type_counts_bands"], 2),
         },
     }
+    if os.environ.get("BENCH_LARGE") == "1":
+        out["rates"]["images_300x200"] = large_images(spark, sf_dir)
     if os.environ.get("BENCH_WORKLOAD_L") == "1":
         n_l, dt_l = workload_l(spark, sf_dir, scratch)
         out["queries"]["stream_workload_l"] = round(dt_l, 3)
