@@ -206,9 +206,9 @@ def learn_rules(
                         if cx < min_cover:
                             continue
                         score = _precision(cx, cg, prior)
-                        # among equally precise conditions the one that covers more
-                        if score > best_score + 1e-9 and (found is None or (score * cx, cx) > found[0]):
-                            found = ((score * cx, cx), score, (name, op, b))
+                        # the most precise condition; the estimate already favours coverage
+                        if score > best_score + 1e-9 and (found is None or (score, cx) > found[0]):
+                            found = ((score, cx), score, (name, op, b))
             if found is None:
                 break
             best_score = found[1]
