@@ -14,8 +14,10 @@ Only hashes travel until a leaf is known to recur: a leaf of fewer than
 third of all documents is counted by partial aggregates and is one row from
 then on.
 
-Edge cases: null text counts as empty; lines of fewer than ``min_tokens``
-tokens (blank lines among them) always stay; rows with a null id neither
+Edge cases: null text counts as empty; blank lines, and lines of fewer than
+``min_tokens`` tokens, always stay; lines of no more than ``leading`` tokens
+have a leaf each and recur by the same document count as longer ones, so lines
+of one number each (page numbers) are one template; rows with a null id neither
 count nor change; rows that repeat an id count as documents each and get the
 same decisions; an empty table gives an empty result.
 """
@@ -108,7 +110,7 @@ def line_drops(docs: DataFrame, parsed: DataFrame, min_docs: int, leading: int)
 
 
 def drop_recurring_lines(
-    docs: DataFrame, min_docs: int = 10, leading: int = 2, min_tokens: int = 3,
+    docs: DataFrame, min_docs: int = 10, leading: int = 2, min_tokens: int = 1,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc`` (a struct of the row's other columns), ``id, text, kept_text,
