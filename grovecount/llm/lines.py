@@ -4,10 +4,15 @@ Lines are parsed down a tree of fixed depth: the number of tokens, then the
 ``leading`` first tokens, with tokens that hold a digit generalised to ``<*>``
 at once.  In a leaf, a token stays constant if at least ``min_docs`` documents
 support it at its position; other positions are variable fields.  The
-resulting template recurs if it is found in at least ``min_docs`` documents;
-a template may generalise one token in eight (besides digits), so unrelated
-sentences that merely begin alike never merge.  Lines of recurring templates
-are dropped from every document but the first (smallest id) that has them.
+resulting template recurs if it is found in at least ``min_docs`` documents.
+A template may generalise one token in eight (besides digits), or more if its
+constant words carry it: they are at least half the tokens, at least two of
+them follow the leading ones, at least half of the documents that support the
+rarest of those have the whole template, and these are ``2 * min_docs`` or more,
+since a template with less of its words fixed needs more evidence.  Common words of
+sentences that merely begin alike are supported one by one, but seldom
+together, so such sentences do not merge.  Lines of recurring templates are
+dropped from every document but the first (smallest id) that has them.
 
 Only hashes travel until a leaf is known to recur: a leaf of fewer than
 ``min_docs`` documents cannot hold a recurring template.  A line found in a
@@ -86,20 +91,36 @@ def recurring_lines(docs: DataFrame, parsed: DataFrame, min_docs: int, leading:
     # support of each token at its position in the leaf
     at = known.select("leaf", "key", "d", "first_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
     support = at.groupBy("leaf", "i", "token").agg(F.sum("d").alias("support"))
-    constant = support.where(F.col("support") >= min_docs).select("leaf", "i", "token", F.lit(True).alias("constant"))
+    constant = support.where(F.col("support") >= min_docs)
     general = at.join(constant.hint("merge"), ["leaf", "i", "token"], "left").withColumn(
-        "variable", F.col("constant").isNull() & (F.col("token") != FIELD)
-    )
+        "variable", F.col("support").isNull() & (F.col("token") != FIELD)
+    ).withColumn("word", F.col("support").isNotNull() & (F.col("token") != FIELD))
+    beyond = F.col("word") & (F.col("i") >= leading)
     template = general.groupBy("leaf", "key").agg(
         F.first("d").alias("d"), F.first("first_id").alias("first_id"), F.first("n").alias("n"),
-        F.count_if("variable").alias("n_variable"),
+        F.count_if("variable").alias("n_variable"), F.count_if("word").alias("n_words"),
+        F.count_if(beyond).alias("n_beyond"), F.min(F.when(beyond, F.col("support"))).alias("rarest"),
         # order-free digest of (position, token or field)
         F.sum(F.xxhash64("i", F.when(F.col("variable"), FIELD).otherwise(F.col("token"))).cast("decimal(20,0)")).alias("t"),
-    ).where(F.col("n_variable") <= F.floor(F.col("n") / 8))
+    ).select(
+        "leaf", "key", "t", "d", "first_id", "rarest",
+        (F.col("n_variable") <= F.floor(F.col("n") / 8)).alias("narrow"),
+        # the same for all lines of a template
+        ((2 * F.col("n_words") >= F.col("n")) & (F.col("n_beyond") >= 2)).alias("carried"),
+    ).where("narrow or carried")
+    narrow = F.col("narrow")
     recurring = template.groupBy("leaf", "t").agg(
-        F.sum("d").alias("docs"), F.min("first_id").alias("first")
-    ).where(F.col("docs") >= min_docs)
-    return template.join(recurring.hint("merge"), ["leaf", "t"]).select("key", F.col("first").alias("first_id"))
+        F.sum("d").alias("docs"), F.min("first_id").alias("first"),
+        F.sum(F.when(narrow, F.col("d"))).alias("narrow_docs"), F.min(F.when(narrow, F.col("first_id"))).alias("narrow_first"),
+        F.first("carried").alias("carried"), F.first("rarest").alias("rarest"),
+    ).select(
+        "leaf", "t", "first", "narrow_first", (F.col("narrow_docs") >= min_docs).alias("narrow_recurs"),
+        (F.col("carried") & (F.col("docs") >= 2 * min_docs) & (2 * F.col("docs") >= F.col("rarest"))).alias("recurs"),
+    ).where("recurs or narrow_recurs")
+    lines_of = template.select("leaf", "t", "key", "narrow").join(recurring.hint("merge"), ["leaf", "t"])
+    return lines_of.where("recurs or narrow").select(
+        "key", F.when(F.col("recurs"), F.col("first")).otherwise(F.col("narrow_first")).alias("first_id")
+    )
 
 
 def line_drops(docs: DataFrame, parsed: DataFrame, min_docs: int, leading: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 from grovecount.llm import lines
 
 
@@ -9,6 +12,10 @@ def dropped(docs_of, rows, **tree):
     return {r.id: r.n_dropped for r in lines.drop_recurring_lines(docs_of(rows), **tree).collect()}
 
 
+def letters(i):
+    return chr(97 + i // 26) + chr(97 + i % 26)
+
+
 def test_lines_of_one_and_two_words_recur(docs_of):
     rows = [(i, f"Home\n\nSign  in\nHome page\nnews of its own {chr(97 + i)}") for i in range(12)]
     rows += [(20 + i, "Home\nrare pair") for i in range(9)]
@@ -17,3 +24,33 @@ def test_lines_of_one_and_two_words_recur(docs_of):
     assert all(out[i].kept_text == f"\nnews of its own {chr(97 + i)}" for i in range(1, 12))
     # two words in nine documents are no boilerplate yet, and blank lines never are
     assert all(out[20 + i].kept_text == "rare pair" for i in range(9))
+
+
+def test_short_lines_with_word_fields_recur(docs_of):
+    rows = [
+        (i, f"Posted by A{letters(i)} B{letters(i)} in News\n"  # 6 tokens, a field of two words
+            f"Filed under {letters(i)} by staff\n"  # 5 tokens, one word
+            f"Read more about {letters(i)} on our site\n"  # 7 tokens, one word
+            f"{letters(i)} wrote this")
+        for i in range(30)
+    ]
+    out = {r.id: r for r in lines.drop_recurring_lines(docs_of(rows)).collect()}
+    assert out[0].n_dropped == 0
+    assert all(out[i].kept_text == f"{letters(i)} wrote this" for i in range(1, 30))
+
+
+def test_clean_sentences_that_begin_alike_stay(docs_of):
+    """Common words have their support at every position, but not together."""
+    r = random.Random(5)
+    common, rare = ["the", "of", "and"], [f"w{letters(i)}{letters(j)}" for i in range(60) for j in range(60)]
+
+    def sentence():
+        return " ".join(["It was", *(r.choice(common) if r.random() < 0.6 else r.choice(rare) for _ in range(4))])
+
+    rows = [(i, sentence() + "\n" + sentence()) for i in range(2000)]
+    # a line may still recur word by word
+    n = Counter(x for _, t in rows for x in set(t.split("\n")))
+    gone = []
+    for o in lines.drop_recurring_lines(docs_of(rows)).collect():
+        gone += set(rows[o.id][1].split("\n")) - set(o.kept_text.split("\n"))
+    assert all(n[x] >= 10 for x in gone)
