@@ -54,20 +54,31 @@ def _leaf(tokens: Column, leading: int) -> Column:
 
 
 def parse(docs: DataFrame, leading: int, min_tokens: int) -> DataFrame:
-    """``id, key, leaf``: each masked line of a document once, as hashes."""
+    """``id, row, key, leaf``: each masked line of a document once, as hashes.
+    ``row`` numbers the document, for lines that share their leaf with another
+    line of the document only."""
 
     def path(line: Column) -> Column:
         return let(
             bare_words(line),
             lambda w: F.struct(
-                F.xxhash64(line).alias("key"),
-                F.when(F.size(w) >= min_tokens, _leaf(w, leading)).alias("leaf"),
+                F.when(F.size(w) >= min_tokens, _leaf(w, leading)).alias("leaf"), F.xxhash64(line).alias("key"),
             ),
         )
 
+    def shared(lines: Column) -> Column:
+        def same(k: Column) -> Column:
+            leaf = F.get(lines, k)["leaf"]
+            return (leaf == F.get(lines, k - 1)["leaf"]) | (leaf == F.get(lines, k + 1)["leaf"])
+
+        return F.transform(lines, lambda x, k: F.struct(x["key"].alias("key"), x["leaf"].alias("leaf"), same(k).alias("shared")))
+
     # one array expression, so that each line is split once
-    found = docs.where("id is not null").select("id", F.explode(F.transform(_masked_lines(F.col("text")), path)).alias("x"))
-    return found.select("id", "x.key", "x.leaf").where("leaf is not null")
+    numbered = docs.where("id is not null").select("id", "text", F.monotonically_increasing_id().alias("row"))
+    by_leaf = F.sort_array(F.transform(_masked_lines(F.col("text")), path))
+    return numbered.select("id", "row", F.explode(let(by_leaf, shared)).alias("x")).select(
+        "id", F.when(F.col("x.shared"), F.col("row")).alias("row"), "x.key", "x.leaf"
+    ).where("leaf is not null")
 
 
 def recurring_lines(docs: DataFrame, parsed: DataFrame, min_docs: int, leading: int) -> DataFrame:
@@ -76,7 +87,8 @@ def recurring_lines(docs: DataFrame, parsed: DataFrame, min_docs: int, leading:
     lines = parsed.groupBy("key").agg(
         F.count("*").alias("d"), F.min("id").alias("first_id"), F.first("leaf").alias("leaf")
     )
-    # a line whose leaf has too few supporters is out
+    # a line whose leaf has too few supporters is out (a document may count here
+    # for several lines, so that no leaf is out too early)
     leaves = lines.groupBy("leaf").agg(F.sum("d").alias("leaf_d")).where(F.col("leaf_d") >= min_docs).select("leaf")
     alive = lines.join(leaves.hint("merge"), "leaf").checkpoint()
     # fetch one copy of each line left, from the first document that has it
@@ -87,10 +99,19 @@ def recurring_lines(docs: DataFrame, parsed: DataFrame, min_docs: int, leading:
         ).alias("line")
     )
     tokens = texts.groupBy(F.xxhash64("line").alias("key")).agg(F.first("line").alias("line"))
-    known = alive.join(tokens.hint("merge"), "key").withColumn("tokens", bare_words(F.col("line")))
+    known = alive.join(tokens.hint("merge"), "key").select(
+        "leaf", "key", "d", "first_id", bare_words(F.col("line")).alias("tokens")
+    ).checkpoint()
+    # below, sums of d count a document once a line: what they count too much
+    # comes from documents with several lines in a leaf
+    several = parsed.where("row is not null").select("row", "key")
+    token_rows = several.join(known.select("leaf", "key", "tokens").hint("merge"), "key").select(
+        "row", "leaf", F.posexplode("tokens").alias("i", "token")
+    ).groupBy("row", "leaf", "i", "token").agg((F.count("*") - 1).alias("over")).where("over > 0")
     # support of each token at its position in the leaf
     at = known.select("leaf", "key", "d", "first_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
-    support = at.groupBy("leaf", "i", "token").agg(F.sum("d").alias("support"))
+    counted = at.select("leaf", "i", "token", "d").unionByName(token_rows.select("leaf", "i", "token", (-F.col("over")).alias("d")))
+    support = counted.groupBy("leaf", "i", "token").agg(F.sum("d").alias("support"))
     constant = support.where(F.col("support") >= min_docs)
     general = at.join(constant.hint("merge"), ["leaf", "i", "token"], "left").withColumn(
         "variable", F.col("support").isNull() & (F.col("token") != FIELD)
@@ -107,13 +128,20 @@ def recurring_lines(docs: DataFrame, parsed: DataFrame, min_docs: int, leading:
         (F.col("n_variable") <= F.floor(F.col("n") / 8)).alias("narrow"),
         # the same for all lines of a template
         ((2 * F.col("n_words") >= F.col("n")) & (F.col("n_beyond") >= 2)).alias("carried"),
-    ).where("narrow or carried")
+    ).where("narrow or carried").checkpoint()
     narrow = F.col("narrow")
+    template_rows = several.join(template.select("leaf", "t", "key", "narrow").hint("merge"), "key").groupBy(
+        "row", "leaf", "t"
+    ).agg((F.count("*") - 1).alias("over"), F.greatest(F.count_if(narrow) - 1, F.lit(0)).alias("narrow_over")).where("over > 0")
+    over = template_rows.groupBy("leaf", "t").agg(F.sum("over").alias("over"), F.sum("narrow_over").alias("narrow_over"))
     recurring = template.groupBy("leaf", "t").agg(
         F.sum("d").alias("docs"), F.min("first_id").alias("first"),
         F.sum(F.when(narrow, F.col("d"))).alias("narrow_docs"), F.min(F.when(narrow, F.col("first_id"))).alias("narrow_first"),
         F.first("carried").alias("carried"), F.first("rarest").alias("rarest"),
-    ).select(
+    ).join(over.hint("merge"), ["leaf", "t"], "left").withColumns({
+        "docs": F.col("docs") - F.coalesce("over", F.lit(0)),
+        "narrow_docs": F.col("narrow_docs") - F.coalesce("narrow_over", F.lit(0)),
+    }).select(
         "leaf", "t", "first", "narrow_first", (F.col("narrow_docs") >= min_docs).alias("narrow_recurs"),
         (F.col("carried") & (F.col("docs") >= 2 * min_docs) & (2 * F.col("docs") >= F.col("rarest"))).alias("recurs"),
     ).where("recurs or narrow_recurs")
