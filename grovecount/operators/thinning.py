@@ -14,8 +14,9 @@ pixel and ``q`` the one scanned after:
 
 Only a pixel whose ``p`` is stronger and whose ``q`` is not depends on another
 pixel, and that dependency always points to a strictly stronger pixel, so
-chains end.  They are resolved in rounds of one join each (unresolved pixels
-against resolved ones), every round written out to cut lineage.
+chains end.  Chains inside a tile of an image are settled in one task; a chain
+that leaves its tile is reduced there to "as / opposite to the pixel it leaves
+to", and only those border pixels are resolved against each other by joins.
 
 ``mode="snapshot"`` is the textbook one-pass rule (compare with the original
 magnitudes only).
@@ -26,9 +27,15 @@ climbs in magnitude, so the whole resolution runs on ``mag2 > low^2`` pixels.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from grovecount.operators import tiles
 from grovecount.operators.stencil import ID, blur, gradient, with_neighbour_mags
 from grovecount.plans.lineage import RoundTables
 
@@ -77,23 +84,19 @@ def thin_pixels(pixels: DataFrame, low: int, mode: str = "inplace", id_col: str
     return thin(gradient(blur(pixels, id_col), id_col), low, mode, id_col)
 
 
-DEFAULT_DIRECT_ROUNDS = 6
-
-
 def resolve(
     cand: DataFrame,
     mode: str = "inplace",
     id_col: str = ID,
-    direct_rounds: int = DEFAULT_DIRECT_ROUNDS,
+    tile: int = tiles.DEFAULT_TILE,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Apply the suppression rule to candidate rows from ``suppression_inputs``.
 
-    In-place: chains are followed one link per round for ``direct_rounds``
-    rounds (short chains are the usual case and each round only touches the
-    pixels decided in the previous one); whatever is still open after that is
-    settled by pointer jumping in O(log chain length) rounds.  ``carry`` names
-    further columns that stay on the rows.
+    In-place: one shuffle by tile settles every chain inside a tile.  Where
+    chains leave their tiles, the pixels they leave to are settled by pointer
+    jumping over the border pixels alone, in O(log tiles crossed) rounds.
+    ``carry`` names further columns that stay on the rows.
     """
     cols = [id_col, "x", "y", "mag2", *carry]
     if mode == "snapshot":
@@ -102,26 +105,98 @@ def resolve(
         raise ValueError(f"unknown thinning mode {mode!r}")
 
     rounds = RoundTables(cand.sparkSession, "thin")
-    cand = rounds.write(cand, "cand")
-    # Round 0: pixels decided by their own neighbours.
-    frontier = cand.where(F.col("q_kills") | ~F.col("p_gt")).select(*cols, F.col("q_kills").alias("killed"))
-    waiting = cand.where(~F.col("q_kills") & F.col("p_gt")).select(*cols, "px", "py")
-    decided = [frontier]
-    # Round k: every pixel whose p was decided in round k-1.  Each pixel has
-    # exactly one p, so it is matched in exactly one round: no anti-join needed.
-    for _ in range(direct_rounds):
-        ref = frontier.select(
-            F.col(id_col), F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("p_killed")
+    rows = cand.select(*cols, "q_kills", "p_gt", "px", "py")
+    fields = [f for f in rows.schema if f.name in cols]
+    schema = T.StructType([
+        *fields,
+        T.StructField("killed", T.BooleanType()),
+        T.StructField("flip", T.BooleanType()),
+        T.StructField("px", T.IntegerType()),
+        T.StructField("py", T.IntegerType()),
+    ])
+    settled = tiles.by_tile(rows, id_col, tile).mapInArrow(_chain_settler(id_col, tile, cols), schema)
+    settled, n_open = rounds.write_counted(settled, "tiles", F.col("killed").isNull())
+    alive = settled.where(~F.col("killed")).select(*cols)
+    if not n_open:
+        return alive
+    open_ = settled.where("killed IS NULL")
+    exits = rounds.write(open_.select(id_col, "px", "py").distinct(), "exits")
+    ports = settled.join(
+        exits.select(id_col, F.col("px").alias("x"), F.col("py").alias("y")), [id_col, "x", "y"], "left_semi"
+    )
+    ports = rounds.write(ports.select(id_col, "x", "y", "killed", "flip", "px", "py"), "ports")
+    verdict = _jump(ports, rounds, id_col)
+    late = open_.join(verdict, [id_col, "px", "py"]).where(F.col("k") == F.col("flip")).select(*cols)
+    return alive.unionByName(late)
+
+
+def _chain_settler(id_col: str, tile: int, cols: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tiles.whole_tiles(batches, [id_col, "tx", "ty"]):
+            yield from _settle_chains(table, id_col, tile, cols).to_batches()
+
+    return run
+
+
+def _settle_chains(table: pa.Table, id_col: str, tile: int, cols: list[str]) -> pa.Table:
+    """Rows of whole tiles with ``killed``, or with null and the pixel ``px, py``
+    of another tile they depend on: killed = that pixel's, or its opposite
+    where ``flip``.  Killed pixels are left out unless another tile may ask."""
+    order, lx, ly = tiles.local_keys(table, id_col, tile)
+    px, py = tiles.numbers(table, "px"), tiles.numbers(table, "py")
+    key = tiles.pixel_key(order, lx, ly, tile)
+    q_kills = table.column("q_kills").to_numpy()
+    waits = ~q_kills & table.column("p_gt").to_numpy()
+    plx, ply = px - tiles.numbers(table, "tx") * tile, py - tiles.numbers(table, "ty") * tile
+    here = np.flatnonzero(waits & tiles.inside(plx, ply, tile))
+    at, found = tiles.find(key, tiles.pixel_key(order[here], plx[here], ply[here], tile))
+    end = np.arange(len(key))
+    end[here[found]] = at[found]
+    flip = end != np.arange(len(key))
+    while True:  # pointer jumping: killed(c) = killed(end) XOR flip
+        further = end[end]
+        if (further == end).all():
+            break
+        flip = flip ^ flip[end]
+        end = further
+    known = ~waits[end]
+    killed = q_kills[end] ^ flip
+    border = (lx == 0) | (ly == 0) | (lx == tile - 1) | (ly == tile - 1)
+    keep = ~known | ~killed | border
+    out = table.select(cols)
+    out = out.append_column("killed", pa.array(killed, mask=~known))
+    out = out.append_column("flip", pa.array(~flip))  # the last step, out of the tile, turns once more
+    out = out.append_column("px", pa.array(px[end].astype(np.int32)))
+    out = out.append_column("py", pa.array(py[end].astype(np.int32)))
+    return out.filter(pa.array(keep))
+
+
+def _jump(ports: DataFrame, rounds: RoundTables, id_col: str) -> DataFrame:
+    """``id, px, py, k``: whether the border pixel is killed.  An open one holds
+    ``killed = killed(px, py) XOR flip`` and takes over the pointer of the pixel
+    it points at until that one is known."""
+    found = [ports.where("killed IS NOT NULL").select(id_col, "x", "y", "killed")]
+    state = ports.where("killed IS NULL").select(id_col, "x", "y", "flip", "px", "py")
+    here = [id_col, "px", "py"]
+    while True:
+        known = _union(found).select(id_col, F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("k"))
+        onward = state.select(
+            id_col, F.col("x").alias("px"), F.col("y").alias("py"),
+            F.col("px").alias("nx"), F.col("py").alias("ny"), F.col("flip").alias("nflip"),
         )
-        step = waiting.join(ref, [id_col, "px", "py"], "inner").select(*cols, (~F.col("p_killed")).alias("killed"))
-        frontier, n = rounds.write_counted(step, "decided")
-        if n == 0:
-            return _survivors(decided, cols)
-        decided.append(frontier)
-    known = _union(decided)
-    known = rounds.write(known, "known")
-    open_ = waiting.join(known, [id_col, "x", "y"], "left_anti")
-    return _survivors([known, _jump(open_, known, rounds, id_col, cols)], cols)
+        step = state.join(known, here, "left").join(onward, here, "left").where("k IS NOT NULL OR nflip IS NOT NULL")
+        step, n_open = rounds.write_counted(step.select(
+            id_col, "x", "y",
+            (F.col("k") != F.col("flip")).alias("killed"),
+            (F.col("flip") != F.col("nflip")).alias("flip"),
+            F.col("nx").alias("px"), F.col("ny").alias("py"),
+        ), "jump", F.col("killed").isNull())
+        found.append(step.where("killed IS NOT NULL").select(id_col, "x", "y", "killed"))
+        if not n_open:
+            return _union(found).select(
+                id_col, F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("k")
+            )
+        state = step.where("killed IS NULL").select(id_col, "x", "y", "flip", "px", "py")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -129,45 +204,3 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def _survivors(parts: list[DataFrame], cols: list[str]) -> DataFrame:
-    """Union of the stored rounds (each a checkpoint): cheap to re-read, so not
-    stored again; a consumer that loops over it stores its own filtered copy."""
-    return _union(parts).where(~F.col("killed")).select(*cols)
-
-
-def _jump(open_: DataFrame, known: DataFrame, rounds: RoundTables, id_col: str, cols: list[str]) -> DataFrame:
-    """Pointer jumping: ``killed(c) = killed(ptr) XOR flip``; an open pointer is
-    replaced by its own pointer (flips added) until it lands on a known pixel."""
-    state, n_open = rounds.write_counted(
-        open_.select(*cols, "px", "py", F.lit(True).alias("flip")), "open"
-    )
-    known = known.select(id_col, F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("k"))
-    solved_parts = []
-    while n_open:
-        hit = state.join(known, [id_col, "px", "py"], "inner")
-        solved = rounds.write(
-            hit.select(*cols, (F.col("k") != F.col("flip")).alias("killed")), "jumped"
-        )
-        solved_parts.append(solved)
-        rest = state.join(known, [id_col, "px", "py"], "left_anti")
-        nxt = state.select(
-            id_col, F.col("x").alias("px"), F.col("y").alias("py"),
-            F.col("px").alias("nx"), F.col("py").alias("ny"), F.col("flip").alias("nflip"),
-        )
-        state, n_open = rounds.write_counted(
-            rest.join(nxt, [id_col, "px", "py"], "inner").select(
-                *cols, F.col("nx").alias("px"), F.col("ny").alias("py"),
-                (F.col("flip") != F.col("nflip")).alias("flip"),
-            ),
-            "open",
-        )
-        # pixels solved this round become landing points for the others
-        # (a union of stored rounds; nothing is rewritten)
-        known = known.unionByName(
-            solved.select(id_col, F.col("x").alias("px"), F.col("y").alias("py"), F.col("killed").alias("k"))
-        )
-    return _union(solved_parts) if solved_parts else open_.select(
-        *cols, F.lit(False).alias("killed")
-    ).where(F.lit(False))

@@ -1,25 +1,29 @@
 """Cutting lineage in iterative operators.
 
-Loops (edge thinning, hysteresis, components) materialise each round with a
-reliable ``checkpoint()``: the rows land in the session's checkpoint folder
-(``spark.checkpoint.dir``, which must be shared storage on a cluster), so a
-round survives lost executors and the next round's plan starts from it
-instead of replaying every earlier round.  ``localCheckpoint`` is never used:
-it keeps the rows on executors and loses them with the executor.
+Loops (border graphs, components, acceptance rounds) write each round as
+Parquet under the session's checkpoint folder (``spark.checkpoint.dir``, which
+must be shared storage on a cluster) and read it again: a round survives lost
+executors, and the next round's plan starts from a file scan.  A stored round
+also forgets the size estimate of the plan it came from; its estimate is that
+of its files.  (A ``checkpoint()`` keeps the old plan's estimate, and a join
+multiplies the estimates of its sides, so in a loop of joins the number of
+digits doubles every round.)  ``localCheckpoint`` is never used: it keeps the
+rows on executors and loses them with the executor.
 
 A long-running job wraps each unit of work (a micro-batch) in
 ``round_scope``; the rounds written inside it are deleted when it ends, so
 the checkpoint folder does not grow with the life of the stream.
 
-A stored round keeps the (often far too small) size estimate of the plan it
-came from; ``guard_estimate_broadcast`` keeps sessions that broadcast by
-estimate from broadcasting it.
+File sizes say little about row counts after decoding;
+``guard_estimate_broadcast`` keeps sessions that broadcast by estimate from
+broadcasting a stored round.
 """
 
 from __future__ import annotations
 
 import contextlib
 import contextvars
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,18 +33,9 @@ from grovecount.session import ensure_checkpoint_dir
 _SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("grovecount_rounds", default=None)
 
 
-def _remember(stored: DataFrame) -> None:
-    files = _SCOPE.get()
-    if files is None:
-        return
-    path = stored._jdf.logicalPlan().rdd().getCheckpointFile()
-    if path.isDefined():
-        files.append(path.get())
-
-
 @contextlib.contextmanager
 def round_scope(spark: SparkSession):
-    """Delete the round checkpoints written inside the block when it exits.
+    """Delete the rounds written inside the block when it exits.
 
     Use it only around work whose results are fully written out inside the
     block (e.g. one micro-batch and its sinks).
@@ -73,18 +68,22 @@ def guard_estimate_broadcast(df: DataFrame) -> DataFrame:
 
 
 class RoundTables:
-    """Materialises loop rounds through reliable checkpoints."""
+    """Stores loop rounds as Parquet in the shared checkpoint folder."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.label = label
-        self.root = ensure_checkpoint_dir(spark)
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.number = 0
+        files = _SCOPE.get()
+        if files is not None:
+            files.append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Compute ``df`` once, store it in the checkpoint folder, return the stored rows."""
-        stored = df.checkpoint(eager=True)
-        _remember(stored)
-        return guard_estimate_broadcast(stored)
+        path = f"{self.root}/{self.number}-{name}"
+        self.number += 1
+        df.write.parquet(path)
+        return guard_estimate_broadcast(self.spark.read.schema(df.schema).parquet(path))
 
     def write_counted(self, df: DataFrame, name: str, counted: Column | None = None) -> tuple[DataFrame, int]:
         """``write`` plus the row count (of the rows where ``counted`` holds),
@@ -92,6 +91,5 @@ class RoundTables:
         running a separate ``isEmpty`` job)."""
         obs = Observation()
         rows = F.count(F.lit(1)) if counted is None else F.count_if(counted)
-        stored = df.observe(obs, rows.alias("rows")).checkpoint(eager=True)
-        _remember(stored)
-        return guard_estimate_broadcast(stored), int(obs.get["rows"])
+        stored = self.write(df.observe(obs, rows.alias("rows")), name)
+        return stored, int(obs.get["rows"])

@@ -152,8 +152,9 @@ def test_acceptance_rounds_equal_sequential_on_dense_candidates(spark):
         for a, b, r, v in zip(*(rng.integers(lo, hi, size) for lo, hi in ((-5, 90), (-5, 60), (2, 13), (40, 60))))
     }
     cands = [(*k, v) for k, v in rows.items()]
-    out = sorted(tuple(r) for r in accept_circles(spark.createDataFrame(cands, CANDS)).collect())
-    assert out == greedy(cands)
+    for block in (512, 32, 5):
+        out = sorted(tuple(r) for r in accept_circles(spark.createDataFrame(cands, CANDS), block=block).collect())
+        assert out == greedy(cands), block
     assert accept_circles(spark.createDataFrame([], CANDS)).count() == 0
 
 
@@ -200,33 +201,33 @@ def test_components_path_graph_long(spark):
     assert got.count() == n and got.where("label != 0").count() == 0
 
 
-def test_hysteresis_long_weak_chain_falls_back_to_components(spark):
+def test_hysteresis_long_weak_chain_over_many_tiles(spark):
     # a strong pixel at the start of a 60-pixel weak diagonal chain, plus a detached weak blob
     rows = [("c", 1, 1, 900)] + [("c", 1 + i, 1 + i, 450) for i in range(1, 60)] + [("c", 90, 5, 450)]
     thinned = spark.createDataFrame(rows, "image_id string, x int, y int, mag2 int")
-    bfs = sorted((r.x, r.y) for r in grow_edges(thinned, 20, 25, bfs_rounds=100).collect())
-    cc = sorted((r.x, r.y) for r in grow_edges(thinned, 20, 25, bfs_rounds=2).collect())
-    assert bfs == cc and len(cc) == 60 and (90, 5) not in cc
+    one = sorted((r.x, r.y) for r in grow_edges(thinned, 20, 25).collect())
+    many = sorted((r.x, r.y) for r in grow_edges(thinned, 20, 25, tile=7).collect())
+    assert one == many and len(many) == 60 and (90, 5) not in many
 
 
-def test_hysteresis_components_match_bfs_on_scenes(spark, scenes):
+def test_hysteresis_tiles_do_not_matter_on_scenes(spark, scenes):
     from grovecount.operators.thinning import thin_pixels
 
     px, _ = scenes
     thinned = thin_pixels(px, 20)
     a = sorted(tuple(r) for r in grow_edges(thinned, 20, 25).collect())
-    b = sorted(tuple(r) for r in grow_edges(thinned, 20, 25, bfs_rounds=0).collect())
+    b = sorted(tuple(r) for r in grow_edges(thinned, 20, 25, tile=4).collect())
     assert a == b and len(a) == sum(v[0] for v in EXPECTED.values())
 
 
-def test_thinning_pointer_jumping_matches_direct(spark, scenes):
+def test_thinning_tiles_do_not_matter_on_scenes(spark, scenes):
     from grovecount.operators.thinning import resolve, suppression_inputs
 
     px, _ = scenes
     cand = suppression_inputs(gradient(blur(px)), 20)
     a = sorted(tuple(r) for r in resolve(cand).collect())
-    b = sorted(tuple(r) for r in resolve(cand, direct_rounds=0).collect())
-    c = sorted(tuple(r) for r in resolve(cand, direct_rounds=1).collect())
+    b = sorted(tuple(r) for r in resolve(cand, tile=2).collect())
+    c = sorted(tuple(r) for r in resolve(cand, tile=9).collect())
     assert a == b == c and len(a) > 0
 
 
@@ -238,9 +239,10 @@ def test_thinning_long_chain(spark):
     rows += [("c", i, 0, 10000 - i, False, True, i - 1, 0) for i in range(1, 40)]
     cand = spark.createDataFrame(rows, "image_id string, x int, y int, mag2 int, q_kills boolean, "
                                        "p_gt boolean, px int, py int")
-    direct = sorted(r.x for r in resolve(cand, direct_rounds=100).collect())
-    jumped = sorted(r.x for r in resolve(cand, direct_rounds=2).collect())
-    assert direct == jumped == list(range(0, 40, 2))
+    one = sorted(r.x for r in resolve(cand).collect())
+    many = sorted(r.x for r in resolve(cand, tile=3).collect())
+    single = sorted(r.x for r in resolve(cand, tile=1).collect())
+    assert one == many == single == list(range(0, 40, 2))
 
 
 @pytest.mark.parametrize("band", [1, 3, 7, 256])
