@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from grovecount.llm import chat, exact, licenses, lines, packing, quality, simhash, subword, suffix, warc
+from grovecount.llm import (
+    chat, exact, language, licenses, lines, manifest, packing, quality, simhash, spelling, subword, suffix, warc,
+)
 
 QUERIES = {
     "op1_chat": chat.op1,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_quality": quality.op8,
     "op9_subword": subword.op9,
     "op10_licenses": licenses.op10,
+    "op11_manifest": manifest.op11,
+    "op12_language": language.op12,
+    "op13_spelling": spelling.op13,
 }
 
 ORACLE_SQL = {
