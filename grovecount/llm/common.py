@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovecount.plans.lineage import RoundTables
 from grovecount.session import ensure_checkpoint_dir
 
 # ASCII white space that separates words, and its complement
@@ -43,6 +44,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sorted_places(df: DataFrame, order: list, rounds: RoundTables, name: str) -> DataFrame:
+    """``df`` plus ``part`` and ``at``: the place of each row in a distributed
+    sort, stored so that places never change between uses."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the number of a row counts from 0 in its partition, in order of the sort
+    dealt = dealt.withColumn("serial", F.monotonically_increasing_id())
+    dealt = dealt.withColumns({
+        "part": F.shiftright("serial", 33).cast("int"), "at": F.col("serial").bitwiseAND((1 << 33) - 1)
+    }).drop("serial")
+    return rounds.write(dealt, name)
+
+
 FILE_ROWS = 250_000
 
 

@@ -1,10 +1,11 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
-Every scan partition reduces its rows to a run of (digest, identifier to
-keep, count), sorted by digest.  Runs are then merged in rounds: in each round
-``fan_in`` neighbouring runs are combined, digest by digest, retaining the
-smallest (or largest) identifier and the summed counts, until one run is
-left.  A run is never one task's data: within a round the rows of all runs
+Every scan partition sorts its rows by digest and reduces them to a run of
+(digest, identifier to keep, count).  Runs are then merged in rounds: in each
+round ``fan_in`` neighbouring runs are brought into one order and walked digest
+by digest, retaining the smallest (or largest) identifier and the summed
+counts, until one run is left.  Both steps are aggregations over sorted rows:
+neighbours in the order are combined and no hash table is held.  A run is never one task's data: within a round the rows of all runs
 are dealt over all tasks by (target run, digest), so the last round is as
 parallel as the first.  A text that makes up a third of the table is one row
 per partition from the first level on.
@@ -42,13 +43,17 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def merge_runs(runs: DataFrame, keep: str, shift: int) -> DataFrame:
     """One level of the tree: ``2 ** shift`` neighbouring runs become one, each
-    a sorted sequence of distinct digests again."""
+    a sorted sequence of distinct digests again.
+
+    The identifier travels as (rank, identifier), so that nulls lose; Spark
+    aggregates such a pair over sorted input only, which makes the level a merge."""
     best = {"min": F.min, "max": F.max}[keep]
+    known = F.col("keep_id").isNull() if keep == "min" else F.col("keep_id").isNotNull()
     return (
         runs.withColumn("run", F.shiftright("run", shift))
         .groupBy("run", *KEY)
-        .agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        .sortWithinPartitions("run", "digest")
+        .agg(best(F.struct(known.alias("rank"), "keep_id")).alias("best"), F.sum("n").alias("n"))
+        .select("run", *KEY, F.col("best.keep_id").alias("keep_id"), "n")
     )
 
 

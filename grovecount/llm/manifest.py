@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from grovecount.llm.common import sorted_places
 from grovecount.plans.lineage import RoundTables
 
 FAN_BITS = 4
@@ -75,26 +76,14 @@ def _height(n: Column) -> Column:
     return out
 
 
-def _sorted_places(df: DataFrame, order: list, rounds: RoundTables, name: str) -> DataFrame:
-    """``df`` plus ``part`` and ``at``: the place of each row in a distributed
-    sort, stored so that places never change between uses."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    # the number of a row counts from 0 in its partition, in order of the sort
-    dealt = dealt.withColumn("serial", F.monotonically_increasing_id())
-    dealt = dealt.withColumns({
-        "part": F.shiftright("serial", 33).cast("int"), "at": F.col("serial").bitwiseAND((1 << 33) - 1)
-    }).drop("serial")
-    return rounds.write(dealt, name)
-
-
 def _place_leaves(leaves: DataFrame, rounds: RoundTables) -> tuple[DataFrame, DataFrame]:
     """``(leaves with tree, pos, height; trees: tree, source, n, height)``.
     A tree is a source, numbered in order."""
-    rows = _sorted_places(leaves, ["source", "id", "leaf"], rounds, "leaves")
+    rows = sorted_places(leaves, ["source", "id", "leaf"], rounds, "leaves")
     runs = rows.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     runs = rounds.write(runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "runs")
-    trees = _sorted_places(runs.groupBy("source").agg(F.sum("n").alias("n")), ["source"], rounds, "sources")
+    trees = sorted_places(runs.groupBy("source").agg(F.sum("n").alias("n")), ["source"], rounds, "sources")
     # one row per range partition of the sources
     parts = trees.groupBy("part").agg(F.count("*").alias("k"))
     so_far = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)

@@ -240,6 +240,14 @@ def _sweep(tables: Stored, number: int, rows: int, waiting: DataFrame, bins: Dat
     return placed, numbered.where(F.col("role") == UNPLACED).select("item", "size", "number"), n
 
 
+def _room_left(room: DataFrame, placed: DataFrame, capacity: int) -> DataFrame:
+    """Gaps (seq, gap) after ``placed``; an opened sequence is named by the piece that opened it."""
+    taken = placed.select(
+        "seq", (F.when(F.col("item") == F.col("seq"), capacity).otherwise(0) - F.col("size")).alias("gap")
+    )
+    return room.unionByName(taken).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0")
+
+
 def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     """Place ``item`` (unique long) of ``size`` (1..capacity) tokens: returns
     ``item, size, seq, offset``."""
@@ -256,11 +264,16 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     }
     total = sum(n for n, _ in present.values())
     every = tables.add(alone, "placed", present.get(None, (0, 0))[0])
+    # what is open at the start of a band; only the band's own placements change it
+    room = every.select("seq", (capacity - F.col("size")).alias("gap"))
     for i, (lo, hi, k) in enumerate(band_list):
         n, top = present.get(i, (0, 0))
+        if not n:
+            continue
         waiting = sizes.where((F.col("size") > lo) & (F.col("size") <= hi)).select("item", "size")
+        here = None
         while n:
-            gaps = every.groupBy("seq").agg((capacity - F.sum("size")).alias("gap")).where("gap > 0")
+            gaps = room if here is None else _room_left(room, here, capacity)
             number += 1
             placed, unplaced, left = _sweep(tables, number, 2 * total, waiting, gaps, lo, top)
             found, n, opening = n - left, left, 0
@@ -283,7 +296,9 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
                     n -= min(n, opening)
             if opening:
                 placed = placed.unionByName(opened.select("item", "size", F.col("item").alias("seq")))
-            every = tables.add(placed, "placed", found + left)
+            here = tables.add(placed, f"placed-{i}", found + left)
+        every = every.unionByName(here)
+        room = tables.add(_room_left(room, here, capacity), f"room-{i}", total)
     # a sequence holds at most `capacity` pieces, so its window is bounded
     before = W.partitionBy("seq").orderBy(F.desc("size"), "item").rowsBetween(W.unboundedPreceding, -1)
     return every.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))

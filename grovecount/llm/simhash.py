@@ -239,9 +239,11 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     differing bits; enough of them to connect every bucket's components."""
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits must lie in 0..3")
-    # dealt out explicitly: small now, these rows multiply in the next step
+    # dealt out explicitly: small now, these rows multiply in the next step.  By a
+    # hash of their own: dealing by fp itself adds nothing to what distinct does,
+    # and the optimiser would leave it out
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = fps.select("fp").distinct().repartition(parts, "fp")
+    distinct = fps.select("fp").distinct().repartition(parts, F.xxhash64("fp", F.lit("deal")))
     emitted = distinct.mapInArrow(_variants(max_bits), "variant long, fp long")
     runs = emitted.repartition("variant").sortWithinPartitions("variant")
     return runs.mapInArrow(_bucket_links(max_bits), "src long, dst long").distinct()

@@ -6,23 +6,25 @@ lengths before it.  ``parse_record`` reads a record back.
 
 The audit compares two replicas without comparing records:
 
-* a record hashes to SHA-256(offset, length, SHA-256 of its bytes), keyed by an
-  address (file, offset);
+* a record hashes to SHA-256(offset, length, SHA-256 of its bytes), keyed by its
+  file and offset;
 * the lowest tree nodes cover ``2 ** LEAF_BITS`` bytes of a file and hash the
   records that start there, in order of offset; each level up joins 16
-  neighbouring nodes, across files too, to one root per replica.  A node's
-  key is its address range, so a lost record changes its own branch and leaves
-  the others aligned;
+  neighbouring nodes of a file until a file is one node, then 16 neighbouring
+  files, to one root per replica.  A node's key is its range, so a lost record
+  changes its own branch and leaves the others aligned;
 * roots are compared first; only children of nodes that differ are fetched and
   compared, level by level, down to the records.
 
-No step gathers more than 16 nodes or the records that start in one leaf
-range.  Levels are small aggregates; a replica is hashed once.
+Offsets are prefix sums over a distributed sort by file, id, length and
+content: a file that holds a third of all records (one id, or none) is many
+range partitions.  No step gathers more than 16 nodes or the records that
+start in one leaf range.  Levels are small aggregates; a replica is hashed once.
 
 Edge cases: null url or html counts as empty; null ids are one file of their
-own; repeated rows are records of their own at their own offsets; empty
-replicas have no root and agree; a record only one replica has is reported as
-missing or extra.
+own, ``file`` null; negative and 64-bit ids are files like others; repeated
+rows are records of their own at their own offsets; empty replicas have no root
+and agree; a record only one replica has is reported as missing or extra.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-FILE_BITS = 36  # bytes of a file fit this many bits of an address
+from grovecount.llm.common import sorted_places
+from grovecount.plans.lineage import RoundTables
+
 LEAF_BITS = 16
 FAN_BITS = 4
-IDS_PER_FILE = 1024
+ID_BITS = 10  # ids of one file: 1024
 
 CRLF = "\r\n"
 
@@ -64,15 +68,27 @@ def to_records(
         pages[id_col].cast("long").alias("id"), record_bytes(pages[id_col], pages[url_col], pages[html_col]).alias("record")
     )
     return rows.select(
-        "id", F.coalesce(F.floor(F.col("id") / IDS_PER_FILE), F.lit(-1)).alias("file"),
+        "id", F.shiftright("id", ID_BITS).alias("file"),
         F.octet_length("record").cast("long").alias("length"), F.xxhash64("record").alias("mark"), "record",
     )
 
 
 def placed(records: DataFrame) -> DataFrame:
     """Adds ``offset``, the place of each record in its file."""
-    before = W.partitionBy("file").orderBy("id", "length", "mark").rowsBetween(W.unboundedPreceding, -1)
-    return records.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    rounds = RoundTables(records.sparkSession, "warc")
+    # equal records may change places: their bytes are the same
+    rows = records.withColumn("tie", F.monotonically_increasing_id())
+    rows = sorted_places(rows, ["file", "id", "length", "mark", "tie"], rounds, "sorted").drop("tie")
+    total = rows.groupBy("file", "part").agg(F.sum("length").alias("bytes"))
+    earlier = W.partitionBy("file").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    total = total.select("file", "part", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before"))
+    within = W.partitionBy("file", "part").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("within", F.coalesce(F.sum("length").over(within), F.lit(0)))
+    r, t = rows.alias("r"), total.alias("t")
+    same = (F.col("r.part") == F.col("t.part")) & F.col("r.file").eqNullSafe(F.col("t.file"))
+    return r.join(t, same).select(
+        *[F.col("r." + c) for c in records.columns], (F.col("before") + F.col("within")).alias("offset")
+    )
 
 
 def parse_record(record: Column) -> tuple[Column, Column, Column]:
@@ -88,71 +104,110 @@ def parse_record(record: Column) -> tuple[Column, Column, Column]:
 
 
 def fixity(records: DataFrame) -> DataFrame:
-    """``id, file, offset, length, digest, address, hash`` per record: what the
-    audit keeps of a replica.  Bytes are hashed where they are read and do not
+    """``id, file, length, digest, offset, hash`` per record: what the audit
+    keeps of a replica.  Bytes are hashed where they are read and do not
     travel.  Records without bytes keep their place but are not there."""
     digests = records.withColumn("digest", F.sha2("record", 256)).drop("record")
     return (
         placed(digests).where("digest is not null").drop("mark")
-        .withColumn("address", F.shiftleft("file", FILE_BITS) + F.col("offset"))
         .withColumn("hash", F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256))
     )
 
 
 def _ordered_hash(key: str) -> Column:
     """Hash of a node's children in order; children are (key, hash)."""
-    children = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("hash").alias("h"))))
-    return F.sha2(F.array_join(F.transform(children, lambda c: F.concat_ws("=", c["k"].cast("string"), c["h"])), ";"), 256)
-
-
-def merkle_levels(fixed: DataFrame, levels: int) -> list[DataFrame]:
-    """``node, hash`` tables from the leaf ranges (first) to the root (last),
-    each stored: together hardly more than the first."""
-    node = F.shiftright("address", LEAF_BITS)
-    out = [fixed.groupBy(node.alias("node")).agg(_ordered_hash("address").alias("hash")).checkpoint()]
-    for _ in range(levels):
-        up = F.shiftright("node", FAN_BITS)
-        above = out[-1].groupBy(up.alias("up")).agg(_ordered_hash("node").alias("hash"))
-        out.append(above.withColumnRenamed("up", "node").checkpoint())
+    child = F.coalesce(F.col(key).cast("string"), F.lit("-"))  # files without a number
+    children = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), child.alias("name"), F.col("hash").alias("h"))))
+    return F.sha2(F.array_join(F.transform(children, lambda c: F.concat_ws("=", c["name"], c["h"])), ";"), 256)
+
+
+def _parents(heights: tuple[int, int]) -> list[tuple[str, Column, Column]]:
+    """Per level above the leaf ranges: the child's part that orders a node's
+    children, and the node's ``file`` and ``block``.  First a file's blocks are
+    joined, then files, then what is left: numbers of both signs and no number."""
+    file, block, none = F.col("file"), F.col("block"), F.lit(0).cast("long")
+    in_file = [("block", file, F.shiftright(block, FAN_BITS)) for _ in range(heights[0])]
+    over_files = [("file", F.shiftright(file, FAN_BITS), none) for _ in range(heights[1])]
+    return [*in_file, *over_files, ("file", none, none)]
+
+
+def tree_heights(*replicas: DataFrame) -> tuple[int, int]:
+    """Levels until every file is one node, and until files of one sign are."""
+    ends = [r.agg(F.min("file"), F.max("file"), F.max("offset")).first() for r in replicas]
+    far = max((e[2] for e in ends if e[2] is not None), default=0) >> LEAF_BITS
+    blocks = 0
+    while far >> FAN_BITS * blocks:
+        blocks += 1
+    numbers = [x for e in ends for x in e[:2] if x is not None]
+    files = 0
+    # a shift by all bits leaves 0 or -1
+    while numbers and FAN_BITS * files < 64 and len({x >> FAN_BITS * files for x in numbers}) > 1:
+        files += 1
+    return blocks, files
+
+
+def merkle_levels(fixed: DataFrame, heights: tuple[int, int]) -> list[DataFrame]:
+    """``file, block, hash`` tables from the leaf ranges (first) to the root
+    (last), each stored: together hardly more than the first."""
+    rounds = RoundTables(fixed.sparkSession, "merkle")
+    leaf = fixed.groupBy("file", F.shiftright("offset", LEAF_BITS).alias("block"))
+    out = [rounds.write(leaf.agg(_ordered_hash("offset").alias("hash")), "leaves")]
+    for key, file, block in _parents(heights):
+        above = out[-1].select(F.col(key).alias("at"), file.alias("file"), block.alias("block"), "hash")
+        out.append(rounds.write(above.groupBy("file", "block").agg(_ordered_hash("at").alias("hash")), "level"))
     return out
 
 
+def _same_node(a: str, b: str) -> Column:
+    return F.col(a + ".file").eqNullSafe(F.col(b + ".file")) & (F.col(a + ".block") == F.col(b + ".block"))
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """Records on which two replicas (outputs of ``fixity``) differ: ``address,
-    file, offset, id, status, digest, found``; status is changed, missing (not
-    in ``replica``) or extra (not in ``primary``)."""
-    ends = primary.agg(F.min("address"), F.max("address")).first(), replica.agg(F.min("address"), F.max("address")).first()
-    known = [x for e in ends for x in e if x is not None]
-    levels = 0
-    while known and min(known) >> (LEAF_BITS + FAN_BITS * levels) != max(known) >> (LEAF_BITS + FAN_BITS * levels):
-        levels += 1
-    a, b = merkle_levels(primary, levels), merkle_levels(replica, levels)
-
-    def differing(level: int, parents: DataFrame | None) -> DataFrame:
+    """Records on which two replicas (outputs of ``fixity``) differ: ``file,
+    offset, id, status, digest, found``; status is changed, missing (not in
+    ``replica``) or extra (not in ``primary``)."""
+    rounds = RoundTables(primary.sparkSession, "audit")
+    heights = tree_heights(primary, replica)
+    parents = _parents(heights)
+    a, b = merkle_levels(primary, heights), merkle_levels(replica, heights)
+
+    def differing(level: int, above: DataFrame | None) -> DataFrame:
         x, y = a[level], b[level]
-        if parents is not None:
-            up = F.shiftright("node", FAN_BITS)
-            x = x.withColumn("up", up).join(parents, "up", "left_semi").drop("up")
-            y = y.withColumn("up", up).join(parents, "up", "left_semi").drop("up")
+        if above is not None:
+            _, file, block = parents[level]
+            x, y = (
+                side.select("*", file.alias("f"), block.alias("b")).alias("n").join(
+                    above.alias("p"), F.col("f").eqNullSafe(F.col("p.file")) & (F.col("b") == F.col("p.block")),
+                    "left_semi",
+                ).drop("f", "b")
+                for side in (x, y)
+            )
         # stored level by level: each step starts from the branches found so far
-        both = x.withColumnRenamed("hash", "x").join(y.withColumnRenamed("hash", "y"), "node", "full")
-        return both.where(~F.col("x").eqNullSafe(F.col("y"))).select("node").checkpoint()
-
-    bad = differing(levels, None)
-    for level in range(levels - 1, -1, -1):
-        bad = differing(level, bad.withColumnRenamed("node", "up"))
-    node = F.shiftright("address", LEAF_BITS)
-    keep = ["address", "file", "offset", "id", "digest", "hash"]
-    x = primary.withColumn("node", node).join(bad.hint("merge"), "node", "left_semi").select(*keep)
-    y = replica.withColumn("node", node).join(bad.hint("merge"), "node", "left_semi").select(
-        "address", *[F.col(c).alias("y_" + c) for c in keep[1:]]
-    )
-    both = x.join(y.hint("merge"), "address", "full").where(~F.col("hash").eqNullSafe(F.col("y_hash")))
+        both = x.alias("x").join(y.alias("y"), _same_node("x", "y"), "full")
+        unlike = both.where(~F.col("x.hash").eqNullSafe(F.col("y.hash")))
+        there = F.col("x.hash").isNotNull()  # the node's key is null where a side lacks it, or has no number
+        return rounds.write(unlike.select(
+            *[F.when(there, F.col("x." + c)).otherwise(F.col("y." + c)).alias(c) for c in ("file", "block")]
+        ), "differing")
+
+    bad = differing(len(parents), None)
+    for level in range(len(parents) - 1, -1, -1):
+        bad = differing(level, bad)
+    bad = bad.hint("merge").alias("p")
+    keep = ["file", "offset", "id", "digest", "hash"]
+
+    def within(side: DataFrame) -> DataFrame:
+        side = side.withColumn("block", F.shiftright("offset", LEAF_BITS)).alias("n")
+        return side.join(bad, _same_node("n", "p"), "left_semi").select(*keep)
+
+    x, y = within(primary).alias("x"), within(replica).hint("merge").alias("y")
+    same = F.col("x.file").eqNullSafe(F.col("y.file")) & (F.col("x.offset") == F.col("y.offset"))
+    both = x.join(y, same, "full").where(~F.col("x.hash").eqNullSafe(F.col("y.hash")))
+    first = F.col("x.hash").isNotNull()
     return both.select(
-        "address", F.coalesce("file", "y_file").alias("file"), F.coalesce("offset", "y_offset").alias("offset"),
-        F.coalesce("id", "y_id").alias("id"),
-        F.when(F.col("y_hash").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed").alias("status"),
-        "digest", F.col("y_digest").alias("found"),
+        *[F.when(first, F.col("x." + c)).otherwise(F.col("y." + c)).alias(c) for c in ("file", "offset", "id")],
+        F.when(F.col("y.hash").isNull(), "missing").when(~first, "extra").otherwise("changed").alias("status"),
+        F.col("x.digest").alias("digest"), F.col("y.digest").alias("found"),
     )
 
 
@@ -174,13 +229,16 @@ def op4(spark, sf_dir):
     record with its place, digest and status."""
     from grovecount.sources.tables import read_table
 
+    rounds = RoundTables(spark, "replicas")
     records = to_records(read_table(spark, sf_dir, "pages"))
-    primary = fixity(records).checkpoint()
-    replica = fixity(aged_copy(records)).checkpoint()
-    faults = audit(primary, replica).select("address", "status")
-    return primary.join(faults.hint("merge"), "address", "left").select(
-        F.col("id").alias("page_id"), "file", "offset", "length", F.col("digest").alias("record_sha256"),
-        F.coalesce("status", F.lit("intact")).alias("status"),
+    primary = rounds.write(fixity(records), "primary")
+    replica = rounds.write(fixity(aged_copy(records)), "replica")
+    faults = audit(primary, replica).select("file", "offset", "status")
+    p, f = primary.alias("p"), faults.hint("merge").alias("f")
+    same = F.col("p.file").eqNullSafe(F.col("f.file")) & (F.col("p.offset") == F.col("f.offset"))
+    return p.join(f, same, "left").select(
+        F.col("p.id").alias("page_id"), "p.file", "p.offset", "p.length", F.col("p.digest").alias("record_sha256"),
+        F.coalesce("f.status", F.lit("intact")).alias("status"),
     )
 
 

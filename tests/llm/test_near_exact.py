@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from grovecount.llm import exact, simhash
 
@@ -152,3 +153,26 @@ def test_exact_groups_equal_brute_force(docs_of, rows, keep):
     want = [(i, best[t or ""], len(groups[t or ""]), i == best[t or ""]) for i, t in rows]
     out = exact.exact_groups(docs_of(rows), keep=keep, fan_in_bits=1).collect()
     assert sorted(((r.id, r.keep_id, r.group_size, r.kept) for r in out), key=str) == sorted(want, key=str)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_runs_are_sorted_and_merged(spark):
+    """Every level of the tree walks sorted rows: no hash aggregate, a sort below each."""
+    rows = exact.digests(spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string"))
+    runs = rows.select("run", *exact.KEY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+    plan = _plan(exact.merge_runs(exact.merge_runs(runs, "min", 0), "min", 3))
+    lines = [x.strip(" :+-*()0123456789") for x in plan.splitlines()]
+    names = [x.split("(")[0].split(" ")[0] for x in lines]
+    assert "HashAggregate" not in plan and names.count("SortAggregate") == 4
+    assert names.count("Sort") == 4 and all(
+        any(n == "Sort" for n in names[i + 1:i + 3]) for i, n in enumerate(names) if n == "SortAggregate"
+    )
+
+
+def test_fingerprints_are_dealt_before_they_multiply(spark):
+    fps = spark.range(1000).select(F.col("id").alias("fp"))
+    plan = _plan(simhash.fingerprint_links(fps, 3))
+    assert "REPARTITION_BY_NUM" in plan and "xxhash64(fp" in plan
