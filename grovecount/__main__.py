@@ -12,6 +12,7 @@ from grovecount.plans.modes import MODE_LABELS, JobOptions
 from grovecount.session import build_session
 from grovecount.streaming.job import start_job
 from grovecount.streaming.sinks import jdbc_totals_sink
+from grovecount.streaming.supervisor import supervise
 from grovecount.streaming.timers import ROCKSDB_PROVIDER
 
 
@@ -30,6 +31,9 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--crop-pixels", action="store_true", help="also write the pixels of the crops")
     ap.add_argument("--image-parallelism", type=int, default=None, help="tasks that decode images")
     ap.add_argument("--max-files-per-trigger", type=int, default=None)
+    ap.add_argument("--archive", default=None, help="move read files to this folder")
+    ap.add_argument("--max-file-age", default=None, help="e.g. 7d; bounds the log of read files")
+    ap.add_argument("--tolerated-failures", type=int, default=JobOptions.tolerated_failures)
     ap.add_argument("--jdbc-url", default=None, help="also add the counts to a table of this database")
     ap.add_argument("--jdbc-user", default=None)
     ap.add_argument("--jdbc-password-file", default=None, help="file that holds the password")
@@ -44,7 +48,8 @@ def main(argv: list[str] | None = None) -> None:
                       checkpoint=args.checkpoint, images_table=args.images_table, trigger=args.trigger,
                       window=args.window, windows=args.windows, write_crops=not args.no_crops,
                       crop_pixels=args.crop_pixels, image_parallelism=args.image_parallelism,
-                      max_files_per_trigger=args.max_files_per_trigger)
+                      max_files_per_trigger=args.max_files_per_trigger, archive_dir=args.archive,
+                      max_file_age=args.max_file_age, tolerated_failures=args.tolerated_failures)
     sinks = ()
     if args.jdbc_url:
         properties = {"user": args.jdbc_user} if args.jdbc_user else {}
@@ -53,7 +58,11 @@ def main(argv: list[str] | None = None) -> None:
                 properties["password"] = f.read().strip()
         sinks = (jdbc_totals_sink(args.jdbc_url, properties),)
     print(f"{args.job}: watching {opts.input} for {MODE_LABELS[opts.mode]}")
-    start_job(spark, opts, available_now=args.available_now, extra_sinks=sinks).awaitTermination()
+    restarts = supervise(
+        lambda: start_job(spark, opts, available_now=args.available_now, extra_sinks=sinks), opts.tolerated_failures
+    )
+    for r in restarts:
+        print(f"{args.job}: restart {r.attempt} took {r.restart_ms} ms after: {r.error}")
 
 
 if __name__ == "__main__":

@@ -14,7 +14,7 @@ from grovecount.functions.text import IMAGE_SUFFIXES, ends_with_any, prefix_befo
 from grovecount.operators.crops import crop_boxes, crop_name
 from grovecount.plans.detect import DetectParams, Detection, detect_circles_in_images
 from grovecount.plans.lineage import RoundTables
-from grovecount.sources.images import cut_boxes, image_dims
+from grovecount.sources.images import cut_boxes, cut_values, image_dims, name_part
 
 # Fixed value: folder of the crop output (the original's processed-images folder).
 CROPS_FOLDER = "processed-images"
@@ -54,8 +54,12 @@ NAME_BLOCK_BYTES = 32 * 1024 * 1024
 def rows_named(images: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``images`` that match a stored table of ``wanted`` keys, by a
     broadcast of measured size: one block nearly always, several for a manifest
-    of millions of names."""
-    size = wanted.agg(F.count(F.lit(1)), F.sum(F.length(keys[0]))).first()
+    of millions of names.  Of a table partitioned by name only the folders that
+    the names fall into are read."""
+    parts = F.collect_set(name_part("image_name")).alias("parts")  # at most NAME_PARTS numbers
+    size = wanted.agg(F.count(F.lit(1)), F.sum(F.length(keys[0])), parts).first()
+    if "name_part" in images.columns:
+        images = images.where(F.col("name_part").isin(size["parts"]))
     blocks = -(-((size[0] or 0) * 32 + (size[1] or 0)) // NAME_BLOCK_BYTES)
     if blocks <= 1:
         return images.join(F.broadcast(wanted), keys, "left_semi")
@@ -92,25 +96,32 @@ def image_counts(
     kept, rejects = split_manifest(names)
     listed = stored.write(kept.select("image_name").distinct(), "names")
     when = F.col("ingested_at") if "ingested_at" in images.columns else F.lit(None).cast("timestamp")
-    versioned = rows_named(images, listed, ["image_name"]).withColumn("version", F.xxhash64("data"))
+    # names first: only listed images are hashed, and none where ingest has done it
+    versioned = rows_named(images, listed, ["image_name"])
+    if "version" not in images.columns:
+        versioned = versioned.withColumn("version", F.xxhash64("data"))
     # one row per (name, version), then the pick; sizes only, no bytes
     versions = versioned.groupBy("image_name", "version").agg(
         F.max(when).alias("at"), F.count(F.lit(1)).alias("copies"), F.max("height").alias("height"),
         F.max("width").alias("width"),
     )
     meta = stored.write(
-        versions.groupBy("image_name").agg(F.max(F.struct("at", "version", "copies", "height", "width")).alias("m"))
-        .select("image_name", F.xxhash64("image_name").alias("image_key"), "m.version", "m.copies", "m.height", "m.width"),
+        versions.groupBy("image_name").agg(
+            F.max(F.struct("at", "version", "copies", "height", "width")).alias("m"), F.count(F.lit(1)).alias("versions")
+        ).select(
+            "image_name", F.xxhash64("image_name").alias("image_key"), "m.version", "m.copies", "m.height", "m.width", "versions"
+        ),
         "meta",
     )
     checks = meta.agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("image_key").alias("keys"), F.max("copies").alias("copies")
+        F.count(F.lit(1)).alias("n"), F.count_distinct("image_key").alias("keys"), F.max("copies").alias("copies"),
+        F.max("versions").alias("versions"),
     ).first()
     key = "image_key" if checks.n == checks["keys"] else "image_name"  # two names share a hash: exact identities
-    picks = meta.select("image_name", "version")
-    wanted = rows_named(
-        images.withColumn("version", F.xxhash64("data")), picks, ["image_name", "version"]
-    ).withColumn("image_key", F.xxhash64("image_name"))
+    wanted = versioned
+    if (checks.versions or 0) > 1:
+        wanted = rows_named(versioned, meta.select("image_name", "version"), ["image_name", "version"])
+    wanted = wanted.withColumn("image_key", F.xxhash64("image_name"))
     if parallelism:
         wanted = wanted.repartition(parallelism)
     status = meta.select(
@@ -178,3 +189,15 @@ def write_crop_pixels(result: ImageJobResult, output: str, batch_id: int | None)
     path = os.path.join(output, CROPS_FOLDER + "-pixels", f"batch_id={batch_id if batch_id is not None else 'batch'}")
     pixels.write.mode("overwrite").parquet(path)
     return path
+
+
+def write_crop_values(result: ImageJobResult, output: str, batch_id: int | None) -> str:
+    """K-3, content as one value per crop: ``image_name, k, width, height, data``
+    (gray bytes, row after row); one folder per micro-batch."""
+    boxes = crop_boxes(result.detection.circles, image_dims(result.images, "detector_id"))
+    names = result.images.select(F.col("detector_id").alias("image_id"), "image_name")
+    named = boxes.join(names, "image_id").drop("image_id").withColumnRenamed("image_name", "image_id")
+    values = cut_values(result.found, named, "image_name").withColumnRenamed("image_id", "image_name")
+    path = os.path.join(output, CROPS_FOLDER + "-values", f"batch_id={batch_id if batch_id is not None else 'batch'}")
+    values.dropDuplicates(["image_name", "k"]).write.mode("overwrite").parquet(path)
+    return path

@@ -23,7 +23,7 @@ from grovecount.operators.stencil import blur, gradient
 from grovecount.operators.thinning import thin, thin_pixels
 from grovecount.plans.detect import DetectParams, detect_circles_in_images, edge_pixels
 from grovecount.plans.image_job import image_counts
-from grovecount.sources.images import cut_boxes, image_pixels
+from grovecount.sources.images import cut_boxes, cut_values, image_pixels
 from grovecount.sources.scenes import (
     MIXED_BLUE,
     MIXED_DISCS,
@@ -121,6 +121,12 @@ def crop_pixels_bytes(spark: SparkSession, d: str, source: str = "supplier") ->
     return cut_boxes(images, crop_boxes_q(spark, d, source), "image_id")
 
 
+def crop_bytes(spark: SparkSession, d: str, source: str = "supplier") -> DataFrame:
+    """K-3: one value per crop, its gray bytes (as hex, which SQL can state)."""
+    values = cut_values(scene_images(_rows(spark, d, source)), crop_boxes_q(spark, d, source), "image_id")
+    return values.select("image_id", "k", "width", "height", F.hex("data").alias("pixels"))
+
+
 def image_lookup(spark: SparkSession, d: str, source: str = "supplier") -> DataFrame:
     """O-22: the IMAGES job's lookup.  Every supplier is listed; every seventh has
     no image, every eleventh an unreadable one."""
@@ -190,6 +196,8 @@ _SUPPLIER = {
     "supplier_circle_counts": circle_counts_q,
     "supplier_crop_pixels": crop_pixels_q,
     "supplier_crop_pixels_bytes": crop_pixels_bytes,
+    "supplier_crop_bytes": crop_bytes,
+    "supplier_circle_offsets": circle_offsets_q,
     "supplier_crop_boxes": crop_boxes_q,
     "supplier_crop_names": crop_names_q,
     "supplier_scene_gray": scene_gray,
@@ -351,6 +359,10 @@ _FINAL = {
         CAST(CASE WHEN image_id % 7 = 0 OR image_id % 11 = 0 THEN 0 ELSE n END AS BIGINT) AS n,
         CASE WHEN image_id % 7 = 0 THEN 'missing' WHEN image_id % 11 = 0 THEN 'unreadable' ELSE 'ok' END AS status
         FROM cnt""",
+    "crop_bytes": """SELECT box.image_id, box.k, any_value(box.x1 - box.x0) AS width,
+         any_value(box.y1 - box.y0) AS height, string_agg(printf('%02X', px.v), '' ORDER BY px.y, px.x) AS pixels
+        FROM box JOIN px ON px.image_id = box.image_id AND px.x >= box.x0 AND px.x < box.x1
+         AND px.y >= box.y0 AND px.y < box.y1 GROUP BY box.image_id, box.k""",
     "crop_pixels": """SELECT box.image_id, box.k, px.x, px.y, px.v FROM box
         JOIN px ON px.image_id = box.image_id AND px.x >= box.x0 AND px.x < box.x1
          AND px.y >= box.y0 AND px.y < box.y1""",
@@ -363,4 +375,4 @@ for _name in _SUPPLIER:
     if _base in ("type_counts", "type_counts_bands"):
         ORACLE[_name] = _type_counts_sql("supplier")
     else:
-        ORACLE[_name] = _sql(_FINAL[_base.removesuffix("_bytes")], "supplier")
+        ORACLE[_name] = _sql(_FINAL[_base if _base in _FINAL else _base.removesuffix("_bytes")], "supplier")

@@ -13,10 +13,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from grovecount.plans.detect import DetectParams
-from grovecount.plans.image_job import image_counts, write_crop_pixels, write_crops, write_rejects
+from grovecount.plans.image_job import (
+    image_counts, rows_named, write_crop_pixels, write_crop_values, write_crops, write_rejects,
+)
 from grovecount.plans.lineage import RoundTables
 from grovecount.plans.text_job import text_sightings
-from grovecount.sources.images import find_images
+from grovecount.sources.images import find_images, with_lookup_columns
 from grovecount.sources.text import manifest_names
 
 
@@ -43,13 +45,22 @@ class JobOptions:
     image_parallelism: int | None = None    # tasks that decode; None: as the images are read
     write_crops: bool = True                # K-3: crop table under <output>/processed-images
     crop_pixels: bool = False               # K-3: also the crops' pixels, <output>/processed-images-pixels
-    max_files_per_trigger: int | None = None
+    crop_values: bool = False               # K-3: one gray value per crop, <output>/processed-images-values
+    max_files_per_trigger: int | None = None  # None: no limit for TEXT, IMAGE_FILES for IMAGES
+    compact_every: int = 100                # batches after which the ledger is folded; 0: never
+    keep_text_batches: int | None = None    # text folders kept; None: all
+    archive_dir: str | None = None          # read files move here; None: they stay
+    max_file_age: str | None = None         # older files than this (before the newest) are not read
+    tolerated_failures: int = 2             # restarts before the job gives up
     detect: DetectParams = field(default_factory=DetectParams)
 
     def images_path(self) -> str:
         return self.images_dir or os.path.join(self.input, "images")
 
 
+# Manifest files of one micro-batch: the paths of their images pass through the driver.
+IMAGE_FILES = 100
+
 MODE_LABELS = {"TEXT": "text files", "IMAGES": "images"}
 
 
@@ -63,8 +74,9 @@ def images_mode(spark: SparkSession, lines: DataFrame, opts: JobOptions, batch_i
     if opts.images_table:
         images = spark.read.parquet(opts.images_table)
         # a manifest can arrive before ingest has its image: the file counts then
-        late = listed.join(images.select("image_name"), "image_name", "left_anti")
-        images = images.unionByName(find_images(spark, opts.images_path(), late), allowMissingColumns=True)
+        late = listed.join(rows_named(images, listed, ["image_name"]).select("image_name"), "image_name", "left_anti")
+        late = find_images(spark, opts.images_path(), late)
+        images = images.unionByName(with_lookup_columns(late), allowMissingColumns=True)
     else:
         images = find_images(spark, opts.images_path(), listed)
     result = image_counts(names, images, opts.detect, opts.image_parallelism)
@@ -73,6 +85,8 @@ def images_mode(spark: SparkSession, lines: DataFrame, opts: JobOptions, batch_i
         write_crops(result, opts.output, batch_id)
     if opts.crop_pixels and result.detection is not None:
         write_crop_pixels(result, opts.output, batch_id)
+    if opts.crop_values and result.detection is not None:
+        write_crop_values(result, opts.output, batch_id)
     return result.per_line.select("feature", "n")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,20 +75,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def ingest_images(spark: SparkSession, src: str, dst: str, buckets: int | None = None) -> None:
+# Folders of an ingested image table: a batch reads those its names fall into.
+NAME_PARTS = 64
+
+
+def name_part(name) -> Column:
+    """Folder number of an image name."""
+    return F.pmod(F.xxhash64(name), F.lit(NAME_PARTS)).cast("int")
+
+
+def with_lookup_columns(images: DataFrame) -> DataFrame:
+    """Adds ``version`` (content hash, computed once, at ingest) and ``name_part``."""
+    return images.withColumns({"version": F.xxhash64("data"), "name_part": name_part("image_name")})
+
+
+def ingest_images(spark: SparkSession, src: str, dst: str) -> None:
     """Decode a folder of images once into a parquet table keyed by name.
 
     At scale the job looks images up in this table instead of decoding the
-    whole folder per batch; bucketing by ``image_name`` lets the lookup join
-    read the big side without a shuffle.
+    whole folder per batch.  The table is partitioned by a hash of the name,
+    so a lookup of some names opens only their folders, and holds a content
+    hash, so versions are told apart without reading the bytes.
     """
-    images = read_images(spark, src)
-    if buckets:
-        images.write.mode("overwrite").bucketBy(buckets, "image_name").option("path", dst).saveAsTable(
-            "grovecount_images"
-        )
-    else:
-        images.write.mode("overwrite").parquet(dst)
+    images = with_lookup_columns(read_images(spark, src))
+    # a name's folder is written by one task: no more files than folders and input splits
+    images.repartition("name_part").write.mode("overwrite").partitionBy("name_part").parquet(dst)
 
 
 def stream_ingest_images(spark: SparkSession, src: str, dst: str, checkpoint: str,
@@ -101,7 +112,8 @@ def stream_ingest_images(spark: SparkSession, src: str, dst: str, checkpoint: st
     instead of decoding the whole folder again.
     """
     arriving = read_images(spark, src, stream=True).withColumn("ingested_at", F.current_timestamp())
-    writer = (arriving.writeStream.format("parquet")
+    arriving = with_lookup_columns(arriving).repartition("name_part")
+    writer = (arriving.writeStream.format("parquet").partitionBy("name_part")
               .option("path", dst).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
     return writer.start()
@@ -186,21 +198,36 @@ def _pixel_rows(batches, gray_levels: np.ndarray | None = None):
         yield flush()
 
 
-def cut_boxes(images: DataFrame, boxes: DataFrame, id_col: str = "image_name") -> DataFrame:
-    """O-35 from image bytes: ``image_id, k, x, y, v`` of every pixel inside each
-    box (``image_id, k, x0, y0, x1, y1``), cut in the task that holds the bytes.
-
-    The boxes of an image (its accepted circles) travel to the image, never its
-    pixels; they are broadcast if they measure under ``BOX_BROADCAST_BYTES``.
-    """
+def _images_with_boxes(images: DataFrame, boxes: DataFrame, id_col: str) -> DataFrame:
+    """``image_id, width, n_channels, data, boxes`` of images that have a box with
+    content.  The boxes of an image (its accepted circles) travel to the image,
+    never its pixels; they are broadcast if they measure under
+    ``BOX_BROADCAST_BYTES``."""
     per_image = boxes.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).groupBy("image_id").agg(
         F.collect_list(F.struct("k", "x0", "y0", "x1", "y1")).alias("boxes")
     )
     n_boxes = boxes.count()
     per_image = F.broadcast(per_image) if n_boxes * 40 <= BOX_BROADCAST_BYTES else per_image.hint("merge")
-    src = readable(images).select(F.col(id_col).alias("image_id"), "width", "n_channels", "data").join(
+    return readable(images).select(F.col(id_col).alias("image_id"), "width", "n_channels", "data").join(
         per_image, "image_id"
     )
+
+
+def _cut(batches, levels: np.ndarray):
+    """``(image_id, k, x0, y0, gray)`` of every box, gray as a rows x columns array."""
+    for pdf in batches:
+        for ident, width, channels, buf, own in zip(*(pdf[c] for c in pdf.columns)):
+            w, c = int(width), int(channels)
+            for box in own:
+                x0, y0, x1, y1 = (int(box[n]) for n in ("x0", "y0", "x1", "y1"))
+                rows = np.frombuffer(buf, np.uint8, (y1 - y0) * w * c, y0 * w * c)
+                yield ident, int(box["k"]), x0, y0, _gray(rows, c, levels).reshape(-1, w)[:, x0:x1]
+
+
+def cut_boxes(images: DataFrame, boxes: DataFrame, id_col: str = "image_name") -> DataFrame:
+    """O-35 from image bytes: ``image_id, k, x, y, v`` of every pixel inside each
+    box (``image_id, k, x0, y0, x1, y1``), cut in the task that holds the bytes."""
+    src = _images_with_boxes(images, boxes, id_col)
     schema = T.StructType([
         T.StructField("image_id", src.schema["image_id"].dataType),
         *[T.StructField(c, T.IntegerType()) for c in ("k", "x", "y", "v")],
@@ -208,18 +235,39 @@ def cut_boxes(images: DataFrame, boxes: DataFrame, id_col: str = "image_name") -
     levels = java_gray_levels(images.sparkSession)
 
     def cut(batches):
-        for pdf in batches:
-            for ident, width, channels, buf, own in zip(*(pdf[c] for c in pdf.columns)):
-                w, c = int(width), int(channels)
-                for box in own:
-                    x0, y0, x1, y1 = (int(box[n]) for n in ("x0", "y0", "x1", "y1"))
-                    ys, xs = np.mgrid[y0:y1, x0:x1].astype(np.int32)
-                    rows = np.frombuffer(buf, np.uint8, (y1 - y0) * w * c, y0 * w * c)
-                    gray = _gray(rows, c, levels).reshape(-1, w)[:, x0:x1]
-                    yield pd.DataFrame({
-                        "image_id": ident, "k": np.int32(box["k"]), "x": xs.ravel(), "y": ys.ravel(),
-                        "v": gray.ravel().astype(np.int32),
-                    })
+        for ident, k, x0, y0, gray in _cut(batches, levels):
+            ys, xs = np.mgrid[y0:y0 + gray.shape[0], x0:x0 + gray.shape[1]].astype(np.int32)
+            yield pd.DataFrame({
+                "image_id": ident, "k": np.int32(k), "x": xs.ravel(), "y": ys.ravel(), "v": gray.ravel().astype(np.int32),
+            })
+
+    return src.mapInPandas(cut, schema)
+
+
+CROPS_PER_FRAME = 256
+
+
+def cut_values(images: DataFrame, boxes: DataFrame, id_col: str = "image_name") -> DataFrame:
+    """K-3: one value per crop, ``image_id, k, width, height, data``: the gray
+    bytes of the box, row after row.  Boxes without content have none."""
+    src = _images_with_boxes(images, boxes, id_col)
+    schema = T.StructType([
+        T.StructField("image_id", src.schema["image_id"].dataType),
+        *[T.StructField(c, T.IntegerType()) for c in ("k", "width", "height")],
+        T.StructField("data", T.BinaryType()),
+    ])
+    levels = java_gray_levels(images.sparkSession)
+    names = schema.names
+
+    def cut(batches):
+        held = []
+        for ident, k, _, _, gray in _cut(batches, levels):
+            held.append((ident, k, gray.shape[1], gray.shape[0], gray.astype(np.uint8).tobytes()))
+            if len(held) == CROPS_PER_FRAME:
+                yield pd.DataFrame(held, columns=names)
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     return src.mapInPandas(cut, schema)
 

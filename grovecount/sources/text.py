@@ -26,16 +26,30 @@ def stream_lines(
     path: str,
     glob: str = DEFAULT_GLOB,
     max_files_per_trigger: int | None = None,
+    archive_dir: str | None = None,
+    max_file_age: str | None = None,
+    arrival: bool = False,
 ) -> DataFrame:
     """O-01: unbounded line stream over a watched folder; each file read once.
 
     The source's seen-file log (in the query checkpoint) gives read-once across
     restarts.  ``max_files_per_trigger`` bounds a micro-batch (back-pressure).
+    ``archive_dir`` moves files there once their batch has committed, so that the
+    folder listing stays short; ``max_file_age`` (e.g. ``7d``, counted back
+    from the newest file) bounds the seen-file log.  ``arrival`` adds the time the
+    line's file was written, ``arrived``.
     """
     reader = spark.readStream.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return reader.text(path)
+    if archive_dir:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
+    if max_file_age:
+        reader = reader.option("maxFileAge", max_file_age)
+    lines = reader.text(path)
+    if arrival:
+        lines = lines.select("value", F.col("_metadata.file_modification_time").alias("arrived"))
+    return lines
 
 
 def manifest_names(lines: DataFrame) -> DataFrame:

@@ -24,9 +24,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from grovecount.functions.text import ends_with
 from grovecount.plans.lineage import round_scope
-from grovecount.plans.modes import JobOptions, pipeline_for
+from grovecount.plans.modes import IMAGE_FILES, JobOptions, pipeline_for
 from grovecount.sources.text import stream_lines
-from grovecount.streaming.sinks import read_batch, write_ledger, write_text_rows
+from grovecount.streaming.progress import ARRIVAL, arrival_metrics
+from grovecount.streaming.sinks import (
+    compact_ledger, drop_text_batches, read_batch, write_ledger, write_text_rows,
+)
 from grovecount.streaming.timers import clock_window_counts, merge_partials
 
 
@@ -86,6 +89,18 @@ def process_batch(
     return committed
 
 
+def keep_house(spark: SparkSession, opts: JobOptions, batch_id: int) -> None:
+    """What keeps a long-lived job's folders bounded, at the end of a batch: every
+    ``compact_every`` batches the finished ones are folded into one ledger table
+    and text folders beyond ``keep_text_batches`` go.  A batch that fails or is
+    replayed repeats this without effect on totals."""
+    if not opts.compact_every or not batch_id or batch_id % opts.compact_every:
+        return
+    compact_ledger(spark, opts.output, batch_id - 1)
+    if opts.keep_text_batches is not None:
+        drop_text_batches(spark, opts.output, batch_id - opts.keep_text_batches)
+
+
 def start_job(
     spark: SparkSession,
     opts: JobOptions,
@@ -99,12 +114,16 @@ def start_job(
     checkpoint commit interval is the trigger interval).
     """
     pipeline_for(opts.mode)  # fail fast on an unknown mode
-    lines = stream_lines(spark, opts.input, opts.glob, max_files_per_trigger=opts.max_files_per_trigger)
+    most = opts.max_files_per_trigger or (IMAGE_FILES if opts.mode == "IMAGES" else None)
+    tick = opts.windows == "tick"
+    lines = stream_lines(spark, opts.input, opts.glob, most, opts.archive_dir, opts.max_file_age, arrival=tick)
     if opts.windows == "clock":
         return _start_clock_job(spark, lines, opts, extra_sinks)
     if opts.windows != "tick":
         raise ValueError(f"unknown window form {opts.windows!r}")
-    stamped = lines.withColumn("batch_time", F.current_timestamp())
+    # measured inside the batch's own job; the progress report carries it
+    stamped = lines.observe(ARRIVAL, *arrival_metrics("arrived")).drop("arrived")
+    stamped = stamped.withColumn("batch_time", F.current_timestamp())
     if opts.mode == "TEXT":
         # Stateless filter stays in the streaming plan (runs in the scan stage).
         stamped = stamped.where(ends_with("value", opts.text_suffix))
@@ -114,6 +133,7 @@ def start_job(
         # scope ends, so its round tables can go with it
         with round_scope(spark):
             process_batch(spark, batch, batch_id, opts, extra_sinks)
+        keep_house(spark, opts, batch_id)
 
     writer = (
         stamped.writeStream.queryName(f"grovecount-{opts.mode.lower()}")

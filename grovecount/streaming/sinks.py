@@ -101,7 +101,7 @@ def compact_ledger(spark: SparkSession, output: str, upto: int) -> None:
     table covers, so a crash at any point loses and repeats nothing.
     """
     snapshots = _snapshots(spark, output)
-    if snapshots and snapshots[-1] >= upto:
+    if (snapshots and snapshots[-1] >= upto) or not _exists(spark, os.path.join(output, LEDGER_FOLDER)):
         return
     folded = read_ledger(spark, output).where(F.col("batch_id") <= upto)
     folded = folded.groupBy("window_start", "feature").agg(F.sum("n").cast("bigint").alias("n"))
@@ -117,6 +117,17 @@ def compact_ledger(spark: SparkSession, output: str, upto: int) -> None:
             fs.delete(s.getPath(), True)
 
 
+def drop_text_batches(spark: SparkSession, output: str, upto: int) -> None:
+    """Delete the text folders of batches up to ``upto``; the ledger keeps their sums."""
+    fs, folder = _folder(spark, os.path.join(output, TEXT_FOLDER))
+    if not fs.exists(folder):
+        return
+    for s in fs.listStatus(folder):
+        name = s.getPath().getName()
+        if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) <= upto:
+            fs.delete(s.getPath(), True)
+
+
 def read_totals(spark: SparkSession, output: str) -> DataFrame:
     """Running total per feature = sum over all committed ledger rows (O-31)."""
     return totals_from_ledger(read_ledger(spark, output))

@@ -215,3 +215,46 @@ def test_crop_pixels_from_bytes_equal_the_pixel_table(spark, workdir):
     )
     cut = sorted(tuple(r) for r in cut_boxes(images, boxes).select("image_id", "k", "x", "y", "v").collect())
     assert cut == sorted(tuple(r) for r in crop_pixels(boxes, image_pixels(images)).collect()) and len(cut) == 406
+
+
+def test_lookup_reads_only_the_folders_of_listed_names(spark, workdir):
+    """O-22: the ingested table is pruned by name, and no image byte is hashed."""
+    from pyspark.sql import functions as F
+
+    from grovecount.plans.image_job import rows_named
+    from grovecount.sources.images import name_part
+
+    folder = _image_folder(workdir)
+    table = os.path.join(workdir, "images_parts")
+    ingest_images(spark, folder, table)
+    images = spark.read.parquet(table)
+    listed = spark.createDataFrame([("billiard_0.png",)], "image_name string")
+    found = rows_named(images, listed, ["image_name"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    part = listed.select(name_part("image_name")).first()[0]
+    assert "PartitionFilters: [isnotnull(name_part" in plan and f"(name_part#" in plan and f"= {part})" in plan
+    sizes = found.select("image_name", "version", "height")
+    assert "data" not in sizes._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    res = image_counts(listed, images)
+    assert [(r.n, r.status) for r in res.per_line.collect()] == [(1, "ok")]
+    # a folder read directly has no hash of its own: names are joined first
+    res = image_counts(listed, read_images(spark, folder))
+    plan = res.found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("xxhash64(data") < plan.index("Join LeftSemi")  # printed from the top down
+    assert res.found.select(F.count("*")).first()[0] == 1
+
+
+def test_crop_values_equal_crop_pixels(spark, workdir):
+    from grovecount.plans.image_job import write_crop_pixels, write_crop_values
+
+    folder = _image_folder(workdir)
+    names = spark.createDataFrame([("tennis_1_2.jpg",), ("billiard_0.png",)], "image_name string")
+    res = image_counts(names, read_images(spark, folder))
+    out = os.path.join(workdir, "out")
+    pixels = {}
+    for r in spark.read.parquet(write_crop_pixels(res, out, 0)).orderBy("y", "x").collect():
+        pixels.setdefault((r.image_name, r.k), bytearray()).append(r.v)
+    values = spark.read.parquet(write_crop_values(res, out, 0)).collect()
+    assert len(values) == len(pixels) == 4
+    for r in values:
+        assert bytes(r.data) == bytes(pixels[r.image_name, r.k]) and len(r.data) == r.width * r.height
