@@ -251,3 +251,66 @@ def op11(spark, sf_dir):
     altered = F.when(hit, leaf_digest([*fields[:-1], tampered_text(docs["text"])]))
     out = manifest(docs, leaf_digest(fields), altered, docs["doc_id"], docs["source"])
     return out.withColumnRenamed("id", "doc_id")
+
+
+def _sql(levels: int = 6, top_levels: int = 4) -> str:
+    """The same in SQL, level by level: 16 ** ``levels`` rows of a source and
+    16 ** ``top_levels`` sources at most.  A level that holds one node is skipped."""
+    def field(c, value=None):
+        v = f"CAST({value or c} AS VARCHAR)"
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END"
+
+    def leaf(text):
+        return "sha256(" + " || ".join([*[field(c) for c in FIELDS[:-1]], field("text", text)]) + ")"
+
+    # CRC-32 of the decimal digits, bit by bit
+    bits = "list_reduce(list_concat([xor(c, o)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ord(d) AS BIGINT))"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), lambda c, o: {bits}), 4294967295)"
+    ctes = [
+        f"leaves AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 "
+        f"THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS altered FROM documents)",
+        "placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, "
+        "row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves)",
+        "n0 AS (SELECT tree, pos AS idx, leaf AS hash FROM placed)",
+    ]
+
+    def grow(name, k):
+        # a run and whether its level holds several nodes
+        ctes.append(
+            f"{name}r{k} AS (SELECT tree, idx // 16 AS parent, list(hash ORDER BY idx) AS run, bool_or(c > 1) AS several "
+            f"FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {name}{k - 1}) GROUP BY tree, idx // 16)"
+        )
+        ctes.append(
+            f"{name}{k} AS (SELECT tree, parent AS idx, CASE WHEN several THEN sha256(array_to_string(run, '')) "
+            f"ELSE run[1] END AS hash FROM {name}r{k})"
+        )
+
+    def climb(source, name, k, tree, idx, target):
+        spot = f"CAST(({idx} // {16 ** (k - 1)}) % 16 AS INTEGER)"
+        left, right = f"array_to_string(run[1:{spot}], '')", f"array_to_string(list_slice(run, {spot} + 2, 16), '')"
+        ctes.append(
+            f"{target} AS (SELECT f.doc_id, f.leaf, f.tree, f.pos, "
+            f"CASE WHEN several THEN sha256({left} || node || {right}) ELSE node END AS node, "
+            f"CASE WHEN several THEN proof || {left} || {right} ELSE proof END AS proof "
+            f"FROM {source} f JOIN {name}r{k} r ON r.tree = {tree} AND r.parent = {idx} // {16 ** k})"
+        )
+
+    for k in range(1, levels + 1):
+        grow("n", k)
+    ctes.append(f"t0 AS (SELECT 0 AS tree, tree AS idx, hash FROM n{levels})")
+    for k in range(1, top_levels + 1):
+        grow("t", k)
+    ctes.append("f0 AS (SELECT doc_id, leaf, tree, pos, coalesce(altered, leaf) AS node, '' AS proof FROM placed)")
+    for k in range(1, levels + 1):
+        climb(f"f{k - 1}", "n", k, "f.tree", "f.pos", f"f{k}")
+    for k in range(1, top_levels + 1):
+        climb(f"f{levels + k - 1}", "t", k, "0", "f.tree", f"f{levels + k}")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT f.doc_id, f.leaf, n.hash AS subroot, t.hash AS root, sha256(f.proof) AS proof_sha256,
+  f.node AS folded_root, f.node = t.hash AS verified
+FROM f{levels + top_levels} f JOIN n{levels} n ON n.tree = f.tree CROSS JOIN t{top_levels} t
+"""
+
+
+OP11_SQL = _sql()

@@ -25,4 +25,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_warc": warc.OP4_SQL,
     "op6_exact": exact.OP6_SQL,
+    "op11_manifest": manifest.OP11_SQL,
 }

@@ -247,8 +247,11 @@ class Lattice:
             val -= np.repeat(norm, count[a:b])
             p[lo:hi] = e / np.repeat(sums, count[a:b])
         logp = np.minimum(weight, 0.0)
-        run = np.cumsum(p)
-        cum = run - np.repeat((run - p)[head], count)
+        # summed node by node: a running sum over the block would round by what is before
+        cum = p.copy()
+        for j in range(1, int(count.max(initial=0))):
+            at = head[count > j] + j
+            cum[at] += cum[at - 1]
         cum[bounds[1:] - 1] = np.inf
         # log probability of the other edges of an edge's node
         with np.errstate(divide="ignore"):
@@ -365,11 +368,16 @@ class Draws:
         head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
         step = np.arange(len(word)) - np.repeat(head, np.diff(np.r_[head, len(word)]))
         start = np.cumsum(size) - size
-        run = np.r_[0.0, np.cumsum(self.lattice.logp[edge])]
-        base = run[start]
+        logp = self.lattice.logp[edge]
+        before, total = np.zeros(len(edge)), np.zeros(len(size))
+        # text by text: a running sum over the block would round by what is before
+        for d in np.flatnonzero(size).tolist():
+            lo, hi = int(start[d]), int(start[d] + size[d])
+            run = np.cumsum(logp[lo:hi])
+            before[lo + 1 : hi] = run[:-1]
+            total[d] = run[-1]
         return {
-            "word": word, "edge": edge, "step": step, "size": size, "start": start,
-            "before": run[:-1] - np.repeat(base, size), "logp": run[start + size] - base,
+            "word": word, "edge": edge, "step": step, "size": size, "start": start, "before": before, "logp": total,
         }
 
     def search(self, k: int):

@@ -12,7 +12,8 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from grovecount.llm import licenses, registry
 
-from .test_lines import brute as brute_lines
+from .test_lines_templates import brute as brute_lines
+from .test_lines import brute as superseded
 from .test_near_exact import brute_groups
 from .test_quality import brute as brute_counts
 from .test_suffix import brute as brute_suffix
@@ -31,7 +32,7 @@ def con():
 
 def test_all_are_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(re.match(rf"op{n}_", x) is not None for x in names) == 1
     assert "pipeline" in names
     assert set(registry.ORACLE_SQL) <= set(entry.oracle_sql())
@@ -68,7 +69,7 @@ def test_documents_queries_equal_brute_force(spark, con, name):
         want = [(i, hashlib.sha256(k).hexdigest(), *rest) for i, k, *rest in brute_suffix(rows)]
     elif name == "op5_lines":
         got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_chars) for r in out]
-        want = [(i, n, d, len(t)) for i, t, n, d in brute_lines(rows, 10, 2, 3)]
+        want = [(i, n, d, len(t)) for i, t, n, d in brute_lines(rows, 10, 2, 1)]
     else:
         got = [
             (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out
@@ -78,6 +79,16 @@ def test_documents_queries_equal_brute_force(spark, con, name):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_op5_lines_on_more_documents(spark):
+    """On these the rules of short lines and word fields decide some lines."""
+    more = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{more}/documents.parquet").select("doc_id", "text").collect()]
+    got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_chars) for r in registry.QUERIES["op5_lines"](spark, more).collect()]
+    want = [(i, n, d, len(t)) for i, t, n, d in brute_lines(rows, 10, 2, 1)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert want != [(i, n, d, len(t)) for i, t, n, d in superseded(rows, 10, 2, 3)]
+
+
 def test_pipeline_stages_on_a_fixture(spark, con, tmp_path):
     """Each stage on what the one before kept, against its brute-force version."""
     rows = con.execute("SELECT * FROM documents").fetchall()
@@ -103,7 +114,7 @@ def test_pipeline_stages_on_a_fixture(spark, con, tmp_path):
             good = dict(con.execute("SELECT doc_id, quality FROM labels").fetchall())
             assert all(good.get(i, 0) == 0 for i in extra)
         elif name == "line_dedup":
-            want = {i: t for i, t, _, d in brute_lines(before, 10, 2, 3) if not d or t.strip()}
+            want = {i: t for i, t, _, d in brute_lines(before, 10, 2, 1) if not d or t.strip()}
             assert out == want
         elif name == "simhash_near_dedup":
             assert set(out) == {g for _, _, g in brute_groups(before)}

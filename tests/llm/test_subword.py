@@ -127,3 +127,13 @@ def test_encode_is_the_models_own(docs_of):
 
 def test_nothing_to_sample(docs_of):
     assert subword.sample_segmentations(docs_of([])).agg(F.count("*")).first()[0] == 0
+
+
+def test_rows_do_not_depend_on_their_block():
+    """Ids and both scores are the same, bit by bit, in one block and row by row."""
+    vocabulary = subword.Vocabulary(PATH, 0.2)
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choices("abcdeé ßth", k=r.randint(1, 9))) for _ in range(r.randint(0, 40))) for _ in range(60)]
+    together = subword.sample_block(subword.Lattice(vocabulary), list(range(60)), texts, 3, 1)
+    alone = [row for i, t in enumerate(texts) for row in subword.sample_block(subword.Lattice(vocabulary), [i], [t], 3, 1)]
+    assert sorted(map(tuple, together), key=str) == sorted(map(tuple, alone), key=str) and len(alone) > 100
