@@ -16,7 +16,7 @@ from grovecount.functions.image import (
     DEFAULT_STEPS,
     DEFAULT_THRESHOLD,
 )
-from grovecount.operators.hough import candidates, vote_counts
+from grovecount.operators.hough_tiles import tile_candidates, tile_votes
 from grovecount.operators.hysteresis import grow_edges
 from grovecount.operators.overlap import accept_circles, circle_counts
 from grovecount.operators.image_bands import suppression_inputs_from_images
@@ -86,10 +86,10 @@ def detect_circles_in_images(
 
 
 def _from_edges(edges: DataFrame, dims: DataFrame, params: DetectParams) -> Detection:
-    votes = vote_counts(edges, dims, params.steps)
+    votes = tile_votes(edges, dims, params.steps)
     # voting runs once: its few survivors are stored for the acceptance rounds
     stored = RoundTables(edges.sparkSession, "circles")
-    cands = stored.write(candidates(votes, params.steps, params.threshold), "candidates")
+    cands = stored.write(tile_candidates(edges, dims, params.steps, params.threshold), "candidates")
     circles = accept_circles(cands)
     # accepted circles feed counts, crops and sinks: write them once
     circles = stored.write(circles, "circles")

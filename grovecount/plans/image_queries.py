@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from grovecount.functions.image import DEFAULT_HIGH, DEFAULT_LOW, DEFAULT_STEPS
 from grovecount.operators.counts import keyed_sum
 from grovecount.operators.crops import crop_boxes, crop_name, crop_pixels
-from grovecount.operators.hough import candidates, circle_offsets, radii_in_use, radius_ranges, vote_counts
+from grovecount.operators.hough import circle_offsets, radii_in_use, radius_ranges, vote_counts
+from grovecount.operators.hough_tiles import tile_candidates, tile_votes
 from grovecount.operators.lookup import left_lookup_count
 from grovecount.operators.overlap import accept_circles, circle_counts
 from grovecount.operators.stencil import blur, gradient
@@ -91,8 +92,13 @@ def hough_votes(spark: SparkSession, d: str, source: str = "nation") -> DataFram
     return vote_counts(scene_edges(spark, d, source), _dims(spark, d, source))
 
 
+def hough_tile_votes(spark: SparkSession, d: str, source: str = "supplier") -> DataFrame:
+    """O-26, O-28 in dense accumulators per tile of centres."""
+    return tile_votes(scene_edges(spark, d, source), _dims(spark, d, source))
+
+
 def hough_candidates(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
-    return candidates(hough_votes(spark, d, source))
+    return tile_candidates(scene_edges(spark, d, source), _dims(spark, d, source))
 
 
 def circles(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
@@ -191,6 +197,7 @@ _NATION = {
 # Scenes that grow with the scale factor: one image per supplier row.
 _SUPPLIER = {
     "supplier_scene_edges": scene_edges,
+    "supplier_hough_votes": hough_tile_votes,
     "supplier_hough_candidates": hough_candidates,
     "supplier_circles": circles,
     "supplier_circle_counts": circle_counts_q,
