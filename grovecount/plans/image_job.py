@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from grovecount.functions.text import IMAGE_SUFFIXES, ends_with_any, prefix_before
 from grovecount.operators.crops import crop_boxes, crop_name
+from grovecount.operators.dealing import deal_by_size
 from grovecount.plans.detect import DetectParams, Detection, detect_circles_in_images
 from grovecount.plans.lineage import RoundTables
 from grovecount.sources.images import cut_boxes, cut_values, image_dims, name_part
@@ -51,20 +52,20 @@ def split_manifest(names: DataFrame, suffixes=IMAGE_SUFFIXES) -> tuple[DataFrame
 NAME_BLOCK_BYTES = 32 * 1024 * 1024
 
 
-def rows_named(images: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``images`` that match a stored table of ``wanted`` keys, by a
-    broadcast of measured size: one block nearly always, several for a manifest
-    of millions of names.  Of a table partitioned by name only the folders that
-    the names fall into are read."""
+def rows_named(images: DataFrame, wanted: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+    """Rows of ``images`` that match a stored table of ``wanted`` keys (with
+    ``how="inner"`` also its other columns), by a broadcast of measured size: one
+    block nearly always, several for a manifest of millions of names.  Of a table
+    partitioned by name only the folders that the names fall into are read."""
     parts = F.collect_set(name_part("image_name")).alias("parts")  # at most NAME_PARTS numbers
     size = wanted.agg(F.count(F.lit(1)), F.sum(F.length(keys[0])), parts).first()
     if "name_part" in images.columns:
         images = images.where(F.col("name_part").isin(size["parts"]))
     blocks = -(-((size[0] or 0) * 32 + (size[1] or 0)) // NAME_BLOCK_BYTES)
     if blocks <= 1:
-        return images.join(F.broadcast(wanted), keys, "left_semi")
+        return images.join(F.broadcast(wanted), keys, how)
     part = F.pmod(F.xxhash64(*keys), F.lit(blocks))
-    found = [images.join(F.broadcast(wanted.where(part == i)), keys, "left_semi") for i in range(blocks)]
+    found = [images.join(F.broadcast(wanted.where(part == i)), keys, how) for i in range(blocks)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -85,7 +86,8 @@ def image_counts(
     listed line still gets its row.
 
     No exchange carries image bytes: the batch's names go to the images, and
-    the stencil runs in the task that reads them.  Of several versions of a name
+    the stencil runs in the task that reads them.  Only if ``parallelism`` asks
+    for it are images moved, dealt to that many tasks by their pixels.  Of several versions of a name
     one is picked, once, by a rule of its own (the latest ``ingested_at`` where
     the table has it, then the largest content hash), so sizes and pixels always
     come from the same version.  An image is keyed by ``xxhash64(image_name)``
@@ -119,11 +121,14 @@ def image_counts(
     ).first()
     key = "image_key" if checks.n == checks["keys"] else "image_name"  # two names share a hash: exact identities
     wanted = versioned
-    if (checks.versions or 0) > 1:
+    if parallelism:
+        area = F.greatest(F.lit(1), F.col("height").cast("long") * F.col("width")).alias("size")
+        parts = deal_by_size(meta.select("image_name", "version", area), ["image_name", "version"], parallelism)
+        dealt = rows_named(versioned, stored.write(parts, "parts"), ["image_name", "version"], "inner")
+        wanted = dealt.repartitionById(parallelism, F.col("part")).drop("part")
+    elif (checks.versions or 0) > 1:
         wanted = rows_named(versioned, meta.select("image_name", "version"), ["image_name", "version"])
     wanted = wanted.withColumn("image_key", F.xxhash64("image_name"))
-    if parallelism:
-        wanted = wanted.repartition(parallelism)
     status = meta.select(
         "image_name",
         F.col(key).alias("detector_id"),

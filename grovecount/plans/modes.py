@@ -42,7 +42,7 @@ class JobOptions:
     glob: str = "*.txt"                     # which files of the watched folder are read
     images_dir: str | None = None           # default: <input>/images
     images_table: str | None = None         # parquet written by ingest_images
-    image_parallelism: int | None = None    # tasks that decode; None: as the images are read
+    image_parallelism: int | None = None    # tasks images are dealt to by size; None: as they are read
     write_crops: bool = True                # K-3: crop table under <output>/processed-images
     crop_pixels: bool = False               # K-3: also the crops' pixels, <output>/processed-images-pixels
     crop_values: bool = False               # K-3: one gray value per crop, <output>/processed-images-values
