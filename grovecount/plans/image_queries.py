@@ -333,7 +333,7 @@ _STAGES = [
 ]
 
 
-def _sql(final: str, source: str = "nation") -> str:
+def scene_sql(final: str, source: str = "nation") -> str:
     """All stages as CTEs, then the final SELECT (DuckDB skips unused CTEs)."""
     ctes = ",\n".join(f"{name} AS ({body})" for name, body in _stages(source))
     return f"WITH RECURSIVE {ctes}\n{final}"
@@ -341,7 +341,7 @@ def _sql(final: str, source: str = "nation") -> str:
 
 def _type_counts_sql(source: str) -> str:
     # type = region of the supplier's nation, for both scene geometries
-    return _sql("""SELECT lower(r_name) AS feature, CAST(sum(coalesce(cnt.n, 0)) AS BIGINT) AS n
+    return scene_sql("""SELECT lower(r_name) AS feature, CAST(sum(coalesce(cnt.n, 0)) AS BIGINT) AS n
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         LEFT JOIN cnt ON cnt.image_id = s_suppkey GROUP BY 1""", source)
 
@@ -375,11 +375,11 @@ _FINAL = {
          AND px.y >= box.y0 AND px.y < box.y1""",
 }
 
-ORACLE = {name: _sql(_FINAL[name], "nation") for name in _NATION if name in _FINAL}
+ORACLE = {name: scene_sql(_FINAL[name], "nation") for name in _NATION if name in _FINAL}
 ORACLE["scene_type_counts"] = _type_counts_sql("nation")
 for _name in _SUPPLIER:
     _base = _name.removeprefix("supplier_")
     if _base in ("type_counts", "type_counts_bands"):
         ORACLE[_name] = _type_counts_sql("supplier")
     else:
-        ORACLE[_name] = _sql(_FINAL[_base if _base in _FINAL else _base.removesuffix("_bytes")], "supplier")
+        ORACLE[_name] = scene_sql(_FINAL[_base if _base in _FINAL else _base.removesuffix("_bytes")], "supplier")
