@@ -6,9 +6,12 @@ its keywords (a substring test), so texts without licence wording cost one
 pass.  Overlapping detections are resolved in priority order: a detection whose
 interval lies inside one already accepted is suppressed.
 
-The rules are built from two hand-written lists: licence names (how a licence
-is called, with its label) and statement shapes (how a licence is declared).
-Every shape applies to every name, which makes a few hundred signatures.
+The rules come from hand-written lists: licence names (how a version of a
+licence is called, with its label), families (the names without a version),
+the shapes of a declaration, which apply to every name and family, titles
+(a licence's spelled-out name alone), and sentences of the licence texts and
+of notices.  A family ranks under every versioned name, so the versioned
+detection that contains it suppresses it.
 
 Besides, ``PHRASES`` are counted exactly: every place where the words of a
 phrase stand consecutively.
@@ -78,6 +81,32 @@ NAMES = {
     "ms-pl": (r"microsoft public license|ms pl", "m"),
 }
 
+# licences named without a version
+FAMILIES = {
+    "gpl": (r"(?:gnu )?(?:general public licen[cs]e|gpl)", ""),
+    "lgpl": (r"(?:gnu )?(?:(?:lesser|library) general public licen[cs]e|lgpl)", ""),
+    "agpl": (r"(?:gnu )?(?:affero general public licen[cs]e|agpl)", ""),
+    "gfdl": (r"(?:gnu )?(?:free documentation licen[cs]e|gfdl)", ""),
+    "apache": (r"apache(?: software)?(?: foundation)?", "apache"),
+    "bsd": (r"bsd(?: style| type| like)?", "bsd"),
+    "mpl": (r"mozilla public licen[cs]e|mpl", ""),
+    "epl": (r"eclipse public licen[cs]e|epl", ""),
+    "cddl": (r"common development and distribution licen[cs]e|cddl", ""),
+    "eupl": (r"european union public licen[cs]e|eupl", ""),
+    "odbl": (r"open database licen[cs]e|odbl", ""),
+    "ofl": (r"(?:sil )?(?:open font licen[cs]e|ofl)", ""),
+    "artistic": (r"(?:perl )?artistic", "artistic"),
+    "bsl": (r"boost(?: software)?", "boost"),
+    "psf": (r"python software foundation|psf", ""),
+    "creative-commons": (r"creative commons", "creative commons"),
+    "cc-by": (r"creative commons attribution|cc by", ""),
+    "cc-by-sa": (r"creative commons attribution share ?alike|cc by sa", ""),
+    "cc-by-nc": (r"creative commons attribution non ?commercial|cc by nc", ""),
+    "cc-by-nd": (r"creative commons attribution no ?deriv(?:ative)?s|cc by nd", ""),
+    "cc-by-nc-sa": (r"creative commons attribution non ?commercial share ?alike|cc by nc sa", ""),
+    "cc-by-nc-nd": (r"creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd", ""),
+}
+
 # (name, expression with {n} for the licence, keyword, priority, confidence)
 SHAPES = [
     ("identifier", r"spdx license identifier {n}", "spdx", 90, 1.0),
@@ -91,8 +120,69 @@ SHAPES = [
     ("named", r"(?:the |a |an )?{n} licen[cs]e(?:d|s)?", "licen", 50, 0.7),
 ]
 
-# statements that name no licence of the list
+# (label, title, keyword, priority, confidence): a spelled-out name, alone
+TITLES = [
+    ("apache-2.0", r"apache license(?: version)? v?2(?: 0)?", "apache license", 48, 0.65),
+    ("apache-1.1", r"apache software license(?: version)? v?1 1", "apache software license", 48, 0.65),
+    ("gpl-2.0", r"gnu general public license(?: version)? v?2(?: 0)?", "gnu general", 48, 0.65),
+    ("gpl-3.0", r"gnu general public license(?: version)? v?3(?: 0)?", "gnu general", 48, 0.65),
+    ("lgpl-2.1", r"gnu lesser general public license(?: version)? v?2 1", "gnu lesser", 48, 0.65),
+    ("lgpl-3.0", r"gnu lesser general public license(?: version)? v?3(?: 0)?", "gnu lesser", 48, 0.65),
+    ("agpl-3.0", r"gnu affero general public license(?: version)? v?3(?: 0)?", "gnu affero", 48, 0.65),
+    ("gfdl-1.3", r"gnu free documentation license(?: version)? v?1 3", "gnu free", 48, 0.65),
+    ("mpl-1.1", r"mozilla public license(?: version)? v?1 1", "mozilla public", 48, 0.65),
+    ("mpl-2.0", r"mozilla public license(?: version)? v? ?2(?: 0)?", "mozilla public", 48, 0.65),
+    ("epl-1.0", r"eclipse public license(?: version)? v? ?1(?: 0)?", "eclipse public", 48, 0.65),
+    ("epl-2.0", r"eclipse public license(?: version)? v? ?2(?: 0)?", "eclipse public", 48, 0.65),
+    ("eupl-1.2", r"european union public licen[cs]e(?: version)? v? ?1 2", "european union", 48, 0.65),
+    ("bsl-1.0", r"boost software license(?: version)? v?1(?: 0)?", "boost software", 48, 0.65),
+    ("artistic-2.0", r"(?:the )?artistic license(?: version)? v?2(?: 0)?", "artistic license", 48, 0.65),
+    ("ofl-1.1", r"sil open font license(?: version)? v?1 1", "open font license", 48, 0.65),
+    ("cc0-1.0", r"cc0 1 0(?: universal)?", "cc0", 48, 0.65),
+    ("ms-pl", r"microsoft public license", "microsoft public", 48, 0.65),
+    ("odbl-1.0", r"open database license(?: version)? v?1(?: 0)?", "open database", 48, 0.65),
+    ("lgpl", r"gnu (?:lesser|library) general public license", "gnu l", 20, 0.5),
+    ("agpl", r"gnu affero general public license", "gnu affero", 20, 0.5),
+    ("mpl", r"mozilla public license", "mozilla public", 20, 0.5),
+    ("epl", r"eclipse public license", "eclipse public", 20, 0.5),
+    ("ofl", r"open font license", "open font license", 20, 0.5),
+    ("odbl", r"open database license", "open database", 20, 0.5),
+]
+
+# sentences of licence texts and notices
 STATEMENTS = [
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software",
+     "permission", 62, 0.9),
+    ("bsl-1.0", r"permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy",
+     "permission", 62, 0.9),
+    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee",
+     "permission", 62, 0.9),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", "redistributions", 60, 0.8),
+    ("bsd-3-clause", r"neither the name of (?:[^ ]+ ){1,12}nor the names of (?:its|the) contributors",
+     "contributors", 62, 0.9),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software", "advertising", 62, 0.9),
+    ("apache-2.0", r"you may not use this file except in compliance with the license", "compliance", 60, 0.8),
+    ("apache-2.0", r"unless required by applicable law or agreed to in writing software", "applicable law", 60, 0.8),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license", "source code form", 62, 0.9),
+    ("gpl", r"(?:this program|it) is free software you can redistribute it and or modify it", "free software", 46, 0.7),
+    ("or-later", r"(?:either )?version [0-9](?: [0-9])? (?:of the license )?or (?:at your option )?any later version",
+     "later version", 44, 0.6),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 62, 0.9),
+    ("zlib", r"altered source versions must be plainly marked as such", "plainly marked", 62, 0.9),
+    ("cc0-1.0", r"waived all copyright and related or neighbou?ring rights", "waived", 62, 0.9),
+    ("public-domain", r"dedicated (?:the|this) work to the public domain", "dedicated", 60, 0.85),
+    ("copyleft", r"you must cause any work that you distribute or publish to be licensed as a whole", "as a whole", 45, 0.6),
+    ("proprietary", r"may not be reproduced (?:copied |distributed |transmitted |or ){0,6}(?:in any form )?without",
+     "reproduced", 55, 0.7),
+    ("proprietary", r"without (?:the )?(?:express |prior )+written (?:permission|consent)", "written", 50, 0.6),
+    ("proprietary", r"contains (?:confidential|proprietary) (?:information|trade secrets)", "contains", 55, 0.7),
+    ("proprietary", r"for internal use only", "internal use", 55, 0.6),
+    ("non-commercial", r"(?:for )?non ?commercial (?:use|purposes?) only", "commercial", 55, 0.7),
+    ("no-derivatives", r"no derivative works(?: are)? (?:allowed|permitted)", "derivative", 55, 0.7),
+    ("attribution", r"(?:free to|may) share (?:and adapt )?(?:this|the) (?:work|material) (?:with|under) attribution",
+     "attribution", 50, 0.6),
+    ("liability-disclaimer", r"in no event shall the (?:[^ ]+ ){1,12}be liable", "liable", 35, 0.5),
+    ("as-is", r"on an as is basis", "as is", 35, 0.5),
     ("proprietary", r"proprietary and confidential", "confidential", 55, 0.8),
     ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)", "unauthori", 55, 0.7),
     ("public-domain", r"(?:in|into|to) the public domain", "domain", 55, 0.8),
@@ -113,7 +203,12 @@ def signature_rules() -> list[tuple[str, str, tuple[str, ...], int, float]]:
         for label, (name, key) in NAMES.items()
         for _, shape, need, priority, confidence in SHAPES
     ]
-    out += [(label, expr, (need,), priority, confidence) for label, expr, need, priority, confidence in STATEMENTS]
+    out += [  # under every versioned name
+        (label, shape.format(n=f"(?:{name})"), tuple(k for k in (need, key) if k), priority // 2, 0.9 * confidence)
+        for label, (name, key) in FAMILIES.items()
+        for _, shape, need, priority, confidence in SHAPES
+    ]
+    out += [(label, expr, (need,), priority, confidence) for label, expr, need, priority, confidence in TITLES + STATEMENTS]
     return sorted(out, key=lambda r: -r[3])
 
 
@@ -121,7 +216,11 @@ def signature_rules() -> list[tuple[str, str, tuple[str, ...], int, float]]:
 HINTS = (b"licen", b"reserved", b"copyright", b"spdx", b"public domain", b"warrant", b"released under",
          b"distributed under", b"published under", b"shared under", b"available under", b"covered by",
          b"covered under", b"subject to", b"provided", b"usable under", b"available by", b"usable by", b"unauthori",
-         b"confidential", b"permission", b"redistribution")
+         b"confidential", b"permission", b"redistribution", b"advertising materials", b"free software", b"later version",
+         b"unencumbered", b"plainly marked", b"neighbo", b"may not be reproduced", b"prior written", b"express written",
+         b"trade secrets", b"proprietary information", b"for internal use only", b"commercial use", b"commercial purpose",
+         b"derivative works", b"attribution", b"be liable", b"as is basis", b"cc0 1 0", b"nor the names of",
+         b"applicable law", b"source code form", b"as a whole")
 
 
 def detections(words: bytes, rules) -> list[tuple[int, int, int, str, float]]:
@@ -179,9 +278,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 line = b" " + b" ".join(words) + b" "
                 places, base, labels, score = [], set(), set(), 0.0
                 for p, label in phrases:
-                    at = line.find(p)
+                    word, last, at = 0, 0, line.find(p)
                     while at >= 0:
-                        places.append(line.count(b" ", 0, at))
+                        word, last = word + line.count(b" ", last, at), at
+                        places.append(word)
                         base.add(label)
                         at = line.find(p, at + 1)
                 if any(h in line for h in HINTS):
