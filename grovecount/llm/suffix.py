@@ -20,6 +20,10 @@ batch order is document order, and matching runs batch against index:
 * The same family over ``span``-byte windows settles the second kind: the
   windows around those anchors (the ends of repeats, and prefixes that are
   common by chance) are looked up exactly.
+* A prefix with ``HOT`` contexts or more in one batch is of the second kind
+  whatever other batches hold.  Its entries are dealt by prefix and context,
+  and one entry tells the task of the prefix; so a batch sends fewer than
+  ``HOT`` entries of any prefix to one task, however common the prefix is.
 
 What leaves a batch is deduplicated first, so a passage found in a third of all
 documents is one entry per batch.  Entries travel as sorted arrays, not rows.
@@ -51,6 +55,7 @@ GRAM = 24  # bytes of an anchor's prefix
 BLOCK = 1 << 18  # bytes worked on at once
 MARGIN = 256
 RUN = 200_000  # entries of a level-0 run at least
+HOT = 8  # contexts of a prefix in a batch from which on they are dealt one by one
 _M = [np.uint64(m) for m in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
     0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165,
@@ -62,6 +67,9 @@ def _u(n: int) -> np.uint64:
     return np.uint64(n)
 
 
+FLAG = _u((1 << 40) - 1)  # in place of a context: the prefix has several
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _u(32))
     x = x * _M[3]
@@ -178,7 +186,7 @@ class Batch:
             pieces.append((l * 4096 + r).astype(np.uint64))
             ctx[~whole] = _fold(pieces)
         self.key = _mix(self.x * _M[6]) >> _u(16)
-        self.ctx = ctx >> _u(24)
+        self.ctx = np.minimum(ctx >> _u(24), FLAG - _u(1))
         # distinct entries: sorted codes, the anchors of each and its first document
         code = _pair(self.key, self.ctx)
         order = np.argsort(code)
@@ -249,7 +257,7 @@ def _found(code: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == code
 
 
-ENTRY_SCHEMA = "part int, batch int, blob binary"
+ENTRY_SCHEMA = "part int, batch int, mixed boolean, blob binary"
 ANSWER_SCHEMA = "slot int, kind int, blob binary"
 CARRIED, MIXED, WINDOW = 1, 2, 3  # kinds of answers
 
@@ -274,19 +282,32 @@ def _unpack(blob: bytes, windows: bool) -> tuple[np.ndarray, np.ndarray]:
     return (a << _u(16)) | b, (c << _u(8)) | d
 
 
-def _deal(batch: int, key: np.ndarray, ctx: np.ndarray | None, parts: int) -> pa.Table:
-    """One row per target: that target's entries of this batch, sorted."""
-    part = (_mix(key) % _u(parts)).astype(np.int64)
+def _deal(
+    batch: int, key: np.ndarray, ctx: np.ndarray | None, parts: int, by: np.ndarray | None = None
+) -> pa.Table:
+    """One row per target: that target's entries of this batch, sorted.  Targets
+    follow from the keys, or from ``by`` for entries of mixed prefixes."""
+    part = (_mix(key if by is None else by) % _u(parts)).astype(np.int64)
     order = np.lexsort((key, part))
     part = part[order]
     cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else [], len(part)].astype(np.int64)
     rows = [
-        (int(part[a]), batch, _pack(key[order[a:b]], None if ctx is None else ctx[order[a:b]]))
+        (int(part[a]), batch, by is not None, _pack(key[order[a:b]], None if ctx is None else ctx[order[a:b]]))
         for a, b in zip(cuts[:-1], cuts[1:])
     ]
-    cols = list(zip(*rows)) or [(), (), ()]
+    cols = list(zip(*rows)) or [(), (), (), ()]
     return pa.table({"part": pa.array(cols[0], pa.int32()), "batch": pa.array(cols[1], pa.int32()),
-                     "blob": pa.array(cols[2], pa.binary())})
+                     "mixed": pa.array(cols[2], pa.bool_()), "blob": pa.array(cols[3], pa.binary())})
+
+
+def _deal_entries(batch: int, key: np.ndarray, ctx: np.ndarray, parts: int) -> pa.Table:
+    """Distinct entries of a batch: by prefix, those of hot prefixes by prefix and
+    context, with one flag to the target of each hot prefix."""
+    prefixes, which, contexts = np.unique(key, return_inverse=True, return_counts=True)
+    hot = contexts[which] >= HOT
+    told = prefixes[contexts >= HOT]
+    plain = _deal(batch, np.r_[key[~hot], told], np.r_[ctx[~hot], np.full(len(told), FLAG)], parts)
+    return pa.concat_tables([plain, _deal(batch, key[hot], ctx[hot], parts, by=_pair(key[hot], ctx[hot]))])
 
 
 class Family:
@@ -308,7 +329,8 @@ class Family:
         ctx, batch, mixed = ctx[order], batch[order], mixed[order]
         again = same & np.r_[False, ctx[1:] == ctx[:-1]]
         if again.any():
-            self.carried.append((k[again], ctx[again], batch[again]))
+            told = again & (ctx != FLAG)
+            self.carried.append((k[told], ctx[told], batch[told]))
             keep = ~again
             k, ctx, batch, mixed = k[keep], ctx[keep], batch[keep], mixed[keep]
             same = np.r_[False, k[1:] == k[:-1]]
@@ -350,18 +372,19 @@ def _answers(windows: bool, slots: list[int]):
         key, ctx, batch, mixed = family.close()
         for k, c, b in family.carried:
             yield told(WINDOW if windows else CARRIED, k, c, b)
+        mixed &= ctx != FLAG
         if not windows and mixed.any():
             yield told(MIXED, key[mixed], ctx[mixed], batch[mixed])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, waiting, size, part = Family(), [], 0, None
         for b in batches:
-            for p, batch, blob in zip(*(b.column(c) for c in ("part", "batch", "blob"))):
+            for p, batch, mixed, blob in zip(*(b.column(c) for c in ("part", "batch", "mixed", "blob"))):
                 if p.as_py() != part:
                     yield from finish(family, waiting)
                     family, waiting, size, part = Family(), [], 0, p.as_py()
                 key, ctx = _unpack(blob.as_py(), windows)
-                waiting.append((key, ctx, np.full(len(key), batch.as_py(), np.int64), np.zeros(len(key), bool)))
+                waiting.append((key, ctx, np.full(len(key), batch.as_py(), np.int64), np.full(len(key), mixed.as_py())))
                 size += len(key)
                 if size >= RUN:
                     family.add(waiting)
@@ -385,7 +408,7 @@ def _index_batch(span: int, parts: int):
         batch = _batch(table, span)
         batch.anchors()
         head = batch.head
-        return _deal(table.column("batch")[0].as_py(), batch.key[head], batch.ctx[head], parts)
+        return _deal_entries(table.column("batch")[0].as_py(), batch.key[head], batch.ctx[head], parts)
 
     return run
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from grovecount.llm import suffix
@@ -58,6 +59,42 @@ def test_equals_brute_force(docs_of, rows, monkeypatch):
     assert got == brute(rows)
 
 
+def hot_prefixes(seed, n):
+    """One header before ever different texts, in every document, some of which repeat."""
+    r = random.Random(seed)
+    header = "the same header of forty bytes in all of "
+    bodies = ["".join(r.choices("abcdefgh ", k=60)) for _ in range(25)]
+    own = lambda: "".join(r.choices("ijklmnop", k=r.randint(5, 60)))
+    return [(k, "".join(header + r.choice([own(), r.choice(bodies)]) for _ in range(r.randint(1, 6)))) for k in range(n)]
+
+
+@pytest.mark.parametrize("hot", [2, 3, 8])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_prefixes_equal_brute_force(docs_of, seed, hot, monkeypatch):
+    monkeypatch.setattr(suffix, "RUN", 40)
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rows = hot_prefixes(seed, 60)
+    out = suffix.remove_repeats(docs_of(rows), span=50, batch_bytes=1500).collect()
+    got = sorted(((r.id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in out), key=str)
+    assert got == brute(rows)
+    assert sum(x[3] for x in got) > 0
+
+
+def test_a_hot_prefix_is_spread_over_tasks():
+    n, parts = 40_000, 50
+    key = np.r_[np.full(n, 7), np.arange(100, 200)].astype(np.uint64)
+    ctx = np.arange(n + 100).astype(np.uint64)
+    table = suffix._deal_entries(3, key, ctx, parts)
+    held, told = np.zeros(parts, int), 0
+    for part, mixed, blob in zip(*(table.column(c).to_pylist() for c in ("part", "mixed", "blob"))):
+        k, c = suffix._unpack(blob, False)
+        held[part] += np.count_nonzero(k == 7)
+        told += np.count_nonzero(c == suffix.FLAG)
+        assert not (mixed and (k != 7).any())
+    assert held.sum() == n + 1 and told == 1
+    assert held.max() < 2 * n / parts
+
+
 def test_stage_keeps_columns_and_drops_emptied(docs_of):
     text = "a passage that is long enough to count as a repeat of fifty bytes and more"
     rows = [(1, text), (2, text), (3, "other words before " + text + " and after"), (4, "clean"), (4, "")]
