@@ -29,12 +29,15 @@ same decisions; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovecount.llm.common import bare_words, let
 
 FIELD = "<*>"
+FEW = 32  # keys that are scanned one by one
 
 
 def masked(text: Column) -> Column:
@@ -53,6 +56,34 @@ def _leaf(tokens: Column, leading: int) -> Column:
     return F.xxhash64(F.size(tokens), F.slice(tokens, 1, leading))
 
 
+def _lines_in(keys: Column, lines: Column, key_of: Callable[[Column], Column], inside: bool = True) -> Column:
+    """Lines whose key is (or is not) among ``keys``: a scan of few keys, a
+    binary search of many, so that a document of many lines with many of these
+    keys does not take lines x keys steps."""
+
+    def search(among: Column) -> Column:
+        def step(at: Column, width: Column) -> Column:
+            more = (at + width <= F.size(among["keys"])) & (F.get(among["keys"], at + width - 1) <= among["key"])
+            return F.when(more, at + width).otherwise(at)
+
+        return let(F.aggregate(among["widths"], F.lit(0), step), lambda at: F.get(among["keys"], at - 1) == among["key"])
+
+    def chosen(table: Column) -> Column:
+        def found(key: Column) -> Column:
+            many = F.struct(table["keys"].alias("keys"), table["widths"].alias("widths"), key.alias("key"))
+            return F.when(F.size(table["keys"]) <= FEW, F.array_contains(table["keys"], key)).otherwise(
+                F.coalesce(let(many, search), F.lit(False))
+            )
+
+        return F.filter(lines, lambda x: let(key_of(x), found) == F.lit(inside))
+
+    # powers of two down from the number of keys
+    widths = F.transform(
+        F.sequence(F.floor(F.log2(F.size(keys) + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i)
+    )
+    return let(F.struct(F.sort_array(keys).alias("keys"), widths.alias("widths")), chosen)
+
+
 def parse(docs: DataFrame, leading: int, min_tokens: int) -> DataFrame:
     """``id, row, key, leaf``: each masked line of a document once, as hashes.
     ``row`` numbers the document, for lines that share their leaf with another
@@ -95,7 +126,7 @@ def recurring_lines(docs: DataFrame, parsed: DataFrame, min_docs: int, leading:
     wanted = alive.groupBy(F.col("first_id").alias("id")).agg(F.collect_list("key").alias("want"))
     texts = docs.join(wanted.hint("shuffle_hash"), "id").select(
         F.explode(
-            F.filter(_masked_lines(F.col("text")), lambda x: F.array_contains("want", F.xxhash64(x)))
+            _lines_in(F.col("want"), _masked_lines(F.col("text")), lambda x: F.xxhash64(x))
         ).alias("line")
     )
     tokens = texts.groupBy(F.xxhash64("line").alias("key")).agg(F.first("line").alias("line"))
@@ -177,7 +208,7 @@ def drop_recurring_lines(
         "doc", "id", "text", F.col("drop").isNotNull().alias("hit"), F.split("text", "\n", -1).alias("lines"), "drop"
     ).withColumn(
         "kept",
-        F.when(F.col("hit"), F.filter("lines", lambda x: ~F.array_contains("drop", F.xxhash64(masked(x))))),
+        F.when(F.col("hit"), _lines_in(F.col("drop"), F.col("lines"), lambda x: F.xxhash64(masked(x)), False)),
     )
     return out.select(
         "doc", "id", "text",

@@ -80,6 +80,21 @@ def test_equals_brute_force(docs_of, rows):
     assert got == brute(rows, 5, 2, 3)
 
 
+@pytest.mark.parametrize("few", [0, 2])
+def test_sorted_lookup_equals_brute_force(docs_of, few, monkeypatch):
+    monkeypatch.setattr(lines, "FEW", few)
+    test_equals_brute_force(docs_of, boilerplate(1))
+
+
+def test_a_long_document_of_recurring_lines(docs_of):
+    """20 000 lines in a document, all but the first of them known from five
+    others (that one from two): lines x keys steps would be 400 million."""
+    logs = [f"entry {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}" for k in range(20_000)]
+    rows = [(i, "\n".join(logs[i % 2 :])) for i in range(6)]
+    out = {r.id: r.n_dropped for r in lines.drop_recurring_lines(docs_of(rows), min_docs=5).collect()}
+    assert out == {0: 0, **{i: len(logs) - 1 for i in range(1, 6)}}
+
+
 def test_variable_fields_become_one_template(docs_of):
     rows = [(i, f"Written by name{chr(97 + i)} for the weekly paper of this town\nown line {chr(97 + i)} says more") for i in range(8)]
     out = {r.id: r for r in lines.drop_recurring_lines(docs_of(rows), min_docs=5).collect()}
