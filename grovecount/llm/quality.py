@@ -146,11 +146,19 @@ def learn_rules(
     min_precision: float = 0.95, min_cover: int = 10,
 ) -> list[list[Condition]]:
     """Sequential covering over ``labelled``: columns of ``COUNTS``, ``bad``
-    (0/1) and ``grow`` (boolean: growing or pruning set)."""
+    (0/1) and ``grow`` (boolean: growing or pruning set).
+
+    Thresholds are quantiles of all rows and of the bad ones, so a small bad kind
+    in one tail has thresholds of its own.  What a rule covers that fails on the
+    pruning set is set aside, and the next rule grows from the other rows; its
+    precision counts the rows set aside, since the list will meet them too."""
     names = list(feature_columns())
     probs = [i / bins for i in range(1, bins)]
-    cuts = labelled.select([F.percentile_approx(c, probs, 10000).alias(n) for n, c in feature_columns().items()]).first()
-    cuts = {n: sorted(set(cuts[n] or [])) for n in names}
+    cuts = labelled.select([
+        F.percentile_approx(F.when(F.col("bad") >= least, c), probs, 10000).alias(f"{n}_{least}")
+        for n, c in feature_columns().items() for least in (0, 1)
+    ]).first()
+    cuts = {n: sorted(set(cuts[f"{n}_0"] or []) | set(cuts[f"{n}_1"] or [])) for n in names}
 
     def bin_of(name: str) -> Column:
         """Number of thresholds below the value: value <= cuts[b] iff bin <= b."""
@@ -187,10 +195,11 @@ def learn_rules(
         .groupBy("bad", "grow", *["b_" + n for n in names]).agg(F.count("*").alias("n")).checkpoint()
     )
     rules = []
-    for _ in range(max_rules):
+    untried = rest.where("grow")
+    for _ in range(2 * max_rules):
         rule, best_score = [], None
         while len(rule) < max_conditions:
-            table = counts_by_bin(rest.where(F.col("grow") & holds(rule)))
+            table = counts_by_bin(untried.where(holds(rule)))
             good, bad = (sum(t[i] for t in table[names[0]]) for i in (0, 1))
             if not bad or not good:
                 break
@@ -225,10 +234,13 @@ def learn_rules(
         scored = [(got[f"s{i}_1"] / max(1, got[f"s{i}_0"] + got[f"s{i}_1"]), -i) for i in range(len(prefixes))]
         precision, at = max(scored)
         if precision < min_precision or got[f"s{-at}_1"] < min_cover:
-            break
+            untried = untried.where(~holds(rule))
+            continue
         rule = prefixes[-at]
         rules.append([(n, op, middle(n, cuts[n][b])) for n, op, b in rule])
-        rest = rest.where(~holds(rule))
+        if len(rules) == max_rules:
+            break
+        rest, untried = rest.where(~holds(rule)), untried.where(~holds(rule))
     return rules
 
 

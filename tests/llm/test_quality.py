@@ -116,3 +116,29 @@ def test_stage_keeps_passing_rows_whole(spark, docs_of):
     out = quality.passing(docs_of(rows), labels_of(spark, []))
     assert out.columns == docs_of(rows).columns
     assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted(x for x in rows if not brute(x[1])[-1])
+
+
+def _labelled(spark, rows):
+    """Rows of (bad, grow, n_words, n_symbols, n_distinct); else alike."""
+    base = {c: 0 for c in quality.COUNTS} | {"word_chars": 1000, "n_lines": 1}
+    return spark.createDataFrame(
+        [{**base, "bad": b, "grow": g, "n_words": w, "n_symbols": s, "n_distinct": d} for b, g, w, s, d in rows]
+    )
+
+
+def test_learning_goes_on_after_a_rule_that_fails_pruning(spark):
+    """Long documents are bad in the growing set and good in the pruning set."""
+    rows = [(0, k % 3 != 0, 100 + k % 7, 0, 50) for k in range(600)]
+    rows += [(1, True, 5000, 0, 50)] * 90 + [(0, False, 5000, 0, 50)] * 45
+    rows += [(1, k % 3 != 0, 100, 300, 50) for k in range(60)]
+    rules = quality.learn_rules(_labelled(spark, rows))
+    assert [[(n, op) for n, op, _ in rule] for rule in rules] == [[("symbol_share", ">")]]
+
+
+def test_a_rare_bad_kind_has_thresholds_of_its_own(spark):
+    """One row in a hundred, in one tail of a feature that is spread evenly."""
+    rows = [(0, k % 3 != 0, 1000, 0, 400 + k % 600) for k in range(6000)]
+    rows += [(1, k % 3 != 0, 1000, 0, 100 + k) for k in range(60)]
+    rules = quality.learn_rules(_labelled(spark, rows))
+    assert [[(n, op) for n, op, _ in rule] for rule in rules] == [[("distinct_share", "<=")]]
+    assert 0.15 < rules[0][0][2] < 0.4
