@@ -62,7 +62,8 @@ def guard_estimate_broadcast(df: DataFrame) -> DataFrame:
     sort-merge; under ``build_session``'s measured-only policy nothing is
     hinted and adaptive execution decides from real sizes.
     """
-    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "-1").strip()
+    # without a default of ours: where nothing is set, Spark's own (10 MB) holds
+    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip()
     estimated = not threshold.startswith("-") and threshold not in ("0", "0b")
     return df.hint("merge") if estimated else df
 

@@ -65,3 +65,19 @@ def test_pixel_table_never_broadcast_by_estimate(spark):
         assert df.count() == 64
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_pixel_table_never_broadcast_where_no_threshold_is_set(spark):
+    """Spark's own threshold holds in a session that sets none."""
+    from grovecount.operators.crops import crop_pixels
+    from grovecount.sources.scenes import scene_pixels
+
+    supplier = spark.createDataFrame([(i, i % 25) for i in range(10)], "s_suppkey long, s_nationkey int")
+    boxes = spark.createDataFrame([(0, 0, 18, 13, 26, 21)], "image_id long, k int, x0 int, y0 int, x1 int, y1 int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        plan = _plan(crop_pixels(boxes, scene_pixels(supplier)))
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
