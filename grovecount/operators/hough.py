@@ -16,6 +16,10 @@ from grovecount.operators.stencil import ID
 # dimensions and the step count, never by the number of images or edges.
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 OFFSET_ROW_BYTES = 40
+# ``by_tile`` deals edges to tiles of centres this wide, and to tasks of about
+# this many votes.
+ROW_TILE = 1024
+VOTES_PER_TASK = 8_000_000
 
 
 def radius_ranges(dims: DataFrame, id_col: str = ID) -> DataFrame:
@@ -58,6 +62,7 @@ def vote_counts(
     dims: DataFrame,
     steps: int = DEFAULT_STEPS,
     id_col: str = ID,
+    by_tile: bool = False,
 ) -> DataFrame:
     """O-26 + O-28: ``image_id, a, b, r, votes`` with ``a = x - dx``, ``b = y - dy``.
 
@@ -68,19 +73,25 @@ def vote_counts(
     inline per edge, which needs no join at all.  Either way the partial hash
     aggregate merges votes inside each task before the shuffle on the full
     cell key, so one large image spreads over all reducers.
+
+    ``by_tile`` is for many images: the edges go to the tiles of centres their
+    votes can fall into before they vote, so a cell's votes meet in the task
+    that makes them, edges are shuffled and cells are not.
     """
     ranges = radius_ranges(dims, id_col)
     if not {"r_min", "r_max"} <= set(edges.columns):
         edges = edges.join(ranges, id_col)
-    per_edge = edges.where(F.col("r_max") >= F.col("r_min")).select(
-        id_col, "x", "y", F.explode(F.sequence("r_min", "r_max")).alias("r")
-    )
+    edges = edges.where(F.col("r_max") >= F.col("r_min"))
+    keys = [id_col]
+    if by_tile:
+        edges, keys = _dealt_by_tile(edges, steps, id_col), [id_col, "tx", "ty"]
+    per_edge = edges.select(*keys, "x", "y", F.explode(F.sequence("r_min", "r_max")).alias("r"))
     top = ranges.agg(F.max("r_max").alias("m")).first()["m"] or 0
     if top * steps * OFFSET_ROW_BYTES <= MAX_BROADCAST_BYTES:
         offsets = circle_offsets(radii_in_use(ranges), steps)
         paired = per_edge.join(F.broadcast(offsets), "r")
         votes = paired.select(
-            id_col,
+            *keys,
             (F.col("x") - F.col("dx")).alias("a"),
             (F.col("y") - F.col("dy")).alias("b"),
             "r",
@@ -91,9 +102,26 @@ def vote_counts(
         each = per_edge.select("*", s)
         dx, dy = _offset_exprs(F.col("r"), F.col("s"), steps)
         votes = each.select(
-            id_col, (F.col("x") - dx).alias("a"), (F.col("y") - dy).alias("b"), "r", F.lit(1).alias("weight")
+            *keys, (F.col("x") - dx).alias("a"), (F.col("y") - dy).alias("b"), "r", F.lit(1).alias("weight")
         )
-    return votes.groupBy(id_col, "a", "b", "r").agg(F.sum("weight").cast("bigint").alias("votes"))
+    if by_tile:
+        inside = [F.floor(F.col(c) / ROW_TILE) == F.col(t) for c, t in (("a", "tx"), ("b", "ty"))]
+        votes = votes.where(inside[0] & inside[1])
+    cells = votes.groupBy(*keys, "a", "b", "r").agg(F.sum("weight").cast("bigint").alias("votes"))
+    return cells.select(id_col, "a", "b", "r", "votes")
+
+
+def _dealt_by_tile(edges: DataFrame, steps: int, id_col: str) -> DataFrame:
+    """Edges with ``r_min, r_max`` at every tile ``tx, ty`` of centres they may vote
+    for, a tile's edges in one task of about ``VOTES_PER_TASK`` votes."""
+    circles = edges.agg(F.sum(F.col("r_max") - F.col("r_min") + 1)).first()[0] or 0
+
+    def reach(c: str):
+        ends = [F.floor((F.col(c) + s * F.col("r_max")) / ROW_TILE).cast("int") for s in (-1, 1)]
+        return F.explode(F.sequence(*ends))
+
+    placed = edges.select(id_col, "x", "y", "r_min", "r_max", reach("x").alias("tx")).withColumn("ty", reach("y"))
+    return placed.repartition(1 + circles * steps // VOTES_PER_TASK, id_col, "tx", "ty")
 
 
 def candidates(votes: DataFrame, steps: int = DEFAULT_STEPS, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:

@@ -89,7 +89,7 @@ def circle_offsets_q(spark: SparkSession, d: str, source: str = "nation") -> Dat
 
 
 def hough_votes(spark: SparkSession, d: str, source: str = "nation") -> DataFrame:
-    return vote_counts(scene_edges(spark, d, source), _dims(spark, d, source))
+    return vote_counts(scene_edges(spark, d, source), _dims(spark, d, source), by_tile=True)
 
 
 def hough_tile_votes(spark: SparkSession, d: str, source: str = "supplier") -> DataFrame:

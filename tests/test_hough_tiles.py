@@ -68,6 +68,25 @@ def test_empty_and_null_ids(spark, drawn):
     assert {r.image_id: r.v for r in out} == {None: 200, "a": 200}  # 100 steps for each of two radii
 
 
+@pytest.mark.parametrize("tile, steps, broadcast", [(1024, 100, 1 << 25), (9, 100, 1 << 25), (16, 12, 0)])
+def test_row_form_by_tile(drawn, monkeypatch, tile, steps, broadcast):
+    import grovecount.operators.hough as hough
+
+    edges, dims = drawn
+    want = rows(vote_counts(edges, dims, steps))
+    monkeypatch.setattr(hough, "ROW_TILE", tile)
+    monkeypatch.setattr(hough, "VOTES_PER_TASK", 20_000)
+    monkeypatch.setattr(hough, "MAX_BROADCAST_BYTES", broadcast)
+    assert rows(vote_counts(edges, dims, steps, by_tile=True)) == want and want
+
+
+def test_hough_votes_shuffles_edges_not_votes(spark):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["hough_votes"](spark, "/root/testdata/sf0.001")
+    assert _shuffled(df) < df.count() / 10
+
+
 def test_large_radii_cross_many_tiles(spark):
     """Radii beyond 200 pixels, wider than a tile: an edge reaches more than four tiles."""
     edges = spark.createDataFrame([("big", 700, 300), ("big", 1400, 900)], EDGES)
