@@ -7,8 +7,11 @@ with ``height = width = nChannels = mode = -1`` when ``dropInvalid`` is off.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -213,15 +216,43 @@ def _images_with_boxes(images: DataFrame, boxes: DataFrame, id_col: str) -> Data
     )
 
 
-def _cut(batches, levels: np.ndarray):
-    """``(image_id, k, x0, y0, gray)`` of every box, gray as a rows x columns array."""
-    for pdf in batches:
-        for ident, width, channels, buf, own in zip(*(pdf[c] for c in pdf.columns)):
-            w, c = int(width), int(channels)
-            for box in own:
-                x0, y0, x1, y1 = (int(box[n]) for n in ("x0", "y0", "x1", "y1"))
-                rows = np.frombuffer(buf, np.uint8, (y1 - y0) * w * c, y0 * w * c)
-                yield ident, int(box["k"]), x0, y0, _gray(rows, c, levels).reshape(-1, w)[:, x0:x1]
+# Rows of pixels, crops and bytes of crops per emitted batch.
+CUT_ROWS = 1 << 18
+CROPS_PER_BATCH = 4096
+CROP_BYTES = 4 << 20
+
+
+def _cut(batch: pa.RecordBatch, levels: np.ndarray, rows: int | None = None):
+    """``(image's place in the batch, k, x0, y0, gray)`` of every box, gray as a
+    rows x columns array; boxes over ``rows`` pixels in horizontal parts."""
+    widths, channels = (batch.column(c).to_numpy() for c in ("width", "n_channels"))
+    data, boxes = batch.column("data"), batch.column("boxes")
+    ends = boxes.offsets.to_numpy()
+    k, x0, y0, x1, y1 = (boxes.values.field(c).to_numpy() for c in ("k", "x0", "y0", "x1", "y1"))
+    for at in range(batch.num_rows):
+        w, c = int(widths[at]), int(channels[at])
+        image = np.frombuffer(data[at].as_buffer(), np.uint8).reshape(-1, w, c)
+        for i in range(ends[at], ends[at + 1]):
+            left, right, bottom = int(x0[i]), int(x1[i]), int(y1[i])
+            step = max(1, rows // (right - left)) if rows else bottom
+            for top in range(int(y0[i]), bottom, step):
+                part = np.ascontiguousarray(image[top:min(bottom, top + step), left:right])
+                yield at, int(k[i]), left, top, _gray(part, c, levels).reshape(part.shape[:2])
+
+
+def _cut_rows(ids: pa.Array, held: list) -> pa.RecordBatch:
+    """``image_id, k, x, y, v`` of some cut boxes."""
+    at, k, x0, y0, height, width = np.array([(a, k, x, y, *g.shape) for a, k, x, y, g in held], dtype=np.int64).T
+    size = height * width
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    wide = np.repeat(width, size)
+    return pa.RecordBatch.from_arrays([
+        ids.take(pa.array(np.repeat(at, size))),
+        pa.array(np.repeat(k, size).astype(np.int32)),
+        pa.array((np.repeat(x0, size) + place % wide).astype(np.int32)),
+        pa.array((np.repeat(y0, size) + place // wide).astype(np.int32)),
+        pa.array(np.concatenate([g.ravel() for *_, g in held]).astype(np.int32)),
+    ], ["image_id", "k", "x", "y", "v"])
 
 
 def cut_boxes(images: DataFrame, boxes: DataFrame, id_col: str = "image_name") -> DataFrame:
@@ -234,17 +265,19 @@ def cut_boxes(images: DataFrame, boxes: DataFrame, id_col: str = "image_name") -
     ])
     levels = java_gray_levels(images.sparkSession)
 
-    def cut(batches):
-        for ident, k, x0, y0, gray in _cut(batches, levels):
-            ys, xs = np.mgrid[y0:y0 + gray.shape[0], x0:x0 + gray.shape[1]].astype(np.int32)
-            yield pd.DataFrame({
-                "image_id": ident, "k": np.int32(k), "x": xs.ravel(), "y": ys.ravel(), "v": gray.ravel().astype(np.int32),
-            })
-
-    return src.mapInPandas(cut, schema)
-
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for box in _cut(batch, levels, CUT_ROWS):
+                held.append(box)
+                size += box[-1].size
+                if size >= CUT_ROWS:
+                    yield _cut_rows(batch.column("image_id"), held)
+                    held, size = [], 0
+            if held:
+                yield _cut_rows(batch.column("image_id"), held)
 
-CROPS_PER_FRAME = 256
+    return src.mapInArrow(cut, schema)
 
 
 def cut_values(images: DataFrame, boxes: DataFrame, id_col: str = "image_name") -> DataFrame:
@@ -259,17 +292,24 @@ def cut_values(images: DataFrame, boxes: DataFrame, id_col: str = "image_name")
     levels = java_gray_levels(images.sparkSession)
     names = schema.names
 
-    def cut(batches):
-        held = []
-        for ident, k, _, _, gray in _cut(batches, levels):
-            held.append((ident, k, gray.shape[1], gray.shape[0], gray.astype(np.uint8).tobytes()))
-            if len(held) == CROPS_PER_FRAME:
-                yield pd.DataFrame(held, columns=names)
-                held = []
-        if held:
-            yield pd.DataFrame(held, columns=names)
-
-    return src.mapInPandas(cut, schema)
+    def values(ids: pa.Array, held: list) -> pa.RecordBatch:
+        at, k, width, height, data = zip(*held)
+        numbers = [pa.array(c, pa.int32()) for c in (k, width, height)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *numbers, pa.array(data, pa.binary())], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for at, k, _, _, gray in _cut(batch, levels):
+                held.append((at, k, gray.shape[1], gray.shape[0], gray.astype(np.uint8).tobytes()))
+                size += gray.size
+                if len(held) == CROPS_PER_BATCH or size >= CROP_BYTES:
+                    yield values(batch.column("image_id"), held)
+                    held, size = [], 0
+            if held:
+                yield values(batch.column("image_id"), held)
+
+    return src.mapInArrow(cut, schema)
 
 
 def readable(images: DataFrame) -> DataFrame:
