@@ -24,8 +24,8 @@ from grovecount.operators.stencil import ID
 from grovecount.operators.tiles import numbers, starts, whole_tiles
 
 CENTRE_TILE = 256
-CELLS = 1 << 22  # cells counted at once: several small tiles, or one whole tile
-PAIRS = 1 << 21  # edge x offset pairs held at once
+CELLS = 1 << 20  # cells counted at once: several small tiles, or one whole tile
+PAIRS = 1 << 19  # edge x offset pairs held at once
 
 
 def unit_circle(spark: SparkSession, steps: int) -> tuple[np.ndarray, np.ndarray]:

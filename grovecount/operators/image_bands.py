@@ -14,9 +14,10 @@ hysteresis, voting, acceptance) stays in Spark.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -109,19 +110,17 @@ def band_candidates(
     }
 
 
-def _candidate_rows(batches, low: int, band: int, levels: np.ndarray):
-    """One frame per ``EMIT_ROWS`` candidates or so: memory follows a band and
-    that budget, not the images of an Arrow batch."""
-    out, size = [], 0
-    for pdf in batches:
-        for ident, height, width, channels, buf in zip(
-            pdf["image_id"], pdf["height"], pdf["width"], pdf["n_channels"], pdf["data"]
-        ):
-            h, w, c = int(height), int(width), int(channels)
-            radii = {
-                "r_min": np.int32(max(1, min(h, w) // RADIUS_MIN_DIVISOR)),
-                "r_max": np.int32(max(h, w) // RADIUS_MAX_DIVISOR),
-            }
+def _candidate_rows(batches: Iterator[pa.RecordBatch], low: int, band: int, levels: np.ndarray):
+    """One batch per ``EMIT_ROWS`` candidates or so: memory follows a band and
+    that budget; the image bytes are read where Arrow holds them."""
+    for batch in batches:
+        height, width, channels = (batch.column(c).to_numpy() for c in ("height", "width", "n_channels"))
+        ids, data = batch.column("image_id"), batch.column("data")
+        held, size = [], 0
+        for at in range(batch.num_rows):
+            h, w, c = int(height[at]), int(width[at]), int(channels[at])
+            buf = data[at].as_buffer()
+            radii = max(1, min(h, w) // RADIUS_MIN_DIVISOR), max(h, w) // RADIUS_MAX_DIVISOR
             for y0 in range(0, h, band):
                 y1 = min(h, y0 + band)
                 g_lo, g_hi = max(0, y0 - HALO), min(h, y1 + HALO)
@@ -130,13 +129,23 @@ def _candidate_rows(batches, low: int, band: int, levels: np.ndarray):
                 gray = _gray(rows, c, levels).reshape(-1, w)
                 cols = band_candidates(gray, low, y0, y1, first=g_lo, height=h)
                 if len(cols["x"]):
-                    out.append(pd.DataFrame({"image_id": ident, **cols, **radii}))
+                    held.append((at, radii, cols))
                     size += len(cols["x"])
                 if size >= EMIT_ROWS:
-                    yield pd.concat(out, ignore_index=True)
-                    out, size = [], 0
-    if out:
-        yield pd.concat(out, ignore_index=True)
+                    yield _emitted(ids, held)
+                    held, size = [], 0
+        if held:
+            yield _emitted(ids, held)
+
+
+def _emitted(ids: pa.Array, held: list) -> pa.RecordBatch:
+    n = [len(cols["x"]) for _, _, cols in held]
+    out = {"image_id": ids.take(pa.array(np.repeat([at for at, _, _ in held], n)))}
+    out |= {c: pa.array(np.concatenate([cols[c] for _, _, cols in held])) for c in held[0][2]}
+    for i, c in enumerate(("r_min", "r_max")):
+        out[c] = pa.array(np.repeat([radii[i] for _, radii, _ in held], n).astype(np.int32))
+    order = ["image_id", "x", "y", "mag2", "q_kills", "p_gt", "px", "py", "r_min", "r_max"]
+    return pa.RecordBatch.from_arrays([out[c] for c in order], order)
 
 
 def suppression_inputs_from_images(
@@ -164,4 +173,4 @@ def suppression_inputs_from_images(
     def run(batches):
         return _candidate_rows(batches, low, band, levels)
 
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)

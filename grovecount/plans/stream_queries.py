@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from grovecount.plans.image_queries import scene_sql
 from grovecount.plans.image_job import CROPS_FOLDER
+from grovecount.plans.lineage import guard_estimate_broadcast
 from grovecount.plans.modes import JobOptions
 from grovecount.plans.text_queries import DOC_LINE_SUFFIX
 from grovecount.session import ensure_checkpoint_dir
@@ -88,14 +89,21 @@ def stream_progress(spark: SparkSession, d: str) -> DataFrame:
     return every.select("batch_id", "num_input_rows", F.coalesce(ordered, F.lit(False)).alias("timed"))
 
 
+def _named_images(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Drawn images with their names; their estimate is that of the rows they are
+    drawn from, so they are kept from being broadcast by it."""
+    return names.join(guard_estimate_broadcast(scene_images(rows)), "image_id").drop("image_id")
+
+
 def _image_job(spark: SparkSession, d: str) -> Ran:
     """IMAGES job: every supplier's scene is listed, every third twice; every
     seventh has no image."""
     at = _folders(spark, "image-job")
     rows = read_table(spark, d, "supplier")
     names = scene_names(rows, read_table(spark, d, "nation"), read_table(spark, d, "region"))
-    images = scene_images(rows).join(names.where("image_id % 7 <> 0"), "image_id").drop("image_id")
-    with_lookup_columns(images).write.partitionBy("name_part").parquet(at["images"])
+    images = _named_images(rows, names.where("image_id % 7 <> 0"))
+    # a folder is written by one task, as at ingest: files do not multiply with the tasks that draw
+    with_lookup_columns(images).repartition("name_part").write.partitionBy("name_part").parquet(at["images"])
     copies = F.explode(F.sequence(F.lit(0), (F.col("image_id") % 3 == 0).cast("int")))
     names.select("image_name", copies.alias("copy")).select("image_name").write.text(at["input"])
     opts = JobOptions(mode="IMAGES", input=at["input"], output=at["output"], checkpoint=at["checkpoint"], glob="part-*",

@@ -81,3 +81,18 @@ def test_pixel_table_never_broadcast_where_no_threshold_is_set(spark):
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_drawn_images_are_not_broadcast_to_their_names(spark):
+    from grovecount.plans.stream_queries import _named_images
+
+    rows = spark.createDataFrame([(i, i % 25) for i in range(20)], "s_suppkey long, s_nationkey int")
+    names = rows.selectExpr("s_suppkey AS image_id", "concat('a_', s_suppkey, '.png') AS image_name")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        images = _named_images(rows, names)
+        assert "SortMergeJoin" in _plan(images) and "BroadcastHashJoin" not in _plan(images)
+        assert images.count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
