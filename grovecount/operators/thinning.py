@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grovecount.operators import tiles
-from grovecount.operators.stencil import ID, blur, gradient, with_neighbour_mags
+from grovecount.operators.stencil import ID, with_neighbour_mags
+from grovecount.operators.stencil_tiles import suppression_inputs_from_pixels
 from grovecount.plans.lineage import RoundTables
 
 # (bin) -> (p column, p dx, p dy, q column); bin 4 shares bin 0's axis.
@@ -80,8 +81,9 @@ def thin(grad: DataFrame, low: int, mode: str = "inplace", id_col: str = ID) ->
 
 
 def thin_pixels(pixels: DataFrame, low: int, mode: str = "inplace", id_col: str = ID) -> DataFrame:
-    """``thin(gradient(blur(pixels)))``: gray pixel table to thinned edges."""
-    return thin(gradient(blur(pixels, id_col), id_col), low, mode, id_col)
+    """``thin(gradient(blur(pixels)))``: gray pixel table to thinned edges, its
+    dense part by tiles in one shuffle."""
+    return resolve(suppression_inputs_from_pixels(pixels, low, id_col), mode, id_col)
 
 
 def resolve(

@@ -23,6 +23,13 @@ from pyspark.sql import types as T
 
 from grovecount.functions.image import gray_of
 
+# A scene is thousands of pixels while its table row is a few bytes, so a single
+# input split can hold every scene: rows are dealt to tasks of this many before
+# they are drawn.
+SCENES_PER_TASK = 250
+# Bytes of drawn images per frame: bounds Python memory whatever the batch.
+RENDER_BYTES = 4 << 20
+
 # Fixed scene parameters (shared with the SQL oracle).
 SCENE_WIDTH = 60
 SCENE_HEIGHT = 45
@@ -62,6 +69,12 @@ MIXED_GREEN = "least(255, v + (x % 3) * 2)"
 MIXED_BLUE = "greatest(0, v - y % 4)"
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The scene rows in tasks of about ``SCENES_PER_TASK``."""
+    tasks = -(-rows.count() // SCENES_PER_TASK)
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def _is_mixed(rows: DataFrame) -> bool:
     return "s_suppkey" in rows.columns and "n_nationkey" not in rows.columns
 
@@ -77,7 +90,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 def mixed_pixels(rows: DataFrame) -> DataFrame:
     """Gray pixel table of the mixed scenes, as column expressions."""
-    px = _mixed(rows).select("*", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
+    px = _dealt(_mixed(rows)).select("*", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
     px = px.withColumns({"x": F.pmod("i", "width").cast("int"), "y": F.floor(F.col("i") / F.col("width")).cast("int")})
     v = px.select("s", "x", "y", F.expr(mixed_level()).cast("int").alias("v"))
     return v.select(
@@ -85,9 +98,18 @@ def mixed_pixels(rows: DataFrame) -> DataFrame:
     )
 
 
+def _framed(batches, size):
+    """The batches cut where their images (``size`` bytes each) pass ``RENDER_BYTES``."""
+    for pdf in batches:
+        frame = (size(pdf).cumsum() // RENDER_BYTES).to_numpy()
+        cuts = np.flatnonzero(np.diff(frame, prepend=-1))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(pdf))):
+            yield pdf.iloc[lo:hi]
+
+
 def _render_mixed(batches):
     """The same scenes drawn with numpy, as BGR bytes."""
-    for pdf in batches:
+    for pdf in _framed(batches, lambda pdf: 3 * pdf["width"].astype("int64") * pdf["height"]):
         data = []
         for row in pdf.itertuples(index=False):
             ys, xs = np.mgrid[0:row.height, 0:row.width].astype(np.int64)
@@ -153,7 +175,7 @@ def scene_pixels(rows: DataFrame, width: int = SCENE_WIDTH, height: int = SCENE_
     if _is_mixed(rows):
         return mixed_pixels(rows)
     discs = scene_discs(rows)
-    px = discs.select("*", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("i"))
+    px = _dealt(discs).select("*", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("i"))
     x = F.pmod("i", F.lit(width))
     y = F.floor(F.col("i") / F.lit(width))
     dx, dy, r = x - F.col("cx"), y - F.col("cy"), F.col("radius")
@@ -184,7 +206,7 @@ def scene_names(rows: DataFrame, nation: DataFrame, region: DataFrame) -> DataFr
 
 def _render(batches, width: int, height: int):
     ys, xs = np.mgrid[0:height, 0:width]
-    for pdf in batches:
+    for pdf in _framed(batches, lambda pdf: pd.Series(3 * width * height, index=pdf.index)):
         data = []
         for cx, cy, r in zip(pdf["cx"], pdf["cy"], pdf["radius"]):
             disc = ((xs - cx) ** 2 + (ys - cy) ** 2 <= r * r).astype(np.uint8) * WHITE
@@ -199,7 +221,7 @@ def scene_images(rows: DataFrame, width: int = SCENE_WIDTH, height: int = SCENE_
     n_channels, data``), the shape the ``image`` source produces, so the
     image-file path of the detector can run on table-derived input."""
     mixed = _is_mixed(rows)
-    discs = _mixed(rows) if mixed else scene_discs(rows)
+    discs = _dealt(_mixed(rows) if mixed else scene_discs(rows))
     schema = T.StructType([
         T.StructField("image_id", discs.schema["s" if mixed else "image_id"].dataType),
         T.StructField("height", T.IntegerType()),
