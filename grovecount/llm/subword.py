@@ -48,7 +48,7 @@ from grovecount.llm.common import keyed_text
 
 SPACE = "▁"
 BLOCK_CHARS = 600_000  # text worked on at once
-LATTICE_EDGES = 1_500_000  # a larger lattice is dropped and started anew: bounds a worker's memory
+LATTICE_EDGES = 3_000_000  # a larger lattice is dropped and started anew: bounds a worker's memory
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 

@@ -137,3 +137,15 @@ def test_rows_do_not_depend_on_their_block():
     together = subword.sample_block(subword.Lattice(vocabulary), list(range(60)), texts, 3, 1)
     alone = [row for i, t in enumerate(texts) for row in subword.sample_block(subword.Lattice(vocabulary), [i], [t], 3, 1)]
     assert sorted(map(tuple, together), key=str) == sorted(map(tuple, alone), key=str) and len(alone) > 100
+
+
+def test_lattice_keeps_the_words_of_many_blocks(monkeypatch):
+    """300 000 distinct words, about as many as a block-by-block run of the documents
+    meets before a smaller lattice would start anew, within 200 MB."""
+    from grovecount.llm import subword
+
+    lattice = subword.Lattice(subword.Vocabulary(subword._model_path(), 0.2))
+    held = sum(getattr(lattice, name).nbytes for name in (*lattice.EDGE, *lattice.NODE))
+    assert held < 200_000_000 and subword.LATTICE_EDGES * 1.5 == len(lattice.first)
+    lattice.numbers([f"w{i}" for i in range(300_000)])
+    assert 1_500_000 < lattice.n_edges <= subword.LATTICE_EDGES
