@@ -16,8 +16,8 @@ drawn to the end leaves one unopened sibling set per step; the best sibling of
 all paths so far holds the next segmentation.
 
 The lattice falls apart at spaces (no piece crosses one), so it is built once
-per distinct word, and steps of all words of a block
-are taken together as array operations.  Random numbers are a hash of the
+per distinct word; when it is full, it keeps the words that two blocks had.
+Steps of all words of a block are taken together as array operations.  Random numbers are a hash of the
 seed, the row's key, the word, the step and the draw: a row's samples do not
 depend on partitioning, batch or order.
 
@@ -34,8 +34,8 @@ restores the text; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,8 @@ from grovecount.llm.common import keyed_text
 
 SPACE = "▁"
 BLOCK_CHARS = 600_000  # text worked on at once
-LATTICE_EDGES = 3_000_000  # a larger lattice is dropped and started anew: bounds a worker's memory
+LATTICE_EDGES = 3_000_000  # a larger lattice drops words met in one block only: bounds a worker's memory
+ADD_WORDS = 4_000  # words added at once: their arrays stay in a core's cache
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -73,9 +74,10 @@ def _salt(draw: int, use: int) -> np.uint64:
 
 
 class Vocabulary:
-    """Pieces of a model, found by a hash of their code points."""
+    """Pieces of a model and their prefixes, found by a hash of their code points."""
 
     BITS = 18
+    PREFIX = -2  # begins a piece, but is none
 
     def __init__(self, path: str, alpha: float):
         import sentencepiece
@@ -101,10 +103,15 @@ class Vocabulary:
         points = np.zeros((len(plain), self.longest), np.uint32)
         for row, i in enumerate(plain):
             points[row, : size[row]] = [ord(c) for c in text[i]]
-        keys = np.zeros(len(plain), np.uint64)
+        h, every = np.zeros(len(plain), np.uint64), []
         for n in range(self.longest):  # the n-th character of all pieces at once
             long = size > n
-            keys[long] = self.step(keys[long], points[long, n])
+            h[long] = self.step(h[long], points[long, n])
+            every.append((h[long], np.where(size[long] == n + 1, ids[long], len(self.surface))))
+        keys, ids = (np.concatenate(x) for x in zip(*every))
+        order = np.lexsort((ids, keys))  # of a repeated key, a piece comes before prefixes
+        order = order[np.r_[True, keys[order[1:]] != keys[order[:-1]]]]
+        keys, ids = keys[order], np.where(ids[order] < len(self.surface), ids[order], self.PREFIX)
         left = np.arange(len(keys))
         self.tables = []
         while len(left):  # keys that share a slot move on to the next table
@@ -128,7 +135,7 @@ class Vocabulary:
         return (mixed >> np.uint64(64 - self.BITS - table)).astype(np.int64) & ((1 << self.BITS) - 1)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece of each hash, or -1."""
+        """Piece of each hash, ``PREFIX``, or -1: no piece begins so."""
         out = np.full(len(h), -1, dtype=np.int64)
         todo = None  # all
         for t, (key, piece, more) in enumerate(self.tables):
@@ -143,31 +150,20 @@ class Vocabulary:
         return out
 
 
-class Numbers(dict):
-    """Numbers words in order of first sight; new ones are also listed."""
-
-    def __init__(self):
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(word)
-        return n
-
-
 class Lattice:
     """All segmentations of all words seen so far.  A node is a character
     position; the edges of a node are stored together, longest piece first.
     Grows by the new words of each block; ``start`` maps word numbers to nodes."""
 
     EDGE = {"first": np.int32, "to": np.int32, "piece": np.int32, "logp": np.float64, "cum": np.float64, "rest": np.float64}
-    NODE = {"first_edge": np.int32, "last": np.bool_}
+    NODE = {"first_edge": np.int32}  # -1 at a word's end, where ``to`` is -1, too
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.index = Numbers()
+        self.index: dict[str, int] = {}  # words in order of first sight
         self.n_edges = self.n_nodes = 0
         self.start = np.empty(0, np.int32)
+        self.seen = np.empty(0, np.int32)  # blocks that have the word
         # room for what a lattice usually grows to; untouched pages cost nothing
         for name, kind in self.EDGE.items():
             setattr(self, name, np.empty(LATTICE_EDGES + LATTICE_EDGES // 2, kind))
@@ -175,14 +171,47 @@ class Lattice:
             setattr(self, name, np.empty(LATTICE_EDGES, kind))
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        """Number of each word (given without the space in front)."""
-        fresh = self.index.fresh
-        out = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
-        if fresh:
-            self.add([" " + w for w in fresh])
-            fresh.clear()
+        """Number of each of a block's distinct words (given without the space in front)."""
+        out = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        fresh = np.flatnonzero(out < 0)
+        if len(fresh):
+            out[fresh] = np.arange(len(self.index), len(self.index) + len(fresh))
+            added = [words[i] for i in fresh.tolist()]
+            self.index.update(zip(added, out[fresh].tolist()))
+            for i in range(0, len(added), ADD_WORDS):
+                self.add([" " + w for w in added[i : i + ADD_WORDS]])
+            self.seen = np.concatenate([self.seen, np.zeros(len(fresh), np.int32)])
+        self.seen[out] += 1
         return out
 
+    def renewed(self, limit: int) -> Lattice:
+        """This lattice with the words that two blocks have, or, if these have more
+        than ``limit`` edges, a new one."""
+        kept = np.flatnonzero(self.seen > 1)
+        # a word's nodes follow each other, and so do a node's edges
+        node = _ranges(self.start[kept], np.diff(np.r_[self.start, self.n_nodes])[kept])
+        inner = np.flatnonzero(self.first_edge[node] >= 0)
+        end = np.flatnonzero(np.isinf(self.cum[: self.n_edges]))
+        begin = self.first_edge[node[inner]].astype(np.int64)
+        count = end[np.searchsorted(end, begin)] + 1 - begin
+        if count.sum() > limit:
+            return Lattice(self.vocabulary)
+        edge = _ranges(begin, count)
+        place = np.full(self.n_nodes + 1, -1, np.int32)  # the last one for -1
+        place[node] = np.arange(len(node))
+        self.start = place[self.start[kept]]
+        first_edge = np.full(len(node), -1, np.int32)
+        first_edge[inner] = np.cumsum(count) - count
+        edges = {name: getattr(self, name)[edge] for name in self.EDGE}
+        edges |= {name: place[edges[name]] for name in ("first", "to")}
+        self._append(0, edges)
+        self._append(0, {"first_edge": first_edge})
+        self.n_edges, self.n_nodes = len(edge), len(node)
+        words = list(self.index)
+        self.index = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.seen = np.ones(len(kept), np.int32)
+        return self
+
     def _append(self, size: int, part: dict[str, np.ndarray]) -> None:
         for name, values in part.items():
             held = getattr(self, name)
@@ -195,76 +224,79 @@ class Lattice:
 
     def add(self, words: list[str]) -> None:
         v = self.vocabulary
-        cp = np.frombuffer("".join([w + "\0" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        cp = np.frombuffer(("\0".join([*words, ""])).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         size = np.fromiter(map(len, words), np.int64, len(words))
         start = np.cumsum(size + 1) - size - 1
         left = np.repeat(start + size, size + 1) - np.arange(len(cp))
+        # nodes one, two, ... characters from the end; a word's last position has no edges
         at = np.flatnonzero(left > 0)
-        h = np.zeros(len(at), np.uint64)
-        starts, lengths, ids = [], [], []
-        for n in range(1, v.longest + 1):
-            more = left[at] >= n
-            if not more.all():
-                at, h = at[more], h[more]
-            if not len(at):
+        at = at[np.argsort(left[at].astype(np.min_scalar_type(int(size.max(initial=0)))), kind="stable")]
+        level, point = left[at], cp[at]
+        cuts = np.flatnonzero(np.r_[True, level[1:] != level[:-1], True]) if len(at) else np.zeros(1, np.int64)
+        h = v.step(np.zeros(len(at), np.uint64), point)
+        piece = v.find(h)
+        count = np.ones(len(at), np.int64)  # a character that is no piece: its bytes
+        found = [(np.arange(len(at)), np.where(piece >= 0, piece, -1 - point.astype(np.int64)))]
+        own = np.arange(len(at))
+        for n in range(2, v.longest + 1):
+            more = np.flatnonzero((piece != -1) & (level[own] >= n))
+            own = own[more]
+            if not len(own):
                 break
-            h = v.step(h, cp[at + n - 1])
+            h = v.step(h[more], cp[at[own] + n - 1])
             piece = v.find(h)
             hit = np.flatnonzero(piece >= 0)
-            if n == 1:  # a character that is no piece: its bytes
-                lone = at[piece < 0]
-                starts.append(lone)
-                lengths.append(np.ones(len(lone), np.int64))
-                ids.append(-1 - cp[lone].astype(np.int64))
-            starts.append(at[hit])
-            lengths.append(np.full(len(hit), n, np.int64))
-            ids.append(piece[hit])
-        first, length, piece = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (starts, lengths, ids))
-        order = np.argsort((left[first] * (len(cp) + 1) + first) * 64 + 63 - np.minimum(length, 63))
-        first, length, piece = first[order], length[order], piece[order]
-        to = first + length
+            count[own[hit]] += 1
+            found.append((own[hit], piece[hit]))
+        bounds = np.r_[0, np.cumsum(count)]
+        head, first = bounds[:-1], np.repeat(at, count)
+        to, piece = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        place = head.copy()
+        for n in range(len(found), 0, -1):
+            own, ids = found[n - 1]
+            here = place[own]
+            to[here], piece[here] = at[own] + n, ids
+            place[own] = here + 1
         weight = v.weight[np.maximum(piece, 0)]
         lone = np.flatnonzero(piece < 0)
         point = -1 - piece[lone]
         weight[lone] = v.byte_weight * (1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF))
-        head = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.empty(0, np.int64)
-        bounds = np.r_[head, len(first)]
-        count = np.diff(bounds)
-        level = left[first[head]]
-        cuts = np.flatnonzero(np.r_[True, level[1:] != level[:-1], True]) if len(head) else np.zeros(1, np.int64)
         p = np.empty(len(first))
         total = np.zeros(len(cp) + 1)  # log of the weight of all ways from a node to its word's end
-        for a, b in zip(cuts[:-1], cuts[1:]):  # nodes one, two, ... characters from the end
+        for a, b in zip(cuts[:-1], cuts[1:]):
             lo, hi = bounds[a], bounds[b]
             val = weight[lo:hi]
             val += total[to[lo:hi]]
             at_head = head[a:b] - lo
             top = np.maximum.reduceat(val, at_head)
-            e = np.exp(val - np.repeat(top, count[a:b]))
+            many = count[a:b]
+            e = np.exp(val - np.repeat(top, many))
             sums = np.add.reduceat(e, at_head)
             norm = top + np.log(sums)
-            total[first[head[a:b]]] = norm
-            val -= np.repeat(norm, count[a:b])
-            p[lo:hi] = e / np.repeat(sums, count[a:b])
+            total[at[a:b]] = norm
+            val -= np.repeat(norm, many)
+            p[lo:hi] = e / np.repeat(sums, many)
         logp = np.minimum(weight, 0.0)
         # summed node by node: a running sum over the block would round by what is before
         cum = p.copy()
+        later = head
         for j in range(1, int(count.max(initial=0))):
-            at = head[count > j] + j
-            cum[at] += cum[at - 1]
+            later = later[count > j] + 1
+            count = count[count > j]
+            cum[later] += cum[later - 1]
         cum[bounds[1:] - 1] = np.inf
         # log probability of the other edges of an edge's node
         with np.errstate(divide="ignore"):
             rest = np.log1p(-np.minimum(p, 1.0))
-        rest[head[count == 1]] = -np.inf
-        first_edge = np.zeros(len(cp), np.int64)
-        first_edge[first[head]] = head + self.n_edges
+        rest[head[np.diff(bounds) == 1]] = -np.inf
+        first_edge = np.full(len(cp), -1, np.int64)
+        first_edge[at] = head + self.n_edges
         base = self.n_nodes
         self.start = np.concatenate([self.start, (start + base).astype(np.int32)])
         self._append(self.n_edges, {
-            "first": first + base, "to": to + base, "piece": piece, "logp": logp, "cum": cum, "rest": rest,
+            "first": first + base, "to": np.where(left[to] > 0, to + base, -1), "piece": piece, "logp": logp, "cum": cum, "rest": rest,
         })
-        self._append(self.n_nodes, {"first_edge": first_edge, "last": left == 0})
+        self._append(self.n_nodes, {"first_edge": first_edge})
         self.n_edges += len(first)
         self.n_nodes += len(cp)
 
@@ -291,35 +323,51 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - shift, size)
 
 
+def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of all texts, the place of each text's words among them, one
+    text after the other, and the number of words of each text.  A word goes
+    without the space before it; further spaces stay in front."""
+    parts = pc.split_pattern(texts, " ")
+    size = pc.list_value_length(parts).to_numpy().astype(np.int64)
+    coded = parts.flatten().dictionary_encode()
+    words, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    if "" not in words:
+        return words, place, size
+    end = np.cumsum(size)
+    blank = place == words.index("")
+    void = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    blank[end[~void] - 1] = False  # all other empty parts are spaces in front of the next
+    keep = np.flatnonzero(~blank)
+    own = blank.copy()
+    own[end[void] - 1] = False
+    before = np.cumsum(own)[keep]
+    spaces = np.diff(before, prepend=0)
+    place = place[keep]
+    index: dict[str, int] = {}
+    for i in np.flatnonzero(spaces).tolist():
+        word = " " * int(spaces[i]) + words[place[i]]
+        if word not in index:
+            index[word] = len(words) + len(index)
+        place[i] = index[word]
+    text = np.repeat(np.arange(len(size)), size)
+    return words + list(index), place, np.bincount(text[keep], minlength=len(size))
+
+
 class Draws:
     """Paths of all texts of a block, drawn best first."""
 
-    def __init__(self, lattice: Lattice, texts: list[str], keys: np.ndarray):
-        words, sizes = [], []
-        for text in texts:
-            # words without the space before them; further spaces stay in front
-            if not text:
-                own = []
-            elif "  " in text or text[0] == " ":
-                own = [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
-            else:
-                own = text.split(" ")
-            sizes.append(len(own))
-            words += own
+    def __init__(self, lattice: Lattice, texts: pa.Array, keys: np.ndarray):
+        words, place, self.size = _words(texts)
         self.n = len(texts)
         self.lattice = lattice
-        self.node = self._nodes(words) if words else np.empty(0, np.int32)
-        self.size = np.array(sizes, dtype=np.int64)
+        number = lattice.numbers(words)  # extends ``start`` first
+        self.node = lattice.start[number][place]
         self.first = np.cumsum(self.size) - self.size  # first word of each text
         doc = np.repeat(np.arange(self.n), self.size)
         self.key = keys
         # of each word: the text's key and the word's place in it
         self.word_key = keys[doc] + (np.arange(len(self.node)) - self.first[doc]).astype(np.uint64) * _C[2]
 
-    def _nodes(self, words: list[str]) -> np.ndarray:
-        number = self.lattice.numbers(words)  # extends ``start`` first
-        return self.lattice.start[number]
-
     def walk(self, starts: list[tuple], draw: int):
         """Draw from a node to the end of each word: (word place, edge), ordered
         by word place, then step.  ``starts`` are (places, nodes, steps taken:
@@ -335,33 +383,32 @@ class Draws:
                 edges.append(edge)
                 taken[word] += 1
                 node = lat.to[edge]
-                more = np.flatnonzero(~lat.last[node])
+                more = np.flatnonzero(node >= 0)
                 word, node = word[more], node[more]
                 step = (step[more] if len(step) > 1 else step) + np.uint64(1)
         # a word's steps follow each other: scatter them behind its first
         place = np.cumsum(taken, dtype=np.int32) - taken
-        n = int(taken.sum())
-        out = np.empty(n, np.int32), np.empty(n, np.int32)
+        out = np.empty(int(taken.sum()), np.int32)
         for w, e in zip(words, edges):
             to = place[w]
-            out[0][to], out[1][to] = w, e
-            place[w] += 1
-        return out
+            out[to] = e
+            place[w] = to + 1
+        return np.repeat(np.arange(len(self.node), dtype=np.int32), taken), out
 
     def siblings(self, path: dict, fresh: np.ndarray, draw: int) -> np.ndarray:
         """Perturbed value, before it is bounded by the path's own, of the best
         path that leaves ``path`` at each step of ``fresh``."""
         lat = self.lattice
         value = np.full(len(path["edge"]), -np.inf)
-        edge = path["edge"][fresh]
-        some = lat.rest[edge] > -np.inf
+        rest = lat.rest[path["edge"][fresh]]
+        some = np.flatnonzero(rest > -np.inf)
         at = fresh[some]
         salt = path["step"][at].astype(np.uint64) * _C[0] + _salt(draw, 2)
         noise = _uniform(self.word_key[path["word"][at]] + salt)
         np.log(noise, out=noise)
         np.negative(noise, out=noise)
         np.log(noise, out=noise)
-        value[at] = path["before"][at] + lat.rest[edge[some]] - noise
+        value[at] = path["before"][at] + rest[some] - noise
         return value
 
     def path(self, word, edge, size) -> dict:
@@ -466,7 +513,7 @@ class Draws:
         for own, path, _ in prefix:
             for c in here:
                 here[c][own] = path[c][turn[own]]
-        open_word = docs[~lat.last[lat.to[chosen[docs]]]]
+        open_word = docs[lat.to[chosen[docs]] >= 0]
         after = here["word"][docs] + 1
         words = _ranges(after, self.first[docs] + self.size[docs] - after)
         part = here["word"][open_word], lat.to[chosen[open_word]], (here["step"][open_word] + 1).astype(np.uint64)
@@ -513,15 +560,15 @@ NO_KEY = np.uint64(0x5851F42D4C957F2D)
 
 
 def _blocks(ids: pa.Array, texts: pa.Array, size: int):
-    """Slices of about ``size`` bytes of text, as lists."""
+    """Slices of about ``size`` bytes of text."""
     at, held = 0, 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         if held and held + n > size:
-            yield ids[at:i].to_pylist(), texts[at:i].to_pylist()
+            yield ids[at:i], texts[at:i]
             at, held = i, 0
         held += n
     if at < len(texts):
-        yield ids[at:].to_pylist(), texts[at:].to_pylist()
+        yield ids[at:], texts[at:]
 
 
 class Surface:
@@ -531,6 +578,7 @@ class Surface:
         self.size = np.array([len(x) for x in vocabulary.surface], dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.table = np.frombuffer(b"".join(vocabulary.surface), np.uint8)
+        self.pieces = pa.array(vocabulary.surface, pa.binary())
 
     def text(self, ids: bytes) -> str:
         pieces = np.frombuffer(ids, "<u4")
@@ -538,8 +586,23 @@ class Surface:
         return self.table[_ranges(self.start[pieces], self.size[pieces])].tobytes()[1:].decode("utf-8", "replace")
 
 
-def sample_block(lattice: Lattice, ids: list, texts: list[str], k: int, seed: int) -> list[tuple]:
+    def texts(self, ids: pa.BinaryArray) -> pa.Array:
+        """``text`` of each row, for ids that make whole characters."""
+        bounds = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        if not len(ids) or bounds[0] == bounds[-1]:
+            return pa.array([""] * len(ids), pa.string())
+        pieces = np.frombuffer(ids.buffers()[2], "<u4")[bounds[0] // 4 : bounds[-1] // 4]
+        joined = self.pieces.take(pa.array(pieces))
+        ends = np.frombuffer(joined.buffers()[1], np.int32)[(bounds - bounds[0]) // 4]
+        rows = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), joined.buffers()[2]])
+        # the first byte is the space before the first word
+        return pc.utf8_slice_codeunits(rows.cast(pa.string()), 1)
+
+
+def sample_block(lattice: Lattice, ids: list | pa.Array, texts: list[str] | pa.Array, k: int, seed: int) -> list[tuple]:
     """(id, sample, ids, log probability, perturbed value, log inclusion) rows."""
+    ids = ids.to_pylist() if isinstance(ids, pa.Array) else ids
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     keys = np.array([NO_KEY if i is None else np.uint64(i & (2**64 - 1)) for i in ids], dtype=np.uint64)
     draws = Draws(lattice, texts, _hash(_hash(keys + np.uint64(seed % 2**64)) + _C[0]))
     found = []
@@ -575,12 +638,12 @@ def sample_segmentations(
         for b in batches:
             for ids, texts in _blocks(b.column("id"), b.column("text"), BLOCK_CHARS):
                 if lattice.n_edges > LATTICE_EDGES:
-                    lattice = Lattice(vocabulary)
+                    lattice = lattice.renewed(LATTICE_EDGES // 2)
                 rows = sample_block(lattice, ids, texts, k, seed)
                 cols = list(zip(*rows)) or [()] * 6
                 arrays = [pa.array(c, t) for c, t in zip(cols, kinds)]
                 if decoded:
-                    arrays.append(pa.array([surface.text(x) for x in cols[2]], pa.string()))
+                    arrays.append(surface.texts(arrays[2]))
                 yield pa.RecordBatch.from_arrays(arrays, names + ["text"] * decoded)
 
     schema = SAMPLE_SCHEMA + (", text string" if decoded else "")

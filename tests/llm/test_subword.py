@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -149,3 +151,64 @@ def test_lattice_keeps_the_words_of_many_blocks(monkeypatch):
     assert held < 200_000_000 and subword.LATTICE_EDGES * 1.5 == len(lattice.first)
     lattice.numbers([f"w{i}" for i in range(300_000)])
     assert 1_500_000 < lattice.n_edges <= subword.LATTICE_EDGES
+
+
+def test_full_lattice_keeps_the_words_of_two_blocks(monkeypatch):
+    """Words that each block has are added once, not after each time the lattice is full;
+    samples are those of a lattice that was never full."""
+    vocabulary = subword.Vocabulary(PATH, 0.2)
+    r = random.Random(8)
+    common = ["".join(r.choices("abcdeé ßth", k=7)).replace(" ", "") + "q" for _ in range(200)]
+    blocks = [[" ".join([*common, *(f"n{b}x{i}" for i in range(200))])] for b in range(8)]
+    added = Counter()
+    monkeypatch.setattr(
+        subword.Lattice, "add", lambda self, words, add=subword.Lattice.add: (added.update(words), add(self, words))[1]
+    )
+    whole = [subword.sample_block(subword.Lattice(vocabulary), [b], t, 3, 2) for b, t in enumerate(blocks)]
+    added.clear()
+    lattice, sizes = subword.Lattice(vocabulary), []
+    for b, t in enumerate(blocks):
+        if b > 1:
+            lattice = lattice.renewed(1_000_000)
+            sizes.append(len(lattice.index))
+        assert subword.sample_block(lattice, [b], t, 3, 2) == whole[b]
+    assert set(sizes) == {len(set(common))} and set(added.values()) == {1}
+    assert lattice.n_nodes == len(lattice.first_edge[: lattice.n_nodes]) and lattice.start.max() < lattice.n_nodes
+    assert not lattice.renewed(10).index  # too many words were kept: a new one
+
+
+def test_words_of_texts_with_further_spaces():
+    """Words, split in Arrow, are those that a pattern finds text by text."""
+    texts = ["", " ", "  ", "a", " a", "a ", "a b a", "two  spaces   three ", "  lead", "a\nb\tc \x00", "é 日本  é", "", "b  a", "end  "]
+    words, place, size = subword._words(pa.array(texts))
+    found = [words[i] for i in place.tolist()]
+    assert len(words) == len(set(words)) and size.tolist() == [len(re.findall(" +[^ ]*", " " + t)) if t else 0 for t in texts]
+    assert found == [w[1:] for t in texts if t for w in re.findall(" +[^ ]*", " " + t)]
+    words, place, size = subword._words(pa.array(["", ""]))
+    assert len(place) == 0 and size.tolist() == [0, 0]
+
+
+def test_decoding_a_block_is_decoding_its_rows():
+    vocabulary = subword.Vocabulary(PATH, 0.2)
+    surface = subword.Surface(vocabulary)
+    texts = ["", "é 日本", " lead", "two  spaces ", "plain words", ""]
+    ids = pa.array([r[2] for r in subword.sample_block(subword.Lattice(vocabulary), list(range(6)), texts, 1, 3)], pa.binary())
+    assert surface.texts(ids).to_pylist() == texts and surface.texts(ids[2:4]).to_pylist() == texts[2:4]
+    assert surface.texts(ids[:1]).to_pylist() == [""] and surface.texts(ids[:0]).to_pylist() == []
+
+
+def test_prefixes_of_pieces_are_told_from_no_piece():
+    vocabulary = subword.Vocabulary(PATH, 0.2)
+    own = {s.decode(): i for i, s in enumerate(vocabulary.surface) if s and i >= 259}
+
+    def key(text):
+        h = np.zeros(1, np.uint64)
+        for c in text:
+            h = vocabulary.step(h, np.array([ord(c)], np.uint32))
+        return h
+
+    pieces = random.Random(3).sample(sorted(own), 300)
+    prefixes = [t[:n] for t in pieces for n in range(1, len(t))]
+    for text in pieces + prefixes:
+        assert vocabulary.find(key(text))[0] == own.get(text, vocabulary.PREFIX)
+    assert vocabulary.find(key("qqzzxx"))[0] == -1
